@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from tidemark.llm.packing import op6_packing
+from tidemark.llm.secrets import op1_secret_scans
 from tidemark.llm.token_counts import op3_token_counts
 
 
 def queries() -> dict:
     return {
+        "op1_secret_scans": op1_secret_scans,
         "op3_token_counts": op3_token_counts,
         "op6_packing": op6_packing,
     }
