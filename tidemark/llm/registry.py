@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.llm.chat import op2_chat_formatting
 from tidemark.llm.packing import op6_packing
 from tidemark.llm.secrets import op1_secret_scans
 from tidemark.llm.token_counts import op3_token_counts
@@ -10,6 +11,7 @@ from tidemark.llm.token_counts import op3_token_counts
 def queries() -> dict:
     return {
         "op1_secret_scans": op1_secret_scans,
+        "op2_chat_formatting": op2_chat_formatting,
         "op3_token_counts": op3_token_counts,
         "op6_packing": op6_packing,
     }
