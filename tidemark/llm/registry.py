@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.chat import op2_chat_formatting
+from tidemark.llm.language import op9_language_id
 from tidemark.llm.packing import op6_packing
 from tidemark.llm.secrets import op1_secret_scans
 from tidemark.llm.token_counts import op3_token_counts
@@ -14,6 +15,7 @@ def queries() -> dict:
         "op2_chat_formatting": op2_chat_formatting,
         "op3_token_counts": op3_token_counts,
         "op6_packing": op6_packing,
+        "op9_language_id": op9_language_id,
     }
 
 
