@@ -7,6 +7,7 @@ from tidemark.llm.language import op9_language_id
 from tidemark.llm.media import op10_media_columns
 from tidemark.llm.packing import op6_packing
 from tidemark.llm.secrets import op1_secret_scans
+from tidemark.llm.simhash import op7_simhash_near_dedup
 from tidemark.llm.token_counts import op3_token_counts
 
 
@@ -16,6 +17,7 @@ def queries() -> dict:
         "op2_chat_formatting": op2_chat_formatting,
         "op3_token_counts": op3_token_counts,
         "op6_packing": op6_packing,
+        "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op9_language_id": op9_language_id,
         "op10_media_columns": op10_media_columns,
     }

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrays import sums_before
-from tidemark.llm.tables import read, whole_texts
+from tidemark.llm.tables import read, whole_texts, written
 
 
 @dataclass(frozen=True)
@@ -95,16 +95,6 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     return written(found)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """A checkpoint in the cluster's shared folder, or in one of the tests' own where none is named."""
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and not context.getCheckpointDir():
-        import tempfile
-
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
 def findings_by_path(versions: DataFrame, ledger: DataFrame, rule_version: int = RULE_VERSION) -> DataFrame:
     """The versions' columns, without the text, and `blob` and `spans` (empty where nothing was found)."""
     found = ledger.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob", "spans")
