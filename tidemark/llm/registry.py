@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.chat import op2_chat_formatting
+from tidemark.llm.html_text import op8_html_extraction
 from tidemark.llm.language import op9_language_id
 from tidemark.llm.media import op10_media_columns
 from tidemark.llm.packing import op6_packing
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op3_token_counts": op3_token_counts,
         "op6_packing": op6_packing,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
+        "op8_html_extraction": op8_html_extraction,
         "op9_language_id": op9_language_id,
         "op10_media_columns": op10_media_columns,
     }
