@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLOCK = 256
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once; a plain expression inside a lambda is worked out for each element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _growing(values: Column, first: Column) -> Column:
     """first, first + v1, first + v1 + v2, ... by appending; only for short arrays."""
     return F.aggregate(values, F.array(first), lambda acc, v: F.array_append(acc, F.element_at(acc, -1) + v))
@@ -15,9 +22,12 @@ def _growing(values: Column, first: Column) -> Column:
 
 def sums_before(values: Column) -> Column:
     """For an array of longs the sum of the elements before each one, built block by block."""
-    block = lambda c: F.slice(values, c * BLOCK + 1, BLOCK)
-    blocks = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int"))
-    totals = F.transform(blocks, lambda c: F.aggregate(block(c), F.lit(0).cast("long"), lambda a, v: a + v))
-    starts = _growing(totals, F.lit(0).cast("long"))
-    inside = F.transform(blocks, lambda c: F.slice(_growing(block(c), F.get(starts, c)), 1, F.size(block(c))))
-    return F.when(F.size(values) > 0, F.flatten(inside)).otherwise(F.array().cast("array<bigint>"))
+
+    def made(v: Column) -> Column:
+        block = lambda c: F.slice(v, c * BLOCK + 1, BLOCK)
+        blocks = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int"))
+        totals = F.transform(blocks, lambda c: F.aggregate(block(c), F.lit(0).cast("long"), lambda a, x: a + x))
+        inside = lambda starts: F.transform(blocks, lambda c: let(block(c), lambda b: F.slice(_growing(b, F.get(starts, c)), 1, F.size(b))))
+        return F.when(F.size(v) > 0, F.flatten(let(_growing(totals, F.lit(0).cast("long")), inside))).otherwise(F.array().cast("array<bigint>"))
+
+    return let(values, made)

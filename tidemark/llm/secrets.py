@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrays import sums_before
+from tidemark.llm.arrays import let, sums_before
 from tidemark.llm.tables import read, whole_texts, written
 
 
@@ -59,13 +59,8 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
     """The rule's spans in a text, by start."""
     sizes = lambda group: F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(group)), lambda m: F.length(m).cast("long"))
     gaps = F.transform(F.split(text, rule.pattern, -1), lambda g: F.length(g).cast("long"))
-    places = F.arrays_zip(
-        gaps.alias("gap"),
-        sums_before(gaps).alias("gaps"),
-        sizes(0).alias("size"),
-        sums_before(sizes(0)).alias("sizes"),
-        sizes(rule.group).alias("counted"),
-    )
+    zipped = lambda g, m: F.arrays_zip(g.alias("gap"), sums_before(g).alias("gaps"), m.alias("size"), sums_before(m).alias("sizes"), sizes(rule.group).alias("counted"))
+    places = let(gaps, lambda g: let(sizes(0), lambda m: zipped(g, m)))
     span = lambda p: F.struct(
         (p["gaps"] + p["gap"] + p["sizes"]).cast("int").alias("start"),
         F.lit(rank).alias("rank"),
