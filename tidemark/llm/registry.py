@@ -6,6 +6,7 @@ from tidemark.llm.chat import op2_chat_formatting
 from tidemark.llm.html_text import op8_html_extraction
 from tidemark.llm.language import op9_language_id
 from tidemark.llm.media import op10_media_columns
+from tidemark.llm.mixing import op5_source_mixing
 from tidemark.llm.order_minhash import op4_document_fingerprints
 from tidemark.llm.packing import op6_packing
 from tidemark.llm.secrets import op1_secret_scans
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op2_chat_formatting": op2_chat_formatting,
         "op3_token_counts": op3_token_counts,
         "op4_document_fingerprints": op4_document_fingerprints,
+        "op5_source_mixing": op5_source_mixing,
         "op6_packing": op6_packing,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op8_html_extraction": op8_html_extraction,

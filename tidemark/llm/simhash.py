@@ -196,14 +196,25 @@ def links(fps: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     return pairs.union(_compare(dealt.repartition("key").sortWithinPartitions("key", "fp"), 1 << 40).select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id of the class) of all rows."""
-    prints = written(fingerprints(docs))
+def classes(prints: DataFrame) -> DataFrame:
+    """fp and component_id (the smallest doc_id of the class) of all fingerprints in doc_id and fp."""
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     found = written(components(links(nodes)))
     rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = written(rooted)
     lowest = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
-    named = written(written(rooted.select("fp", "root")).join(lowest, "root").select("fp", "component_id"))
+    return written(rooted.join(lowest, "root").select("fp", "component_id"))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """doc_id of the document that stands for each class, a row per class."""
+    return classes(written(fingerprints(docs))).select(F.col("component_id").alias("doc_id")).distinct()
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fp and component_id (the smallest doc_id of the class) of all rows."""
+    prints = written(fingerprints(docs))
+    named = classes(prints)
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

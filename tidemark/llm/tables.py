@@ -47,9 +47,17 @@ def special_tokens(tokenizer_json: str) -> dict[str, int]:
     return {x["content"]: x["id"] for x in sorted(added, key=lambda x: -len(x["content"]))}
 
 
-def written(df: DataFrame) -> DataFrame:
-    """A checkpoint in the cluster's shared folder, or in one of the tests' own where none is named."""
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and not context.getCheckpointDir():
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's folder for checkpoints and tables in between; one of the tests' own where none is named."""
+    context = spark.sparkContext
+    if named := context.getConf().get("spark.checkpoint.dir"):
+        return named
+    if not context.getCheckpointDir():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
