@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.operators import corpus, evaluation, fusion, lexical, ranking, registry, routing, tagging, vector
+from tidemark.operators import corpus, evaluation, fusion, lexical, ranking, registry, routing, sections, tagging, understanding, vector
 
 
 def test_phrases_of_four_letters_need_word_bounds(spark):
@@ -129,3 +129,45 @@ def test_empty_tables(spark):
     assert tagging.tag_lines(corpus.lines(none)).count() == 0
     assert corpus.first_of_copies(none, 400, ["doc_id"]).count() == 0
     assert lexical.quotes(none.withColumnRenamed("doc_id", "quote_id"), none).count() == 0
+
+
+TABLE = """<h1>Plan</h1><p>Start</p><table><tr><th>REGION</th><th>COUNTIES</th><th>Note</th></tr><tr><td>1</td><td>Escambia, Walton</td><td> </td></tr></table>
+<h2>Next</h2><h3>Sub &amp; more</h3><p>same</p><p>same</p><ul><li>one<li>two</ul><script>x</script><nav><p>menu</p></nav>"""
+
+
+def test_html_sections():
+    found = sections.sections(TABLE)
+    assert [(n, t, x) for n, t, x, _, _ in found] == [(1, "Plan", "Start\n\nREGION: 1 | COUNTIES: Escambia, Walton"), (2, "Next", "## Sub & more\n\nsame\n\none\n\ntwo")]
+    assert sections.sections("") == sections.sections(None) == [(1, "(intro)", "", 0, "empty")]
+    assert [s[1] for s in sections.sections("<p>" + "x" * 600 + "</p><h1>A</h1><p>b</p>")] == ["(intro)", "A"]
+    assert [s[1] for s in sections.sections("<p>short</p><h1>A</h1><p>b</p>")] == ["A"]
+
+
+def test_page_sections_keep_null_pages(spark):
+    df = spark.createDataFrame([(1, TABLE), (2, None), (None, "<p>x")], "page_id long, html string")
+    assert sorted((str(r.page_id), r.extraction_status) for r in sections.page_sections(df).collect()) == [("1", "success"), ("1", "success"), ("2", "empty"), ("None", "success")]
+    assert sections.page_sections(df.limit(0)).count() == 0
+
+
+def test_markdown_paragraphs(spark):
+    text = "# Title\n\n## Section 1: A\n\nFirst\nline.\n\nSecond é.\n\n## Section 2: B\nThird."
+    found = sections.markdown_paragraphs(text)
+    assert [(i, p, x) for i, p, _, _, x in found] == [(0, "Section 1: A", "First\nline."), (1, "Section 1: A", "Second é."), (2, "Section 2: B", "Third.")]
+    assert all(text[a:b] == x for _, _, a, b, x in found) and sections.markdown_paragraphs(None) == []
+
+
+def test_best_attempt_prefers_the_first_success(spark):
+    rows = [(1, 1, False, 0.9, 9), (1, 2, True, 0.1, 1), (1, 3, True, 0.8, 1), (2, 1, False, 0.5, 2), (2, 2, False, 0.4, 12)]
+    found = {r.query_id: r.attempt for r in understanding.best_attempt(spark.createDataFrame(rows, "query_id long, attempt long, success boolean, rerank double, n_docs long")).collect()}
+    assert found == {1: 2, 2: 2}
+
+
+def test_sources_round_trip(spark, tmp_path):
+    from tidemark.sources import tables
+
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v long")
+    tables.publish(df, f"{tmp_path}/t", "k")
+    tables.publish(spark.createDataFrame([("b", 3)], "k string, v long"), f"{tmp_path}/t", "k")
+    assert sorted((r.k, r.v) for r in spark.read.parquet(f"{tmp_path}/t").collect()) == [("a", 1), ("b", 3)]
+    (tmp_path / "p.csv").write_text("tag,phrase,precision,verdict\nx,one,0.9,KEEP\nx,two,0.1,NOISY\nx,three,1,KEEP_CANONICAL\n")
+    assert tables.read_phrase_verdicts(spark, f"{tmp_path}/p.csv").collect() == [("x", ["one", "three"])]

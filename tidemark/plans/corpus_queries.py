@@ -360,3 +360,33 @@ SQL = {
       n AS (SELECT item_id, count(*) AS n FROM q GROUP BY 1)
       SELECT item_id, doc_id, count(*) AS shared, round(count(*) / max(n), 6) AS part FROM q JOIN g USING (g) JOIN n USING (item_id) GROUP BY ALL""",
 }
+
+
+def page_sections(spark, d):
+    from tidemark.operators import sections
+
+    found = sections.page_sections(read(spark, d, "pages"))
+    return found.select("page_id", "page_number", "section_title", F.sha2("text", 256).alias("text_sha"), "text_length", "extraction_status")
+
+
+def page_plain_text(spark, d):
+    from tidemark.operators import sections
+
+    text = sections.plain_text(F.col("html"))
+    return read(spark, d, "pages").select("page_id", F.sha2(text, 256).alias("text_sha"), F.length(text).cast("long").alias("n_chars"))
+
+
+def markdown_paragraphs(spark, d):
+    from tidemark.operators import sections
+
+    found = sections.paragraphs(read(spark, d, "documents"))
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.max("end_offset").alias("last_end"))
+
+
+QUERIES |= {f.__name__: f for f in (page_sections, page_plain_text, markdown_paragraphs)}
+_BARE = "html"
+for _pattern in (r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>",):
+    _BARE = f"regexp_replace({_BARE}, '{_pattern}', ' ', 'g')"
+for _name, _mark in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", " "), ("amp", "&")):
+    _BARE = f"replace({_BARE}, '&{_name};', '{_mark}')"
+SQL["page_plain_text"] = f"WITH t AS (SELECT page_id, trim(regexp_replace({_BARE}, '\\s+', ' ', 'g'), ' ') AS text FROM pages) SELECT page_id, sha256(text) AS text_sha, length(text) AS n_chars FROM t"
