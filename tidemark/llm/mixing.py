@@ -32,8 +32,6 @@ BLOCK_ROWS = 16
 #: Slots of a period at least; a source's weight is a whole number of them, one at least.
 PERIOD = 4096
 MOST_SOURCES = 20_000
-#: Rows of a part of a source, about; a task numbers the rows of a part.
-PART_ROWS = 2_000
 #: Exponent of a source's share of rows in its target weight: below 1, small sources gain.
 TEMPER = 0.7
 
@@ -83,10 +81,10 @@ def tempered(sizes: dict, exponent: float = TEMPER) -> dict:
     return {k: p / total for k, p in powers.items()}
 
 
-def numbered(docs: DataFrame, sizes: dict, part_rows: int = PART_ROWS) -> DataFrame:
+def numbered(docs: DataFrame, sizes: dict) -> DataFrame:
     """docs with `place`, a number from 0 within the row's source, in the order of a hash of the id."""
-    largest = max(sizes.values(), default=1)
-    parts = max(1, ceil(largest / part_rows))
+    # The root of the largest source: as many parts to sum over as rows to number in a part, both few.
+    parts = ceil(max(sizes.values(), default=1) ** 0.5)
     place = F.xxhash64("doc_id", F.lit("mix"))
     # Equal steps of the hash, in its order, so that parts follow each other.
     part = F.floor((F.shiftright(place, 32) + F.lit(1 << 31)) * F.lit(parts) / F.lit(1 << 32)).cast("int")
