@@ -46,8 +46,8 @@ def oracle_summary(cells: DataFrame) -> DataFrame:
     forced = cells.where(F.col("strategy").isin(STRATEGIES))
     best = forced.groupBy("query_id").agg(F.max("recall").alias("best"))
     oracle = best.agg(F.count(F.lit(1)).alias("n_queries"), F.avg("best").alias("oracle_recall"), F.avg((F.col("best") >= CORRECT).cast("double")).alias("union_proxy"))
-    single = forced.groupBy("strategy").agg(F.avg("recall").alias("r")).agg(F.max("r").alias("best_single"))
-    return oracle.join(F.broadcast(single), F.lit(True)).withColumn("headroom", F.col("oracle_recall") - F.col("best_single"))
+    single = forced.groupBy("strategy").agg(F.avg("recall").alias("r")).agg(F.max("r")).scalar()
+    return oracle.withColumn("best_single", single).withColumn("headroom", F.col("oracle_recall") - F.col("best_single"))
 
 
 def verdict_rollup(cells: DataFrame, key: str) -> DataFrame:

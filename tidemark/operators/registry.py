@@ -110,7 +110,7 @@ def orphans(stored: DataFrame, current: DataFrame, key: str) -> DataFrame:
 
 def stale_jobs(events: DataFrame, minutes: int, most_failures: int = 2) -> DataFrame:
     """user_id, last_ts, failures and state of jobs whose last event is older than `minutes` before the newest: pending, or blocked after too many failures."""
-    newest = events.agg(F.max("ts").alias("newest"))
+    newest = events.agg(F.max("ts")).scalar()
     by = events.groupBy("user_id").agg(F.max("ts").alias("last_ts"), F.count_if(F.col("event_type") == "error").alias("failures"))
-    old = by.join(F.broadcast(newest), F.lit(True)).where(F.col("last_ts") < F.col("newest") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes)))
+    old = by.where(F.col("last_ts") < newest - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes)))
     return old.select("user_id", "last_ts", "failures", F.when(F.col("failures") >= most_failures, "blocked").otherwise("pending").alias("state"))

@@ -83,10 +83,10 @@ def overlay(document_tags: DataFrame, inherited: DataFrame) -> DataFrame:
 
 def tag_statistics(document_tags: DataFrame, docs: DataFrame) -> DataFrame:
     """kind, code, n_docs, idf = ln(N / n) and selectivity = 1 - n / N."""
-    total = docs.agg(F.count(F.lit(1)).alias("total"))
+    size = docs.agg(F.count(F.lit(1))).scalar()
     counted = document_tags.groupBy("kind", "code").agg(F.countDistinct("doc_id").alias("n_docs"))
-    n, size = F.col("n_docs"), F.col("total")  # total has one row
-    return counted.join(F.broadcast(total), F.lit(True)).select("kind", "code", "n_docs", F.log(size / F.greatest(n, F.lit(1))).alias("idf"), (1 - n / size).alias("selectivity"))
+    n = F.col("n_docs")
+    return counted.select("kind", "code", "n_docs", F.log(size / F.greatest(n, F.lit(1))).alias("idf"), (1 - n / size).alias("selectivity"))
 
 
 def gate_probe(document_tags: DataFrame, wanted: dict[str, list[str]]) -> DataFrame:
@@ -106,18 +106,17 @@ def cascade_pool(document_tags: DataFrame, wanted: dict[str, list[str]], fallbac
     by = document_tags.groupBy("doc_id").agg(*(has(k, wanted[k]).alias(k) for k in "jdp"), has("j", [fallback]).alias("f"))
     levels = F.when(F.col("j") & F.col("d") & F.col("p"), 1).when(F.col("j") & F.col("d"), 2).when(F.col("f") & F.col("d"), 3).when(F.col("f"), 4)
     marked = by.select("doc_id", levels.cast("long").alias("level")).where("level is not null")
-    best = marked.agg(F.min("level").alias("best"))  # one row
-    pool = marked.join(F.broadcast(best), F.col("level") == F.col("best")).drop("best")
+    pool = marked.where(F.col("level") == marked.agg(F.min("level")).scalar())
     return pool if cap is None else pool.orderBy("doc_id").limit(cap)
 
 
 def theme_buckets(chunk_tags: DataFrame, k: int = 5, dominance: float = 0.65) -> DataFrame:
     """The k d-tags with most documents: docs, chunks, share of all tagged documents and whether it dominates."""
     d = chunk_tags.where("kind = 'd'")
-    total = d.agg(F.countDistinct("doc_id").alias("total"))
+    total = d.agg(F.countDistinct("doc_id")).scalar()
     by = d.groupBy("code").agg(F.countDistinct("doc_id").alias("docs"), F.count(F.lit(1)).alias("chunks"))
-    share = F.col("docs") / F.col("total")
-    joined = by.join(F.broadcast(total), F.lit(True)).select("code", "docs", "chunks", share.alias("share"), (share >= dominance).alias("dominant"))
+    share = F.col("docs") / total
+    joined = by.select("code", "docs", "chunks", share.alias("share"), (share >= dominance).alias("dominant"))
     return joined.orderBy(F.desc("docs"), "code").limit(k)
 
 

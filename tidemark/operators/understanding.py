@@ -42,10 +42,10 @@ def term_statistics(queries: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = query_tokens(queries).select("query_id", "token")
     seen = docs.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).join(wanted.select("token").distinct(), "token", "left_semi")
     df = seen.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    total = docs.agg(F.count(F.lit(1)).alias("total"))
-    found = wanted.join(df, "token", "left").join(F.broadcast(total), F.lit(True))
+    total = docs.agg(F.count(F.lit(1))).scalar()
+    found = wanted.join(df, "token", "left")
     n = F.coalesce("df", F.lit(0))
-    selectivity = F.when(n == 0, 0.0).otherwise(1 - n / F.col("total"))
+    selectivity = F.when(n == 0, 0.0).otherwise(1 - n / total)
     return found.select("query_id", "token", n.alias("df"), selectivity.alias("selectivity"), partition_term(selectivity, F.lit(False)).alias("part"))
 
 
@@ -106,8 +106,8 @@ def fact_grade(facts: DataFrame) -> DataFrame:
 def speed_prior(log: DataFrame) -> DataFrame:
     """Per strategy 1 for the fastest and 0 for the slowest mean latency, on a log scale."""
     by = log.groupBy("strategy").agg(F.avg("total_ms").alias("mean"))
-    ends = by.agg(F.min(F.log("mean")).alias("low"), F.max(F.log("mean")).alias("high"))
-    return by.join(F.broadcast(ends), F.lit(True)).select("strategy", (1 - (F.log("mean") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0))).alias("speed"))
+    low, high = (by.agg(f(F.log("mean"))).scalar() for f in (F.min, F.max))
+    return by.select("strategy", (1 - (F.log("mean") - low) / F.nullif(high - low, F.lit(0.0))).alias("speed"))
 
 
 def title_case(text: Column) -> Column:
@@ -131,9 +131,8 @@ def progress(events: DataFrame) -> DataFrame:
 
 def prune(events: DataFrame, days: int, floor: int = 7) -> DataFrame:
     """Events no older than so many days before the newest, seven at least."""
-    newest = events.agg(F.max("ts").alias("newest"))
-    keep = F.col("ts") >= F.col("newest") - F.make_dt_interval(F.lit(max(days, floor)))
-    return events.join(F.broadcast(newest), F.lit(True)).where(keep).drop("newest")
+    newest = events.agg(F.max("ts")).scalar()
+    return events.where(F.col("ts") >= newest - F.make_dt_interval(F.lit(max(days, floor))))
 
 
 def enqueue(wanted: DataFrame, queue: DataFrame, key: list[str]) -> DataFrame:

@@ -56,8 +56,7 @@ def rrf_fusion(spark, d):
     rows = read(spark, d, "embeddings")
     near = vector.nearest(*_vectors(spark, d), 20).select("query_id", "vec_id", F.lit("vector").alias("arm"), F.lit(0).alias("arm_order"), "rank", F.lit(1.0).alias("weight"))
     n = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    total = rows.agg(F.count(F.lit(1)).alias("total"))
-    idf = n.join(F.broadcast(total), F.lit(True)).select("label", F.log(F.col("total") / F.col("n")).alias("weight"))
+    idf = n.select("label", F.log(rows.agg(F.count(F.lit(1))).scalar() / F.col("n")).alias("weight"))
     first = lexical.top_k(rows.select("label", "vec_id", F.lit(0.5).alias("s")), 20, "s", ["vec_id"], by=["label"])
     asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
     tagged = asked.join(first, "label").join(idf, "label").select("query_id", "vec_id", F.lit("dtag").alias("arm"), F.lit(1).alias("arm_order"), "rank", "weight")
