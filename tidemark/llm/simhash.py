@@ -3,12 +3,13 @@
 A text's fingerprint has 64 bits, each the majority over the hashes of its word shingles. Two
 fingerprints link if they differ in at most four bits; the links' components are the classes.
 
-Candidates: a fingerprint is cut into segments A and B of 23 bits and C of 18, C into halves. Of four
-errors either at most two lie in A and B together, and then both A and B have at most two; or at most
-one lies in C, and then one half of C has none and A or B has at most two. Words of 23 bits with at
-most two errors between them share a Golay key (`golay.keys`), so a link's ends share one of the keys
+Candidates: a fingerprint is cut into segments A and B of 23 bits and C of 18. Words of 23 bits with at
+most two errors between them share a Golay key (`golay.keys`). Of four errors, either A and B have at
+most two each; or one of them has three or more, and then the other and C have at most one together:
+either C has none, or C has one, so one of its halves has none, and the other segment has none. So a
+link's ends share one of the keys
 
-    (key of A, key of B), (key of A, half of C), (key of B, half of C).
+    (key of A, key of B), (key of A, C), (A, half of C), (key of B, C), (B, half of C).
 
 Fingerprints with the same key are compared exactly. Where a key has many of them, only the links of
 a spanning forest are made, by a search that leaves out what it has reached, so that a dense group
@@ -83,10 +84,12 @@ def keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bits = fps.view(np.uint64)
     a, b, c = bits >> 41, bits >> 18 & 0x7FFFFF, bits & 0x3FFFF
     of_a, of_b = golay.keys(a), golay.keys(b)
-    halves = np.stack([c >> 9, c & 0x1FF], 1).astype(np.int64)
-    table = lambda n, left, right, width: np.where(left < 0, -1, n << 32 | left << width | right)
-    made = [np.where(of_b[:, None, :] < 0, -1, table(0, of_a[:, :, None], of_b[:, None, :], 12))]
-    made += [table(1 + 2 * i + h, k, halves[:, h : h + 1], 9)[:, None, :] for i, k in enumerate((of_a, of_b)) for h in (0, 1)]
+    c, halves = c.astype(np.int64)[:, None], np.stack([c >> 9, c & 0x1FF], 1).astype(np.int64)
+    table = lambda n, left, right, width: np.where((left < 0) | (right < 0), -1, n << 48 | left << width | right)
+    made = [table(0, of_a[:, :, None], of_b[:, None, :], 12)]
+    for n, (codes, words) in enumerate(((of_a, a), (of_b, b))):
+        made.append(table(1 + n, codes, c, 18))
+        made += [table(3 + 2 * n + h, words.astype(np.int64)[:, None], halves[:, h : h + 1], 9) for h in (0, 1)]
     flat = np.concatenate([m.reshape(len(fps), -1) for m in made], 1)
     rows, columns = np.nonzero(flat >= 0)
     return flat[rows, columns], rows
