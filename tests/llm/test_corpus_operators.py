@@ -46,7 +46,7 @@ def test_schedule_deviates_less_than_a_block(weights):
 
 def test_mix_numbers_every_row_once(spark):
     rows = [(i % 40, f"t{i}", "hot" if i % 3 else f"s{i % 7}" if i % 2 else None) for i in range(900)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("slot", F.lit("clash")).drop("slot")
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit("clash") for c in ("slot", "block", "position", "place")})
     found = mixing.mix(df, block_rows=4).collect()
     assert len(found) == 900 and len({r.position for r in found}) == 900
     for s, n in Counter(r[2] for r in rows).items():
@@ -223,6 +223,8 @@ def test_language_of_odd_rows(spark, odd):
     found = {r.doc_id: r for r in language.predict(odd, model).collect()}
     assert found[1].lang_pred == found[2].lang_pred == found[3].lang_pred == "und" and found[1].score == 0 and found[1].rejected
     assert found[5].lang_pred == "de" and not found[5].rejected
+    twice = language.predict(language.predict(odd, model), model)
+    assert twice.columns == language.predict(odd, model).columns and twice.count() == len(ODD)
     assert language.predict(odd.limit(0), model).count() == 0
     nothing = language.fit(train.limit(0))
     assert {r.lang_pred for r in language.predict(odd, nothing).collect()} == {"und"}
@@ -266,7 +268,7 @@ def test_op10(spark, documents):
 
 
 def test_media_blocks(spark, odd):
-    stored = media.encode_media(odd.select("doc_id", F.col("text").cast("binary").alias("payload")))
+    stored = media.encode_media(odd.select("doc_id", "media", "pcm", F.lit(1).alias("feature"), F.col("text").cast("binary").alias("payload")))
     decoded = media.decode_media(stored)
     assert decoded.count() == len(ODD) and media.decode_media(stored.limit(0)).count() == 0
     blocks = media.pcm_blocks(decoded).where("doc_id = 4").orderBy("sample_offset").collect()

@@ -117,11 +117,10 @@ def classify(text: str | None, by: list) -> tuple[str, float]:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred, score (the margin) and rejected behind its columns; only `text` is looked at."""
+    """docs with lang_pred, score (the margin) and rejected, in place of columns of these names; only `text` is looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     added = [("lang_pred", "string"), ("score", "double"), ("rejected", "boolean")]
-    if clash := {n for n, _ in added} & set(docs.columns):
-        raise ValueError(f"columns are there already: {sorted(clash)}")
+    docs = docs.drop(*(n for n, _ in added))
 
     def answer(batches):
         by = compressors(shared.value)

@@ -33,7 +33,8 @@ def filled(payload: bytes | None) -> bytes:
 
 
 def encode_media(rows: DataFrame, payload_col: str = "payload") -> DataFrame:
-    """rows without the payload, and `media`, its stream."""
+    """rows without the payload, and `media`, its stream, in place of a column of this name."""
+    rows = rows if payload_col == "media" else rows.drop("media")
 
     def run(batches):
         for part, payloads in by_size(batches, payload_col):
@@ -54,7 +55,8 @@ def features(samples: bytes) -> str:
 
 
 def decode_media(rows: DataFrame, media_col: str = "media") -> DataFrame:
-    """rows with `pcm` (unsigned 8-bit), `points` (array of sample_offset and media_offset by block) and `feature`."""
+    """rows with `pcm` (unsigned 8-bit), `points` (array of sample_offset and media_offset by block) and `feature`, in place of columns of these names."""
+    rows = rows.drop("pcm", "points", "feature")
 
     def run(batches):
         for part, streams in by_size(batches, media_col):

@@ -100,15 +100,16 @@ def numbered(docs: DataFrame, sizes: dict) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: dict | None = None, horizon: int | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
-    """docs with block, release, deadline, slot and position (the row's number in the mix, with gaps where sources ran out).
+    """docs with block, release, deadline, slot and position (the row's number in the mix, with gaps where sources ran out), in place of columns of these names.
 
     weights: target weight by source (tempered sizes if None); rows of other sources are not mixed.
     horizon: slots after which the mix ends (never if None).
     """
+    added = ["block", "release", "deadline", "slot", "position"]
+    docs = docs.drop(*added, "place")
     sizes = source_sizes(docs)
     if not sizes:
-        empty = {c: F.lit(0).cast("long") for c in ("block", "release", "deadline", "slot", "position")}
-        return docs.withColumns(empty)
+        return docs.withColumns({c: F.lit(0).cast("long") for c in added})
     whole, period = shares({k: w for k, w in (weights or tempered(sizes)).items() if w > 0}, period)
     plan = docs.sparkSession.createDataFrame(
         [(s, k, r, d, t, whole[s]) for s, k, r, d, t in schedule(whole, period)],

@@ -91,9 +91,9 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
 
 
 def findings_by_path(versions: DataFrame, ledger: DataFrame, rule_version: int = RULE_VERSION) -> DataFrame:
-    """The versions' columns, without the text, and `blob` and `spans` (empty where nothing was found)."""
+    """The versions' columns, without the text, and `blob` and `spans` (empty where nothing was found), in place of columns of these names."""
     found = ledger.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob", "spans")
-    paths = versions.withColumn("blob", blob_id(F.col("text"))).drop("text")
+    paths = versions.drop("spans").withColumn("blob", blob_id(F.col("text"))).drop("text")
     return paths.join(found, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")))
 
 
