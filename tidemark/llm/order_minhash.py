@@ -11,9 +11,10 @@ orderings are those of one-permutation hashing with rotation, Shrivastava and Li
 All DataFrame functions on arrays of one text: its hashes are sorted once, which gives the occurrence
 numbers (places in runs of equal hashes) and the first hash behind each point.
 
-Each document is compared with its successor by ascending doc_id. Ids are dealt into ranges by their
-quantiles; in a range the successor is the next row, and a range's last row gets the first of the
-next non-empty range from a table with one row per range. Whole texts are shuffled once.
+Each document is compared with its successor by ascending doc_id. Ids are dealt into ranges: by their
+quantiles, and between two quantiles by equal steps, so that there are as many ranges as the shuffle
+needs. In a range the successor is the next row, and a range's last row gets the first of the next
+non-empty range, from a table with one row per range. Whole texts are shuffled once.
 
 Cases: a null text is the empty one. A text with fewer than K tokens has one k-mer of all of them,
 also the empty text. Rows with the same doc_id follow each other by text; null ids come first. The
@@ -34,8 +35,8 @@ SKETCHES = 32
 ARC_BITS = 6
 TOKEN_CHARS = 24
 TOKEN = rf"\S{{1,{TOKEN_CHARS}}}"
-#: Ranges of ids at most; a table with a row for each is broadcast and passes one task.
-MOST_RANGES = 2048
+#: Quantiles of the ids; ranges are steps between two of them.
+QUANTILES = 64
 #: Low bits of a packed long that hold a k-mer's place in its text; the rest is its hash.
 PLACE_BITS = 26
 PLACE = (1 << PLACE_BITS) - 1
@@ -89,31 +90,45 @@ def hex_digits(fp: Column) -> Column:
 
 def in_ranges(docs: DataFrame, ranges: int) -> DataFrame:
     """doc_id, text and range, a number that ascends with doc_id and splits the rows about evenly."""
-    edges = docs.where("doc_id is not null").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.25 / ranges) if ranges > 1 else []
-    place = F.lit(0)
-    if edges := sorted(set(edges)):
-        bounds = F.array(*map(F.lit, edges))
-        place = F.size(F.filter(bounds, lambda e: e <= F.col("doc_id").cast("double")))
-    return docs.withColumn("range", F.coalesce(F.when(F.col("doc_id").isNotNull(), place), F.lit(-1)))
+    n = min(ranges, QUANTILES)
+    edges = docs.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(n + 1)], 0.25 / n)
+    edges, own = sorted(set(edges)), F.col("doc_id").cast("double")
+    if len(edges) < 2:
+        return docs.withColumn("range", F.when(F.col("doc_id").isNull(), -1).otherwise(0))
+    steps = -(-ranges // n)
+
+    def between(low: int, high: int) -> Column:
+        if high - low == 1:
+            step = F.floor((own - edges[low]) / (edges[high] - edges[low]) * steps)
+            return low * steps + F.greatest(F.lit(0), F.least(F.lit(steps - 1), step.cast("int")))
+        middle = (low + high) // 2
+        return F.when(own < edges[middle], between(low, middle)).otherwise(between(middle, high))
+
+    return docs.withColumn("range", F.when(F.col("doc_id").isNull(), -1).otherwise(between(0, len(edges) - 1)))
 
 
 def with_successor(docs: DataFrame, ranges: int) -> DataFrame:
     """range, n (from 1 in the range), doc_id, text, and of the next row by doc_id: next_text, next_range, next_n."""
     dealt = in_ranges(docs, ranges)
     order = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    lead = lambda c: F.lead(c).over(order)
-    rows = dealt.select("range", F.row_number().over(order).alias("n"), "doc_id", "text", lead("text").alias("next_text"))
-    # One row per range, found by its id first so that only these rows' texts move; behind the last comes the first.
-    lowest = dealt.groupBy("range").agg(F.min("doc_id").alias("low")).withColumnRenamed("range", "in_range")
-    same = (dealt["range"] == lowest["in_range"]) & dealt["doc_id"].eqNullSafe(lowest["low"])
-    firsts = dealt.join(F.broadcast(lowest), same).groupBy("range").agg(F.min("text").alias("text"))
+    rows = dealt.select("range", F.row_number().over(order).alias("n"), "doc_id", "text", F.lead("text").over(order).alias("next_text"))
+    # One narrow row per range; behind the last comes the first. Then only the ranges' first texts move.
+    lowest = dealt.groupBy("range").agg(F.min("doc_id").alias("low"))
     cycle = Window.orderBy("range")
     everywhere = cycle.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = lambda c: F.coalesce(F.lead(c).over(cycle), F.first(c).over(everywhere)).alias(f"then_{c}")
-    joined = rows.join(firsts.select("range", after("range"), after("text")), "range")
+    after = lambda c: F.coalesce(F.lead(c).over(cycle), F.first(c).over(everywhere))
+    links = written(lowest.select("range", "low", after("range").alias("then_range")))
+    lows = links.select(F.col("range").alias("then_range"), "low")
+    first = (F.col("range") == F.col("then_range")) & F.col("doc_id").eqNullSafe(F.col("low"))
+    # Three numbers per range, of which there are a few per shuffle partition: small enough to send everywhere.
+    firsts = dealt.join(F.broadcast(lows), first).groupBy("then_range").agg(F.min("text").alias("then_text"))
+    joined = rows.join(links.select("range", "then_range").join(firsts, "then_range"), "range")
     last = F.col("next_text").isNull()
     return joined.select(
-        "range", "n", "doc_id", "text",
+        "range",
+        "n",
+        "doc_id",
+        "text",
         F.coalesce("next_text", "then_text").alias("next_text"),
         F.when(last, F.col("then_range")).otherwise(F.col("range")).alias("next_range"),
         F.when(last, F.lit(1)).otherwise(F.col("n") + 1).alias("next_n"),
@@ -128,7 +143,7 @@ def edited(text: Column, after: Column) -> Column:
 
 def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """range, n, doc_id, n_chars, edited_sha256, fp, edited_fp, next_range and next_n of all rows of docs (doc_id, text)."""
-    ranges = ranges or max(1, min(MOST_RANGES, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    ranges = ranges or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = with_successor(docs, ranges).withColumn("edited", edited(F.col("text"), F.col("next_text")))
     return rows.select(
         "range",
