@@ -9,9 +9,15 @@ from tidemark.functions.constants import FIELD_WEIGHT
 from tidemark.functions.text import filter_tokens, tokens
 
 
-def postings(chunks: DataFrame, key: list[str], field: str = "D") -> DataFrame:
-    """key, token, tf and weight: how often each token stands in each chunk."""
+def postings(chunks: DataFrame, key: list[str], field: str = "D", wanted: DataFrame | None = None) -> DataFrame:
+    """key, token, tf and weight: how often each token stands in each chunk.
+
+    wanted: the tokens that will be asked for. Without a stored index they cut the occurrences down
+    before these are counted and shuffled.
+    """
     said = chunks.select(*key, F.explode(tokens(F.col("text"))).alias("token"))
+    if wanted is not None:
+        said = said.join(wanted.select("token").distinct(), "token", "left_semi").select(*key, "token")
     return said.groupBy(*key, "token").agg(F.count(F.lit(1)).alias("tf")).withColumn("weight", F.lit(FIELD_WEIGHT[field]))
 
 

@@ -18,8 +18,9 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _found(spark: SparkSession, d: str) -> DataFrame:
-    index = lexical.postings(corpus.lines(read(spark, d, "documents")), CHUNK)
-    return lexical.scored(_questions(spark, d), index, CHUNK).withColumn("score", F.round("score", 6))
+    asked = _questions(spark, d)
+    index = lexical.postings(corpus.lines(read(spark, d, "documents")), CHUNK, wanted=lexical.query_tokens(asked))
+    return lexical.scored(asked, index, CHUNK).withColumn("score", F.round("score", 6))
 
 
 def lexical_topk(spark, d):
@@ -34,7 +35,7 @@ def pinned_pool(spark, d):
     docs = read(spark, d, "documents")
     lines = corpus.lines(docs)
     pins = _questions(spark, d).join(docs.where("source = 'src1'").select((F.col("doc_id") % 40).alias("query_id"), "doc_id"), "query_id")
-    found = lexical.pinned(pins.select("query_id", "text", "doc_id"), lines, lexical.postings(lines, CHUNK), CHUNK)
+    found = lexical.pinned(pins.select("query_id", "text", "doc_id"), lines, lexical.postings(lines, CHUNK, wanted=lexical.query_tokens(pins)), CHUNK)
     return found.select("query_id", *CHUNK, F.round("score", 6).alias("score"))
 
 
