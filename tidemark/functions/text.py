@@ -45,3 +45,19 @@ def content_key(text: Column, chars: int) -> Column:
 
 def strip_nul(text: Column) -> Column:
     return F.replace(text, F.lit("\u0000"), F.lit(""))
+
+
+def word_grams(text: Column, sizes: tuple[int, ...], bare_ends: bool = False) -> Column:
+    """The text's word n-grams as an array of (gram, n); with bare_ends those that begin and end with no stop word.
+
+    The words are worked out once and don't leave the expression, so exploding the result copies no array.
+    """
+
+    def of(w: Column, n: int) -> Column:
+        kept = F.sequence(F.lit(1), F.size(w) - (n - 1))
+        if bare_ends:
+            kept = F.filter(kept, lambda i: ~F.get(w, i - 1).isin(STOP_WORDS) & ~F.get(w, i + (n - 2)).isin(STOP_WORDS))
+        made = F.transform(kept, lambda i: F.struct(F.array_join(F.slice(w, i, n), " ").alias("gram"), F.lit(n).cast("long").alias("n")))
+        return F.when(F.size(w) >= n, made).otherwise(F.array().cast("array<struct<gram:string,n:bigint>>"))
+
+    return F.get(F.transform(F.array(tokens(text)), lambda w: F.concat(*(of(w, n) for n in sizes))), 0)

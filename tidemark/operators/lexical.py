@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.constants import FIELD_WEIGHT
-from tidemark.functions.text import filter_tokens, tokens
+from tidemark.functions.text import filter_tokens, tokens, word_grams
 
 
 def postings(chunks: DataFrame, key: list[str], field: str = "D", wanted: DataFrame | None = None) -> DataFrame:
@@ -59,16 +59,14 @@ def pinned(queries: DataFrame, chunks: DataFrame, index: DataFrame, key: list[st
     return pool.join(hits, ["query_id", *key], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
-def word_grams(rows: DataFrame, key: str, n: int) -> DataFrame:
+def gram_hashes(rows: DataFrame, key: str, n: int) -> DataFrame:
     """key and the distinct hashes of a text's n-grams of tokens."""
-    words = rows.select(key, tokens(F.col("text")).alias("w")).where(F.size("w") >= n)
-    each = words.select(key, "w", F.explode(F.sequence(F.lit(1), F.size("w") - (n - 1))).alias("i"))
-    return each.select(key, F.xxhash64(F.array_join(F.slice("w", F.col("i"), n), " ")).alias("gram")).distinct()
+    return rows.select(key, F.explode(word_grams(F.col("text"), (n,))).alias("g")).select(key, F.xxhash64("g.gram").alias("gram")).distinct()
 
 
 def quotes(passages: DataFrame, docs: DataFrame, n: int = 8) -> DataFrame:
     """quote_id, doc_id, shared and part: how many of a passage's n-grams, and which share, stand in a document."""
-    wanted = word_grams(passages, "quote_id", n)
+    wanted = gram_hashes(passages, "quote_id", n)
     size = wanted.groupBy("quote_id").agg(F.count(F.lit(1)).alias("n"))
-    hits = word_grams(docs, "doc_id", n).join(wanted, "gram").groupBy("quote_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
+    hits = gram_hashes(docs, "doc_id", n).join(wanted, "gram").groupBy("quote_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
     return hits.join(size, "quote_id").withColumn("part", F.col("shared") / F.col("n")).drop("n")

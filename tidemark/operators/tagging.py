@@ -19,9 +19,8 @@ from tidemark.functions.constants import (
     NOISY_P,
     PARAGRAPH_WEIGHT,
     RARE_DF,
-    STOP_WORDS,
 )
-from tidemark.functions.text import has_phrase, normalise, tokens
+from tidemark.functions.text import has_phrase, normalise, tokens, word_grams
 
 
 def phrase_map(lexicon=LEXICON) -> list[tuple[str, str, str, float]]:
@@ -135,12 +134,7 @@ def phrase_precision(rows: DataFrame, gold: DataFrame, lexicon=LEXICON) -> DataF
 
 def ngram_candidates(rows: DataFrame, sizes: tuple[int, ...] = (2, 3, 4), least: int = 3) -> DataFrame:
     """gram, n, weight of word n-grams of lines (text, is_heading) that begin and end with no stop word."""
-    words = rows.select("is_heading", tokens(F.col("text")).alias("w")).where(F.size("w") >= min(sizes))
-    places = words.select("is_heading", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i"))
-    places = places.where(~F.get("w", F.col("i") - 1).isin(STOP_WORDS))
-    last = lambda n: F.get("w", F.col("i") + (n - 2))
-    one = lambda n: F.when(last(n).isNotNull() & ~last(n).isin(STOP_WORDS), F.struct(F.array_join(F.slice("w", F.col("i"), n), " ").alias("gram"), F.lit(n).cast("long").alias("n")))
-    out = places.select("is_heading", F.explode(F.array_compact(F.array(*(one(n) for n in sizes)))).alias("g")).select("is_heading", "g.*")
+    out = rows.select("is_heading", F.explode(word_grams(F.col("text"), sizes, bare_ends=True)).alias("g")).select("is_heading", "g.*")
     weight = F.sum(F.when(F.col("is_heading"), HEADING_WEIGHT).otherwise(1)).alias("weight")
     found = out.groupBy("gram", "n").agg(weight, F.max(F.col("is_heading")).alias("in_heading")).where(F.col("weight") >= least)
     known = [p for p, *_ in phrase_map()]
