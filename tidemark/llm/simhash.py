@@ -185,7 +185,9 @@ def links(fps: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
                 key, row = keys(own[i : i + 20_000])
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own[i : i + 20_000][row])], ["key", "fp"])
 
-    keyed = fps.select("fp").mapInArrow(deal, "key bigint, fp bigint")
+    # A fingerprint becomes some forty rows, so the few bytes before that are spread over all tasks.
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = fps.select("fp").repartition(tasks, "fp").mapInArrow(deal, "key bigint, fp bigint")
     found = written(_compare(keyed.repartition("key").sortWithinPartitions("key", "fp"), bucket_rows))
     pairs = found.where("b is not null").select("a", "b")
     rest = found.where("b is null").select("key", F.col("a").alias("fp"))
