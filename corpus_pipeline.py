@@ -3,8 +3,8 @@
 1. language ID: documents whose language is rejected go.
 2. SimHash near-dedup: of each class of near copies the document with the smallest doc_id stays.
 3. secret scans: every secret that is found is replaced by a mask; all documents stay.
-4. mixing: the corpus becomes a mix of its sources with tempered target weights, as long as its input.
-   A source beyond its weight keeps the blocks that fall into the mix.
+4. mixing: the corpus is put into the order of a mix of its sources with tempered target weights; all
+   documents stay. The files, by name, and the rows in them follow that order.
 5. packing: the documents become sequences of power-of-two length.
 """
 
@@ -40,9 +40,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    sizes = mixing.source_sizes(docs)
-    mixed = mixing.mix(docs.select(*COLUMNS), mixing.tempered(sizes), horizon=mixing.slots_of(sum(sizes.values())))
-    return mixed.select(*COLUMNS)
+    mixed = mixing.mix(docs.select(*COLUMNS))
+    return mixed.repartitionByRange("position").sortWithinPartitions("position").select(*COLUMNS)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -305,3 +306,16 @@ def test_pipeline_of_odd_and_no_rows(spark, tmp_path):
         for name, stage in P.STAGES:
             stage(spark, docs, DATA).write.parquet(f"{tmp_path}/{k}/{name}")
             docs = spark.read.parquet(f"{tmp_path}/{k}/{name}")
+
+
+def test_pipeline_mix_keeps_every_document_in_order(spark, tmp_path):
+    """A source far beyond its weight, and many small ones with short last blocks."""
+    import corpus_pipeline as P
+
+    rows = [(i, f"t{i}", "en", "hot" if i < 700 else f"s{i % 60}", 2) for i in range(1000)] + [(1000, "x", "en", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    P.mix_sources(spark, docs, DATA).write.parquet(f"{tmp_path}/mix")
+    files = sorted(f for f in os.listdir(f"{tmp_path}/mix") if f.endswith(".parquet"))
+    found = [i for f in files for i in pq.read_table(f"{tmp_path}/mix/{f}")["doc_id"].to_pylist()]
+    assert sorted(found) == list(range(1001))
+    assert found == [r.doc_id for r in mixing.mix(docs).orderBy("position").collect()]

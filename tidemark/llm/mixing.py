@@ -134,11 +134,6 @@ def mix(docs: DataFrame, weights: dict | None = None, horizon: int | None = None
     return found if horizon is None else found.where(F.col("slot") < horizon)
 
 
-def slots_of(n_rows: int, block_rows: int = BLOCK_ROWS) -> int:
-    """Slots that so many rows fill."""
-    return -(-n_rows // block_rows)
-
-
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     docs = docs.select("doc_id", "source", F.xxhash64("text").alias("text"))  # only breaks ties between equal ids
