@@ -5,7 +5,8 @@
 3. secret scans: every secret that is found is replaced by a mask; all documents stay.
 4. mixing: the corpus is put into the order of a mix of its sources with tempered target weights; all
    documents stay. The files, by name, and the rows in them follow that order.
-5. packing: the documents become sequences of power-of-two length.
+5. packing: the documents become sequences of power-of-two length, with their token ids. Each file has
+   them sorted by length; `run` writes a folder for each length, the buckets that batches are drawn from.
 """
 
 from __future__ import annotations
@@ -45,7 +46,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.digest(packing.default_pack(docs))
+    pieces = packing.default_pack(docs)
+    return packing.digest(pieces, "ids").sortWithinPartitions("length", "sequence_id")
 
 
 STAGES = [
@@ -63,7 +65,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the documents of sf_dir."""
     docs = read(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
-    return docs
+    name, stage = STAGES[-1]
+    return packing.write_buckets(stage(spark, docs, sf_dir), f"{folder}/{name}")

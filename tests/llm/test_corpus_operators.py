@@ -319,3 +319,26 @@ def test_pipeline_mix_keeps_every_document_in_order(spark, tmp_path):
     found = [i for f in files for i in pq.read_table(f"{tmp_path}/mix/{f}")["doc_id"].to_pylist()]
     assert sorted(found) == list(range(1001))
     assert found == [r.doc_id for r in mixing.mix(docs).orderBy("position").collect()]
+
+
+def test_pipeline_gives_the_ids_by_length(spark, tmp_path):
+    import corpus_pipeline as P
+
+    texts = {1: "one two three " * 900, 2: "", 3: "漢字 😀 é" * 50}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    P.pack_documents(spark, docs, DATA).write.parquet(f"{tmp_path}/stage")
+    found = spark.read.parquet(f"{tmp_path}/stage").collect()
+    for i, text in texts.items():
+        own = sorted((r for r in found if r.doc_id == i), key=lambda r: r.start)
+        ids = np.concatenate([np.frombuffer(r.ids, "<u4") for r in own]).tolist()
+        assert ids == [*TOKENIZER.encode(text, add_special_tokens=False).ids, 1]
+        assert all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in own)
+    for f in os.listdir(f"{tmp_path}/stage"):
+        if f.endswith(".parquet"):
+            lengths = pq.read_table(f"{tmp_path}/stage/{f}")["length"].to_pylist()
+            assert lengths == sorted(lengths)
+    pieces = P.pack_documents(spark, docs, DATA)
+    back = packing.write_buckets(pieces, f"{tmp_path}/buckets")
+    assert {d for d in os.listdir(f"{tmp_path}/buckets") if "=" in d} == {f"length={r.length}" for r in found}
+    assert back.dtypes == pieces.dtypes and sorted(back.collect()) == sorted(pieces.collect())
+    assert packing.write_buckets(pieces.limit(0), f"{tmp_path}/none").count() == 0

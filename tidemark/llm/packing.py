@@ -3,7 +3,8 @@
 Each document's ids, with the end id behind them, are cut into pieces whose lengths are powers of
 two: as many of the longest as fit, then the binary digits of the rest from high to low. A piece is
 a sequence of its own, so that no sequence crosses documents and none needs padding; pieces of the
-same length form a bucket from which batches are drawn (`write_buckets` lays them out by length).
+same length form a bucket from which batches are drawn (`write_buckets` lays them out by length; the
+pipeline does so, op6 gives the digests of the pieces without laying them out).
 
 One map over the scan, without a shuffle: what a document gives depends on it alone.
 
@@ -70,13 +71,14 @@ def pack(docs: DataFrame, ranks_path: str, tokenizer_json: str, longest: int = M
     return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
 
 
-def write_buckets(pieces: DataFrame, path: str) -> None:
-    """Writes the sequences with a folder for each length."""
+def write_buckets(pieces: DataFrame, path: str) -> DataFrame:
+    """Writes the sequences with a folder for each length, and gives them read again; a condition on `length` reads only its folders."""
     pieces.write.mode("overwrite").partitionBy("length").parquet(path)
+    return pieces.sparkSession.read.schema(pieces.schema).parquet(path).select(*pieces.columns)
 
 
-def digest(pieces: DataFrame) -> DataFrame:
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+def digest(pieces: DataFrame, *more: str) -> DataFrame:
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", *more)
 
 
 def default_pack(docs: DataFrame) -> DataFrame:
