@@ -207,6 +207,25 @@ def test_op8_reads_the_articles(spark):
         assert r.text == "\n\n".join(p for p in parts if p) and r.n_chars == len(r.text)
 
 
+SAYS = lambda word, n: f"{word} is what this part of the page says. " * n
+
+
+@pytest.mark.parametrize("inner", ["div class=body", "blockquote", "section"])
+def test_title_lead_and_closing_stay(spark, inner):
+    page = f"<body><header>site</header><article><h1>Title</h1><p>{SAYS('lead', 1)}</p><{inner}><p>{SAYS('body', 30)}</p></{inner.split()[0]}><p>{SAYS('end', 1)}</p></article><footer>f</footer></body>"
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", page) for i in range(3)], "page_id long, url string, html string")
+    expected = ["Title", SAYS("lead", 1).strip(), SAYS("body", 30).strip(), SAYS("end", 1).strip()]
+    assert {r.text for r in html_text.main_texts(df).collect()} == {"\n\n".join(expected)}
+
+
+def test_a_page_of_another_template_keeps_its_article(spark):
+    usual = lambda i: f'<body><div class="story"><p>{SAYS("story", 20 + i)}</p></div></body>'
+    other = f'<body><div class="story">Read on</div><div class="essay"><p>{SAYS("essay", 20)}</p></div></body>'
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", usual(i)) for i in range(5)] + [(9, "http://h.example/9", other)], "page_id long, url string, html string")
+    for few in (0, 100):
+        assert SAYS("essay", 20).strip() in {r.page_id: r.text for r in html_text.main_texts(df, few).collect()}[9]
+
+
 # -- 9 --
 def test_op9_accuracy_on_held_out_documents(spark):
     lang = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}

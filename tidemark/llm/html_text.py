@@ -1,11 +1,12 @@
 """Operator 8: main text of web pages by consensus host paths.
 
 First, each page's containers are scored by the text, outside links and boilerplate, that they hold.
-The page votes for the path of the deepest one that holds most of it, a path being the tags and
+The page votes for the path of the lowest one that holds all of it, a path being the tags and
 generalised classes from the root down. Spark counts the votes by host and path; the path with most
 votes wins its host. Then each page is extracted again: the blocks inside elements with the host's
 winning path. A page without such an element, or without text there, gives the blocks of the container
-that it voted for itself.
+that it voted for itself. So does a page of another template: one with far less of its text at the path
+than those that voted for it, and most of its text in containers that these don't have.
 
 Votes are pre-aggregated, so a host with most of the pages is no hot key. The winners are a row per
 host; they are broadcast only if there are at most BROADCAST_HOSTS of them, otherwise joined by host
@@ -27,11 +28,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.tables import by_size, read, written
 
-#: A page's container has at least this share of the page's text outside links and boilerplate.
-MOST = 0.7
 #: So many hosts with their paths (of PATH_CHARS at most) are sent to every executor, not more.
 BROADCAST_HOSTS = 20_000
 PATH_CHARS = 300
+#: A container's path is known on a host if this part of the pages that voted for the winner have text in it.
+KNOWN = 0.25
 
 TOKEN = re.compile(
     r"""<!--.*?(?:--!?>|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"']){0,5000}+)>""",
@@ -79,6 +80,11 @@ def _step(tag: str, a: dict[str, str]) -> str:
     return ".".join([tag, *sorted(n for n in names if n.strip("#-_"))])
 
 
+def prose(text: str, links: int) -> int:
+    """The characters that count: none of a block that is mostly links or has no word."""
+    return len(text) - links if 2 * links <= len(text) and sum(c.isalnum() for c in text[:100]) > 1 else 0
+
+
 def blocks(page: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int]]]:
     """The page's text blocks outside boilerplate as (text, characters in links, container), and its containers as (path, parent)."""
     out: list[tuple[str, int, int]] = []
@@ -155,15 +161,26 @@ def blocks(page: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int]]
     return out, boxes
 
 
-def best_box(found: list[tuple[str, int, int]], boxes: list[tuple[str, int]]) -> tuple[int, int]:
-    """The deepest container with most of the page's text, and that text's characters."""
-    held = [0] * len(boxes)
+def best_box(found: list[tuple[str, int, int]], boxes: list[tuple[str, int]]) -> tuple[int, int, int]:
+    """The lowest container with all of the page's text that counts, that text's characters, and those of all blocks in it."""
+    own = [0] * len(boxes)
     for text, links, box in found:
-        held[box] += max(len(text) - links, 0)
+        own[box] += prose(text, links)
+    if not any(own):
+        for text, _, box in found:
+            own[box] += len(text)
+    held, heirs = own[:], [0] * len(boxes)
+    heir = [0] * len(boxes)
     for i in range(len(boxes) - 1, 0, -1):  # a container comes behind its parent
-        held[boxes[i][1]] += held[i]
-    best = max((i for i in range(len(boxes)) if held[i] >= MOST * held[0]), key=lambda i: boxes[i][0].count(">"))
-    return best, held[best]
+        if held[i]:
+            parent = boxes[i][1]
+            held[parent] += held[i]
+            heirs[parent] += 1
+            heir[parent] = i
+    best = 0
+    while not own[best] and heirs[best] == 1:
+        best = heir[best]
+    return best, held[0]
 
 
 def vote(page: str) -> tuple[str | None, int]:
@@ -174,8 +191,23 @@ def vote(page: str) -> tuple[str | None, int]:
     return boxes[best][0], held
 
 
-def extract(page: str, path: str | None) -> str:
-    """The text inside the elements with the given path, or else inside the page's own best container."""
+def _foreign(found: list[tuple[str, int, int]], boxes: list[tuple[str, int]], inside: list[bool], known: frozenset) -> bool:
+    """Whether less than half of the page's text is inside and more than half in containers that the host's other pages don't have."""
+    total = within = strange = 0
+    for text, links, box in found:
+        n = prose(text, links)
+        total += n
+        if inside[box]:
+            within += n
+        elif boxes[box][0] not in known:
+            strange += n
+    return 2 * within < total and 2 * strange > total
+
+
+def extract(page: str, path: str | None, known: frozenset | None = None) -> str:
+    """The text inside the elements with the given path, or else inside the page's own best container.
+
+    known: paths of the containers with text on the host's other pages (all if None)."""
     found, boxes = blocks(page)
     if not found:
         return ""
@@ -183,9 +215,10 @@ def extract(page: str, path: str | None) -> str:
     for wanted in (lambda i: boxes[i][0] == path, lambda i: i == best):
         for i, (_, parent) in enumerate(boxes):
             inside[i] = wanted(i) or parent >= 0 and inside[parent]
-        if texts := [t for t, _, box in found if inside[box]]:
+        texts = [t for t, _, box in found if inside[box]]
+        if texts and (known is None or not _foreign(found, boxes, inside, known)):
             break
-        best = best_box(found, boxes)[0]
+        best, known = best_box(found, boxes)[0], None
     return "\n\n".join(texts)
 
 
@@ -194,30 +227,44 @@ def host_of(url: Column) -> Column:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """host, path, votes: each host's winning path; pages has host and html."""
+    """host, path, votes, known: each host's winning path, and the paths of containers with text on at least a KNOWN part of the pages that voted for it; pages has host and html."""
 
     def run(batches):
         for part, texts in by_size(batches, "html"):
-            votes = [vote(x or "") for x in texts]
-            yield pa.RecordBatch.from_arrays([part.column("host"), pa.array([v[0] for v in votes], pa.string()), pa.array([v[1] for v in votes], pa.int64())], ["host", "path", "held"])
-
-    votes = pages.select("host", "html").mapInArrow(run, "host string, path string, held bigint").where("path is not null")
-    counted = votes.groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"), F.sum("held").alias("held"))
+            hosts, paths, held, seen = [], [], [], []
+            for host, page in zip(part.column("host").to_pylist(), texts):
+                found, boxes = blocks(page or "")
+                if not found:
+                    continue
+                best, n = best_box(found, boxes)
+                own = sorted({boxes[box][0] for _, _, box in found})
+                hosts += [host] * (1 + len(own))
+                paths += [boxes[best][0]] * (1 + len(own))
+                held += [n] + [0] * len(own)
+                seen += [None, *own]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(held, pa.int64()), pa.array(seen, pa.string())], ["host", "path", "held", "seen"])
+
+    said = pages.select("host", "html").mapInArrow(run, "host string, path string, held bigint, seen string")
+    counted = written(said.groupBy("host", "path", "seen").agg(F.count(F.lit(1)).alias("votes"), F.sum("held").alias("held")))
     first = F.max_by(F.struct("path", "votes"), F.struct("votes", "held", F.reverse("path")))
-    return counted.groupBy("host").agg(first.alias("w")).select("host", "w.path", "w.votes")
+    winners = counted.where("seen is null").groupBy("host").agg(first.alias("w")).select("host", "w.path", "w.votes")
+    shared = counted.where("seen is not null").select("host", "path", "seen", F.col("votes").alias("n")).join(winners, ["host", "path"])
+    known = shared.where(F.col("n") >= F.col("votes") * KNOWN).groupBy("host").agg(F.collect_list("seen").alias("known"))
+    return winners.join(known, "host", "left")
 
 
 def main_texts(pages: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
     """page_id, url and text of all rows of pages (page_id, url, html)."""
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    paths = written(host_paths(rows).select("host", "path"))
+    paths = written(host_paths(rows).select("host", "path", "known"))
     few = paths.limit(broadcast_hosts + 1).count() <= broadcast_hosts
-    joined = rows.join(F.broadcast(paths) if few else paths, "host", "left").select("page_id", "url", "html", "path")
+    joined = rows.join(F.broadcast(paths) if few else paths, "host", "left").select("page_id", "url", "html", "path", "known")
     kinds = {f.name: f.dataType.simpleString() for f in joined.schema}
 
     def run(batches):
         for part, texts in by_size(batches, "html"):
-            found = [extract(x or "", p) for x, p in zip(texts, part.column("path").to_pylist())]
+            known = [frozenset(x or ()) for x in part.column("known").to_pylist()]
+            found = [extract(x or "", p, k) for x, p, k in zip(texts, part.column("path").to_pylist(), known)]
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(found, pa.string())], ["page_id", "url", "text"])
 
     return joined.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
