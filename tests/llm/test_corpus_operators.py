@@ -226,6 +226,20 @@ def test_a_page_of_another_template_keeps_its_article(spark):
         assert SAYS("essay", 20).strip() in {r.page_id: r.text for r in html_text.main_texts(df, few).collect()}[9]
 
 
+@pytest.mark.parametrize("name", ["has-sidebar", "no-sidebar", "layout-sidebar-right", "page--nav-open", "content-with-ads", "cookie-page"])
+def test_layout_wrappers_keep_their_article(name):
+    page = f'<body><div class="{name}"><div class="post"><h2>T</h2><p>{SAYS("post", 9)}</p></div><div class="sidebar">noise here</div><div class="comments"><p>{SAYS("comment", 12)}</p></div></div></body>'
+    assert html_text.extract(page, None) == f"T\n\n{SAYS('post', 9).strip()}"
+
+
+def test_long_paths_differ():
+    long = " ".join(f"utility-class-{c}" for c in "abcdefghijklmnopqrstuvwxyz")
+    page = f'<body class="{long}"><div class="{long}"><div class="story"><p>{SAYS("story", 9)}</p></div><div class="extra"><p>{SAYS("extra", 9)}</p></div></div></body>'
+    paths = [p for p, _ in html_text.blocks(page)[1]]
+    assert len(set(paths)) == len(paths) and max(map(len, paths)) <= html_text.PATH_CHARS
+    assert html_text.extract(page, paths[-2]) == SAYS("story", 9).strip()
+
+
 # -- 9 --
 def test_op9_accuracy_on_held_out_documents(spark):
     lang = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}

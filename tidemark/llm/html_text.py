@@ -8,6 +8,9 @@ winning path. A page without such an element, or without text there, gives the b
 that it voted for itself. So does a page of another template: one with far less of its text at the path
 than those that voted for it, and most of its text in containers that these don't have.
 
+Elements with a class or id that marks boilerplate go with all in them, but not where the word is said of
+something else (`has-sidebar`), nor if hardly any text would be left without the element.
+
 Votes are pre-aggregated, so a host with most of the pages is no hot key. The winners are a row per
 host; they are broadcast only if there are at most BROADCAST_HOSTS of them, otherwise joined by host
 (both sides shuffled, with Spark splitting frequent hosts). The vote is checkpointed.
@@ -19,6 +22,7 @@ table gives no rows. Other columns don't matter.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 
@@ -30,7 +34,10 @@ from tidemark.llm.tables import by_size, read, written
 
 #: So many hosts with their paths (of PATH_CHARS at most) are sent to every executor, not more.
 BROADCAST_HOSTS = 20_000
+#: Longer paths are hashed.
 PATH_CHARS = 300
+#: An element that is boilerplate by the first or last part of a name, or by one in between, stays if it has this share of the text that would be left with it.
+STRONG, WEAK = 0.95, 0.5
 #: A container's path is known on a host if this part of the pages that voted for the winner have text in it.
 KNOWN = 0.25
 
@@ -55,6 +62,8 @@ DROPPED_WORDS = set(
     cookie cookies consent notice gdpr popup modal overlay newsletter subscribe subscription share sharing social breadcrumb breadcrumbs
     comment comments respond disqus reply replies related recommended widget widgets pager pagination login signup search toolbar skip hidden""".split()
 )
+#: Behind these a word says what an element has or lacks, not what it is.
+NOT_ITSELF = set("has have no not with without is hide show".split())
 DROPPED_NAMES = set("header site-header page-header top-header main-header header-wrapper topbar".split())
 
 
@@ -68,10 +77,22 @@ def _attributes(text: str) -> dict[str, str]:
 def _dropped(tag: str, a: dict[str, str]) -> bool:
     if tag in DROPPED or a.get("role", "").lower() in DROPPED_ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true":
         return True
-    if "display:none" in a.get("style", "").replace(" ", "").lower():
-        return True
-    names = f"{a.get('class', '')} {a.get('id', '')}".lower().split()
-    return any(n in DROPPED_NAMES or not DROPPED_WORDS.isdisjoint(re.split(r"[-_]+", n)) for n in names) and tag not in ("html", "body", "main", "article")
+    return "display:none" in a.get("style", "").replace(" ", "").lower()
+
+
+def _suspect(tag: str, a: dict[str, str]) -> float:
+    """STRONG or WEAK if a class or id marks the element as boilerplate, else 0."""
+    if tag in ("html", "body", "main", "article"):
+        return 0
+    found = 0
+    for name in f"{a.get('class', '')} {a.get('id', '')}".lower().split():
+        if name in DROPPED_NAMES:
+            return STRONG
+        parts = [x for x in re.split(r"[-_]+", name) if x]
+        for i, part in enumerate(parts):
+            if part in DROPPED_WORDS and not (i and parts[i - 1] in NOT_ITSELF):
+                found = max(found, STRONG if i in (0, len(parts) - 1) else WEAK)
+    return found
 
 
 def _step(tag: str, a: dict[str, str]) -> str:
@@ -80,15 +101,44 @@ def _step(tag: str, a: dict[str, str]) -> str:
     return ".".join([tag, *sorted(n for n in names if n.strip("#-_"))])
 
 
+def _path(parent: str, step: str) -> str:
+    path = f"{parent}>{step}"
+    return path if len(path) <= PATH_CHARS else "~" + hashlib.blake2b(path.encode(), digest_size=16).hexdigest()
+
+
 def prose(text: str, links: int) -> int:
     """The characters that count: none of a block that is mostly links or has no word."""
     return len(text) - links if 2 * links <= len(text) and sum(c.isalnum() for c in text[:100]) > 1 else 0
 
 
+def _without_suspects(found: list[tuple[str, int, int]], boxes: list[tuple[str, int]], suspects: dict[int, float]) -> list[tuple[str, int, int]]:
+    """found without the blocks in suspects, of which those stay without which hardly anything would be left."""
+    if not suspects:
+        return found
+    own = [0] * len(boxes)
+    for text, links, box in found:
+        own[box] += prose(text, links)
+    while True:
+        top = [-1] * len(boxes)  # the outermost suspect around a container
+        held = {i: 0 for i in suspects}
+        kept = 0
+        for i, (_, parent) in enumerate(boxes):
+            top[i] = top[parent] if parent >= 0 and top[parent] >= 0 else i if i in suspects else -1
+            if top[i] < 0:
+                kept += own[i]
+            else:
+                held[top[i]] += own[i]
+        most = max(held, key=held.get, default=-1)
+        if most < 0 or not held[most] or held[most] < suspects[most] * (kept + held[most]):
+            return [x for x in found if top[x[2]] < 0]
+        suspects = {i: v for i, v in suspects.items() if i != most}
+
+
 def blocks(page: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int]]]:
     """The page's text blocks outside boilerplate as (text, characters in links, container), and its containers as (path, parent)."""
     out: list[tuple[str, int, int]] = []
     boxes: list[tuple[str, int]] = [("", -1)]
+    suspects: dict[int, float] = {}
     stack: list[tuple[str, int, bool]] = []  # name, container, dropped
     box, drop, links, in_link = 0, False, 0, False
     parts: list[str] = []
@@ -147,18 +197,23 @@ def blocks(page: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int]]
             continue
         a = _attributes(m[3]) if m[3].strip() else {}
         gone = _dropped(tag, a)
-        if gone:
+        doubt = 0 if gone else _suspect(tag, a)
+        if gone or doubt:
             flush()
-        elif tag in CONTAINERS:
-            boxes.append((f"{boxes[box][0]}>{_step(tag, a)}"[:PATH_CHARS], box))
+        if not gone and (doubt or tag in CONTAINERS):
+            boxes.append((_path(boxes[box][0], _step(tag, a)), box))
             box = len(boxes) - 1
+            if doubt:
+                suspects[box] = doubt
+        elif gone:
+            pass
         elif tag not in BLOCKS or tag in SELF_CLOSING:
             continue
         drop = gone
         stack.append((tag, box, gone))
     say(page[at:])
     flush()
-    return out, boxes
+    return _without_suspects(out, boxes, suspects), boxes
 
 
 def best_box(found: list[tuple[str, int, int]], boxes: list[tuple[str, int]]) -> tuple[int, int, int]:
