@@ -265,6 +265,14 @@ def test_language_of_odd_rows(spark, odd):
     assert language.classify("½ ² 5", language.compressors(model))[0] == "und"
 
 
+def test_margin_of_a_very_long_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    by = language.compressors(language.fit(docs))
+    text = " ".join(r.text for r in docs.where("lang = 'en'").orderBy("doc_id").collect() if r.text)
+    short, long = language.classify(text[:30_000], by), language.classify(text, by)
+    assert len(text) > 1_000_000 and short[0] == long[0] == "en" and long[1] > 0.75 * short[1]
+
+
 # -- 10 --
 @pytest.mark.parametrize("lpc", [None, ((2, -1), 4, 0), ((7, -3), 5, 2)])
 def test_flac_round_trip(lpc):
