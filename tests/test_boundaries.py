@@ -1,6 +1,9 @@
 """The rest of the package doesn't import the training-data operators."""
 
 import ast
+import shutil
+import subprocess
+import sys
 from pathlib import Path
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -13,3 +16,13 @@ def test_nothing_else_imports_llm():
         for node in ast.walk(ast.parse(path.read_text())):
             names = [node.module or ""] if isinstance(node, ast.ImportFrom) else [a.name for a in node.names] if isinstance(node, ast.Import) else []
             assert not any(n.startswith("tidemark.llm") or n == "corpus_pipeline" for n in names), path
+
+
+def test_queries_are_listed_without_llm(tmp_path):
+    """Also where the pipeline's module is still there."""
+    shutil.copytree(ROOT / "tidemark", tmp_path / "tidemark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (ROOT / name).exists():
+            shutil.copy(ROOT / name, tmp_path / name)
+    ask = "import __spark_entry__ as e; q = e.queries(); assert 'search' in q and not any(n.startswith('op') or n == 'pipeline' for n in q); e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", ask], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, check=True, timeout=120)
