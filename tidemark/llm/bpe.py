@@ -99,13 +99,14 @@ class Vocabulary:
 
 
 class IdTable(dict):
-    """Pre-token to the bytes of its ids (unsigned 16 bits each)."""
+    """Pre-token to the bytes of its ids, each in the least of 16 or 32 bits that holds the vocabulary."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
+        self.code, self.kind = ("H", "<u2") if max(vocabulary.ranks.values()) < 1 << 16 else ("I", "<u4")
 
     def __missing__(self, piece: str) -> bytes:
-        found = array("H", self.vocabulary.ids(piece.encode())).tobytes()
+        found = array(self.code, self.vocabulary.ids(piece.encode())).tobytes()
         if len(self) < TABLE_ROWS and len(piece) < LONG_PIECE:
             self[piece] = found
         return found
@@ -149,24 +150,29 @@ def table(kind: type, ranks_path: str):
     return _TABLES[kind, ranks_path]
 
 
+def cut(text: str, special: dict[str, int]) -> list[str]:
+    """Ordinary text and special strings in turn, beginning and ending with (maybe empty) ordinary text.
+
+    special: longest first, so that of two strings at one place the longer one is found.
+    """
+    if not any(word in text for word in special):
+        return [text]
+    return re.split(f"({'|'.join(map(re.escape, special))})", text)
+
+
 def token_ids(text: str, ids: IdTable, special: dict[str, int]) -> np.ndarray:
     """The ids of a whole text as unsigned 32-bit numbers; special strings become their own ids."""
-    for word, number in special.items():
-        if word in text:
-            parts = [token_ids(x, ids, special) for x in text.split(word)]
-            between = np.array([number], "<u4")
-            return np.concatenate([y for x in parts for y in (between, x)][1:])
-    return np.frombuffer(b"".join(map(ids.__getitem__, pieces(text))), "<u2").astype("<u4")
+    out = []
+    for i, part in enumerate(cut(text, special)):
+        if i % 2:
+            out.append(np.array([special[part]], "<u4"))
+        else:
+            out.append(np.frombuffer(b"".join(map(ids.__getitem__, pieces(part))), ids.kind).astype("<u4"))
+    return np.concatenate(out)
 
 
-def prefix_counts(text: str, steps: StepTable, special: dict[str, int]) -> np.ndarray:
-    """The exact token count of each prefix of a whole text: index i has that of its first i code points."""
-    for word in special:
-        if word in text:  # a cut inside the special string leaves ordinary text behind what precedes it
-            head, _, tail = text.partition(word)
-            before = prefix_counts(head + word[:-1], steps, {})
-            after = prefix_counts(tail, steps, special) + before[len(head)] + 1
-            return np.concatenate([before, after])
+def ordinary_counts(text: str, steps: StepTable) -> np.ndarray:
+    """The token count of each prefix of a text in which special strings mean nothing."""
     delta = np.frombuffer(b"".join(map(steps.__getitem__, pieces(text))), "<i2").astype(np.int32)
     out = np.zeros(len(text) + 1, np.int32)
     np.cumsum(delta, out=out[1:])
@@ -176,3 +182,15 @@ def prefix_counts(text: str, steps: StepTable, special: dict[str, int]) -> np.nd
             whole = np.frombuffer(steps[text[a:b]], "<i2")
             out[b] = out[a] + int(whole.sum())
     return out
+
+
+def prefix_counts(text: str, steps: StepTable, special: dict[str, int]) -> np.ndarray:
+    """The exact token count of each prefix of a whole text: index i has that of its first i code points."""
+    parts, done, out = cut(text, special), 0, []
+    for part, word in zip(parts[::2], [*parts[1::2], ""]):
+        # A cut inside the special string leaves ordinary text behind what precedes it, in which a shorter one can stand.
+        own = part + word[:-1]
+        counts = prefix_counts(own, steps, special) if word and any(w in word[:-1] for w in special) else ordinary_counts(own, steps)
+        out.append(counts + np.int32(done))
+        done += int(counts[len(part)]) + 1
+    return np.concatenate(out)
