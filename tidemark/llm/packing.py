@@ -3,13 +3,15 @@
 Each document's ids, with the end id behind them, are cut into pieces whose lengths are powers of
 two: as many of the longest as fit, then the binary digits of the rest from high to low. A piece is
 a sequence of its own, so that no sequence crosses documents and none needs padding; pieces of the
-same length form a bucket from which batches are drawn (`write_buckets` lays them out by length; the
-pipeline does so, op6 gives the digests of the pieces without laying them out).
+same length form a bucket from which batches are drawn: `bucket` is the power, and `write_buckets` lays
+the sequences out in a folder for each (the pipeline does so; op6 gives the pieces' digests and buckets).
 
 One map over the scan, without a shuffle: what a document gives depends on it alone.
 
 Cases: a null text counts as the empty one, whose only id is the end id (one piece of length 1).
-Repeated rows give repeated pieces with sequences of their own. An empty table gives no rows.
+Repeated rows give repeated pieces with sequences of their own. An empty table gives no rows. A null id
+stays. Other columns are left out, whatever their names. A very long text gives as many pieces as it
+needs; its ids are in memory at once, four bytes each.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ def piece_lengths(n: int, longest: int = MAX_LENGTH) -> list[int]:
 
 
 def pack(docs: DataFrame, ranks_path: str, tokenizer_json: str, longest: int = MAX_LENGTH, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per piece: doc_id, start, length, doc_tokens, ids (binary, little-endian unsigned 32-bit), sequence_id, offset.
+    """A row per piece: doc_id, start, length, doc_tokens, ids (binary, little-endian unsigned 32-bit), sequence_id, offset, bucket.
 
     sequence_id numbers the sequences within the input's partitions, so it is unique and comes out
     the same when a task is run again over the same files.
@@ -68,17 +70,18 @@ def pack(docs: DataFrame, ranks_path: str, tokenizer_json: str, longest: int = M
             yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row, pa.int32())), *longs, blob], names)
 
     pieces = rows.mapInArrow(cut, f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, ids binary")
-    return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    power = F.round(F.log2("length")).cast("int")
+    return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "bucket": power})
 
 
 def write_buckets(pieces: DataFrame, path: str) -> DataFrame:
-    """Writes the sequences with a folder for each length, and gives them read again; a condition on `length` reads only its folders."""
-    pieces.write.mode("overwrite").partitionBy("length").parquet(path)
+    """Writes the sequences with a folder for each bucket, and gives them read again; a condition on `bucket` reads only its folders."""
+    pieces.write.mode("overwrite").partitionBy("bucket").parquet(path)
     return pieces.sparkSession.read.schema(pieces.schema).parquet(path).select(*pieces.columns)
 
 
 def digest(pieces: DataFrame, *more: str) -> DataFrame:
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", *more)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket", *more)
 
 
 def default_pack(docs: DataFrame) -> DataFrame:
