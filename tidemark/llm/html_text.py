@@ -8,16 +8,18 @@ winning path. A page without such an element, or without text there, gives the b
 that it voted for itself. So does a page of another template: one with far less of its text at the path
 than those that voted for it, and most of its text in containers that these don't have.
 
-Elements with a class or id that marks boilerplate go with all in them, but not where the word is said of
-something else (`has-sidebar`), nor if hardly any text would be left without the element.
+What isn't the article is certain by tags and roles. Classes and ids are weaker: a name counts only if all its
+parts say boilerplate or nothing (`post-comments`, but neither `related-work` nor `has-sidebar`), and such an
+element stays if hardly any text would be left without it. All else is for the votes to decide.
 
 Votes are pre-aggregated, so a host with most of the pages is no hot key. The winners are a row per
 host; they are broadcast only if there are at most BROADCAST_HOSTS of them, otherwise joined by host
 (both sides shuffled, with Spark splitting frequent hosts). The vote is checkpointed.
 
 Cases: null and empty html give an empty text. A null url is a host of its own, ''. Repeated rows stay.
-Unclosed elements end with those around them. Equal votes: more text, then the smaller path. An empty
-table gives no rows. Other columns don't matter.
+Unclosed elements end with those around them, an unclosed link with its block. Equal votes: more text, then
+the smaller path. An empty table gives no rows. Other columns don't matter, whatever their names. A very long
+page takes time and memory in proportion to its length.
 """
 
 from __future__ import annotations
@@ -36,35 +38,45 @@ from tidemark.llm.tables import by_size, read, written
 BROADCAST_HOSTS = 20_000
 #: Longer paths are hashed.
 PATH_CHARS = 300
-#: An element that is boilerplate by the first or last part of a name, or by one in between, stays if it has this share of the text that would be left with it.
-STRONG, WEAK = 0.95, 0.5
+#: An element that is boilerplate by a name only stays if it has this share of the text that would be left with it.
+MOST = 0.95
 #: A container's path is known on a host if this part of the pages that voted for the winner have text in it.
 KNOWN = 0.25
 
+# Quotes count only behind "=", as in HTML, and a value without its closing quote ends with the tag.
 TOKEN = re.compile(
-    r"""<!--.*?(?:--!?>|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"']){0,5000}+)>""",
+    r"""<!--.*?(?:--!?>|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+)>""",
     re.DOTALL,
 )
+LINK_EDGE = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|([^\s=/>"']+)""")
 # Elements by what they are in HTML.
 RAW = set("script style textarea title noscript iframe template xmp noembed noframes".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = set("head nav header footer aside form button select svg math object canvas video audio dialog menu datalist map".split())
+DROPPED = set("head nav header footer aside form dialog menu".split())
+#: These go as well, but stand inside a line of text and don't cut it.
+DROPPED_INLINE = set("button select svg canvas video audio datalist".split())
 CONTAINERS = set("body main article section div td center blockquote".split())
 BLOCKS = CONTAINERS | DROPPED | set(
     "html p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr caption pre address figure figcaption fieldset legend details summary hr hgroup search".split()
 )
+NESTING = BLOCKS | DROPPED_INLINE
 SELF_CLOSING = set("p li dt dd tr td th option".split())
 DROPPED_ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 #: Words in a class or id that mark what isn't the article.
 DROPPED_WORDS = set(
-    """nav navbar navigation menu sidebar aside footer masthead ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored
-    cookie cookies consent notice gdpr popup modal overlay newsletter subscribe subscription share sharing social breadcrumb breadcrumbs
-    comment comments respond disqus reply replies related recommended widget widgets pager pagination login signup search toolbar skip hidden""".split()
+    """nav navbar navigation menu sidebar aside footer masthead ad ads advert adverts advertisement advertisements advertising banner promo promotion
+    sponsor sponsored cookie cookies consent notice gdpr popup modal overlay newsletter subscribe subscription share sharing social breadcrumb breadcrumbs
+    comment comments respond disqus related recommended pager pagination login signup topbar""".split()
 )
-#: Behind these a word says what an element has or lacks, not what it is.
-NOT_ITSELF = set("has have no not with without is hide show".split())
-DROPPED_NAMES = set("header site-header page-header top-header main-header header-wrapper topbar".split())
+#: Words that say nothing by themselves, beside one of those.
+FILLERS = set(
+    """the js c l u o m site page main global primary secondary post posts entry article articles story stories news blog top bottom left right upper lower
+    inner outer list lists item items box boxes slot slots unit zone button buttons btn bar bars area block blocks wrap wrapper container content contents
+    section sections form forms link links widget widgets panel group icons icon count title heading body text label row col holder thread policy message
+    media network networks follow us toggle mobile desktop sticky fixed""".split()
+)
+DROPPED_NAMES = set("header site-header page-header top-header main-header header-wrapper skip-link".split())
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -75,24 +87,20 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def _dropped(tag: str, a: dict[str, str]) -> bool:
-    if tag in DROPPED or a.get("role", "").lower() in DROPPED_ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true":
+    if tag in DROPPED or tag in DROPPED_INLINE or a.get("role", "").lower() in DROPPED_ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true":
         return True
     return "display:none" in a.get("style", "").replace(" ", "").lower()
 
 
-def _suspect(tag: str, a: dict[str, str]) -> float:
-    """STRONG or WEAK if a class or id marks the element as boilerplate, else 0."""
+def _suspect(tag: str, a: dict[str, str]) -> bool:
+    """Whether a class or id marks the element as boilerplate."""
     if tag in ("html", "body", "main", "article"):
-        return 0
-    found = 0
+        return False
     for name in f"{a.get('class', '')} {a.get('id', '')}".lower().split():
-        if name in DROPPED_NAMES:
-            return STRONG
-        parts = [x for x in re.split(r"[-_]+", name) if x]
-        for i, part in enumerate(parts):
-            if part in DROPPED_WORDS and not (i and parts[i - 1] in NOT_ITSELF):
-                found = max(found, STRONG if i in (0, len(parts) - 1) else WEAK)
-    return found
+        parts = {x for x in re.split(r"[-_\d]+", name) if x}
+        if name in DROPPED_NAMES or parts & DROPPED_WORDS and parts <= DROPPED_WORDS | FILLERS:
+            return True
+    return False
 
 
 def _step(tag: str, a: dict[str, str]) -> str:
@@ -111,7 +119,7 @@ def prose(text: str, links: int) -> int:
     return len(text) - links if 2 * links <= len(text) and sum(c.isalnum() for c in text[:100]) > 1 else 0
 
 
-def _without_suspects(found: list[tuple[str, int, int]], boxes: list[tuple[str, int]], suspects: dict[int, float]) -> list[tuple[str, int, int]]:
+def _without_suspects(found: list[tuple[str, int, int]], boxes: list[tuple[str, int]], suspects: set[int]) -> list[tuple[str, int, int]]:
     """found without the blocks in suspects, of which those stay without which hardly anything would be left."""
     if not suspects:
         return found
@@ -129,31 +137,38 @@ def _without_suspects(found: list[tuple[str, int, int]], boxes: list[tuple[str,
             else:
                 held[top[i]] += own[i]
         most = max(held, key=held.get, default=-1)
-        if most < 0 or not held[most] or held[most] < suspects[most] * (kept + held[most]):
+        if most < 0 or not held[most] or held[most] < MOST * (kept + held[most]):
             return [x for x in found if top[x[2]] < 0]
-        suspects = {i: v for i, v in suspects.items() if i != most}
+        suspects = suspects - {most}
 
 
 def blocks(page: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int]]]:
     """The page's text blocks outside boilerplate as (text, characters in links, container), and its containers as (path, parent)."""
     out: list[tuple[str, int, int]] = []
     boxes: list[tuple[str, int]] = [("", -1)]
-    suspects: dict[int, float] = {}
+    suspects: set[int] = set()
     stack: list[tuple[str, int, bool]] = []  # name, container, dropped
-    box, drop, links, in_link = 0, False, 0, False
+    box, drop, links = 0, False, 0
+    link = -1  # the stack's height where the open link began
+    loose = False  # whether that link has no end of its own
     parts: list[str] = []
 
     def flush() -> None:
-        nonlocal links
+        nonlocal links, link
         if parts:
             if text := " ".join(html.unescape("".join(parts)).split()):
                 out.append((text, links, box))
             parts.clear()
         links = 0
+        if loose:
+            link = -1
 
     def close(i: int) -> None:
-        nonlocal box, drop
-        flush()
+        nonlocal box, drop, link
+        if box != (stack[i - 1][1] if i else 0) or any(name in BLOCKS for name, _, _ in stack[i:]):
+            flush()
+        if i < link:
+            link = -1
         del stack[i:]
         box, drop = (stack[-1][1], stack[-1][2]) if stack else (0, False)
 
@@ -161,11 +176,12 @@ def blocks(page: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int]]
         nonlocal links
         if text and not drop:
             parts.append(text)
-            if in_link:
+            if link >= 0:
                 links += len(text)
 
     at = 0
-    while m := TOKEN.search(page, at):
+    last = page.rfind(">")  # nothing behind it is a tag
+    while at <= last and (m := TOKEN.search(page, at)):
         say(page[at : m.start()])
         at = m.end()
         if not m[2]:
@@ -175,12 +191,15 @@ def blocks(page: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int]]
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        if tag in BLOCKS:
+        if tag in BLOCKS and not drop:
             flush()
         elif tag in ("br", "td", "th"):
             say(" ")
         if tag == "a":
-            in_link = not ending
+            link = -1
+            if not ending:
+                edge = LINK_EDGE.search(page, at)
+                link, loose = len(stack), not (edge and edge[1])
         if ending:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
@@ -192,19 +211,19 @@ def blocks(page: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int]]
         if stack and (stack[-1][0] == tag and tag in SELF_CLOSING or stack[-1][0] == "p" and tag in BLOCKS):
             close(len(stack) - 1)
         if drop:
-            if stack[-1][0] == tag or tag in BLOCKS and tag not in SELF_CLOSING:
+            if stack[-1][0] == tag or tag in NESTING and tag not in SELF_CLOSING:
                 stack.append((tag, box, True))
             continue
         a = _attributes(m[3]) if m[3].strip() else {}
         gone = _dropped(tag, a)
-        doubt = 0 if gone else _suspect(tag, a)
-        if gone or doubt:
+        doubt = not gone and _suspect(tag, a)
+        if doubt:
             flush()
         if not gone and (doubt or tag in CONTAINERS):
             boxes.append((_path(boxes[box][0], _step(tag, a)), box))
             box = len(boxes) - 1
             if doubt:
-                suspects[box] = doubt
+                suspects.add(box)
         elif gone:
             pass
         elif tag not in BLOCKS or tag in SELF_CLOSING:
