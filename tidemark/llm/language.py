@@ -7,13 +7,16 @@ marked as rejected. Texts are compressed in pieces of PIECE_BYTES, each by itsel
 before would else take the dictionary's place, and the margin would go down with the length.
 
 Learning uses a bounded sample: of each language the SAMPLE_ROWS rows with the smallest hash of their
-id, and of each of these an excerpt of EXCERPT_CHARS from its start. Rows are picked by a hash
-threshold that follows from the language's row count, so that no language meets in one task; only
-the sample reaches the driver. Prediction maps whole texts, without a shuffle.
+id and text, and of each of these an excerpt of EXCERPT_CHARS that begins at a place in the whole text
+given by the hash. Repeated rows count once. Rows are picked by a hash threshold that follows from the
+language's number of different rows, so that no language meets in one task; only the sample, of a
+fixed most rows, reaches the driver. Prediction maps whole texts, without a shuffle.
 
 Cases: `und` for a null text, one without a letter, and where nothing could be learned. Equal sizes:
 the language with more labelled rows, then the first by name, with margin 0. One language: margin 1.
-Repeated rows get equal answers. Empty tables give no rows. Null labels are not learned from.
+Repeated rows get equal answers. Empty tables give no rows. Null labels are not learned from. A null id
+stays, and rows with one id and different texts are different rows. Columns named like the results are
+replaced, others stay. A very long text is compressed piece by piece.
 """
 
 from __future__ import annotations
@@ -72,18 +75,25 @@ def fit(docs: DataFrame, learn_from: Column | None = None, sample_rows: int = SA
     rows = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null")
     if learn_from is not None:
         rows = rows.where(learn_from)
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
+    place = F.xxhash64("doc_id", "text", F.lit("language"))
+    rows = rows.select("lang", "text", place.alias("place"))
+    counted = rows.groupBy("lang").agg(F.approx_count_distinct("place", 0.05).alias("n"), F.count(F.lit(1)).alias("rows"))
+    counted = counted.limit(MOST_LANGUAGES + 1).collect()
+    if len(counted) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not sizes:
+    if not counted:
         return Model(())
     # Twice the wanted share of each language passes, from which the driver takes the first by hash.
-    place = F.xxhash64(F.col("doc_id"), F.lit("language"))
-    unit = F.pmod(place, F.lit(1 << 30)) / float(1 << 30)
-    share = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 2 * sample_rows / n))))
-    picked = rows.where(unit < share[F.col("lang")]).select("lang", unit.alias("unit"), F.substring("text", 1, excerpt_chars).alias("text"))
+    unit = F.pmod(F.col("place"), F.lit(1 << 30)) / float(1 << 30)
+    share = F.create_map(*(F.lit(x) for r in counted for x in (r["lang"], min(1.0, 2 * sample_rows / max(r["n"], 1)))))
+    start = F.pmod(F.shiftright("place", 30), F.greatest(F.length("text") - excerpt_chars, F.lit(0)) + 1).cast("int") + 1
+    excerpt = F.substring("text", start, F.lit(excerpt_chars))
+    picked = rows.where(unit < share[F.col("lang")]).select("lang", unit.alias("unit"), "place", excerpt.alias("text"))
+    sizes = {r["lang"]: r["rows"] for r in counted}
+    # Of different rows there are about twice sample_rows per language; the limit holds whatever the hashes are.
+    most = picked.dropDuplicates(["lang", "place"]).orderBy("unit", "lang").limit(8 * sample_rows * len(sizes))
     by: dict[str, list] = {}
-    for r in picked.toLocalIterator():
+    for r in most.collect():
         by.setdefault(r["lang"], []).append((r["unit"], r["text"]))
     order = sorted(by, key=lambda k: (-sizes[k], k))
     return Model(tuple((k, b" ".join(normalise(t) for _, t in sorted(by[k])[:sample_rows])) for k in order))
