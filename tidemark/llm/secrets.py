@@ -1,10 +1,14 @@
 """Operator 1: secret scans over an incremental ledger of blobs.
 
-Every version of a file is addressed by the SHA-256 of its content. The ledger is a table with a row
-for each (blob, rule_version) that was ever scanned, also for those without findings. `scan` takes
-one row of each content, leaves out what the ledger has under the same rule version, and looks for
-secrets in the rest only; `findings_by_path` joins the ledger's findings back to all paths and
-versions. All of it is DataFrame functions.
+Every version of a file is addressed by the SHA-256 of its content. The ledger is a stored table with a
+row for each (blob, rule_version) that was ever scanned, also for those without findings. `scan` takes
+one row of each content, leaves out what the ledger has under the same rule version, looks for
+secrets in the rest only, and appends what it found; `findings_by_path` joins the ledger's findings back
+to all paths and versions. All of it is DataFrame functions.
+
+The ledger keeps the text of a blob with secrets, so that its redacted form can be made without reading
+the versions again. op1 scans two versions of each path, the document and, where that has secrets, the
+redacted document: of the second only blobs that the ledger doesn't know are scanned.
 
 A match's place comes from splitting the text at the rule's matches: the pieces between them and the
 matches themselves alternate, so running sums of their lengths are the offsets (code points).
@@ -14,18 +18,20 @@ shuffle, and the ledger is a written table, so that the join back is one that Sp
 blob is frequent. Only blobs with findings take part in it.
 
 Cases: a null text is the empty blob. Repeated rows each get the findings. Empty tables give empty
-results. A null id stays. Other columns don't matter, whatever their names.
+results. A null id stays. Other columns don't matter, whatever their names. Very long texts take time
+near linear in their length and matches.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrays import let, sums_before
-from tidemark.llm.tables import read, whole_texts, written
+from tidemark.llm.arrays import let, maxima_before, sums_before
+from tidemark.llm.tables import read, shared_folder, whole_texts, written
 
 
 @dataclass(frozen=True)
@@ -48,7 +54,7 @@ RULES = (
 RULE_VERSION = 1
 
 SPAN = "struct<start:int,rank:int,end:int,kind:string>"
-LEDGER = f"blob string, rule_version int, spans array<{SPAN}>"
+LEDGER = f"blob string, rule_version int, spans array<{SPAN}>, text string"
 
 
 def blob_id(text: Column) -> Column:
@@ -77,38 +83,64 @@ def secret_spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array_sort(F.concat(*(_spans(text, r, i) for i, r in enumerate(rules))))
 
 
-def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, rule_version: int = RULE_VERSION) -> DataFrame:
-    """The rows to append to the ledger for versions (with a column `text`): unseen blobs and what was found in them.
+def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, rule_version: int = RULE_VERSION) -> DataFrame:
+    """The ledger (blob, rule_version, spans, text where there are spans) once the versions (column `text`) are in it.
 
-    The result is checkpointed, so that nothing is scanned again when it is both appended and joined.
+    ledger: its folder, made if it isn't there; only blobs that it doesn't have under rule_version are scanned and appended.
     """
+    spark = versions.sparkSession
     blobs = versions.select(blob_id(F.col("text")).alias("blob"), "text").dropDuplicates(["blob"])
-    if ledger is not None:
-        seen = ledger.where(F.col("rule_version") == rule_version).select("blob")
-        blobs = blobs.join(seen, "blob", "left_anti")
-    found = blobs.select("blob", F.lit(rule_version).alias("rule_version"), secret_spans(F.col("text"), rules).alias("spans"))
-    return written(found)
+    spark.createDataFrame([], LEDGER).write.mode("ignore").parquet(ledger)
+    known = spark.read.parquet(ledger).where(F.col("rule_version") == rule_version)
+    blobs = blobs.join(known.select("blob"), "blob", "left_anti")
+    found = blobs.select("blob", F.lit(rule_version).alias("rule_version"), secret_spans(F.col("text"), rules).alias("spans"), "text")
+    found = found.withColumn("text", F.when(F.size("spans") > 0, F.col("text")))
+    found.write.mode("append").parquet(ledger)
+    return spark.read.parquet(ledger)
+
+
+def new_ledger(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/secret-ledger-{uuid.uuid4().hex}"
 
 
-def findings_by_path(versions: DataFrame, ledger: DataFrame, rule_version: int = RULE_VERSION) -> DataFrame:
-    """The versions' columns, without the text, and `blob` and `spans` (empty where nothing was found), in place of columns of these names."""
+def findings_by_path(versions: DataFrame, ledger: DataFrame, rule_version: int = RULE_VERSION, more: DataFrame | None = None) -> DataFrame:
+    """The versions' columns, without the text, and `blob` and `spans` (empty where nothing was found), in place of columns of these names.
+
+    more: further columns by blob with findings.
+    """
     found = ledger.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob", "spans")
+    if more is not None:
+        found = found.join(more, "blob", "left")
     paths = versions.drop("spans").withColumn("blob", blob_id(F.col("text"))).drop("text")
     return paths.join(found, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")))
 
 
 def redact(text: Column, spans: Column, mask: str = "[secret]") -> Column:
     """The text with each span replaced by the mask; spans that overlap share one."""
-    edges = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"]))
-    reach = lambda i: F.array_max(F.slice(edges, 1, i + 1))  # noqa: E731  # where the spans before the i-th end
-    kept = F.transform(spans, lambda s, i: F.when(s["start"] >= reach(i), F.concat(F.substring(text, reach(i) + 1, s["start"] - reach(i)), F.lit(mask))).otherwise(F.lit("")))
-    tail = F.substring(text, F.array_max(edges) + 1, F.length(text))
-    return F.concat(F.array_join(kept, ""), tail)
+    ends = F.transform(spans, lambda s: s["end"].cast("long"))
+    tail = F.substring(text, F.coalesce(F.array_max(ends), F.lit(0)).cast("int") + 1, F.length(text))
+
+    def joined(reach: Column) -> Column:  # where the spans before each one end
+        at = lambda i: F.get(reach, i).cast("int")
+        kept = F.transform(spans, lambda s, i: F.when(s["start"] >= at(i), F.concat(F.substring(text, at(i) + 1, s["start"] - at(i)), F.lit(mask))).otherwise(F.lit("")))
+        return F.concat(F.array_join(kept, ""), tail)
+
+    return let(maxima_before(ends), joined)
+
+
+def redacted_versions(ledger: DataFrame, rule_version: int = RULE_VERSION) -> DataFrame:
+    """was (a blob with secrets) and text, its redacted form."""
+    found = ledger.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0))
+    return found.select(F.col("blob").alias("was"), redact(F.col("text"), F.col("spans")).alias("text"))
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    versions = whole_texts(read(spark, sf_dir, "documents"))
-    found = findings_by_path(versions, scan(versions))
+    """Besides the contract's columns: blob, and n_left, the spans still found in the path's next, redacted version."""
+    versions, ledger = whole_texts(read(spark, sf_dir, "documents")), new_ledger(spark)
+    first = scan(versions, ledger)
+    changed = written(redacted_versions(first))
+    left = findings_by_path(changed, scan(changed, ledger)).select(F.col("was").alias("blob"), F.size("spans").cast("long").alias("n_left"))
+    found = findings_by_path(versions, first, more=left)
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     joined = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return found.select("doc_id", *(count(r.kind) for r in RULES), F.sha2(joined, 256).alias("base_sha256"), joined.alias("spans"))
+    return found.select("doc_id", *(count(r.kind) for r in RULES), F.sha2(joined, 256).alias("base_sha256"), joined.alias("spans"), "blob", F.coalesce("n_left", F.lit(0).cast("long")).alias("n_left"))
