@@ -2,14 +2,14 @@
 
 A text's tokens (runs of non-space characters, longer ones cut after each TOKEN_CHARS) give k-mers of
 K tokens. Each k-mer gets its occurrence number, so that repetitions count, and is hashed with it.
-Each of 2 * SKETCHES orderings goes round the circle of hashes from a fixed point of its own, the
-points lying evenly; the k-mer that comes first in an ordering is selected. Two orderings give a
-tuple: the two selected k-mers are hashed in the order in which they stand in the text. Likeness is the
-share of equal tuples: it falls with edits and with moved passages (Marcais et al., 2019; the
-orderings are those of one-permutation hashing with rotation, Shrivastava and Li, 2014).
+Each of SKETCHES orderings goes round the circle of hashes from a fixed point of its own, the points
+lying evenly; an ordering's first two k-mers are selected and give a tuple: they are hashed in the order
+in which they stand in the text. Likeness is the share of equal tuples: it falls with edits and with
+moved passages (Marcais et al., 2019, with tuples of two; the orderings are those of one-permutation
+hashing with rotation, Shrivastava and Li, 2014).
 
 All DataFrame functions on arrays of one text: its hashes are sorted once, which gives the occurrence
-numbers (places in runs of equal hashes) and the first hash behind each point.
+numbers (places in runs of equal hashes) and the two hashes behind each point.
 
 Each document is compared with its successor by ascending doc_id. Ids are dealt into ranges: by their
 quantiles, and between two quantiles by equal steps, so that there are as many ranges as the shuffle
@@ -18,21 +18,25 @@ non-empty range, from a table with one row per range. Whole texts are shuffled o
 
 Cases: a null text is the empty one. A text with fewer than K tokens has one k-mer of all of them,
 also the empty text. Rows with the same doc_id follow each other by text; null ids come first. The
-last row's successor is the first, also when there is only one row. An empty table gives no rows.
+last row's successor is the first, also when there is only one row. An empty table gives no rows. Ids
+must be numbers: others stop the job. All rows of one id are ordered in one task (it sorts and spills).
+Other columns are left out, whatever their names. A very long text needs a few longs per token in
+memory; one with more than 2^PLACE_BITS tokens stops the job.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tidemark.llm.arrays import let
 from tidemark.llm.tables import read, whole_texts, written
 
 K = 3
 SKETCHES = 32
-#: Bits that number the 2 * SKETCHES points.
-ARC_BITS = 6
+#: Bits that number the SKETCHES points.
+ARC_BITS = 5
 TOKEN_CHARS = 24
 TOKEN = rf"\S{{1,{TOKEN_CHARS}}}"
 #: Quantiles of the ids; ranges are steps between two of them.
@@ -40,13 +44,15 @@ QUANTILES = 64
 #: Low bits of a packed long that hold a k-mer's place in its text; the rest is its hash.
 PLACE_BITS = 26
 PLACE = (1 << PLACE_BITS) - 1
+HALF = SKETCHES // 2
 
 
 def occurrences(text: Column) -> Column:
     """A text's k-mers as longs: hash with occurrence number in the high bits, place in the text in the low ones."""
     words = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda w: F.xxhash64(w))
     many = lambda w: F.transform(F.slice(w, K, F.size(w)), lambda _, i: F.xxhash64(*(F.get(w, i + j) for j in range(K))))
-    hashes = let(words, lambda w: F.when(F.size(w) >= K, many(w)).otherwise(F.array(F.xxhash64(w))))
+    over = F.raise_error("a text has too many tokens for its places").cast("array<bigint>")
+    hashes = let(words, lambda w: F.when(F.size(w) > PLACE, over).when(F.size(w) >= K, many(w)).otherwise(F.array(F.xxhash64(w))))
     return let(F.sort_array(F.transform(hashes, lambda h, i: h.bitwiseAND(F.lit(~PLACE)).bitwiseOR(i.cast("long")))), numbered)
 
 
@@ -62,21 +68,22 @@ def numbered(s: Column) -> Column:
 
 def fingerprint(text: Column) -> Column:
     """A text's fingerprint: an array of SKETCHES longs."""
-    arc = lambda x: F.shiftright(x, 64 - ARC_BITS).cast("int")  # noqa: E731  # from -SKETCHES to SKETCHES - 1
+    arc = lambda x: F.shiftright(x, 64 - ARC_BITS).cast("int")  # noqa: E731  # from -HALF to HALF - 1
 
-    def firsts(f: Column) -> Column:
-        # For each point the hash behind it: f has the first one of each arc that has any.
-        copies = lambda x, i: F.array_repeat(x, arc(x) - F.when(i == 0, F.lit(-SKETCHES - 1)).otherwise(arc(F.get(f, i - 1))))
-        return F.concat(F.flatten(F.transform(f, copies)), F.array_repeat(F.get(f, 0), SKETCHES - 1 - arc(F.element_at(f, -1))))
+    def firsts(s: Column) -> Column:
+        # For each point the index of the first hash behind it: there is one leader in each arc that has any hash.
+        leaders = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (arc(F.get(s, i)) != arc(F.get(s, i - 1))))
+        before = lambda f, j: F.when(j == 0, F.lit(-HALF - 1)).otherwise(arc(F.get(s, F.get(f, j - 1))))
+        copies = lambda f: F.flatten(F.transform(f, lambda i, j: F.array_repeat(i, arc(F.get(s, i)) - before(f, j))))
+        return let(leaders, lambda f: F.concat(copies(f), F.array_repeat(F.lit(0), HALF - 1 - arc(F.element_at(s, -1)))))
 
-    def tuples(g: Column) -> Column:
+    def tuples(s: Column) -> Column:
         place = lambda x: x.bitwiseAND(F.lit(PLACE))
         h = lambda x: F.shiftright(x, PLACE_BITS)
         two = lambda a, b: F.when(place(a) <= place(b), F.xxhash64(h(a), h(b))).otherwise(F.xxhash64(h(b), h(a)))
-        return F.transform(F.sequence(F.lit(0), F.lit(SKETCHES - 1)), lambda i: two(F.get(g, 2 * i), F.get(g, 2 * i + 1)))
+        return F.transform(firsts(s), lambda i: two(F.get(s, i), F.get(s, (i + 1) % F.size(s))))
 
-    leaders = lambda s: F.filter(s, lambda x, i: (i == 0) | (arc(x) != arc(F.get(s, i - 1))))
-    return let(let(let(occurrences(text), leaders), firsts), tuples)
+    return let(occurrences(text), tuples)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -90,6 +97,8 @@ def hex_digits(fp: Column) -> Column:
 
 def in_ranges(docs: DataFrame, ranges: int) -> DataFrame:
     """doc_id, text and range, a number that ascends with doc_id and splits the rows about evenly."""
+    if not isinstance(docs.schema["doc_id"].dataType, NumericType):
+        raise ValueError("ids must be numbers")
     n = min(ranges, QUANTILES)
     edges = docs.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(n + 1)], 0.25 / n)
     edges, own = sorted(set(edges)), F.col("doc_id").cast("double")
