@@ -9,8 +9,10 @@ decodes only the frames that a range of samples needs.
 Both are maps over Arrow batches, sliced to a bounded number of frames; nothing is shuffled.
 
 Cases: a null payload counts as the empty one; empty and other payloads are filled up with bytes 255
-to a positive multiple of 576. Equal payloads give equal streams. Repeated rows stay, an empty table
-gives no rows. A damaged stream stops the job.
+to a positive multiple of 576. Equal payloads give equal streams. Repeated rows and null ids stay, an
+empty table gives no rows. Columns named like the results are replaced, others stay. A damaged stream
+stops the job; so does a payload above 536 MB, whose seek table FLAC can't hold. A long payload is
+handled in slices of frames.
 """
 
 from __future__ import annotations
@@ -79,6 +81,7 @@ def pcm_blocks(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Besides the contract's columns: points, the sample offset and the place in the stream of each block."""
     raw = F.col("text").cast("binary")
     texts = whole_texts(read(spark, sf_dir, "documents"))
     stored = encode_media(texts.select("doc_id", F.octet_length(raw).cast("long").alias("n_bytes"), raw.alias("payload")))
@@ -92,4 +95,5 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        "points",
     )
