@@ -11,22 +11,30 @@ link's ends share one of the keys
 
     (key of A, key of B), (key of A, C), (A, half of C), (key of B, C), (B, half of C).
 
+That is the STRICT scheme. The WIDE one, for near copies at a likeness of 0.8, has 92 bits over shingles of
+five words, in four segments, and links at 13 or fewer differing bits, what two texts with that share of
+common shingles are expected to have: the bits' part that differs is acos(2J / (1 + J)) / pi. Of four
+segments with at most eight errors two have at most two each, so a key is the pair of any two segments' keys;
+links of 9 to 13 errors are found if two segments share a key all the same, which most do (README).
+
 Fingerprints with the same key are compared exactly. Where a key has many of them, only the links of
 a spanning forest are made, by a search that leaves out what it has reached, so that a dense group
 doesn't give all its pairs. A key with more than BUCKET_ROWS fingerprints is dealt out: its
 fingerprints are split into blocks, and each pair of blocks is compared in a task of its own.
 
-Copies are one fingerprint from the start (pre-aggregated). Links, components and fingerprints stay in
+Copies are one fingerprint from the start (pre-aggregated; a WIDE one stands under its first 64 bits). Links, components and fingerprints stay in
 Spark's tables; steps that later ones use twice are checkpointed in the cluster's shared folder.
 
 Cases: null and blank texts have fingerprint zero and link like any other. Repeated rows stay. A null
-doc_id never names a component unless it is alone. An empty table gives no rows.
+doc_id never names a component unless it is alone. An empty table gives no rows. Other columns are left
+out, whatever their names. A very long text's shingles are hashed one by one and counted in blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from dataclasses import dataclass
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +46,7 @@ from tidemark.llm import golay
 from tidemark.llm.components import components
 from tidemark.llm.tables import by_size, read, whole_texts, written
 
-WORDS = 4
 SEED = 42
-MOST_BITS = 4
 #: Fingerprints of one key that one task compares.
 BUCKET_ROWS = 20_000
 #: Rows that a task gathers before it compares, beyond those of one key.
@@ -49,72 +55,108 @@ GATHER_ROWS = 200_000
 SMALL = 24
 
 
-def fingerprint(text: str) -> int:
-    """The SimHash of a text's shingles of lower-cased (A-Z) words, repeats included."""
-    words = text.encode().lower().split()  # on bytes these are the ASCII rules
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = list(accumulate((len(w) + 1 for w in words)))
-    starts = [0, *ends]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[WORDS - 1 :] or ends[-1:])), np.uint64)
-    counts = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 1 << 16):
-        part = hashes[i : i + (1 << 16)].astype(">u8")
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes)).view(">u8")[0])
-
-
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the 64 bits as a long) of all rows."""
+@dataclass(frozen=True)
+class Scheme:
+    """How texts become fingerprints and which of them link."""
+
+    words: int  # of a shingle
+    bits: int  # 64, or 92 in the columns fp and fq
+    most_bits: int  # that linked fingerprints differ in
+
+    @property
+    def columns(self) -> list[str]:
+        return ["fp"] if self.bits == 64 else ["fp", "fq"]
+
+
+STRICT = Scheme(4, 64, 4)
+WIDE = Scheme(5, 92, 13)
+
+
+def shingles(text: str, words: int) -> Iterator[bytes]:
+    """A text's shingles of lower-cased (A-Z) words, repeats included; all of a shorter text."""
+    own = text.encode().lower().split()  # on bytes these are the ASCII rules
+    joined = b" ".join(own)
+    ends = list(accumulate((len(w) + 1 for w in own)))
+    return (joined[a : b - 1] for a, b in zip([0, *ends], ends[words - 1 :] or ends[-1:]))
+
+
+def fingerprint(text: str, scheme: Scheme = STRICT) -> list[int]:
+    """The SimHash of a text's shingles, as one unsigned number per column; zero without words."""
+    wide = scheme.bits > 64
+    hashed = (xxhash.xxh3_128_digest(x, SEED) if wide else xxhash.xxh64_digest(x, SEED) for x in shingles(text, scheme.words))
+    digests = np.frombuffer(b"".join(hashed), np.uint8).reshape(-1, 16 if wide else 8)
+    counts = np.zeros(8 * digests.shape[1], np.int64)
+    for i in range(0, len(digests), 1 << 16):
+        counts += np.unpackbits(digests[i : i + (1 << 16)], axis=1).sum(0, dtype=np.int64)
+    found = np.packbits(2 * counts > len(digests)).view(">u8")
+    return [int(found[0]), int(found[1]) >> (128 - scheme.bits)] if wide else [int(found[0])]
+
+
+def fingerprints(docs: DataFrame, scheme: Scheme = STRICT) -> DataFrame:
+    """doc_id and the scheme's columns (fp, the first 64 bits as a long; fq, the others) of all rows."""
     rows = whole_texts(docs)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for part, texts in by_size(batches):
-            found = np.array([fingerprint(x) for x in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
+            found = np.array([fingerprint(x, scheme) for x in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c) for c in found.T)], ["doc_id", *scheme.columns])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return rows.mapInArrow(run, ", ".join([f"doc_id {kind}", *(f"{c} bigint" for c in scheme.columns)]))
 
 
 def keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of fingerprints, and for each key the row that it belongs to."""
+    """The keys of fingerprints (rows of one or two columns), and for each key the row that it belongs to."""
+    made = _wide_keys(fps) if fps.shape[1] == 2 else _strict_keys(fps[:, 0])
+    flat = np.concatenate([m.reshape(len(fps), -1) for m in made], 1)
+    rows, columns = np.nonzero(flat >= 0)
+    return flat[rows, columns], rows
+
+
+def _pairs(n: int, left: np.ndarray, right: np.ndarray, width: int) -> np.ndarray:
+    return np.where((left < 0) | (right < 0), -1, n << 48 | left << width | right)
+
+
+def _strict_keys(fps: np.ndarray) -> list[np.ndarray]:
     bits = fps.view(np.uint64)
     a, b, c = bits >> 41, bits >> 18 & 0x7FFFFF, bits & 0x3FFFF
     of_a, of_b = golay.keys(a), golay.keys(b)
     c, halves = c.astype(np.int64)[:, None], np.stack([c >> 9, c & 0x1FF], 1).astype(np.int64)
-    table = lambda n, left, right, width: np.where((left < 0) | (right < 0), -1, n << 48 | left << width | right)
-    made = [table(0, of_a[:, :, None], of_b[:, None, :], 12)]
+    made = [_pairs(0, of_a[:, :, None], of_b[:, None, :], 12)]
     for n, (codes, words) in enumerate(((of_a, a), (of_b, b))):
-        made.append(table(1 + n, codes, c, 18))
-        made += [table(3 + 2 * n + h, words.astype(np.int64)[:, None], halves[:, h : h + 1], 9) for h in (0, 1)]
-    flat = np.concatenate([m.reshape(len(fps), -1) for m in made], 1)
-    rows, columns = np.nonzero(flat >= 0)
-    return flat[rows, columns], rows
+        made.append(_pairs(1 + n, codes, c, 18))
+        made += [_pairs(3 + 2 * n + h, words.astype(np.int64)[:, None], halves[:, h : h + 1], 9) for h in (0, 1)]
+    return made
+
+
+def _wide_keys(fps: np.ndarray) -> list[np.ndarray]:
+    p, q = fps[:, 0].view(np.uint64), fps[:, 1].astype(np.uint64)
+    segments = [p >> 41, p >> 18 & 0x7FFFFF, (p & 0x3FFFF) << 5 | q >> 23, q & 0x7FFFFF]
+    codes = [golay.keys(x) for x in segments]
+    return [_pairs(n, codes[i][:, :, None], codes[j][:, None, :], 12) for n, (i, j) in enumerate(combinations(range(4), 2))]
 
 
 def differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.bitwise_count((x ^ y).view(np.uint64))
+    """In how many bits rows of x and y differ."""
+    return np.bitwise_count((x ^ y).view(np.uint64)).sum(-1)
 
 
-def forest(fps: np.ndarray) -> list[tuple[int, int]]:
+def forest(fps: np.ndarray, most_bits: int) -> list[tuple[int, int]]:
     """Links that join the fingerprints' components, found by a search among those not yet reached."""
     links, rest = [], fps
     while len(rest) > 1:
         front, rest = [rest[0]], rest[1:]
         while front and len(rest):
             x = front.pop()
-            near = differ(rest, x) <= MOST_BITS
+            near = differ(rest, x) <= most_bits
             if near.any():
-                links += [(int(x), int(y)) for y in rest[near]]
+                links += [(int(x[0]), int(y)) for y in rest[near, 0]]
                 front += list(rest[near])
                 rest = rest[~near]
     return links
 
 
-def bucket_links(key: np.ndarray, fps: np.ndarray) -> np.ndarray:
+def bucket_links(key: np.ndarray, fps: np.ndarray, most_bits: int) -> np.ndarray:
     """Links among rows sorted by key, as two columns."""
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     sizes = np.diff(np.append(first, len(key)))
@@ -122,19 +164,26 @@ def bucket_links(key: np.ndarray, fps: np.ndarray) -> np.ndarray:
     small = np.repeat(sizes <= SMALL, sizes)
     k, f = key[small], fps[small]
     for lag in range(1, min(SMALL, len(k))):
-        near = np.flatnonzero((k[lag:] == k[:-lag]) & (differ(f[lag:], f[:-lag]) <= MOST_BITS))
-        found.append(np.stack([f[near], f[near + lag]], 1))
+        same = np.flatnonzero(k[lag:] == k[:-lag])
+        if not len(same):
+            break
+        near = same[differ(f[same + lag], f[same]) <= most_bits]
+        found.append(np.stack([f[near, 0], f[near + lag, 0]], 1))
     for i in np.flatnonzero(sizes > SMALL):
-        found.append(np.array(forest(fps[first[i] : first[i] + sizes[i]]), np.int64).reshape(-1, 2))
+        found.append(np.array(forest(fps[first[i] : first[i] + sizes[i]], most_bits), np.int64).reshape(-1, 2))
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+def _columns(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    return np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names], 1)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], names: list[str], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
     """Rows sorted by key in portions that end with a key; a key with more than `most` rows comes in portions of its own, marked."""
-    key, fps, over = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+    key, fps, over = np.zeros(0, np.int64), np.zeros((0, len(names)), np.int64), None
     for batch in batches:
         key = np.append(key, batch.column("key").to_numpy(zero_copy_only=False))
-        fps = np.append(fps, batch.column("fp").to_numpy(zero_copy_only=False))
+        fps = np.concatenate([fps, _columns(batch, names)])
         if over is not None and len(key):
             n = int(np.searchsorted(key, over, "right"))
             if n:
@@ -154,72 +203,78 @@ def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.nda
         yield key, fps, over is not None and key[0] == over
 
 
-def _compare(rows: DataFrame, most: int) -> DataFrame:
-    """key, a, b: the links of keys with up to `most` rows (key null), and the rows of other keys (b null)."""
+def _compare(rows: DataFrame, scheme: Scheme, most: int) -> DataFrame:
+    """key, the scheme's columns and b: the links fp and b of keys with up to `most` rows (key null), and the rows of other keys (b null)."""
+    names = scheme.columns
 
     def run(batches):
-        for key, fps, over in _runs(batches, most):
+        for key, fps, over in _runs(batches, names, most):
             # Keys of more than `most` rows can end inside a portion as well.
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             sizes = np.diff(np.append(first, len(key)))
             large = np.repeat(sizes > most, sizes) | over
-            links = bucket_links(key[~large], fps[~large]) if not large.all() else np.zeros((0, 2), np.int64)
+            links = bucket_links(key[~large], fps[~large], scheme.most_bits) if not large.all() else np.zeros((0, 2), np.int64)
             n, m = len(links), int(large.sum())
+            rest = fps[large]
             columns = [
                 pa.array(np.append(np.zeros(n, np.int64), key[large]), mask=np.arange(n + m) < n),
-                pa.array(np.append(links[:, 0], fps[large])),
+                pa.array(np.append(links[:, 0], rest[:, 0])),
+                *(pa.array(np.append(np.zeros(n, np.int64), c)) for c in rest.T[1:]),
                 pa.array(np.append(links[:, 1], np.zeros(m, np.int64)), mask=np.arange(n + m) >= n),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "a", "b"])
+            yield pa.RecordBatch.from_arrays(columns, ["key", *names, "b"])
 
-    return rows.mapInArrow(run, "key bigint, a bigint, b bigint")
+    return rows.mapInArrow(run, ", ".join(f"{c} bigint" for c in ("key", *names, "b")))
 
 
-def links(fps: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints in column fp, enough to give all components."""
+def links(fps: DataFrame, bucket_rows: int = BUCKET_ROWS, scheme: Scheme = STRICT) -> DataFrame:
+    """Links (a, b) between the distinct fingerprints in the scheme's columns, enough to give all components."""
+    names = scheme.columns
 
     def deal(batches):
         for batch in batches:
-            own = batch.column("fp").to_numpy(zero_copy_only=False)
-            for i in range(0, len(own), 20_000):
-                key, row = keys(own[i : i + 20_000])
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own[i : i + 20_000][row])], ["key", "fp"])
+            every = _columns(batch, names)
+            for i in range(0, len(every), 4_000):
+                own = every[i : i + 4_000]
+                key, row = keys(own)
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(c) for c in own[row].T)], ["key", *names])
 
-    # A fingerprint becomes some forty rows, so the few bytes before that are spread over all tasks.
+    # A fingerprint becomes many rows, so the few bytes before that are spread over all tasks.
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = fps.select("fp").repartition(tasks, "fp").mapInArrow(deal, "key bigint, fp bigint")
-    found = written(_compare(keyed.repartition("key").sortWithinPartitions("key", "fp"), bucket_rows))
-    pairs = found.where("b is not null").select("a", "b")
-    rest = found.where("b is null").select("key", F.col("a").alias("fp"))
+    keyed = fps.select(*names).repartition(tasks, "fp").mapInArrow(deal, ", ".join(f"{c} bigint" for c in ("key", *names)))
+    found = written(_compare(keyed.repartition("key").sortWithinPartitions("key", "fp"), scheme, bucket_rows))
+    pairs = found.where("b is not null").select(F.col("fp").alias("a"), "b")
+    rest = found.where("b is null").select("key", *names)
     if rest.isEmpty():
         return pairs
     blocks = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) * 3 / bucket_rows).alias("blocks"))
     own = rest.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("fp"), "blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    dealt = own.select("key", "fp", "block", other)
-    dealt = dealt.select("fp", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"))
-    return pairs.union(_compare(dealt.repartition("key").sortWithinPartitions("key", "fp"), 1 << 40).select("a", "b"))
+    dealt = own.select("key", *names, "block", other)
+    dealt = dealt.select(*names, F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"))
+    more = _compare(dealt.repartition("key").sortWithinPartitions("key", "fp"), scheme, 1 << 40)
+    return pairs.union(more.select("fp", "b"))
 
 
-def classes(prints: DataFrame) -> DataFrame:
-    """fp and component_id (the smallest doc_id of the class) of all fingerprints in doc_id and fp."""
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = written(components(links(nodes)))
+def classes(prints: DataFrame, scheme: Scheme = STRICT) -> DataFrame:
+    """fp and component_id (the smallest doc_id of the class) of all fingerprints in doc_id and the scheme's columns."""
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), *(F.min(c).alias(c) for c in scheme.columns[1:])))
+    found = written(components(links(nodes, scheme=scheme)))
     rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted)
     lowest = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
     return written(rooted.join(lowest, "root").select("fp", "component_id"))
 
 
-def representatives(docs: DataFrame) -> DataFrame:
-    """doc_id of the document that stands for each class, a row per class."""
-    return classes(written(fingerprints(docs))).select(F.col("component_id").alias("doc_id")).distinct()
+def representatives(docs: DataFrame, scheme: Scheme = STRICT) -> DataFrame:
+    """The smallest doc_id of each class, a row per class."""
+    return classes(written(fingerprints(docs, scheme)), scheme).select(F.col("component_id").alias("doc_id")).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, scheme: Scheme = STRICT) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id of the class) of all rows."""
-    prints = written(fingerprints(docs))
-    named = classes(prints)
+    prints = written(fingerprints(docs, scheme))
+    named = classes(prints, scheme)
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
