@@ -48,11 +48,13 @@ def special_tokens(tokenizer_json: str) -> dict[str, int]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's folder for checkpoints and tables in between; one of the tests' own where none is named."""
+    """The cluster's folder for checkpoints and tables in between; a folder of this machine only where Spark runs in one process."""
     context = spark.sparkContext
     if named := context.getConf().get("spark.checkpoint.dir"):
         return named
     if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
