@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.constants import NOISE_WORDS, STOP_WORDS
 
-LEADS = r"^(what is|what are|what's|how do i|how can i|how does|when do i|when can i|when is|where do i|where can i|who can i|can i|do i|is there a|are there any)\s+"
+# What questions begin with, wherever it stands.
+LEADS = (
+    r"(?i)\b(how\s+many|how\s+much|how\s+long|how\s+often|how\s+do\s+i|how\s+can\s+i|how\s+do\s+you|how\s+is|how\s+are|how\s+does|what\s+is\s+the|"
+    r"what\s+are\s+the|what\s+does|what\s+do\s+i|when\s+do\s+i|when\s+can\s+i|when\s+is|where\s+do\s+i|where\s+can\s+i|who\s+can\s+i|who\s+do\s+i|"
+    r"can\s+i|do\s+i|have\s+to|need\s+to|is\s+there\s+a|are\s+there\s+any)"
+)
 
 
 def tokens(text: Column) -> Column:
@@ -15,10 +20,10 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
 
 
-def filter_tokens(text: Column, most: int = 7) -> Column:
-    """The first distinct tokens that are no stop words and longer than one letter."""
-    kept = F.filter(tokens(text), lambda t: (F.length(t) > 1) & ~t.isin(STOP_WORDS))
-    return F.slice(F.array_distinct(kept), 1, most)
+def filter_tokens(text: Column, most: int | None = 7) -> Column:
+    """The first distinct tokens (all if None) that are no stop words and longer than one letter."""
+    kept = F.array_distinct(F.filter(tokens(text), lambda t: (F.length(t) > 1) & ~t.isin(STOP_WORDS)))
+    return kept if most is None else F.slice(kept, 1, most)
 
 
 def normalise(text: Column) -> Column:
@@ -26,16 +31,20 @@ def normalise(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
-def normalise_query(text: Column) -> Column:
-    """Without a question lead and quantifiers; the plain query where nothing would be left."""
-    bare = F.regexp_replace(normalise(text), LEADS, "")
-    kept = F.array_join(F.filter(F.split(bare, " "), lambda w: ~w.isin(NOISE_WORDS)), " ")
-    return F.when(F.trim(kept) == "", normalise(text)).otherwise(F.trim(kept))
+def padded(text: Column) -> Column:
+    """Letters and digits with single blanks, also at both ends."""
+    return F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" "))
+
+
+def words(text: Column) -> Column:
+    """The text's words between white space."""
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
-def has_phrase(normal: Column, phrase: str) -> Column:
-    """A phrase of up to four characters as a word, a longer one as a part of the text."""
-    return normal.rlike(rf"(^|[^\p{{L}}\p{{N}}_]){phrase}([^\p{{L}}\p{{N}}_]|$)") if len(phrase) <= 4 else normal.contains(phrase)
+def normalise_query(text: Column) -> Column:
+    """Without question leads and quantifiers; the plain query where nothing would be left."""
+    kept = F.array_join(F.filter(words(F.regexp_replace(text, LEADS, " ")), lambda w: ~F.lower(w).isin(NOISE_WORDS)), " ")
+    return F.when(kept == "", text).otherwise(kept)
 
 
 def content_key(text: Column, chars: int) -> Column:
@@ -43,10 +52,6 @@ def content_key(text: Column, chars: int) -> Column:
     return F.substring(normalise(text), 1, chars)
 
 
-def strip_nul(text: Column) -> Column:
-    return F.replace(text, F.lit("\u0000"), F.lit(""))
-
-
 def word_grams(text: Column, sizes: tuple[int, ...], bare_ends: bool = False) -> Column:
     """The text's word n-grams as an array of (gram, n); with bare_ends those that begin and end with no stop word.
 

@@ -1,61 +1,36 @@
-"""Phrase tagging, propagation of tags, statistics of tags and phrases."""
+"""Phrase tagging, propagation of tags, statistics of tags and phrases, candidates for new phrases."""
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from collections import Counter
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.constants import (
+    CANDIDATE_STOPS,
     CANONICAL_P,
+    COMMON_ABBREVIATIONS,
+    COMMON_PHRASES,
     DOCUMENT_WEIGHT,
     GENERIC_LEXICON,
     GENERIC_REJECTED,
     HEADING_WEIGHT,
-    LEXICON,
     LINE_WEIGHT,
     NOISY_DF,
     NOISY_P,
     PARAGRAPH_WEIGHT,
     RARE_DF,
 )
-from tidemark.functions.text import has_phrase, normalise, tokens, word_grams
+from tidemark.functions.text import tokens
+from tidemark.operators.lexicon import SAMPLE, Entry, best_tags, phrase_hits, phrase_map
 
 
-def phrase_map(lexicon=LEXICON) -> list[tuple[str, str, str, float]]:
-    """(phrase, kind, code, score): kinds p, d, j; codes count as phrases; a later strong phrase replaces an earlier one, a weak one never does."""
-    out: dict[str, tuple[str, str, float]] = {}
-    for kind in "pdj":
-        for own, code, strong, weak, _ in lexicon:
-            if own == kind:
-                for phrase in (code.replace("_", " "), *strong):
-                    out[phrase] = (kind, code, 1.0)
-                for phrase in weak:
-                    out.setdefault(phrase, (kind, code, 0.6))
-    return [(p, *v) for p, v in out.items()]
-
-
-def phrase_hits(rows: DataFrame, lexicon=LEXICON) -> DataFrame:
-    """The rows' columns but the text, and phrase, kind, code, score: a row per phrase of the lexicon in a text.
-
-    The lexicon is a configuration of bounded size and part of the expression: one pass, no join.
-    """
-    keep = [c for c in rows.columns if c != "text"]
-    normal = rows.withColumn("normal", normalise(F.col("text")))
-    hit = lambda p, k, c, s: F.when(has_phrase(F.col("normal"), p), F.struct(F.lit(p).alias("phrase"), F.lit(k).alias("kind"), F.lit(c).alias("code"), F.lit(s).alias("score")))
-    hits = F.array_compact(F.array(*(hit(*x) for x in phrase_map(lexicon))))
-    return normal.select(*keep, "normal", F.explode(hits).alias("h")).select(*keep, "normal", "h.*")
-
-
-def tag_lines(rows: DataFrame, lexicon=LEXICON) -> DataFrame:
+def tag_lines(rows: DataFrame, entries: tuple[Entry, ...] = SAMPLE) -> DataFrame:
     """Each line's tags with their best score; a tag goes where one of its refuted words stands in the line."""
-    stands = lambda words: reduce(lambda a, b: a | b, (has_phrase(F.col("normal"), w) for w in words))
-    refuted = [F.when((F.col("kind") == k) & (F.col("code") == c), stands(words)) for k, c, _, _, words in lexicon if words]
-    hits = phrase_hits(rows, lexicon)
-    kept = hits.where(~F.coalesce(*refuted, F.lit(False))) if refuted else hits
-    keys = [c for c in rows.columns if c != "text"]
-    return kept.groupBy(*keys, "kind", "code").agg(F.max("score").alias("score"))
+    return best_tags(rows, entries)
 
 
 def propagate(tags: DataFrame, child: list[str], parent: list[str]) -> DataFrame:
@@ -109,44 +84,119 @@ def cascade_pool(document_tags: DataFrame, wanted: dict[str, list[str]], fallbac
     return pool if cap is None else pool.orderBy("doc_id").limit(cap)
 
 
-def theme_buckets(chunk_tags: DataFrame, k: int = 5, dominance: float = 0.65) -> DataFrame:
-    """The k d-tags with most documents: docs, chunks, share of all tagged documents and whether it dominates."""
-    d = chunk_tags.where("kind = 'd'")
-    total = d.agg(F.countDistinct("doc_id")).scalar()
-    by = d.groupBy("code").agg(F.countDistinct("doc_id").alias("docs"), F.count(F.lit(1)).alias("chunks"))
-    share = F.col("docs") / total
-    joined = by.select("code", "docs", "chunks", share.alias("share"), (share >= dominance).alias("dominant"))
-    return joined.orderBy(F.desc("docs"), "code").limit(k)
+def with_inherited(pool: DataFrame, inherited: DataFrame, levels: tuple[int, ...] = (1, 2), cap: int = 5000) -> DataFrame:
+    """pool (doc_id, level) and the inherited documents (doc_id) it lacks, marked, where the pool's level is a plan's; its own come first."""
+    level = pool.agg(F.min("level")).scalar()
+    new = inherited.select("doc_id").distinct().join(pool, "doc_id", "left_anti").where(level.isin(*levels))
+    new = new.select("doc_id", level.alias("level"), F.lit(True).alias("inherited"))
+    both = pool.select("doc_id", "level", F.lit(False).alias("inherited")).unionByName(new)
+    return both.orderBy("inherited", "doc_id").limit(cap)
 
 
-def phrase_precision(rows: DataFrame, gold: DataFrame, lexicon=LEXICON) -> DataFrame:
-    """For each phrase: documents with it (df), those of them that are good (tp), precision and verdict.
+def theme_buckets(chunks: DataFrame, document_tags: DataFrame, most: int = 5, dominance: float = 0.65) -> DataFrame:
+    """The d-tags of the documents of found chunks (doc_id), by chunks: code, docs, chunks, share of all assignments, and whether the set is narrow.
 
-    rows: doc_id and text; gold: doc_id of good documents. Verdict: canonical, rare, noisy, keep.
+    Narrow: two themes or fewer, or the first has the share `dominance` of the assignments.
     """
-    docs = phrase_hits(rows.select("doc_id", "text"), lexicon).select("doc_id", "phrase", "kind", "code").distinct()
-    marked = docs.join(gold.select("doc_id", F.lit(1).alias("good")).distinct(), "doc_id", "left")
-    by = marked.groupBy("phrase", "kind", "code").agg(F.count(F.lit(1)).alias("df"), F.count("good").alias("tp"))
-    p = F.col("tp") / F.col("df")
-    verdict = F.when((F.col("df") >= NOISY_DF) & (p >= CANONICAL_P), "KEEP_CANONICAL").when(F.col("df") <= RARE_DF, "RARE").when((F.col("df") >= NOISY_DF) & (p < NOISY_P), "NOISY").otherwise("KEEP")
-    return by.select("phrase", "kind", "code", "df", "tp", p.alias("precision"), verdict.alias("verdict"))
+    by_doc = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))
+    d = document_tags.where("kind = 'd'").select("doc_id", "code").distinct().join(by_doc, "doc_id")
+    by = d.groupBy("code").agg(F.count(F.lit(1)).alias("docs"), F.sum("chunks").alias("chunks"))
+    total = by.agg(F.sum("chunks")).scalar()
+    top = by.orderBy(F.desc("chunks"), "code").limit(most)
+    n, first = (top.agg(c).scalar() for c in (F.count(F.lit(1)), F.max("chunks")))
+    narrow = (n <= 2) | (first / total >= dominance)
+    return top.select("code", "docs", "chunks", (F.col("chunks") / total).alias("share"), narrow.alias("narrow"))
+
 
+def phrase_precision(docs: DataFrame, document_tags: DataFrame, entries: tuple[Entry, ...] = SAMPLE) -> DataFrame:
+    """For each phrase: documents with it (df), those of them that have its tag (df_tagged), precision and verdict.
 
-def ngram_candidates(rows: DataFrame, sizes: tuple[int, ...] = (2, 3, 4), least: int = 3) -> DataFrame:
-    """gram, n, weight of word n-grams of lines (text, is_heading) that begin and end with no stop word."""
-    out = rows.select("is_heading", F.explode(word_grams(F.col("text"), sizes, bare_ends=True)).alias("g")).select("is_heading", "g.*")
-    weight = F.sum(F.when(F.col("is_heading"), HEADING_WEIGHT).otherwise(1)).alias("weight")
-    found = out.groupBy("gram", "n").agg(weight, F.max(F.col("is_heading")).alias("in_heading")).where(F.col("weight") >= least)
-    known = [p for p, *_ in phrase_map()]
-    found = found.where(~F.exists(F.array(*map(F.lit, known)), lambda p: p.contains(F.col("gram"))))
-    confidence = F.least(F.lit(0.9), 0.5 + 0.1 * F.col("weight")) + F.when(F.col("in_heading"), 0.1).otherwise(0.0)
-    return found.select("gram", "n", "weight", F.round(confidence, 4).alias("confidence"))
+    docs: doc_id and text. Per entry a phrase is dropped as a copy of a longer one that contains it and has
+    the same counts, then as rare or noisy; of those precise and frequent enough the most frequent is canonical.
+    """
+    said = phrase_hits(docs.select("doc_id", "text"), entries).select("doc_id", "phrase", "kind", "code")
+    tagged = said.join(document_tags.select("doc_id", "kind", "code", F.lit(1).alias("tagged")).distinct(), ["doc_id", "kind", "code"], "left")
+    by = tagged.groupBy("kind", "code", "phrase").agg(F.count(F.lit(1)).alias("df"), F.count("tagged").alias("df_tagged"))
+    # An entry's phrases are few, and in one row.
+    own = by.groupBy("kind", "code").agg(F.collect_list(F.struct("phrase", "df", "df_tagged")).alias("own")).select("kind", "code", "own", F.explode("own").alias("p"))
+    p = F.col("p")
+    longer = lambda o: (o["phrase"] != p["phrase"]) & F.contains(o["phrase"], p["phrase"]) & (o["df"] == p["df"]) & (o["df_tagged"] == p["df_tagged"])
+    good = F.filter("own", lambda o: (o["df_tagged"] / o["df"] >= CANONICAL_P) & (o["df"] >= NOISY_DF))
+    canonical = F.element_at(F.array_sort(F.transform(good, lambda o: F.struct((-o["df"]).alias("df"), o["phrase"].alias("phrase")))), 1)["phrase"]
+    precision = p["df_tagged"] / p["df"]
+    verdict = (
+        F.when((F.size(good) > 0) & (p["phrase"] == F.when(F.size(good) > 0, canonical)), "KEEP_CANONICAL")
+        .when(F.exists("own", longer), "DROP_DUPE")
+        .when(p["df"] <= RARE_DF, "DROP_RARE")
+        .when((p["df"] >= NOISY_DF) & (precision < NOISY_P), "DROP_NOISY")
+        .otherwise("KEEP")
+    )
+    return own.select("kind", "code", "p.phrase", "p.df", "p.df_tagged", precision.alias("precision"), verdict.alias("verdict"))
+
+
+# What a candidate phrase must not begin with or be.
+JUNK = re.compile(
+    r"^(?:©.*|[0-9]+\s*(?:a\.m\.|p\.m\.)|[0-9]+\s+days?|(?:and|or|the|of|to|for|with|from|by|in|on|at|as|if|but|an?)\s|.*[0-9]{4,}|[0-9]+\s*$)", re.IGNORECASE
+)
+BLANKS = re.compile(r"[ \t\n\r\f\v]+")
 
 
-def abbreviations(rows: DataFrame, least: int = 2) -> DataFrame:
-    """Words of two to six capitals and how often they occur."""
-    found = rows.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?:^|[^\p{L}\p{N}])([A-Z]{2,6})(?:$|[^\p{L}\p{N}])"), F.lit(1))).alias("abbreviation"))
-    return found.groupBy("abbreviation").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+def _weighted(found: list[tuple[str, bool]]) -> list[tuple[str, int, int, bool]]:
+    """(item, occurrences, weight, in a heading), the heaviest first, then by item."""
+    count, heads = Counter(x for x, _ in found), Counter(x for x, h in found if h)
+    weight = {x: n + (HEADING_WEIGHT - 1) * heads[x] for x, n in count.items()}
+    return [(x, count[x], weight[x], x in heads) for x in sorted(weight, key=lambda x: (-weight[x], x))]
+
+
+def candidates(
+    documents: DataFrame, entries: tuple[Entry, ...] = SAMPLE, decided: frozenset[str] = frozenset(), least: int = 3, most_grams: int = 100, most_abbreviations: int = 30, common_words: frozenset[str] = frozenset()
+) -> DataFrame:
+    """doc_id, candidate_type, phrase, occurrences, weight and confidence of what a document says often and the lexicon lacks.
+
+    documents: doc_id and lines, an array of (text, is_heading). Candidates are word n-grams of 2 to 4 (type d)
+    and words of capitals (alias), counted in a document, headings twice. Left out are decided and common
+    phrases, those of stop words alone or with single letters, junk, and parts or wholes of known phrases; then those
+    lighter than `least` and all beyond the caps. A document is one row, so nothing is shuffled.
+    """
+    known = set(phrase_map(entries))
+    never = known | set(COMMON_PHRASES) | set(decided)
+    codes = {e.code.replace("_", " ").lower() for e in entries}
+    stops, plain = set(CANDIDATE_STOPS), set(COMMON_ABBREVIATIONS) | set(common_words)
+
+    def grams(lines: list) -> list[tuple[str, bool]]:
+        out = []
+        for line in lines:
+            words = BLANKS.sub(" ", line["text"] or "").strip().lower().split(" ")
+            for n in (2, 3, 4):
+                for i in range(len(words) - n + 1):
+                    own = words[i : i + n]
+                    gram = " ".join(own)
+                    if len(gram) < 4 or gram in never or all(w in stops for w in own) or any(len(w) == 1 for w in own) or JUNK.match(gram):
+                        continue
+                    out.append((gram, line["is_heading"]))
+        return out
+
+    def of_document(lines: list) -> list[tuple]:
+        kept = [x for x in _weighted(grams(lines)) if x[2] >= least and len(x[0]) <= 500]
+        kept = [x for x in kept if not any(x[0] in p or p in x[0] for p in known) and x[0].replace(" ", "_") not in codes][:most_grams]
+        capitals = [(w.lower(), line["is_heading"]) for line in lines for w in re.split(r"\W+", line["text"] or "") if re.fullmatch("[A-Z][A-Z0-9]{1,14}", w)]
+        names = [x for x in _weighted([c for c in capitals if c[0] not in never and c[0] not in plain]) if x[2] >= least]
+        names = names[: most_grams + most_abbreviations - len(kept)]
+        confidence = lambda w, h: min(0.9, min(0.9, 0.5 + 0.1 * w) + (0.1 if h else 0))
+        return [(t, x, n, w, confidence(w, h)) for t, rows in (("d", kept), ("alias", names)) for x, n, w, h in rows]
+
+    def run(batches):
+        names = ["candidate_type", "phrase", "occurrences", "weight", "confidence"]
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64()]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                out = of_document(batch.column("lines")[i].as_py() or [])
+                if out:
+                    own = batch.column("doc_id").take(pa.array([i] * len(out), pa.int32()))
+                    yield pa.RecordBatch.from_arrays([own, *(pa.array(list(c), k) for c, k in zip(zip(*out), kinds))], ["doc_id", *names])
+
+    kind = dict(documents.dtypes)["doc_id"]
+    return documents.select("doc_id", "lines").mapInArrow(run, f"doc_id {kind}, candidate_type string, phrase string, occurrences bigint, weight bigint, confidence double")
 
 
 def generic_words(rejected: DataFrame, lexicon_phrases: DataFrame) -> DataFrame:
@@ -157,7 +207,17 @@ def generic_words(rejected: DataFrame, lexicon_phrases: DataFrame) -> DataFrame:
     return by.where((F.col("n_rejected") >= GENERIC_REJECTED) & (F.col("n_lexicon") <= GENERIC_LEXICON))
 
 
-def most_specific(tags: DataFrame) -> DataFrame:
-    """Each document's deepest d-code: most dots, then the longest, then the last by name."""
+# Leaves of codes that say nothing by themselves.
+GENERIC_LEAVES = ("general", "info", "information", "misc", "other")
+
+
+def leaf(code: Column) -> Column:
+    """The last part of a code, with blanks."""
+    return F.trim(F.lower(F.replace(F.element_at(F.split(code, r"\."), -1), F.lit("_"), F.lit(" "))))
+
+
+def most_specific(tags: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Each key's deepest d-code with a leaf that says something: most dots, then the longest, then the last by name."""
     dots = F.length("code") - F.length(F.replace("code", F.lit(".")))
-    return tags.where("kind = 'd'").groupBy("doc_id").agg(F.max_by("code", F.struct(dots, F.length("code"), "code")).alias("code"))
+    named = tags.where((F.col("kind") == "d") & ~leaf(F.col("code")).isin(*GENERIC_LEAVES))
+    return named.groupBy(key).agg(F.max_by("code", F.struct(dots, F.length("code"), "code")).alias("code"))

@@ -38,11 +38,25 @@ def cells(events: DataFrame) -> DataFrame:
         (k % 5 != 0).alias("answered"),
         F.when(k % 7 == 0, 1).otherwise(0).cast("long").alias("contradicted"),
         F.col("total_ms").alias("latency_ms"),
-        F.when(k % 4 == 0, "correct").when(k % 4 == 1, "partial").when(k % 4 == 2, "wrong").otherwise("abstain").alias("verdict"),
+        F.when(k % 4 == 0, "correct").when(k % 4 == 1, "partial").when(k % 4 == 2, "wrong").otherwise("unable_to_verify").alias("verdict"),
         F.when(k % 11 == 0, "correct").when(k % 13 == 0, "wrong").alias("human_verdict"),
         ((k * 3) % 100 / 100.0).alias("confidence"),
         F.when(k % 3 == 0, "factual").when(k % 3 == 1, "conceptual").otherwise("vague").alias("query_class"),
         F.to_date("ts").alias("day"),
+        k.alias("k"),
+    )
+
+
+def metadata(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, name, payer, state, program and authority_level of documents."""
+    level = F.when(F.col("quality") == 1, "contract_source_of_truth").when(F.col("quality") == 0, "payer_policy").otherwise("unknown")
+    return documents.join(labels, "doc_id", "left").select(
+        "doc_id",
+        F.concat("source", F.lit("_"), "lang", F.lit("-"), F.col("doc_id").cast("string")).alias("name"),
+        F.col("source").alias("payer"),
+        F.upper("lang").alias("state"),
+        F.when(F.col("toxic") == 1, "Medicaid").otherwise("Commercial").alias("program"),
+        level.alias("authority_level"),
     )
 
 
@@ -61,12 +75,8 @@ def read_phrase_verdicts(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.col("verdict").isin("KEEP", "KEEP_CANONICAL")).groupBy("tag").agg(F.array_sort(F.collect_set("phrase")).alias("phrases"))
 
 
-def publish(rows: DataFrame, path: str, by: str) -> None:
-    """Replaces the partitions of `by` that the rows have and leaves the others."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
-
-
 def append_log(rows: DataFrame, path: str) -> None:
+    """Appends rows of a log: telemetry, decisions, errors."""
     rows.write.mode("append").parquet(path)
 
 
