@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.constants import RRF_K
@@ -21,8 +21,11 @@ def rrf(arms: DataFrame, key: str) -> DataFrame:
     )
 
 
-def union_best(rows: DataFrame, key: list[str], score: str) -> DataFrame:
-    """For each key the row with the best score."""
+def union_best(rows: DataFrame, key: list[str], score: str, most: int | None = None) -> DataFrame:
+    """For each key (query_id first) the row with the best score, and of these the best `most` per query."""
     rest = [c for c in rows.columns if c not in key]
-    best = rows.groupBy(*key).agg(F.max(F.struct(score, *(c for c in rest if c != score))).alias("b"))
-    return best.select(*key, "b.*")
+    best = rows.groupBy(*key).agg(F.max(F.struct(score, *(c for c in rest if c != score))).alias("b")).select(*key, "b.*")
+    if most is None:
+        return best
+    order = Window.partitionBy(key[0]).orderBy(F.desc(score), *key[1:])
+    return best.withColumn("position", F.row_number().over(order).cast("long")).where(F.col("position") <= most)

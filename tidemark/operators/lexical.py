@@ -30,19 +30,20 @@ def query_tokens(queries: DataFrame) -> DataFrame:
 def scored(queries: DataFrame, index: DataFrame, key: list[str]) -> DataFrame:
     """query_id, key, n_tokens, matched (distinct tokens) and score S / (S + 1), S the weighted occurrences."""
     hits = query_tokens(queries).join(index, "token").groupBy("query_id", *key, "n_tokens")
-    found = hits.agg(F.count(F.lit(1)).alias("matched"), F.sum(F.col("tf") * F.col("weight")).alias("s"))
+    found = hits.agg(F.count(F.lit(1)).alias("matched"), F.round(F.sum(F.col("tf") * F.col("weight")), 9).alias("s"))
     return found.select("query_id", *key, "n_tokens", "matched", (F.col("s") / (F.col("s") + 1)).alias("score"))
 
 
 def cascade(found: DataFrame) -> DataFrame:
     """The rows of each query's first non-empty level, with it: k from all tokens down to max(3, half), then OR.
 
-    A level's rows match at least k tokens, so the first non-empty one has those that match most.
+    A level's rows match at least k tokens, so the first non-empty one has those that match most. That
+    maximum is aggregated and joined: no task holds a query's matches.
     """
-    most = F.max("matched").over(Window.partitionBy("query_id"))
+    most = found.groupBy("query_id").agg(F.max("matched").alias("_most"))
     least = F.greatest(F.lit(3), F.ceil(F.col("n_tokens") / 2))
-    strict = (F.col("n_tokens") >= 3) & (most >= least)
-    marked = found.withColumns({"level": F.when(strict, most).otherwise(F.lit(0)).cast("long")})
+    strict = (F.col("n_tokens") >= 3) & (F.col("_most") >= least)
+    marked = found.join(most, "query_id").withColumn("level", F.when(strict, F.col("_most")).otherwise(F.lit(0)).cast("long")).drop("_most")
     return marked.where((F.col("level") == 0) | (F.col("matched") == F.col("level")))
 
 

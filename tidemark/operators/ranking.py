@@ -51,9 +51,9 @@ def confidence_label(score: Column) -> Column:
 
 
 def decay_filter(rows: DataFrame, category: list[str], score: str) -> DataFrame:
-    """Drops rows below 0.6 of their category's best score."""
-    best = F.max(score).over(Window.partitionBy(*category))
-    return rows.withColumn("best", best).where((F.col("best") <= 0) | (F.col(score) >= DECAY * F.col("best")))
+    """Drops rows below 0.6 of their category's best score, which is aggregated and joined."""
+    best = rows.groupBy(*category).agg(F.max(score).alias("best"))
+    return rows.join(best, category).where((F.col("best") <= 0) | (F.col(score) >= DECAY * F.col("best")))
 
 
 def per_document_cap(rows: DataFrame, by: list[str], document: str, order: list[Column], per_document: int, total: int) -> DataFrame:
@@ -63,11 +63,15 @@ def per_document_cap(rows: DataFrame, by: list[str], document: str, order: list[
 
 
 def neighbours(seeds: DataFrame, chunks: DataFrame, paragraphs: int, pages: int, most: int | None = None) -> DataFrame:
-    """seed_paragraph and the chunks within so many paragraphs and pages of each seed in its document, without the seed."""
-    s = seeds.select("doc_id", F.col("paragraph_index").alias("seed_paragraph"), F.col("page_number").alias("seed_page"))
-    near = F.col("paragraph_index").between(F.col("seed_paragraph") - paragraphs, F.col("seed_paragraph") + paragraphs)
+    """seed_paragraph and the chunks within so many paragraphs and pages of each seed in its document, without the seed.
+
+    A seed becomes the places around it, which meet the chunks by equality, so that a long document is no hot key.
+    """
+    around = F.explode(F.sequence(F.col("paragraph_index") - paragraphs, F.col("paragraph_index") + paragraphs)).alias("_at")
+    s = seeds.select("doc_id", F.col("paragraph_index").alias("seed_paragraph"), F.col("page_number").alias("seed_page"), around).distinct()
+    s = s.where("_at <> seed_paragraph").withColumnRenamed("_at", "paragraph_index")
     page = F.col("seed_page").isNull() | F.col("page_number").between(F.col("seed_page") - pages, F.col("seed_page") + pages)
-    found = s.join(chunks, "doc_id").where(near & page & (F.col("paragraph_index") != F.col("seed_paragraph")))
+    found = s.join(chunks, ["doc_id", "paragraph_index"]).where(page)
     if most is None:
         return found
     order = Window.partitionBy("doc_id", "seed_paragraph").orderBy(F.abs(F.col("paragraph_index") - F.col("seed_paragraph")), "paragraph_index")
@@ -82,21 +86,34 @@ def neighbour_text(seeds: DataFrame, chunks: DataFrame, reach: int = 1, most_cha
     return found.groupBy("doc_id", "seed_paragraph").agg(text.alias("context"))
 
 
+def best_rows(rows: DataFrame, most: int) -> DataFrame:
+    """The first `most` rows of each query by score; what orders below take part in."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).drop("n")
+
+
+def score_order(rows: DataFrame, k: int) -> DataFrame:
+    """The best 3 k rows (query_id, id, score) with their place by score as `position`."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return rows.withColumn("position", F.row_number().over(order).cast("long")).where(F.col("position") <= 3 * k)
+
+
 def balanced_order(rows: DataFrame, k: int, floor: float) -> DataFrame:
-    """rows (query_id, id, authority_level, score) in assembly order `position`: three times the reserved slots of tiers 0 and 1, then of the rest."""
+    """The best 3 k rows (query_id, id, authority_level, score) in assembly order `position`: three times the reserved slots of tiers 0 and 1, then of the rest."""
     slots = -int(-k * max(0.0, min(1.0, floor)) // 1)
     half = (authority_tier(F.col("authority_level")) > 1).cast("long")
     n = F.row_number().over(Window.partitionBy("query_id", "half").orderBy(F.desc("score"), "id"))
-    kept = rows.withColumn("half", half).withColumn("n", n).where(F.when(F.col("half") == 0, F.col("n") <= 3 * slots).otherwise(F.col("n") <= 3 * max(0, k - slots)))
+    kept = best_rows(rows, 3 * k).withColumn("half", half).withColumn("n", n)
+    kept = kept.where(F.when(F.col("half") == 0, F.col("n") <= 3 * slots).otherwise(F.col("n") <= 3 * max(0, k - slots)))
     position = F.row_number().over(Window.partitionBy("query_id").orderBy("half", "n")).cast("long")
     return kept.withColumn("position", position).drop("n", "half")
 
 
-def canonical_order(rows: DataFrame) -> DataFrame:
-    """rows in assembly order `position`: confidence band, then authority tier, then score."""
+def canonical_order(rows: DataFrame, k: int) -> DataFrame:
+    """The best 3 k rows in assembly order `position`: confidence band, then authority tier, then score."""
     band = F.when(F.col("score") >= 0.55, 3).when(F.col("score") >= 0.35, 2).when(F.col("score") >= 0.18, 1).otherwise(0)
     order = Window.partitionBy("query_id").orderBy(band.desc(), authority_tier(F.col("authority_level")), F.desc("score"), "id")
-    return rows.withColumn("position", F.row_number().over(order).cast("long"))
+    return best_rows(rows, 3 * k).withColumn("position", F.row_number().over(order).cast("long"))
 
 
 def assemble(rows: DataFrame, k: int, least: float) -> DataFrame:
@@ -104,20 +121,20 @@ def assemble(rows: DataFrame, k: int, least: float) -> DataFrame:
 
     rows: query_id, id, position, score, content_key, page_key. A row under the threshold is passed
     over; one with a known content or page is too, and leaves neither its content nor its page behind.
-    That makes picking sequential within a query. Only the 3 k first positions take part, so a query's
-    group is small whatever the corpus.
+    That makes picking sequential within a query: a fold over its rows in one array. Only the 3 k first
+    positions take part, so the array is small whatever the corpus.
     """
-    import pandas as pd
-
-    def pick(g: pd.DataFrame) -> pd.DataFrame:
-        contents, pages, out = set(), set(), []
-        for r in g.sort_values(["position", "id"]).itertuples():
-            if len(out) < k and r.score >= least and r.content_key not in contents and r.page_key not in pages:
-                contents.add(r.content_key)
-                pages.add(r.page_key)
-                out.append((r.query_id, r.id, len(out) + 1))
-        return pd.DataFrame(out, columns=["query_id", "id", "slot"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    first = rows.where(F.col("position") <= 3 * k)
-    return first.groupBy("query_id").applyInPandas(pick, f"query_id {kinds['query_id']}, id {kinds['id']}, slot bigint")
+    entry = F.struct("position", "id", "content_key", "page_key")
+    ordered = rows.where((F.col("position") <= 3 * k) & (F.col("score") >= least)).groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("rows"))
+    fresh = lambda acc, r: (F.size(acc) < k) & ~F.exists(acc, lambda x: (x["content_key"] == r["content_key"]) | (x["page_key"] == r["page_key"]))
+    kind = rows.select(F.array(entry).alias("rows")).schema["rows"].dataType.simpleString()
+    picked = F.aggregate("rows", F.array().cast(kind), lambda acc, r: F.when(fresh(acc, r), F.array_append(acc, r)).otherwise(acc))
+    return ordered.select("query_id", F.posexplode(picked).alias("slot", "r")).select("query_id", F.col("r.id").alias("id"), (F.col("slot") + 1).cast("long").alias("slot"))
+
+
+def assembly_ratios(picked: DataFrame) -> DataFrame:
+    """Per query of picked rows (query_id, authority_level): how many of each tier, and the shares of authoritative and of contract ones."""
+    t = authority_tier(F.col("authority_level"))
+    by = picked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(t == 0).alias("contract"), F.count_if(t == 1).alias("policy"), F.count_if(t == 2).alias("fyi"), F.count_if(t == 3).alias("untagged"))
+    share = lambda c: F.round(c / F.col("n"), 3)
+    return by.withColumns({"canonical_ratio": share(F.col("contract") + F.col("policy")), "strict_ratio": share(F.col("contract"))})

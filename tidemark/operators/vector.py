@@ -1,4 +1,4 @@
-"""Vector arm: exact cosine against all rows, a block of queries at a time."""
+"""Vector arm: exact cosine of blocks of queries against blocks of vectors."""
 
 from __future__ import annotations
 
@@ -9,54 +9,57 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.lexical import top_k
 
-#: Queries that are sent to the executors at once.
-QUERY_BLOCK = 20_000
+#: Queries and vectors that meet in one task, and vectors that are compared at once.
+QUERY_BLOCK, VECTOR_BLOCK, SLICE = 4_096, 65_536, 4_096
 
 
-def _unit(rows: np.ndarray) -> np.ndarray:
+def _unit(column: pa.ChunkedArray) -> np.ndarray:
+    rows = np.stack(column.to_numpy()).astype(np.float64)
     norm = np.linalg.norm(rows, axis=1, keepdims=True)
     return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.stack(column.to_numpy(zero_copy_only=False)).astype(np.float64)
+def _best(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k largest of each row, equal ones by the smaller id."""
+    n = sims.shape[1]
+    if n <= k:
+        return np.repeat(np.arange(len(sims)), n), np.tile(np.arange(n), len(sims))
+    least = np.partition(sims, n - k, axis=1)[:, n - k]
+    row, column = np.nonzero(sims >= least[:, None])
+    order = np.lexsort((ids[column], -sims[row, column], row))
+    row, column = row[order], column[order]
+    first = np.searchsorted(row, np.arange(len(sims)))
+    kept = np.arange(len(row)) - first[row] < k
+    return row[kept], column[kept]
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", least: float | None = None) -> DataFrame:
     """query_id, id, similarity (cosine, within 0 and 1) and rank of the k nearest rows for each query.
 
-    queries and vectors: id and `embedding`; null vectors take no part. The vectors are scanned once for
-    each block of queries; a batch sends on its own k best per query only.
+    queries and vectors: id and `embedding`; null vectors take no part. Both are dealt into blocks of a
+    bounded number of rows, so that each pair of blocks meets in one task; no vector passes the driver. A
+    task sends on its own k best per query only.
     """
-    spark, out = vectors.sparkSession, None
-    block: list = []
-    own = vectors.where("embedding is not null").select(id_col, F.col("embedding").cast("array<double>").alias("embedding"))
-
-    def against(rows: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast((np.array([r[0] for r in rows]), _unit(np.array([r[1] for r in rows], np.float64))))
-
-        def run(batches):
-            ids, q = shared.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own_ids = batch.column(0).to_numpy(zero_copy_only=False)
-                sims = np.clip(q @ _unit(_matrix(batch.column(1))).T, 0.0, 1.0)
-                order = np.lexsort((np.broadcast_to(own_ids, sims.shape), -sims), axis=1)[:, :k]
-                best = np.take_along_axis(sims, order, 1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids, order.shape[1])), pa.array(own_ids[order].ravel()), pa.array(best.ravel())], ["query_id", id_col, "similarity"]
-                )
-
-        return own.mapInArrow(run, f"query_id bigint, {id_col} bigint, similarity double")
-
-    for row in queries.where("embedding is not null").select(id_col, "embedding").toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            out, block = against(block) if out is None else out.union(against(block)), []
-    if block or out is None:
-        rows = against(block) if block else spark.createDataFrame([], f"query_id bigint, {id_col} bigint, similarity double")
-        out = rows if out is None else out.union(rows)
+    asked, own = (df.where("embedding is not null").select(id_col, F.col("embedding").cast("array<double>").alias("embedding")) for df in (queries, vectors))
+    blocks, salts = (max(1, -(-df.count() // n)) for df, n in ((asked, QUERY_BLOCK), (own, VECTOR_BLOCK)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda n: F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
+    left = asked.select(id_col, "embedding", place(blocks).alias("block"), every(salts).alias("salt"))
+    right = own.select(id_col, "embedding", place(salts).alias("salt"), every(blocks).alias("block"))
+
+    def run(q: pa.Table, v: pa.Table) -> pa.Table:
+        rows = []
+        if q.num_rows and v.num_rows:
+            names, asked = q[id_col].to_numpy(), _unit(q["embedding"])
+            for i in range(0, v.num_rows, SLICE):
+                part = v.slice(i, SLICE)
+                ids = part[id_col].to_numpy()
+                sims = np.clip(asked @ _unit(part["embedding"]).T, 0.0, 1.0)
+                row, column = _best(sims, ids, k)
+                rows.append(pa.table({"query_id": names[row], id_col: ids[column], "similarity": sims[row, column]}))
+        return pa.concat_tables(rows) if rows else pa.table({"query_id": pa.array([], pa.int64()), id_col: pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
+
+    out = left.groupBy("block", "salt").cogroup(right.groupBy("block", "salt")).applyInArrow(run, f"query_id bigint, {id_col} bigint, similarity double")
     if least is not None:
         out = out.where(F.col("similarity") >= least)
     return top_k(out, k, "similarity", [id_col])

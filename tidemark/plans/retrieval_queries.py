@@ -1,15 +1,18 @@
-"""Registered queries of the retrieval arms and their fusion, and their SQL."""
+"""Registered queries of the retrieval arms, their fusion, and search end to end, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import corpus, fusion, lexical, ranking, vector
-from tidemark.plans.corpus_queries import SQL_LINES, _first_tokens, _TOK
+from tidemark.functions.text import content_key
+from tidemark.operators import fusion, lexical, ranking, retrieval, tagging, understanding, vector
+from tidemark.operators.retrieval import CHUNK, Corpus, Options
+from tidemark.plans.corpus_queries import _doc_tags, _line_tags, _lines, _meta
+from tidemark.plans.oracle import AUTHORITY, CASCADE, DOC_TAGS, LINES, META, NORM, SCORED, TOK, expand
+from tidemark.sources.store import stored
 from tidemark.sources.tables import read
 
-CHUNK = ["doc_id", "paragraph_index"]
 K = 10
 
 
@@ -17,26 +20,37 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def _postings(spark: SparkSession, d: str) -> DataFrame:
+    """The index of all chunks, sorted by token within files, so that a join with asked tokens reads few row groups of a large one."""
+    make = lambda s, d: lexical.postings(_lines(s, d), CHUNK).repartition("token").sortWithinPartitions("token")
+    return stored(spark, d, "postings", make)
+
+
 def _found(spark: SparkSession, d: str) -> DataFrame:
-    asked = _questions(spark, d)
-    index = lexical.postings(corpus.lines(read(spark, d, "documents")), CHUNK, wanted=lexical.query_tokens(asked))
-    return lexical.scored(asked, index, CHUNK).withColumn("score", F.round("score", 6))
+    return lexical.scored(_questions(spark, d), _postings(spark, d), CHUNK)
+
+
+def _shown(df: DataFrame, *scores: str) -> DataFrame:
+    """Scores to six places, once ranks are given."""
+    return df.withColumns({c: F.round(c, 6) for c in scores})
 
 
 def lexical_topk(spark, d):
-    return lexical.top_k(_found(spark, d), K, "score", CHUNK).select("query_id", *CHUNK, "matched", "score", "rank")
+    return _shown(lexical.top_k(_found(spark, d), K, "score", CHUNK).select("query_id", *CHUNK, "matched", "score", "rank"), "score")
 
 
 def kofn_cascade(spark, d):
-    return lexical.top_k(lexical.cascade(_found(spark, d)), K, "score", CHUNK).select("query_id", *CHUNK, "level", "matched", "score", "rank")
+    return _shown(lexical.top_k(lexical.cascade(_found(spark, d)), K, "score", CHUNK).select("query_id", *CHUNK, "level", "matched", "score", "rank"), "score")
 
 
 def pinned_pool(spark, d):
-    docs = read(spark, d, "documents")
-    lines = corpus.lines(docs)
-    pins = _questions(spark, d).join(docs.where("source = 'src1'").select((F.col("doc_id") % 40).alias("query_id"), "doc_id"), "query_id")
-    found = lexical.pinned(pins.select("query_id", "text", "doc_id"), lines, lexical.postings(lines, CHUNK, wanted=lexical.query_tokens(pins)), CHUNK)
-    return found.select("query_id", *CHUNK, F.round("score", 6).alias("score"))
+    """Each document is the pool of one question; all of its chunks are ranked, also without a match."""
+    items = read(spark, d, "benchmark")
+    n = items.agg(F.max("item_id") + 1).scalar()
+    pools = read(spark, d, "documents").select((F.col("doc_id") % n).alias("query_id"), "doc_id")
+    pins = _questions(spark, d).join(pools, "query_id")
+    found = lexical.pinned(pins, _lines(spark, d), _postings(spark, d), CHUNK)
+    return _shown(found.select("query_id", *CHUNK, "score"), "score")
 
 
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -45,11 +59,11 @@ def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def vector_topk(spark, d):
-    return vector.nearest(*_vectors(spark, d), K).withColumn("similarity", F.round("similarity", 6))
+    return _shown(vector.nearest(*_vectors(spark, d), K), "similarity")
 
 
 def vector_min_similarity(spark, d):
-    return vector.nearest(*_vectors(spark, d), 50, least=0.5).withColumn("similarity", F.round("similarity", 6))
+    return _shown(vector.nearest(*_vectors(spark, d), 50, least=0.5), "similarity")
 
 
 def rrf_fusion(spark, d):
@@ -61,65 +75,276 @@ def rrf_fusion(spark, d):
     first = lexical.top_k(rows.select("label", "vec_id", F.lit(0.5).alias("s")), 20, "s", ["vec_id"], by=["label"])
     asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
     tagged = asked.join(first, "label").join(idf, "label").select("query_id", "vec_id", F.lit("dtag").alias("arm"), F.lit(1).alias("arm_order"), "rank", "weight")
-    fused = fusion.rrf(near.unionByName(tagged), "vec_id").withColumn("rrf", F.round("rrf", 6))
-    return lexical.top_k(fused, 20, "rrf", ["best_rank", "vec_id"]).select("query_id", "vec_id", "rrf", "best_rank", "arm", "n_arms", "rank")
+    fused = fusion.rrf(near.unionByName(tagged), "vec_id").withColumn("rrf", F.round("rrf", 9))
+    return _shown(lexical.top_k(fused, 20, "rrf", ["best_rank", "vec_id"]).select("query_id", "vec_id", "rrf", "best_rank", "arm", "n_arms", "rank"), "rrf")
+
+
+def union_of_arms(spark, d):
+    """Two arms' answers by chunk, the better score of each, as many as both arms' k together."""
+    found = _found(spark, d)
+    a = lexical.top_k(found, K, "score", CHUNK).select("query_id", *CHUNK, F.round("score", 6).alias("score"), F.lit("or").alias("arm"))
+    b = lexical.top_k(lexical.cascade(found), K, "score", CHUNK).select("query_id", *CHUNK, (F.round("score", 6) + 0.1).alias("score"), F.lit("cascade").alias("arm"))
+    return _shown(fusion.union_best(a.unionByName(b), ["query_id", *CHUNK], "score", 2 * K), "score")
 
 
 def assembled_answer(spark, d):
     """Lexical candidates reranked, put in balanced order and assembled to five slots with content and page dedup."""
-    docs = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id", "left")
-    level = F.when(F.col("quality") == 1, "contract_source_of_truth").when(F.col("quality") == 0, "fyi_not_citable").otherwise("unknown")
-    about = docs.select("doc_id", level.alias("authority_level"))
     top = lexical.top_k(_found(spark, d), 60, "score", CHUNK)
-    texts = corpus.lines(read(spark, d, "documents"))
-    rows = top.join(about, "doc_id").join(texts, CHUNK)
+    rows = top.join(_meta(spark, d).select("doc_id", "authority_level"), "doc_id").join(_lines(spark, d), CHUNK)
     score = F.round(ranking.rerank_score(F.col("score"), ranking.authority_score(F.col("authority_level")), ranking.length_score(F.col("text"))), 6)
     rows = rows.select(
         "query_id",
-        (F.col("doc_id") * 100_000 + F.col("paragraph_index")).alias("id"),
+        (F.col("doc_id") * 1_000_000 + F.col("paragraph_index")).alias("id"),
         "authority_level",
         score.alias("score"),
-        corpus.content_key(F.col("text"), 200).alias("content_key"),
+        content_key(F.col("text"), 200).alias("content_key"),
         F.concat_ws("/", F.col("doc_id").cast("string"), F.col("page_number").cast("string")).alias("page_key"),
     )
     return ranking.assemble(ranking.balanced_order(rows, 5, 0.5), 5, 0.18)
 
 
-def search(spark, d):
-    """Flagship: lexical cascade with confidence labels, decayed and capped per document."""
-    found = lexical.cascade(_found(spark, d)).withColumn("arm", F.lit("bm25"))
-    kept = ranking.decay_filter(found, ["query_id", "arm"], "score")
-    capped = ranking.per_document_cap(kept, ["query_id"], "doc_id", [F.desc("score"), F.col("doc_id"), F.col("paragraph_index")], 3, K)
-    return capped.select("query_id", *CHUNK, "score", "position", ranking.confidence_label(F.col("score")).alias("label"))
+def code_lookup(spark, d):
+    """Page numbers asked for as codes, such as EN-825, in names made of the pages' paths."""
+    pages = read(spark, d, "pages")
+    path = F.regexp_extract("url", "/([a-z]{2}/[0-9]+)", 1)
+    asked = pages.where("page_id % 5 = 0").select(F.col("page_id").alias("query_id"), F.replace(path, F.lit("/"), F.lit("-")).alias("text"))
+    named = pages.select(F.col("page_id").alias("doc_id"), F.concat(F.lit("page "), F.replace(path, F.lit("/"), F.lit("-")), F.lit(" copy")).alias("name"))
+    return retrieval.code_lookup(asked, named, 20)
+
+
+def metadata_scope(spark, d):
+    """Each question's scope over the documents: some name a payer, a state or a program; src1 is a plan that shares what src0 and src2 publish in FR."""
+    docs = _meta(spark, d)
+    q = read(spark, d, "benchmark").select(
+        F.col("item_id").alias("query_id"),
+        F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("src"), (F.col("item_id") % 3).cast("string"))).alias("f_payer"),
+        F.when(F.col("item_id") % 5 == 0, "FR").alias("f_state"),
+        F.when(F.col("item_id") % 7 == 0, "Medicaid").alias("f_program"),
+        F.when(F.col("item_id") % 11 == 0, "payer_policy").alias("f_level"),
+    )
+    scopes = q.select("f_payer", "f_state", "f_program", "f_level").distinct()
+    values = docs.groupBy("payer", "state", "program", "authority_level").agg(F.count(F.lit(1)).alias("docs"))
+    scope = retrieval.in_scope(F.col("f_payer"), F.col("f_state"), F.col("f_program"), F.col("f_level"), ("src1",), ("src0", "src2"), "FR")
+    # Scopes and values are few; each is counted once, whatever the number of questions or documents.
+    inside = scopes.join(F.broadcast(values), scope).groupBy("f_payer", "f_state", "f_program", "f_level").agg(F.sum("docs").alias("docs"))
+    same = [q[c].eqNullSafe(inside[c]) for c in ("f_payer", "f_state", "f_program", "f_level")]
+    return q.join(inside, same, "left").select("query_id", F.coalesce("docs", F.lit(0)).alias("docs"))
+
+
+def _requests(spark: SparkSession, d: str) -> DataFrame:
+    """The questions with their vectors, tags, and required phrases; the tag arm takes the required d-tags, or else all."""
+    asked = understanding.profiles(_questions(spark, d))
+    selectivity = tagging.tag_statistics(_doc_tags(spark, d), read(spark, d, "documents"))
+    phrases = understanding.required_phrases(understanding.term_parts(asked, selectivity))
+    rows = asked.select("query_id", "text", "codes").join(phrases, "query_id", "left")
+    own = lambda cs: F.transform(F.filter(cs, lambda c: c.startswith("d:")), lambda c: F.substring(c, 3, 1000))
+    required = own(F.coalesce(F.transform(F.filter("phrases", lambda p: p["code"].isNotNull()), lambda p: p["code"]), F.array().cast("array<string>")))
+    rows = rows.withColumn("dtags", F.when(F.size(required) > 0, required).otherwise(own(F.col("codes"))))
+    vectors = read(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+    return rows.join(vectors, "query_id", "left")
+
+
+def _corpus(spark: SparkSession, d: str) -> Corpus:
+    vectors = read(spark, d, "embeddings").select(F.col("vec_id").alias("chunk"), F.col("vec_id").alias("doc_id"), F.lit(0).cast("long").alias("paragraph_index"), "embedding")
+    return Corpus(_lines(spark, d), _meta(spark, d), _postings(spark, d), _line_tags(spark, d), _doc_tags(spark, d), vectors)
+
+
+#: The options that the registered searches run with, by mode.
+SEARCHES = {
+    "search": Options("corpus", merge_from=0.4),
+    "search_precision": Options("precision", order="canonical_first", tag_mode="strict", paragraphs=1, pages=0, merge_from=0.4),
+    "search_recall": Options("recall", order="balanced", canonical_floor=0.4, tag_mode="relaxed", min_similarity=0.3, paragraphs=0),
+    "search_untagged": Options("corpus", k=5, tag_mode="none", paragraphs=3, per_document=4, total=12),
+}
+
+
+def _searched(name: str):
+    def run(spark, d):
+        return retrieval.search(_requests(spark, d), _corpus(spark, d), SEARCHES[name])
 
+    run.__name__ = name
+    return run
 
-QUERIES = {f.__name__: f for f in (lexical_topk, kofn_cascade, pinned_pool, vector_topk, vector_min_similarity, rrf_fusion, assembled_answer, search)}
 
-_SCORED = f"""{SQL_LINES}, post AS (SELECT doc_id, paragraph_index, t AS token, count(*) AS tf FROM (SELECT doc_id, paragraph_index, unnest({_TOK.format("text")}) AS t FROM lines) GROUP BY ALL),
-q0 AS (SELECT item_id AS query_id, {_first_tokens("text", 7)} AS t FROM benchmark), q AS (SELECT query_id, len(t) AS n_tokens, unnest(t) AS token FROM q0),
-s AS (SELECT query_id, doc_id, paragraph_index, n_tokens, count(*) AS matched, sum(tf * 0.1::DOUBLE) AS s FROM q JOIN post USING (token) GROUP BY ALL),
-found AS (SELECT query_id, doc_id, paragraph_index, n_tokens, matched, round(s / (s + 1), 6) AS score FROM s)"""
-_CASCADE = """m AS (SELECT *, max(matched) OVER (PARTITION BY query_id) AS most FROM found),
-l AS (SELECT *, CASE WHEN n_tokens >= 3 AND most >= greatest(3, ceil(n_tokens / 2)) THEN most ELSE 0 END AS level FROM m), c AS (SELECT * FROM l WHERE level = 0 OR matched = level)"""
+search = _searched("search")
+
+QUERIES = {f.__name__: f for f in (
+    lexical_topk, kofn_cascade, pinned_pool, vector_topk, vector_min_similarity, rrf_fusion, union_of_arms, assembled_answer, code_lookup, metadata_scope,
+    *map(_searched, SEARCHES),
+)}
+
 _COSINE = "list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[])"
 _NEAR = f"""near AS (SELECT q.vec_id AS query_id, v.vec_id, greatest(0, least(1, {_COSINE})) AS sim FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM near)"""
+_PLACE = "score DESC, doc_id, paragraph_index"
+_KEY = "substring({}, 1, {})".format(NORM.format("{}"), "{}")
+
+
+def _picked(rows: str, k: int) -> str:
+    """query_id, id and slot: the rows (query_id, id, position, content_key, page_key) that a greedy pick takes in order."""
+    entry = "{'ids': [id], 'cs': [content_key], 'ps': [page_key]}"
+    fold = f"""list_reduce(list({entry} ORDER BY position, id), lambda a, x: CASE WHEN len(a.ids) >= {k} OR list_contains(a.cs, x.cs[1]) OR list_contains(a.ps, x.ps[1]) THEN a
+      ELSE {{'ids': list_concat(a.ids, x.ids), 'cs': list_concat(a.cs, x.cs), 'ps': list_concat(a.ps, x.ps)}} END)"""
+    return f"SELECT query_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS slot FROM (SELECT query_id, ({fold}).ids AS ids FROM {rows} GROUP BY 1)"
+
+
+_TIER = "CASE authority_level WHEN 'contract_source_of_truth' THEN 0 WHEN 'payer_policy' THEN 1 WHEN 'operational_suggested' THEN 1 WHEN 'fyi_not_citable' THEN 2 ELSE 3 END"
+_AUTH = "CASE authority_level WHEN 'contract_source_of_truth' THEN 1.0::DOUBLE WHEN 'payer_website' THEN 0.75::DOUBLE WHEN 'operational_suggested' THEN 0.65::DOUBLE WHEN 'payer_policy' THEN 0.5::DOUBLE WHEN 'fyi_not_citable' THEN 0.2::DOUBLE ELSE 0.1::DOUBLE END"
+_LENGTH = "CASE WHEN length(text) < 50 THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, (length(text) - 50) / 450.0::DOUBLE) END"
+_BALANCED = """h AS (SELECT *, ({tier} > 1)::INT AS half FROM first3), hn AS (SELECT *, row_number() OVER (PARTITION BY query_id, half ORDER BY score DESC, id) AS n FROM h),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY half, n) AS position FROM hn WHERE n <= CASE WHEN half = 0 THEN {a} ELSE {b} END)"""
+# The questions' literals: pattern, and whether letters, digits and dots may not follow.
+_LITERALS = ((r"\b[A-Z]{2,5}\.[A-Z]{2,5}\.[0-9]+(?:\.[0-9]+)*", True), (r"\b[A-Z][0-9]{4}\b", False), (r"\b[A-Z][0-9]{2}(?:\.[0-9]{1,4})?", True), (r"\b[0-9]{5}\b", False), (r"\b[A-Z]{2,5}-[A-Z0-9]{2,8}(?:-[A-Z0-9]+)*\b", False))
+
+
+def cut(source: str) -> str:
+    """query_id, text, literals and rest of a source of (query_id, text), a step for each pattern."""
+    steps, before, found = [], f"(SELECT query_id, text, trim(text) AS r FROM {source})", []
+    for i, (p, stop) in enumerate(_LITERALS):
+        tail = "([^A-Za-z0-9.]|$)" if stop else "()"
+        found.append(f"l{i}")
+        steps.append(f"cut{i} AS (SELECT * EXCLUDE (r), regexp_extract_all(r, '(?i)({p}){tail}', 1) AS l{i}, regexp_replace(r, '(?i){p}{tail}', ' \\1', 'g') AS r FROM {before})")
+        before = f"cut{i}"
+    steps.append(f"cuts AS (SELECT query_id, text, list_concat({', '.join(found[:2])}) AS ab, {', '.join(found[2:])}, r AS rest FROM {before})")
+    steps.append("asked0 AS (SELECT query_id, text, list_concat(list_concat(list_concat(ab, l2), l3), l4) AS literals, rest FROM cuts)")
+    return ", ".join(steps)
+
+
+def requests() -> str:
+    """CTEs behind DOC_TAGS: sel, req (query_id, query, codes, dtags), phrases (query_id, phrase, weight, code)."""
+    leaf = "trim(replace(string_split(code, '.')[-1], '_', ' '))"
+    return f"""sel AS (SELECT kind, code, 1 - count(DISTINCT doc_id) / (SELECT count(*) FROM documents) AS s FROM doc_tags GROUP BY ALL), bq AS (SELECT item_id AS query_id, text FROM benchmark),
+{expand("bq")}, {cut("bq")}, have AS (SELECT query_id, kind, code, kind || ':' || code AS tag FROM expanded WHERE place < 12),
+need AS (SELECT query_id, {leaf} AS phrase, greatest(0.1::DOUBLE, s) AS weight, tag AS code FROM have JOIN sel USING (kind, code) WHERE s >= 0.65::DOUBLE AND {leaf} <> 'general'
+  UNION ALL SELECT query_id, lower(unnest(literals)), 1.0::DOUBLE, NULL FROM asked0),
+phrases AS (SELECT query_id, phrase, weight, code FROM (SELECT *, row_number() OVER (PARTITION BY query_id, phrase ORDER BY code IS NOT NULL, code) AS i FROM need) WHERE i = 1),
+dneed AS (SELECT query_id, substring(code, 3) AS code FROM phrases WHERE code LIKE 'd:%'),
+dtag AS (SELECT * FROM dneed UNION ALL SELECT query_id, code FROM have WHERE kind = 'd' AND query_id NOT IN (SELECT query_id FROM dneed)),
+about AS (SELECT query_id, bool_or(regexp_matches(tag, '^j:(state|program|payor|regulatory_authority)\\..')) AS hasj, bool_or(kind <> 'j') AS hasdp FROM have GROUP BY 1)"""
+
+
+_SIGNALS = {"P": ("that the", "this is", "are the"), "D": ("with", "from", "pour", "avec"), "J": ("of the", "und", "en la")}
+
+
+def _signal(text: str, name: str) -> str:
+    patterns = _SIGNALS[name]
+    hits = " + ".join(f"contains(lower({text}), '{p}')::INT" for p in patterns)
+    short = f"len(list_filter(regexp_split_to_array({text}, '\\s+'), lambda w: w <> '')) <= 20"
+    return f"least(1, ({hits}) / CASE WHEN {short} THEN sqrt({len(patterns)}) ELSE {len(patterns)} END)"
+
+
+def _search_sql(o: Options) -> str:
+    wanted, asked_all = 2 * o.k, o.tag_mode == "none"
+    kept = {"none": "true", "strict": "st", "relaxed": "rl", "auto": "CASE WHEN anyst THEN st ELSE hasdp AND rl END"}[o.tag_mode]
+    moded = lambda rows, off: f"""SELECT * EXCLUDE (st, rl, hasdp, anyst) FROM (SELECT *, bool_or(st) OVER (PARTITION BY query_id) AS anyst FROM (SELECT x.*, NOT coalesce(hasj, false) OR coalesce(strict, false) AS st,
+      NOT coalesce(hasdp, false) OR coalesce(relaxed, false) AS rl, coalesce(hasdp, false) AS hasdp FROM {rows} x LEFT JOIN about USING (query_id) LEFT JOIN adm USING (query_id, doc_id))) WHERE {'true' if off else kept}"""
+    arms = []
+    if o.mode != "recall":
+        arms.append("SELECT query_id, doc_id, paragraph_index, 'bm25' AS arm, 0 AS o, score AS similarity, rank FROM bm WHERE rank <= " + str(wanted))
+    if o.mode != "precision":
+        arms.append(f"SELECT query_id, doc_id, paragraph_index, 'vector' AS arm, {len(arms)} AS o, sim AS similarity, rank FROM va WHERE rank <= {wanted}")
+    if o.mode != "recall":
+        arms.append(f"SELECT query_id, doc_id, paragraph_index, 'dtag' AS arm, {len(arms)} AS o, 0.5::DOUBLE AS similarity, rank FROM ta WHERE rank <= {o.k}")
+    vec = "vector" if o.mode == "recall" else "CASE WHEN vector IS NOT NULL THEN greatest(0, (vector - 0.5::DOUBLE) * 2) END"
+    scored = SCORED.replace(LINES + ", ", "").replace("found AS MATERIALIZED", "found0 AS MATERIALIZED")
+    floor = 0.0 if o.mode == "recall" else 0.18
+    if o.min_similarity is not None:
+        floor = max([v for v in (0.55, 0.35, 0.18) if o.min_similarity >= v], default=0.0)
+    fetch = wanted * (8 if o.mode == "recall" or not asked_all else 1)
+    least = f"AND sim >= {o.min_similarity}::DOUBLE" if o.mode == "recall" and o.min_similarity is not None else ""
+    if o.order == "canonical_first":
+        order = f"ordered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN score >= 0.55 THEN 3 WHEN score >= 0.35 THEN 2 WHEN score >= 0.18 THEN 1 ELSE 0 END DESC, {_TIER}, score DESC, id) AS position FROM first3)"
+    elif o.order == "balanced":
+        slots = -int(-o.k * o.canonical_floor // 1)
+        order = _BALANCED.format(tier=_TIER, a=3 * slots, b=3 * (o.k - slots))
+    else:
+        order = "ordered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS position FROM first3)"
+    label = "CASE WHEN score >= 0.55 THEN 'high' WHEN score >= 0.35 THEN 'medium' WHEN score >= 0.18 THEN 'low' ELSE 'abstain' END"
+    sql = f"""WITH {DOC_TAGS}, {META}, {requests()}, {scored},
+held AS (SELECT DISTINCT query_id, m.doc_id, true AS strict, false AS relaxed FROM have h JOIN meta m ON h.kind = 'j' AND CASE WHEN h.code LIKE 'state.%' THEN m.state = upper(substring(substring(h.code, 7), 1, 2))
+    WHEN h.code LIKE 'payor.%' THEN contains(lower(m.payer), replace(substring(h.code, 7), '_', ' ')) ELSE false END
+  UNION ALL SELECT DISTINCT query_id, doc_id, true, false FROM have JOIN doc_tags USING (kind, code) WHERE kind = 'j' AND code LIKE 'payor.%'
+  UNION ALL SELECT DISTINCT query_id, doc_id, false, true FROM have JOIN doc_tags USING (kind, code) WHERE kind <> 'j'),
+adm AS MATERIALIZED (SELECT query_id, doc_id, bool_or(strict) AS strict, bool_or(relaxed) AS relaxed FROM held GROUP BY 1, 2),
+found AS MATERIALIZED ({moded("found0", o.tag_mode in ("none", "relaxed"))}), {CASCADE}, bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_PLACE}) AS rank FROM c),
+vn AS (SELECT b.query_id, v.vec_id AS doc_id, 0::BIGINT AS paragraph_index, greatest(0, least(1, {_COSINE})) AS sim FROM bq b JOIN embeddings q ON q.vec_id = b.query_id, embeddings v),
+vf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) AS i FROM vn WHERE true {least}) WHERE i <= {fetch}),
+vm AS ({moded("vf", asked_all)}), va AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) AS rank FROM vm),
+tp AS (SELECT doc_id, paragraph_index, code, CASE authority_level WHEN 'contract_source_of_truth' THEN 0 WHEN 'operational' THEN 1 WHEN 'payer_policy' THEN 2 WHEN 'fyi_not_citable' THEN 3 ELSE 4 END AS p FROM line_tags JOIN meta USING (doc_id) WHERE kind = 'd'),
+tf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY p, doc_id, paragraph_index) AS i FROM tp) WHERE i <= {o.k}),
+td AS (SELECT DISTINCT query_id, doc_id, paragraph_index, p FROM dtag JOIN tf USING (code)), ta AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p, doc_id, paragraph_index) AS rank FROM td),
+arms AS ({' UNION ALL '.join(arms)}),
+fused AS (SELECT query_id, doc_id, paragraph_index, sum(1.0::DOUBLE / (60 + rank)) AS rrf, min(rank) AS best_rank, arg_min(arm, o) AS arm, max(similarity) FILTER (arm = 'bm25') AS bm25, max(similarity) FILTER (arm = 'vector') AS vector,
+  max(similarity) FILTER (arm = 'dtag') AS dtag FROM arms GROUP BY 1, 2, 3),
+placed AS (SELECT f.*, page_number, text, authority_level, name, payer, state, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 9) DESC, best_rank, doc_id, paragraph_index) AS place FROM fused f JOIN lines USING (doc_id, paragraph_index) JOIN meta USING (doc_id)),
+once AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, CASE WHEN {_KEY.format("text", 400)} = '' THEN '#' || place ELSE '=' || {_KEY.format("text", 400)} END ORDER BY place) AS i FROM placed) WHERE i = 1),
+ph AS (SELECT query_id, list({{'phrase': phrase, 'weight': weight, 'code': code}}) AS phrases, sum(weight) AS total FROM phrases GROUP BY 1),
+seeds AS (SELECT DISTINCT doc_id, paragraph_index, page_number FROM once),
+ctx AS (SELECT s.doc_id, s.paragraph_index, substring(string_agg(l.text, chr(10) ORDER BY l.paragraph_index), 1, 1500) AS context FROM seeds s JOIN lines l ON s.doc_id = l.doc_id AND abs(l.paragraph_index - s.paragraph_index) = 1
+  AND l.page_number BETWEEN s.page_number - 1 AND s.page_number + 1 GROUP BY 1, 2),
+own AS (SELECT doc_id, list(kind || ':' || code) AS codes, string_agg(trim(replace(string_split(code, '.')[-1], '_', ' ')) || ' | ' || replace(replace(code, '.', ' '), '_', ' '), ' | ') AS said FROM doc_tags GROUP BY 1),
+dc AS (SELECT doc_id, paragraph_index, list(code) AS dcodes FROM line_tags WHERE kind = 'd' GROUP BY 1, 2),
+e0 AS (SELECT o.*, b.text AS query, phrases, total, CASE WHEN phrases IS NOT NULL THEN context END AS context, CASE WHEN phrases IS NOT NULL THEN coalesce(codes, []) ELSE [] END AS codes, coalesce(dcodes, []) AS dcodes,
+  CASE WHEN phrases IS NOT NULL THEN lower(name) || ' | ' || replace(replace(lower(name), '_', ' '), '-', ' ') || ' | ' || lower(payer) || ' | ' || lower(state) || ' | ' || coalesce(said, '') ELSE '' END AS meta_text,
+  phrases IS NOT NULL AND coalesce(bm25, vector, dtag) >= {o.merge_from}::DOUBLE AS good FROM once o JOIN bq b USING (query_id) LEFT JOIN ph USING (query_id) LEFT JOIN ctx USING (doc_id, paragraph_index) LEFT JOIN own USING (doc_id) LEFT JOIN dc USING (doc_id, paragraph_index)),
+gs AS (SELECT DISTINCT doc_id, paragraph_index, page_number FROM e0 WHERE good),
+near3 AS (SELECT g.doc_id, g.paragraph_index, l.paragraph_index AS pos, trim(l.text) AS t, row_number() OVER (PARTITION BY g.doc_id, g.paragraph_index ORDER BY l.paragraph_index) AS i FROM gs g JOIN lines l ON l.doc_id = g.doc_id
+  AND l.page_number = g.page_number AND abs(l.paragraph_index - g.paragraph_index) <= 3 AND l.paragraph_index <> g.paragraph_index AND trim(l.text) <> '' AND NOT (length(trim(l.text)) < 80 AND (contains(l.text, 'Provider Manual') OR contains(l.text, 'SH_')))),
+block AS (SELECT doc_id, paragraph_index, string_agg(t, chr(10) || chr(10) ORDER BY pos) FILTER (t <> '') AS merged FROM (SELECT doc_id, paragraph_index, pos, t FROM near3 WHERE i <= 5
+  UNION ALL SELECT doc_id, paragraph_index, paragraph_index, trim(text) FROM gs JOIN lines USING (doc_id, paragraph_index) WHERE (doc_id, paragraph_index) IN (SELECT (doc_id, paragraph_index) FROM near3)) GROUP BY 1, 2),
+e1 AS (SELECT e0.* EXCLUDE (text), CASE WHEN good AND merged IS NOT NULL THEN merged ELSE text END AS text FROM e0 LEFT JOIN block USING (doc_id, paragraph_index)),
+e2 AS (SELECT *, {NORM.format("text")} || CASE WHEN {NORM.format("coalesce(context, '')")} <> '' THEN ' | ' || {NORM.format("context")} ELSE '' END AS body FROM e1),
+e3 AS (SELECT *, CASE WHEN phrases IS NOT NULL THEN list_sum(list_transform(phrases, lambda p: CASE WHEN (coalesce(p.code, '') LIKE 'j:%' AND list_contains(codes, p.code)) OR contains(body, p.phrase) OR contains(meta_text, p.phrase) THEN p.weight ELSE 0 END)) / total END AS coverage,
+  phrases IS NOT NULL AND len(list_filter(phrases, lambda p: coalesce(p.code, '') LIKE 'd:%' AND list_contains(dcodes, substring(p.code, 3)))) > 0 AS boosted,
+  {' + '.join(_signal("query", n) for n in _SIGNALS)} AS qw, {' + '.join(f'{_signal("query", n)} * {_signal("body", n)}' for n in _SIGNALS)} AS dot FROM e2),
+e4 AS (SELECT *, CASE WHEN qw > 0 THEN least(1, dot / qw) END AS signal, greatest(coalesce(bm25, 0), coalesce({vec}, 0), coalesce(dtag, 0)) AS sim FROM e3),
+e5 AS (SELECT *, round((0.25::DOUBLE * sim + 0.1::DOUBLE * {_AUTH} + 0.05::DOUBLE * {_LENGTH} + coalesce(0.2::DOUBLE * signal, 0) + coalesce(0.55::DOUBLE * coverage, 0))
+  / (0.4::DOUBLE + CASE WHEN signal IS NOT NULL THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN phrases IS NOT NULL THEN 0.55::DOUBLE ELSE 0 END) * CASE WHEN boosted THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END, 6) AS score FROM e4),
+e6 AS (SELECT *, max(score) OVER (PARTITION BY query_id, arm) AS best FROM e5 WHERE coverage IS NULL OR coverage >= 0.999999999::DOUBLE OR boosted),
+e7 AS MATERIALIZED (SELECT *, doc_id * 1000000 + paragraph_index AS id, {_KEY.format("text", 200)} AS content_key, doc_id::VARCHAR || '/' || page_number::VARCHAR AS page_key FROM e6 WHERE best <= 0 OR score >= 0.6::DOUBLE * best),
+first3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS i3 FROM e7) WHERE i3 <= {3 * o.k}), {order},
+cand AS (SELECT * FROM ordered WHERE score >= {floor} AND position <= {3 * o.k}), slots AS ({_picked("cand", o.k)}),
+hits2 AS MATERIALIZED (SELECT e7.query_id, doc_id, paragraph_index, page_number, text, score, slot FROM e7 JOIN slots USING (query_id, id))"""
+    if not o.paragraphs:
+        return f"{sql} SELECT query_id, doc_id, paragraph_index, 'hit' AS origin, score, {label} AS label, slot AS position FROM hits2"
+    return f"""{sql},
+nb AS (SELECT DISTINCT h.query_id, l.doc_id, l.paragraph_index, {_KEY.format("l.text", 200)} AS key FROM hits2 h JOIN lines l ON l.doc_id = h.doc_id AND abs(l.paragraph_index - h.paragraph_index) BETWEEN 1 AND {o.paragraphs} AND abs(l.page_number - h.page_number) <= {o.pages}),
+nf AS (SELECT *, row_number() OVER (PARTITION BY query_id, key ORDER BY doc_id, paragraph_index) AS i FROM nb WHERE key <> '' AND NOT EXISTS (SELECT 1 FROM hits2 h WHERE h.query_id = nb.query_id AND h.doc_id = nb.doc_id AND h.paragraph_index = nb.paragraph_index)
+  AND NOT EXISTS (SELECT 1 FROM hits2 h WHERE h.query_id = nb.query_id AND {_KEY.format("h.text", 200)} = nb.key)),
+bestd AS (SELECT query_id, doc_id, max(score) AS b FROM hits2 GROUP BY 1, 2),
+everyone AS (SELECT query_id, doc_id, paragraph_index, 'hit' AS origin, score FROM hits2 UNION ALL SELECT query_id, doc_id, paragraph_index, 'neighbour', round(CASE WHEN b > 0 THEN 0.5::DOUBLE * b ELSE 0.15::DOUBLE END, 6) FROM nf JOIN bestd USING (query_id, doc_id) WHERE i = 1),
+capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY origin <> 'hit', score DESC, doc_id, paragraph_index) AS i FROM everyone) WHERE i <= {o.per_document}),
+final AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY origin <> 'hit', score DESC, doc_id, paragraph_index) AS position FROM capped)
+SELECT query_id, doc_id, paragraph_index, origin, score, CASE WHEN origin = 'hit' THEN {label} ELSE 'low' END AS label, position FROM final WHERE position <= {o.total}"""
+
 
 SQL = {
-    "lexical_topk": f"WITH {_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, paragraph_index) AS rank FROM found) SELECT query_id, doc_id, paragraph_index, matched, score, rank FROM r WHERE rank <= 10",
-    "kofn_cascade": f"WITH {_SCORED}, {_CASCADE}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, paragraph_index) AS rank FROM c) SELECT query_id, doc_id, paragraph_index, level, matched, score, rank FROM r WHERE rank <= 10",
-    "pinned_pool": f"""WITH {_SCORED}, pins AS (SELECT doc_id % 40 AS query_id, doc_id FROM documents WHERE source = 'src1' AND doc_id % 40 IN (SELECT item_id FROM benchmark))
-      SELECT query_id, doc_id, paragraph_index, coalesce(score, 0) AS score FROM pins JOIN lines USING (doc_id) LEFT JOIN found USING (query_id, doc_id, paragraph_index)""",
+    "lexical_topk": f"WITH {SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_PLACE}) AS rank FROM found) SELECT query_id, doc_id, paragraph_index, matched, round(score, 6) AS score, rank FROM r WHERE rank <= 10",
+    "kofn_cascade": f"WITH {SCORED}, {CASCADE}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_PLACE}) AS rank FROM c) SELECT query_id, doc_id, paragraph_index, level, matched, round(score, 6) AS score, rank FROM r WHERE rank <= 10",
+    "pinned_pool": f"""WITH {SCORED}, pins AS (SELECT doc_id % (SELECT max(item_id) + 1 FROM benchmark) AS query_id, doc_id FROM documents)
+      SELECT query_id, doc_id, paragraph_index, round(coalesce(score, 0), 6) AS score FROM pins JOIN (SELECT item_id AS query_id FROM benchmark) USING (query_id) JOIN lines USING (doc_id) LEFT JOIN found USING (query_id, doc_id, paragraph_index)""",
     "vector_topk": f"WITH {_NEAR} SELECT query_id, vec_id, round(sim, 6) AS similarity, rank FROM ranked WHERE rank <= 10",
     "vector_min_similarity": f"WITH {_NEAR} SELECT query_id, vec_id, round(sim, 6) AS similarity, rank FROM ranked WHERE sim >= 0.5 AND rank <= 50",
     "rrf_fusion": f"""WITH {_NEAR}, idf AS (SELECT label, ln((SELECT count(*) FROM embeddings) / count(*)) AS w FROM embeddings GROUP BY 1),
       first AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rank FROM embeddings),
       arms AS (SELECT query_id, vec_id, 'vector' AS arm, 0 AS o, rank, 1.0::DOUBLE AS w FROM ranked WHERE rank <= 20
         UNION ALL SELECT q.vec_id, f.vec_id, 'dtag', 1, f.rank, w FROM embeddings q JOIN first f USING (label) JOIN idf USING (label) WHERE q.vec_id % 50 = 0 AND f.rank <= 20),
-      fused AS (SELECT query_id, vec_id, round(sum(w / (60 + rank)), 6) AS rrf, min(rank) AS best_rank, arg_min(arm, o) AS arm, count(*) AS n_arms FROM arms GROUP BY ALL),
-      r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, best_rank, vec_id) AS rank FROM fused) SELECT * FROM r WHERE rank <= 20""",
-    "search": f"""WITH {_SCORED}, {_CASCADE}, b AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM c), k AS (SELECT * FROM b WHERE score >= 0.6::DOUBLE * best),
-      p AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, doc_id, paragraph_index) AS n FROM k),
-      t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, paragraph_index) AS position FROM p WHERE n <= 3)
-      SELECT query_id, doc_id, paragraph_index, score, position, CASE WHEN score >= 0.55 THEN 'high' WHEN score >= 0.35 THEN 'medium' WHEN score >= 0.18 THEN 'low' ELSE 'abstain' END AS label FROM t WHERE position <= 10""",
+      fused AS (SELECT query_id, vec_id, round(sum(w / (60 + rank)), 9) AS rrf, min(rank) AS best_rank, arg_min(arm, o) AS arm, count(*) AS n_arms FROM arms GROUP BY ALL),
+      r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, best_rank, vec_id) AS rank FROM fused) SELECT query_id, vec_id, round(rrf, 6) AS rrf, best_rank, arm, n_arms, rank FROM r WHERE rank <= 20""",
+    "union_of_arms": f"""WITH {SCORED}, {CASCADE}, a AS (SELECT query_id, doc_id, paragraph_index, round(score, 6) AS score, 'or' AS arm, row_number() OVER (PARTITION BY query_id ORDER BY {_PLACE}) AS i FROM found),
+      b AS (SELECT query_id, doc_id, paragraph_index, round(score, 6) + 0.1::DOUBLE AS score, 'cascade' AS arm, row_number() OVER (PARTITION BY query_id ORDER BY {_PLACE}) AS i FROM c),
+      u AS (SELECT * FROM a WHERE i <= 10 UNION ALL SELECT * FROM b WHERE i <= 10), x AS (SELECT query_id, doc_id, paragraph_index, max(score) AS score, arg_max(arm, score) AS arm FROM u GROUP BY 1, 2, 3),
+      r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_PLACE}) AS position FROM x) SELECT query_id, doc_id, paragraph_index, round(score, 6) AS score, arm, position FROM r WHERE position <= 20""",
+    "assembled_answer": f"""WITH {SCORED}, top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_PLACE}) AS r FROM found),
+      l AS (SELECT query_id, doc_id * 1000000 + paragraph_index AS id, {AUTHORITY} AS authority_level, score AS sim, text, {_KEY.format("text", 200)} AS content_key, doc_id::VARCHAR || '/' || page_number::VARCHAR AS page_key
+        FROM top JOIN lines USING (doc_id, paragraph_index) LEFT JOIN labels USING (doc_id) WHERE r <= 60),
+      sd AS (SELECT *, round((0.25::DOUBLE * sim + 0.1::DOUBLE * {_AUTH} + 0.05::DOUBLE * {_LENGTH}) / 0.4::DOUBLE, 6) AS score FROM l),
+      first3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS i3 FROM sd) WHERE i3 <= 15), {_BALANCED.format(tier=_TIER, a=9, b=6)},
+      cand AS (SELECT * FROM ordered WHERE score >= 0.18 AND position <= 15) {_picked("cand", 5)}""",
+    "code_lookup": """WITH p AS (SELECT page_id, replace(regexp_extract(url, '/([a-z]{2}/[0-9]+)', 1), '/', '-') AS c FROM pages), q AS (SELECT page_id AS query_id, upper(c) AS c FROM p WHERE page_id % 5 = 0 AND regexp_matches(upper(c), '^([A-Z]{1,4}[.\\-_]?[A-Z0-9]{1,5}([.\\-_][A-Z0-9]{1,5})+|[A-Z][0-9]{4,5})$')),
+      n AS (SELECT page_id AS doc_id, upper('page ' || c || ' copy') AS name FROM p), r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM q JOIN n ON regexp_matches(name, '(^|[^A-Z0-9])' || c || '([^A-Z0-9]|$)')) SELECT * FROM r WHERE rank <= 20""",
+    "metadata_scope": f"""WITH {META}, q AS (SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 'src' || (item_id % 3)::VARCHAR END AS p, CASE WHEN item_id % 5 = 0 THEN 'FR' END AS s, CASE WHEN item_id % 7 = 0 THEN 'Medicaid' END AS g,
+        CASE WHEN item_id % 11 = 0 THEN 'payer_policy' END AS a FROM benchmark)
+      SELECT query_id, count(doc_id) AS docs FROM q LEFT JOIN meta ON (p IS NULL OR payer = p OR (p = 'src1' AND payer IN ('src0', 'src2') AND state = 'FR')) AND (s IS NULL OR state = s) AND (g IS NULL OR program = g) AND (a IS NULL OR authority_level = a) GROUP BY 1""",
+    **{name: _search_sql(o) for name, o in SEARCHES.items()},
 }
