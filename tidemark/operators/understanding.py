@@ -1,4 +1,4 @@
-"""Query expansion, term statistics, recall estimates, signals, attempts and grading."""
+"""Query profiles, rewrites, term statistics, recall estimates, signals, attempts and grading."""
 
 from __future__ import annotations
 
@@ -7,34 +7,102 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.constants import LEXICON
-from tidemark.functions.text import filter_tokens, tokens
+from tidemark.functions.constants import QUERY_NOISE
+from tidemark.functions.text import filter_tokens, tokens, words
 from tidemark.operators.lexical import query_tokens
-from tidemark.operators.routing import partition_term
-
-# Caps and weights of the formulas below.
-MOST_ENTRIES = 12
-PRESENCE = ((3, 1.0), (2, 0.7), (1, 0.2))
-PRESENCE_NONE = 0.05
+from tidemark.operators.lexicon import SAMPLE, Entry, expand
+from tidemark.operators.routing import partition_term, query_type, untagged_selectivity
+from tidemark.operators.tagging import leaf
+
+# Weights of the formulas below, and the steps of a pool's factor (documents up to, factor).
+POOL_STEPS, POOL_WIDE = ((0, 0.0), (5, 0.4), (50, 0.7), (500, 1.0)), 0.85
+PRESENT = {"paragraph": 1.0, "document": 0.7, "scattered": 0.2, "missing": 0.05}
+MOST_ITEMS = 5
 HALLUCINATION_PENALTY = 1.0
 SUPPORTED = 0.5
+# What stands for itself in a query, each pattern and the class of what may not follow it.
+LITERALS = (
+    (r"\b[A-Z]{2,5}\.[A-Z]{2,5}\.[0-9]+(?:\.[0-9]+)*", "[A-Za-z0-9.]"),
+    (r"\b[A-Z][0-9]{4}\b", None),
+    (r"\b[A-Z][0-9]{2}(?:\.[0-9]{1,4})?", "[A-Za-z0-9.]"),
+    (r"\b[0-9]{5}\b", None),
+    (r"\b[A-Z]{2,5}-[A-Z0-9]{2,8}(?:-[A-Z0-9]+)*\b", None),
+)
 
 #: Signal categories and their patterns, in the words of the test tables.
 CATEGORIES = {"P": ("that the", "this is", "are the"), "D": ("with", "from", "pour", "avec"), "J": ("of the", "und", "en la")}
 
 
-def padded(text: Column) -> Column:
-    """Letters and digits with single blanks, also at both ends."""
-    return F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" "))
+def cut_query(text: Column) -> tuple[Column, Column]:
+    """The query's literals, and its other tokens: what is left between white space and punctuation once the literals are out."""
+    found, rest = F.array().cast("array<string>"), F.trim(text)
+    for pattern, stop in LITERALS:
+        own = f"(?i){pattern}" + (f"(?!{stop})" if stop else "")
+        found = F.concat(found, F.regexp_extract_all(rest, F.lit(f"({own})"), F.lit(1)))
+        rest = F.regexp_replace(rest, own, " ")
+    return found, F.filter(F.split(rest, r"""[\s,.;:!?()"'/\\]+"""), lambda t: t != "")
+
 
+def profiles(queries: DataFrame, entries: tuple[Entry, ...] = SAMPLE) -> DataFrame:
+    """query_id, text, codes (sorted kind:code), literals, untagged, core, coverage and query_type of queries (query_id, text).
 
-def expand(queries: DataFrame, lexicon=LEXICON, most: int = MOST_ENTRIES) -> DataFrame:
-    """query_id, kind, code and place of the first matching lexicon entries in (kind, code) order; a phrase matches as whole words."""
-    entries = sorted((kind, code, (*strong, code.split(".")[-1].replace("_", " "))) for kind, code, strong, _, _ in lexicon)
-    normal = queries.select("query_id", padded(F.col("text")).alias("n"))
-    has = lambda phrases: reduce(lambda a, b: a | b, (F.col("n").contains(f" {p} ") for p in phrases))
-    hits = F.array_compact(F.array(*(F.when(has(p), F.struct(F.lit(k).alias("kind"), F.lit(c).alias("code"))) for k, c, p in entries)))
-    return normal.select("query_id", F.posexplode(F.slice(hits, 1, most)).alias("place", "e")).select("query_id", F.col("place").cast("long").alias("place"), "e.kind", "e.code")
+    coverage: the part of the tokens that say something which are literals or words of a matched entry's phrases.
+    """
+    asked = {(e.kind, e.code): e.asked for e in entries}
+    said = [(k, c, [w for p in phrases for w in p.split()]) for (k, c), phrases in asked.items()]
+    of_entry = queries.sparkSession.createDataFrame(said, "kind string, code string, known array<string>")
+    hits = expand(queries, entries).join(F.broadcast(of_entry), ["kind", "code"])
+    by = hits.groupBy("query_id").agg(F.array_sort(F.collect_set(F.concat_ws(":", "kind", "code"))).alias("codes"), F.array_distinct(F.flatten(F.collect_list("known"))).alias("known"))
+    found, others = cut_query(F.col("text"))
+    none = F.array().cast("array<string>")
+    rows = queries.select("query_id", "text", found.alias("literals"), others.alias("others")).join(by, "query_id", "left")
+    rows = rows.withColumns({"codes": F.coalesce("codes", none), "known": F.coalesce("known", none)})
+    rows = rows.withColumn("others", F.filter("others", lambda t: ~F.lower(t).isin(QUERY_NOISE)))
+    rows = rows.withColumn("untagged", F.filter("others", lambda t: ~F.array_contains(F.col("known"), F.lower(t))))
+    every = F.size("literals") + F.size("others")
+    coverage = (every - F.size("untagged")) / F.greatest(every, F.lit(1))
+    kind = query_type(F.size("literals") > 0, F.col("coverage"), F.size("codes") > 0)
+    rows = rows.withColumn("coverage", coverage).withColumn("core", F.array_join(F.concat("literals", "others"), " "))
+    return rows.select("query_id", "text", "codes", "literals", "untagged", "core", "coverage", kind.alias("query_type"))
+
+
+def term_parts(profiles: DataFrame, selectivity: DataFrame) -> DataFrame:
+    """query_id, term, term_kind (literal, tag, untagged), selectivity and part of all terms of profiles; selectivity: kind, code, selectivity of tags."""
+    literal = profiles.select("query_id", F.explode("literals").alias("term"), F.lit("literal").alias("term_kind"), F.lit(1.0).alias("selectivity"))
+    tags = profiles.select("query_id", F.explode("codes").alias("term"), F.lit("tag").alias("term_kind"))
+    of_tag = selectivity.select(F.concat_ws(":", "kind", "code").alias("term"), "selectivity")
+    tags = tags.join(of_tag, "term", "left").select("query_id", "term", "term_kind", F.coalesce("selectivity", F.lit(0.0)).alias("selectivity"))
+    other = profiles.select("query_id", F.explode("untagged").alias("term"), F.lit("untagged").alias("term_kind")).withColumn("selectivity", untagged_selectivity(F.col("term")))
+    every = literal.unionByName(tags).unionByName(other)
+    return every.withColumn("part", partition_term(F.col("selectivity"), F.col("term_kind") != "untagged"))
+
+
+def required_phrases(parts: DataFrame) -> DataFrame:
+    """query_id and phrases, an array of (phrase, weight, code): required literals, then required tags by their leaf (not "general"), each phrase once."""
+    tag = F.col("term_kind") == "tag"
+    code = F.when(tag, F.col("term"))
+    phrase = F.when(tag, leaf(F.substring("term", 3, 1000))).otherwise(F.lower("term"))
+    rows = parts.where("part = 'REQUIRED'").select("query_id", phrase.alias("phrase"), F.greatest(F.lit(0.1), F.col("selectivity")).alias("weight"), code.alias("code"))
+    rows = rows.where((F.col("phrase") != "") & ~(F.col("code").isNotNull() & (F.col("phrase") == "general")))
+    first = rows.groupBy("query_id", "phrase").agg(F.min(F.struct(F.col("code").isNotNull().alias("tag"), "code", "weight")).alias("f"))
+    entry = F.struct("phrase", F.col("f.weight").alias("weight"), F.col("f.code").alias("code"))
+    return first.groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("phrases"))
+
+
+def rewrites(profiles: DataFrame, parts: DataFrame) -> DataFrame:
+    """query_id and its text for each way of searching: hybrid, phrase_strict and vector_broad."""
+    gone = parts.where("part = 'DROP' and term_kind = 'untagged'").groupBy("query_id").agg(F.collect_set(F.lower("term")).alias("gone"))
+    rows = profiles.join(gone, "query_id", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<string>")))
+    kept = lambda ws: F.filter(ws, lambda t: ~F.array_contains("gone", F.lower(t)))
+    joined = lambda ws, other: F.coalesce(F.nullif(F.array_join(ws, " "), F.lit("")), other)
+    core = joined(kept(words(F.coalesce(F.nullif("core", F.lit("")), F.col("text")))), F.col("text"))
+    rows = rows.withColumn("hybrid", core)
+    payors = F.transform(F.filter("codes", lambda c: c.startswith("j:")), lambda c: F.replace(F.regexp_replace(c, r"^j:([^.]*\.)?", ""), F.lit("_"), F.lit(" ")))
+    apart = lambda t: ~F.exists("payors", lambda p: F.contains(F.lower(t), p) | F.contains(p, F.lower(t)))
+    rows = rows.withColumn("payors", payors)
+    strict = F.when(F.size("literals") > 0, F.array_join("literals", " ")).otherwise(joined(kept(F.col("untagged")), F.col("hybrid")))
+    broad = F.when(F.size("payors") > 0, joined(F.filter(words(F.col("hybrid")), apart), F.col("hybrid"))).otherwise(F.col("hybrid"))
+    return rows.select("query_id", "hybrid", strict.alias("phrase_strict"), broad.alias("vector_broad"))
 
 
 def term_statistics(queries: DataFrame, docs: DataFrame) -> DataFrame:
@@ -49,22 +117,73 @@ def term_statistics(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return found.select("query_id", "token", n.alias("df"), selectivity.alias("selectivity"), partition_term(selectivity, F.lit(False)).alias("part"))
 
 
-def recall_estimate(pool: Column, matched: Column) -> Column:
-    """(0.7 pool factor presence)^(1/3); 0 for an empty pool."""
-    presence = reduce(lambda acc, x: F.when(matched >= x[0], x[1]).otherwise(acc), reversed(PRESENCE), F.lit(PRESENCE_NONE))
-    return F.when(pool == 0, 0.0).otherwise(F.pow(0.7 * F.least(F.lit(1.0), pool / 50.0) * presence, F.lit(1 / 3)))
+def significant(profiles: DataFrame) -> DataFrame:
+    """query_id, item and n_items: what has to meet in a text: literals, untagged terms, leaves of d- and j-tags; five at most, none a part of another."""
+    leaves = F.filter(F.transform(F.filter("codes", lambda c: ~c.startswith("p:")), lambda c: leaf(F.substring(c, 3, 1000))), lambda x: (x != "general") & (F.length(x) >= 3))
+    every = F.array_distinct(F.transform(F.concat("literals", "untagged", leaves), lambda x: F.lower(x)))
+    rows = profiles.select("query_id", every.alias("every"))
+    alone = F.filter("every", lambda x: ~F.exists("every", lambda y: (y != x) & F.contains(y, x)))
+    items = F.slice(F.filter(alone, lambda x: F.size(tokens(x)) > 0), 1, MOST_ITEMS)
+    return rows.select("query_id", items.alias("items")).select("query_id", F.size("items").cast("long").alias("n_items"), F.explode("items").alias("item"))
 
 
-def signals(rows: DataFrame, key: str, categories=CATEGORIES, short_words: int = 20) -> DataFrame:
-    """key, category and score: hits / sqrt(patterns) in short texts, hits / patterns in long ones, 1 at most."""
-    low = F.lower("text")
-    short = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")) <= short_words
-    one = []
-    for name, patterns in categories.items():
+def presence(items: DataFrame, index: DataFrame) -> DataFrame:
+    """query_id, place and missing: whether all items (query_id, item, n_items) meet in a paragraph, a document, or only the corpus, or which is missing.
+
+    index: postings (doc_id, paragraph_index, token). An item stands in a paragraph that has all its words.
+    """
+    distinct = items.select("item").distinct().select("item", F.explode(F.array_distinct(tokens(F.col("item")))).alias("token"))
+    size = distinct.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    hits = distinct.join(index.select("doc_id", "paragraph_index", "token"), "token").groupBy("item", "doc_id", "paragraph_index").agg(F.count(F.lit(1)).alias("c"))
+    found = hits.join(size, "item").where("c = n").select("item", "doc_id", "paragraph_index")
+    places = items.join(found, "item").groupBy("query_id", "n_items", "doc_id", "paragraph_index").agg(F.collect_set("item").alias("own"))
+    documents = places.groupBy("query_id", "n_items", "doc_id").agg(F.max(F.size("own")).alias("in_paragraph"), F.size(F.array_distinct(F.flatten(F.collect_set("own")))).alias("in_document"))
+    best = documents.groupBy("query_id").agg(F.max("in_paragraph").alias("in_paragraph"), F.max("in_document").alias("in_document"))
+    lost = items.join(found.select("item").distinct(), "item", "left_anti").groupBy("query_id").agg(F.min("item").alias("missing"))
+    rows = items.select("query_id", "n_items").distinct().join(best, "query_id", "left").join(lost, "query_id", "left")
+    n = F.col("n_items")
+    place = F.when(F.col("missing").isNotNull(), "missing").when(F.col("in_paragraph") >= n, "paragraph").when(F.col("in_document") >= n, "document").otherwise("scattered")
+    return rows.select("query_id", "n_items", place.alias("place"), "missing")
+
+
+def recall_estimate(pool: Column, place: Column, missing_literal: Column) -> Column:
+    """(0.7 pool factor presence)^(1/3); 0 for an empty pool or where a literal is missing. A null place (fewer than two items) counts fully."""
+    factor = reduce(lambda acc, x: acc.when(pool <= x[0], x[1]), POOL_STEPS[1:], F.when(pool <= POOL_STEPS[0][0], POOL_STEPS[0][1])).otherwise(POOL_WIDE)
+    present = reduce(lambda acc, kv: F.when(place == kv[0], kv[1]).otherwise(acc), PRESENT.items(), F.lit(1.0))
+    return F.when(missing_literal | (pool == 0), 0.0).otherwise(F.round(F.pow(0.7 * factor * present, F.lit(1 / 3)), 3))
+
+
+def signal_struct(text: Column, categories=CATEGORIES, short_words: int = 20) -> Column:
+    """A struct of each category's score: hits / sqrt(patterns) in short texts, hits / patterns in long ones, 1 at most."""
+    short = F.size(words(text)) <= short_words
+    low = F.lower(text)
+
+    def score(patterns: tuple[str, ...]) -> Column:
         hits = sum((low.contains(p).cast("int") for p in patterns), F.lit(0))
-        score = F.least(F.lit(1.0), hits / F.when(short, F.lit(len(patterns) ** 0.5)).otherwise(F.lit(float(len(patterns)))))
-        one.append(F.struct(F.lit(name).alias("category"), score.alias("score")))
-    return rows.select(key, F.explode(F.array(*one)).alias("s")).select(key, "s.category", "s.score").where("score > 0")
+        return F.least(F.lit(1.0), hits / F.when(short, F.lit(len(patterns) ** 0.5)).otherwise(F.lit(float(len(patterns)))))
+
+    return F.struct(*(score(p).alias(n) for n, p in categories.items()))
+
+
+def signal_weight(asked: Column, categories=CATEGORIES) -> Column:
+    return reduce(lambda a, b: a + b, (asked[n] for n in categories))
+
+
+def signal_dot(asked: Column, own: Column, categories=CATEGORIES) -> Column:
+    return reduce(lambda a, b: a + b, (asked[n] * own[n] for n in categories))
+
+
+def signal_families(asked: Column, own: Column, most: int = 2, categories=CATEGORIES) -> Column:
+    """The names of the categories that a query and a text have most in common, best first."""
+    each = F.array(*(F.struct((-asked[n] * own[n]).alias("v"), F.lit(n).alias("n")) for n in categories))
+    return F.slice(F.transform(F.filter(F.array_sort(each), lambda x: x["v"] < 0), lambda x: x["n"]), 1, most)
+
+
+def signals(rows: DataFrame, key: str, categories=CATEGORIES, short_words: int = 20) -> DataFrame:
+    """key, category and score of each category that a text has."""
+    scored = rows.select(key, signal_struct(F.col("text"), categories, short_words).alias("s"))
+    one = F.array(*(F.struct(F.lit(n).alias("category"), F.col("s")[n].alias("score")) for n in categories))
+    return scored.select(key, F.explode(one).alias("x")).select(key, "x.category", "x.score").where("score > 0")
 
 
 def signal_match(queries: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -81,11 +200,6 @@ def signal_match(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return scored.join(vectors.groupBy("v").agg(F.count(F.lit(1)).alias("chunks")), "v").groupBy("query_id", F.round("signal", 6).alias("signal")).agg(F.sum("chunks").alias("chunks"))
 
 
-def literals(text: Column) -> Column:
-    """Codes and amounts that a query names, which are looked up as they stand."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"([A-Z][0-9]{4}|[0-9]{5,}|[$][0-9]+)"), F.lit(1)))
-
-
 def best_attempt(attempts: DataFrame) -> DataFrame:
     """Per query the first successful attempt, else the one with the best rerank plus .05 per document (ten at most)."""
     value = F.col("rerank") + 0.05 * F.least(F.col("n_docs"), F.lit(10))
@@ -151,9 +265,11 @@ def fact_match(asked: DataFrame, facts: DataFrame, alpha: float = 0.5, tau: floa
 
     Both have payer and text. Overlap is Jaccard over filter tokens; the pairs come from shared tokens.
     """
-    a = asked.select("query_id", "payer", filter_tokens(F.col("text"), 50).alias("a"))
-    b = facts.select("fact_id", F.col("payer").alias("own"), "authority", filter_tokens(F.col("text"), 50).alias("b"))
-    pairs = a.select("query_id", "payer", F.size("a").alias("na"), F.explode("a").alias("t")).join(b.select("fact_id", "own", "authority", F.size("b").alias("nb"), F.explode("b").alias("t")), "t").where("payer = own")
+    a = asked.select("query_id", "payer", filter_tokens(F.col("text"), None).alias("a"))
+    b = facts.select("fact_id", F.col("payer").alias("own"), "authority", filter_tokens(F.col("text"), None).alias("b"))
+    a = a.select("query_id", F.col("payer").alias("own"), F.size("a").alias("na"), F.explode("a").alias("t"))
+    b = b.select("fact_id", "own", "authority", F.size("b").alias("nb"), F.explode("b").alias("t"))
+    pairs = a.join(b, ["own", "t"])
     by = pairs.groupBy("query_id", "fact_id", "na", "nb", "authority").agg(F.count(F.lit(1)).alias("both"))
     score = F.col("both") / (F.col("na") + F.col("nb") - F.col("both")) * F.col("authority")
     return by.select("query_id", "fact_id", score.alias("score")).where(F.col("score") >= tau)
