@@ -5,54 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.constants import LEXICON, NOISE_WORDS, STOP_WORDS
-from tidemark.functions.text import LEADS, content_key, filter_tokens, normalise_query
-from tidemark.operators import corpus, lexical, ranking, registry, routing, tagging
-from tidemark.sources.tables import read
+from tidemark.functions.text import content_key
+from tidemark.operators import corpus, lexical, ranking, registry, tagging
+from tidemark.plans.oracle import DOC_TAGS, HEAD, HOST, LEXICON, LINES, NORM, PATH, STRIP, TAGS, TOK, hits
+from tidemark.sources.store import stored
+from tidemark.sources.tables import metadata, read
 
-WANTED = {"d": ["claims.general"], "j": ["state.fl"], "p": ["authorization.prior"]}
 LINE = ["doc_id", "paragraph_index"]
 PARAGRAPH = ["doc_id", "page_number"]
 
-SQL_LINES = """
-lines AS (SELECT doc_id, i AS paragraph_index, i // 8 + 1 AS page_number, s[i + 1] AS text FROM
-  (SELECT doc_id, s, unnest(range(len(s))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)))"""
-_q = lambda s: s.replace("'", "''")
-SQL_LEXICON = "lexicon(phrase, kind, code, score) AS (VALUES " + ", ".join(f"('{_q(p)}', '{k}', '{c}', {s}::DOUBLE)" for p, k, c, s in tagging.phrase_map()) + ")"
-
-
-def _has(phrase: str) -> str:
-    word = r"regexp_matches(n, '(^|[^\p{L}\p{N}_])" + _q(phrase) + r"([^\p{L}\p{N}_]|$)')"
-    return word if len(phrase) <= 4 else f"contains(n, '{_q(phrase)}')"
-
-
-def _hits(columns: str, refute: bool) -> str:
-    """A row per phrase of the lexicon in a text of `norm`, one branch for each phrase."""
-    refuted = {c: " OR ".join(map(_has, words)) for _, c, _, _, words in LEXICON if words}
-    branch = lambda p, k, c, s: f"SELECT {columns}, '{_q(p)}' AS phrase, '{k}' AS kind, '{c}' AS code, {s}::DOUBLE AS score FROM norm WHERE {_has(p)}" + (f" AND NOT ({refuted[c]})" if refute and c in refuted else "")
-    return " UNION ALL ".join(branch(*x) for x in tagging.phrase_map())
-
-
-SQL_TAGS = f"""{SQL_LINES},
-norm AS MATERIALIZED (SELECT *, trim(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' ') AS n FROM lines), hits AS ({_hits("doc_id, paragraph_index, page_number", True)}),
-line_tags AS MATERIALIZED (SELECT doc_id, paragraph_index, page_number, kind, code, max(score) AS score FROM hits GROUP BY ALL)"""
-SQL_DOC_TAGS = f"""{SQL_TAGS},
-doc_tags AS (SELECT doc_id, kind, code, count(*)::DOUBLE AS score FROM (SELECT DISTINCT doc_id, page_number, kind, code FROM line_tags) GROUP BY ALL)"""
-SQL_STOP = "(" + ", ".join(f"'{w}'" for w in STOP_WORDS) + ")"
-
-SQL_NOISE = "(" + ", ".join(f"'{w}'" for w in NOISE_WORDS) + ")"
-
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.lines(read(spark, d, "documents"))
+    return stored(spark, d, "lines", lambda s, d: corpus.lines(read(s, d, "documents")))
 
 
 def _line_tags(spark: SparkSession, d: str) -> DataFrame:
-    return tagging.tag_lines(_lines(spark, d))
+    return stored(spark, d, "line_tags", lambda s, d: tagging.tag_lines(_lines(s, d)))
 
 
 def _doc_tags(spark: SparkSession, d: str) -> DataFrame:
-    return tagging.propagate(_line_tags(spark, d), PARAGRAPH, ["doc_id"])
+    return stored(spark, d, "document_tags", lambda s, d: tagging.propagate(_line_tags(s, d), PARAGRAPH, ["doc_id"]))
+
+
+def _meta(spark: SparkSession, d: str) -> DataFrame:
+    return metadata(read(spark, d, "documents"), read(spark, d, "labels"))
 
 
 def line_chunks(spark, d):
@@ -90,12 +66,11 @@ def inherited_overlay(spark, d):
 
 def tag_statistics(spark, d):
     found = tagging.tag_statistics(_doc_tags(spark, d), read(spark, d, "documents"))
-    return found.select("kind", "code", "n_docs", F.round("idf", 6).alias("idf"), F.round("selectivity", 6).alias("selectivity"), routing.partition_term(F.round("selectivity", 6), F.lit(True)).alias("part"))
+    return found.select("kind", "code", "n_docs", F.round("idf", 6).alias("idf"), F.round("selectivity", 6).alias("selectivity"))
 
 
 def gate_probe(spark, d):
-    probe = tagging.gate_probe(_doc_tags(spark, d), WANTED)
-    return probe.withColumn("contour", routing.contour(F.lit("a query"), F.lit(True), F.col("union_docs"), F.col("intersection_docs")))
+    return tagging.gate_probe(_doc_tags(spark, d), {"d": ["claims.general"], "j": ["state.fl"], "p": ["authorization.prior"]})
 
 
 def cascade_pool(spark, d):
@@ -103,7 +78,7 @@ def cascade_pool(spark, d):
 
 
 def theme_buckets(spark, d):
-    found = tagging.theme_buckets(_line_tags(spark, d))
+    found = tagging.theme_buckets(_lines(spark, d), _doc_tags(spark, d))
     return found.withColumn("share", F.round("share", 6))
 
 
@@ -112,16 +87,13 @@ def most_specific_tag(spark, d):
 
 
 def phrase_precision(spark, d):
-    gold = read(spark, d, "labels").where("quality = 1")
-    return tagging.phrase_precision(read(spark, d, "documents"), gold).withColumn("precision", F.round("precision", 6))
-
+    found = tagging.phrase_precision(read(spark, d, "documents"), _doc_tags(spark, d))
+    return found.withColumn("precision", F.round("precision", 6))
 
-def ngram_candidates(spark, d):
-    return tagging.ngram_candidates(corpus.headings(_lines(spark, d)))
 
-
-def abbreviations(spark, d):
-    return tagging.abbreviations(read(spark, d, "documents").select("text"))
+def candidates(spark, d):
+    found = tagging.candidates(corpus.document_lines(read(spark, d, "documents")))
+    return found.withColumn("confidence", F.round("confidence", 6))
 
 
 def generic_words(spark, d):
@@ -157,19 +129,66 @@ def verify_published(spark, d):
     return registry.verify_published(rows, stored)
 
 
+#: The test pages' hosts, as an example of a table of payers by host.
+HOSTS = {"example.com": ("Example", "FL"), "example.org": ("Example Org", None)}
+
+
 def url_classes(spark, d):
-    return registry.classify_urls(read(spark, d, "pages"))
+    return registry.classify_urls(read(spark, d, "pages"), HOSTS)
 
 
-def host_counts(spark, d):
+def corpus_hosts(spark, d):
     pages = read(spark, d, "pages")
-    named = pages.select("page_id", registry.host(F.col("url")).alias("host"))
-    return registry.host_counts(named, read(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("page_id")))
+    even = F.col("page_id") % 2 == 0
+    docs = pages.select(F.col("page_id").alias("doc_id"), F.when(even, F.col("url")).otherwise("uploads/x").alias("file_path"), F.when(F.col("page_id") % 3 == 0, F.col("url")).alias("source_url"))
+    known = pages.where("page_id % 5 = 0").select(F.col("page_id").alias("ingested_doc_id"), registry.host(F.col("url")).alias("host"))
+    return registry.corpus_hosts(docs, known, read(spark, d, "documents").where("lang = 'en'"))
+
+
+def _registry(spark, d):
+    """The pages as a registry: those of a host, each seen at its id."""
+    pages = read(spark, d, "pages").select("page_id", "url", F.sha2("html", 256).alias("content_hash"))
+    c = registry.url_class(F.col("url"), HOSTS)
+    return pages.select("page_id", "url", "content_hash", c.alias("c")).groupBy("url").agg(F.min(F.struct("page_id", "content_hash", "c")).alias("p")).select(
+        "url", "p.c.*", F.col("p.page_id").alias("first_seen"), F.col("p.page_id").alias("last_seen"), (200 + F.col("p.page_id") % 3 * 150).alias("last_status"),
+        F.lit(1).cast("long").alias("attempts"), "p.content_hash", F.lit(None).cast("long").alias("content_changed_at"),
+        F.when(F.col("p.page_id") % 7 == 0, "canonical").when(F.col("p.page_id") % 11 == 0, "noise").otherwise("auto").alias("curation_status"),
+        F.when(F.col("p.page_id") % 4 == 0, "payer_policy").alias("curated_authority"), F.when(F.col("p.page_id") % 6 == 0, F.array(F.lit("claims"))).alias("topic_tags"),
+        (F.col("p.page_id") % 2 == 0).alias("ingested"), F.when(F.col("p.page_id") % 2 == 0, F.col("p.page_id")).alias("ingested_doc_id"),
+    )
 
 
 def registry_upsert(spark, d):
-    pages = read(spark, d, "pages").select(registry.host(F.col("url")).alias("url"), F.col("page_id").alias("at"), F.sha2("html", 256).alias("content_hash"), F.lit(200).cast("long").alias("status"))
-    return registry.upsert(pages).withColumn("content_changed_at", F.coalesce("content_changed_at", F.lit(-1).cast("long")))
+    """All pages sighted by host over an empty registry, then the later half again with other bodies."""
+    pages = read(spark, d, "pages")
+    seen = pages.select(
+        F.concat(F.lit("https://"), registry.host(F.col("url")), F.lit("/start")).alias("url"), F.col("page_id").alias("at"), F.when(F.col("page_id") % 5 != 0, 200).cast("long").alias("status"),
+        F.sha2((F.col("page_id") % 3).cast("string"), 256).alias("content_hash"), F.when(F.col("page_id") % 9 == 0, "Hinted").alias("payer_hint"), F.lit(None).cast("string").alias("state_hint"), F.lit(None).cast("string").alias("authority_hint"),
+    )
+    none = _registry(spark, d).limit(0)
+    once = registry.upsert(none, seen.where("at % 2 = 0"), HOSTS)
+    twice = registry.upsert(once, seen.where("at % 2 = 1"), HOSTS)
+    return twice.select("url", "host", "payer", "state", "first_seen", "last_seen", F.coalesce("last_status", F.lit(-1)).alias("status"), "attempts", "content_hash", F.coalesce("content_changed_at", F.lit(-1)).alias("changed_at"), "curation_status")
+
+
+def registry_stats(spark, d):
+    return registry.registry_stats(_registry(spark, d))
+
+
+def curated_sources(spark, d):
+    rows = _registry(spark, d)
+    edits = rows.where("first_seen % 10 = 3").select("url", F.when(F.col("first_seen") % 20 == 3, "stale").alias("curation_status"), F.when(F.col("first_seen") % 40 == 3, "").alias("curated_authority"), F.when(F.col("first_seen") % 30 == 3, F.array(F.lit("appeals"))).alias("topic_tags"))
+    done = registry.mark_ingested(registry.curate(rows, edits), rows.where("first_seen % 13 = 0").select("url", (F.col("first_seen") + 1000).alias("doc_id")))
+    return done.select("url", "curation_status", F.coalesce("curated_authority", F.lit("-")).alias("curated_authority"), F.array_join(F.coalesce("topic_tags", F.array()), ",").alias("topics"), "ingested", F.coalesce("ingested_doc_id", F.lit(-1)).alias("ingested_doc_id"))
+
+
+def source_search(spark, d):
+    where = registry.reachable(F.col("last_status")) & (registry.has_authority("payer_policy") | registry.has_topic("claims"))
+    return registry.find_sources(_registry(spark, d), where, most=40).select("url", "position")
+
+
+def source_text_search(spark, d):
+    return registry.find_sources(_registry(spark, d), text="example com en", most=40).select("url", "position")
 
 
 def registry_latest(spark, d):
@@ -178,10 +197,7 @@ def registry_latest(spark, d):
 
 
 def page_titles(spark, d):
-    h1 = F.regexp_extract("html", r"(?s)<h1[^>]*>(.*?)</h1>", 1)
-    title = F.regexp_extract("html", r"(?s)<title[^>]*>(.*?)</title>", 1)
-    best = F.when(F.trim(h1) != "", h1).when(F.trim(title) != "", title).otherwise(F.col("url"))
-    return read(spark, d, "pages").select("page_id", F.substring(F.trim(best), 1, 240).alias("title"))
+    return read(spark, d, "pages").select("page_id", corpus.page_title(F.col("html"), F.col("url")).alias("title"))
 
 
 def payer_scope(spark, d):
@@ -194,12 +210,6 @@ def orphan_embeddings(spark, d):
     return registry.orphans(stored, current, "doc_id")
 
 
-def query_gate(spark, d):
-    q = read(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
-    tagged = F.col("text").rlike(r"[a-z]{4}")
-    return q.select("conv_id", "turn", routing.malformed(F.col("text")).alias("malformed"), F.coalesce(routing.fail_fast(F.col("text"), tagged), F.lit("none")).alias("reason"), F.sha2(normalise_query(F.col("text")), 256).alias("normal_sha"))
-
-
 def authority_rerank(spark, d):
     docs = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id", "left")
     level = F.when(F.col("quality") == 1, "contract_source_of_truth").when(F.col("quality") == 0, "payer_policy").otherwise("unknown")
@@ -215,15 +225,6 @@ def decay_and_cap(spark, d):
     return ranking.per_document_cap(kept, ["lang"], "source", [F.desc("score"), F.col("doc_id")], 20, 50).select("doc_id", "lang", "source", "position")
 
 
-def title_overlap(spark, d):
-    pages = page_titles(spark, d).select("page_id", F.posexplode(filter_tokens(F.col("title"), 30)).alias("i", "token"))
-    items = read(spark, d, "benchmark").select("item_id", F.explode(filter_tokens(F.col("text"), 30)).alias("token"))
-    size = pages.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
-    hits = pages.join(items, "token").groupBy("page_id", "item_id").agg(F.count(F.lit(1)).alias("common"))
-    found = hits.where("common >= 2").join(size, "page_id").withColumn("overlap", F.round(F.col("common") / F.col("n"), 6))
-    return found.where("overlap >= 0.2").select("page_id", "item_id", "common", "overlap")
-
-
 def quote_hits(spark, d):
     found = lexical.quotes(read(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), "text"), read(spark, d, "documents").select("doc_id", "text"))
     return found.select(F.col("quote_id").alias("item_id"), "doc_id", "shared", F.round("part", 6).alias("part"))
@@ -231,116 +232,152 @@ def quote_hits(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     line_chunks, simple_paragraphs, glued_fragments, tag_lines, tag_paragraphs, tag_documents, effective_tags, inherited_overlay, tag_statistics, gate_probe,
-    cascade_pool, theme_buckets, most_specific_tag, phrase_precision, ngram_candidates, abbreviations, generic_words, content_dedup, neighbour_band_join,
-    neighbour_context, published_rows, verify_published, url_classes, host_counts, registry_upsert, registry_latest, page_titles, payer_scope,
-    orphan_embeddings, query_gate, authority_rerank, decay_and_cap, title_overlap, quote_hits,
+    cascade_pool, theme_buckets, most_specific_tag, phrase_precision, candidates, generic_words, content_dedup, neighbour_band_join,
+    neighbour_context, published_rows, verify_published, url_classes, corpus_hosts, registry_upsert, registry_stats, curated_sources, source_search,
+    source_text_search, registry_latest, page_titles, payer_scope, orphan_embeddings, authority_rerank, decay_and_cap, quote_hits,
 )}
 
-_TOK = "regexp_extract_all(lower({}), '([a-z0-9]+)', 1)"
-_HOST = "lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1))"
-_PATH = "regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
-_NORM = "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))"
-_HEAD = f"headed AS (SELECT *, len({_TOK.format('text')}) AS n_words, len({_TOK.format('text')}) BETWEEN 1 AND 15 AND NOT regexp_matches(rtrim(text, ' '), '[.,;:]$') AS is_heading FROM lines)"
-_TITLE = """titles AS (SELECT page_id, url, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS h1, regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1) AS t FROM pages),
-named AS (SELECT page_id, substring(trim(CASE WHEN trim(h1) <> '' THEN h1 WHEN trim(t) <> '' THEN t ELSE url END), 1, 240) AS title FROM titles)"""
-
-
-def _first_tokens(text: str, n: int) -> str:
-    """The first n distinct tokens that are no stop words: a list in text order."""
-    kept = f"list_filter({_TOK.format(text)}, lambda t: length(t) > 1 AND t NOT IN {SQL_STOP})"
-    return f"list_slice(list_filter({kept}, lambda t, i: list_position({kept}, t) = i), 1, {n})"
-
 
 def _grams() -> str:
-    one = """SELECT is_heading, {n} AS n, array_to_string(list_slice(w, i, i + {n} - 1), ' ') AS gram, w[i] AS a, w[i + {n} - 1] AS b FROM
-      (SELECT is_heading, w, unnest(range(1, len(w) - {n} + 2)) AS i FROM words WHERE len(w) >= {n})"""
+    one = """SELECT doc_id, is_heading, list_slice(w, i, i + {n} - 1) AS own, array_to_string(list_slice(w, i, i + {n} - 1), ' ') AS gram FROM
+      (SELECT doc_id, is_heading, w, unnest(range(1, len(w) - {n} + 2)) AS i FROM words WHERE len(w) >= {n})"""
     return " UNION ALL ".join(one.format(n=n) for n in (2, 3, 4))
 
 
+_list = lambda ws: "(" + ", ".join(f"'{w}'" for w in ws) + ")"
+_ALONE = _list("""is are was were be been being have has had do does did will would could should may might must shall can the a an and or but if then else when what which who whom whose
+  where why how that this these those it its as at by for with to from of in on into through during before after above below between under again further each both few more most other some such no not
+  only own same so than too very just also please thank you we they our your their""".split())
+_COMMON = _list(("thank you", "please contact", "as follows", "for more information", "in order to", "prior to", "in accordance with", "with respect to", "due to", "as well as", "such as", "as of",
+  "in addition to", "in the event", "as required", "as applicable", "if applicable", "as needed", "at least", "at the time", "a copy of", "a member", "a provider", "a copy", "and provider", "and providers",
+  "and services", "are required", "are required to", "in order", "of the", "to the", "for the", "with the", "access to", "accordance with", "along with", "and appeals", "and behavioral", "and behavioral health"))
+_PLAIN = _list("i ii iii iv v vi vii viii ix x id pdf url faq usa etc inc llc ltd tel fax www http https org com gov edu".split())
+
+
+def _told(tag: str) -> str:
+    inner = f"regexp_replace(regexp_extract(html, '(?is)<{tag}\\b[^>]*>(.*?)</{tag}\\s*>', 1), '<[^>]*>', '', 'g')"
+    for name, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&amp;", "&")):
+        inner = f"replace({inner}, '{name}', '{mark}')"
+    return f"trim(regexp_replace({inner}, '\\s+', ' ', 'g'))"
+
+
+def _key(host: str) -> str:
+    bare = f"regexp_replace({host}, '^(www|www-es)\\.', '')"
+    parts = f"string_split({bare}, '.')"
+    return f"CASE WHEN {bare} IN ('example.com', 'example.org') OR len({parts}) <= 2 THEN {bare} ELSE {parts}[-2] || '.' || {parts}[-1] END"
+
+
+_payer = lambda host: f"CASE {_key(host)} WHEN 'example.com' THEN 'Example' WHEN 'example.org' THEN 'Example Org' END"
+_state = lambda host: f"CASE {_key(host)} WHEN 'example.com' THEN 'FL' END"
+_CLASSES = f"""parts AS (SELECT page_id, url, html, {HOST} AS host, CASE WHEN {PATH} = '' THEN '/' ELSE {PATH} END AS path FROM pages),
+classes AS (SELECT page_id, url, html, host, path, {_payer("host")} AS payer,
+  coalesce({_state("host")}, CASE lower(regexp_extract(path, '^/([^/]+)', 1)) WHEN 'florida' THEN 'FL' WHEN 'fl' THEN 'FL' WHEN 'texas' THEN 'TX' WHEN 'tx' THEN 'TX' WHEN 'california' THEN 'CA' WHEN 'ca' THEN 'CA' WHEN 'georgia' THEN 'GA' WHEN 'ga' THEN 'GA' END) AS state,
+  CASE WHEN regexp_matches(path, '(?i)/(billing|provider)[-_ ]manual|/pro[-_ ]?pe[-_ ]?manual') THEN 'payer_manual'
+    WHEN regexp_matches(path, '(?i)/utilization[-_ ]management|/payment[-_ ]polic|/clinical[-_ ](polic|payment)|/criteria/|/preauth|/coverage[-_ ]polic') THEN 'payer_policy'
+    WHEN regexp_matches(path, '(?i)fee[-_ ]?schedule') THEN 'fee_schedule' WHEN regexp_matches(path, '(?i)/member[-_ ]handbook|/members/') THEN 'member_handbook'
+    WHEN regexp_matches(path, '(?i)/medicaid/recent_presentations') THEN 'training' END AS authority,
+  nullif(lower(regexp_extract(path, '\\.([A-Za-z0-9]{{1,8}})$', 1)), '') AS extension,
+  CASE WHEN lower(regexp_extract(path, '\\.([A-Za-z0-9]{{1,8}})$', 1)) IN ('pdf', 'doc', 'docx', 'xls', 'xlsx', 'ppt', 'pptx', 'rtf', 'txt') THEN 'doc' ELSE 'page' END AS content_kind FROM parts)"""
+_REGISTRY = f"""{_CLASSES}, ids AS (SELECT url, min(page_id) AS id FROM pages GROUP BY 1),
+reg AS (SELECT c.url, host, content_kind, authority, id, 200 + id % 3 * 150 AS last_status, CASE WHEN id % 7 = 0 THEN 'canonical' WHEN id % 11 = 0 THEN 'noise' ELSE 'auto' END AS curation_status,
+  CASE WHEN id % 4 = 0 THEN 'payer_policy' END AS curated_authority, CASE WHEN id % 6 = 0 THEN 'claims' END AS topics, id % 2 = 0 AS ingested FROM classes c JOIN ids ON id = page_id)"""
+
 SQL = {
-    "line_chunks": f"WITH {SQL_LINES}, {_HEAD} SELECT doc_id, paragraph_index, page_number, sha256(text) AS text_sha, n_words, is_heading FROM headed",
-    "simple_paragraphs": f"WITH {SQL_LINES} SELECT doc_id, count(*) AS n, sum(length(text))::BIGINT AS chars, max(paragraph_index) AS last_index FROM lines WHERE length(trim(text, ' ')) >= 20 GROUP BY 1",
-    "glued_fragments": f"""WITH {SQL_LINES}, marked AS (SELECT *, trim(text, ' ') AS b FROM lines),
-      flags AS (SELECT *, length(b) < 40 AND regexp_matches(b, '(^|[^A-Za-z0-9,\\-])([A-Z][0-9]{{4}}|[0-9]{{5}})([^A-Za-z0-9,\\-]|$)')
-        AND (regexp_matches(b, '^(and|or)\\s|^\\(|(?i)\\b(added|updated|removed|revised|deleted)\\b')) AS fragment FROM marked),
+    "glued_fragments": f"""WITH {LINES}, marked AS (SELECT *, {STRIP.format("text")} AS b FROM lines),
+      flags AS (SELECT *, b <> '' AND length(b) < 40 AND regexp_matches(b, '\\b([A-Z][0-9]{{4}}|[0-9]{{5}})\\b') AND (
+        regexp_matches(b, '(?i)\\b(add(ed)?|remov(ed)?|updat(ed)?|revis(ed)?|delet(ed)?|replac(ed)?|correct(ed)?)\\b[^.\n]*\\b(hcpcs|cpt|code)\\b') OR regexp_matches(b, '^([a-z(\\[]|(and|or|to|through|thru)\\b)')) AS fragment FROM marked),
       islands AS (SELECT *, sum((NOT fragment)::INT) OVER (PARTITION BY doc_id ORDER BY paragraph_index) AS island FROM flags)
       SELECT doc_id, min(paragraph_index) AS paragraph_index, count(*) AS n_parts, length(string_agg(text, chr(10) ORDER BY paragraph_index)) AS chars FROM islands GROUP BY doc_id, island""",
-    "tag_lines": f"WITH {SQL_TAGS} SELECT * FROM line_tags",
-    "tag_paragraphs": f"WITH {SQL_TAGS} SELECT doc_id, page_number, kind, code, count(DISTINCT paragraph_index)::DOUBLE AS score FROM line_tags GROUP BY ALL",
-    "tag_documents": f"WITH {SQL_DOC_TAGS} SELECT * FROM doc_tags",
-    "effective_tags": f"""WITH {SQL_TAGS}, places AS (SELECT DISTINCT doc_id, paragraph_index, page_number FROM line_tags),
+    "tag_statistics": f"""WITH {DOC_TAGS}, n AS (SELECT count(*) AS total FROM documents), s AS (SELECT kind, code, count(DISTINCT doc_id) AS n_docs FROM doc_tags GROUP BY ALL)
+      SELECT kind, code, n_docs, round(ln(total / greatest(n_docs, 1)), 6) AS idf, round(1 - n_docs / total, 6) AS selectivity FROM s, n""",
+    "gate_probe": f"""WITH {DOC_TAGS}, f AS (SELECT doc_id, max((kind = 'd' AND code = 'claims.general')::INT) AS d, max((kind = 'j' AND code = 'state.fl')::INT) AS j,
+        max((kind = 'p' AND code = 'authorization.prior')::INT) AS p FROM doc_tags GROUP BY 1)
+      SELECT count(*) FILTER (d = 1) AS d_docs, count(*) FILTER (j = 1) AS j_docs, count(*) FILTER (p = 1) AS p_docs,
+        count(*) FILTER (d + j + p > 0) AS union_docs, count(*) FILTER (d + j + p = 3) AS intersection_docs FROM f""",
+    "theme_buckets": f"""WITH {DOC_TAGS}, n AS (SELECT doc_id, count(*) AS c FROM lines GROUP BY 1), b AS (SELECT code, count(*) AS docs, sum(c)::BIGINT AS chunks FROM doc_tags JOIN n USING (doc_id) WHERE kind = 'd' GROUP BY 1),
+      t AS (SELECT *, sum(chunks) OVER () AS total, max(chunks) OVER () AS first, count(*) OVER () AS themes, row_number() OVER (ORDER BY chunks DESC, code) AS i FROM b)
+      SELECT code, docs, chunks, round(chunks / total, 6) AS share, least(themes, 5) <= 2 OR first / total >= 0.65::DOUBLE AS narrow FROM t WHERE i <= 5""",
+    "most_specific_tag": f"""WITH {DOC_TAGS} SELECT doc_id, code FROM (SELECT doc_id, code, row_number() OVER (PARTITION BY doc_id ORDER BY length(code) - length(replace(code, '.', '')) DESC, length(code) DESC, code DESC) AS n
+      FROM doc_tags WHERE kind = 'd' AND string_split(code, '.')[-1] NOT IN ('general', 'info', 'information', 'misc', 'other')) WHERE n = 1""",
+    "phrase_precision": f"""WITH {DOC_TAGS.replace("norm AS", "line_norm AS").replace("FROM norm ", "FROM line_norm ")}, norm AS MATERIALIZED (SELECT doc_id, {NORM.format("coalesce(text, '')")} AS n FROM documents),
+      h AS (SELECT DISTINCT doc_id, phrase, kind, code FROM ({hits("doc_id", False)})),
+      c AS (SELECT phrase, kind, code, count(*) AS df, count(t.doc_id) AS df_tagged FROM h LEFT JOIN doc_tags t USING (doc_id, kind, code) GROUP BY ALL),
+      g AS (SELECT *, first_value(phrase) OVER (PARTITION BY kind, code ORDER BY df DESC, phrase) AS top FROM c WHERE df >= 100 AND df_tagged / df >= 0.85::DOUBLE)
+      SELECT c.phrase, c.kind, c.code, c.df, c.df_tagged, round(c.df_tagged / c.df, 6) AS precision, CASE WHEN g.top = c.phrase THEN 'KEEP_CANONICAL'
+        WHEN EXISTS (SELECT 1 FROM c o WHERE o.kind = c.kind AND o.code = c.code AND o.phrase <> c.phrase AND contains(o.phrase, c.phrase) AND o.df = c.df AND o.df_tagged = c.df_tagged) THEN 'DROP_DUPE'
+        WHEN c.df <= 5 THEN 'DROP_RARE' WHEN c.df >= 100 AND c.df_tagged / c.df < 0.6::DOUBLE THEN 'DROP_NOISY' ELSE 'KEEP' END AS verdict
+      FROM c LEFT JOIN g ON c.kind = g.kind AND c.code = g.code AND c.phrase = g.phrase""",
+    "candidates": f"""WITH {LINES}, {HEAD}, {LEXICON}, words AS (SELECT doc_id, is_heading, text, string_split(trim(regexp_replace(lower(text), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), ' ') AS w FROM headed), grams AS ({_grams()}),
+      kept AS (SELECT doc_id, gram, is_heading FROM grams WHERE length(gram) >= 4 AND gram NOT IN (SELECT phrase FROM lexicon) AND gram NOT IN {_COMMON}
+        AND len(list_filter(own, lambda x: x NOT IN {_ALONE})) > 0 AND len(list_filter(own, lambda x: length(x) = 1)) = 0
+        AND NOT regexp_matches(gram, '^(?:©.*|[0-9]+\\s*(?:a\\.m\\.|p\\.m\\.)|[0-9]+\\s+days?|(?:and|or|the|of|to|for|with|from|by|in|on|at|as|if|but|an?)\\s|.*[0-9]{{4,}}|[0-9]+\\s*$)')),
+      c AS (SELECT doc_id, gram AS phrase, count(*) AS occurrences, sum(CASE WHEN is_heading THEN 2 ELSE 1 END)::BIGINT AS weight, bool_or(is_heading) AS h FROM kept GROUP BY ALL),
+      d AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, phrase) AS i FROM c WHERE weight >= 3 AND NOT EXISTS (SELECT 1 FROM lexicon l WHERE contains(l.phrase, c.phrase) OR contains(c.phrase, l.phrase))),
+      f AS (SELECT * FROM d WHERE i <= 100), n AS (SELECT doc_id, count(*) AS n FROM f GROUP BY 1),
+      caps AS (SELECT doc_id, is_heading, unnest(list_filter(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[A-Z][A-Z0-9]{{1,14}}'))) AS a FROM headed),
+      a AS (SELECT doc_id, lower(a) AS phrase, count(*) AS occurrences, sum(CASE WHEN is_heading THEN 2 ELSE 1 END)::BIGINT AS weight, bool_or(is_heading) AS h FROM caps WHERE lower(a) NOT IN {_PLAIN} AND lower(a) NOT IN (SELECT phrase FROM lexicon) GROUP BY 1, 2),
+      b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, phrase) AS i FROM a WHERE weight >= 3),
+      every AS (SELECT doc_id, 'd' AS candidate_type, phrase, occurrences, weight, h FROM f UNION ALL SELECT b.doc_id, 'alias', phrase, occurrences, weight, h FROM b LEFT JOIN n USING (doc_id) WHERE i <= 130 - coalesce(n, 0))
+      SELECT doc_id, candidate_type, phrase, occurrences, weight, round(least(0.9::DOUBLE, least(0.9::DOUBLE, 0.5::DOUBLE + 0.1::DOUBLE * weight) + CASE WHEN h THEN 0.1::DOUBLE ELSE 0 END), 6) AS confidence FROM every""",
+    "page_titles": f"""WITH p AS (SELECT page_id, url, {_told("h1")} AS h1, {_told("title")} AS t FROM pages) SELECT page_id, substring(CASE WHEN h1 <> '' THEN h1 WHEN t <> '' THEN t ELSE url END, 1, 240) AS title FROM p""",
+    "url_classes": f"WITH {_CLASSES} SELECT page_id, host, path, payer, state, authority, content_kind, extension FROM classes",
+    "corpus_hosts": f"""WITH e AS (SELECT DISTINCT doc_id FROM documents WHERE lang = 'en'), k AS (SELECT page_id, {HOST} AS h FROM pages WHERE page_id % 5 = 0),
+      d AS (SELECT page_id, CASE WHEN page_id % 2 = 0 OR page_id % 3 = 0 THEN nullif(regexp_extract(url, '^https?://([^/]+)', 1), '') ELSE h END AS host FROM pages LEFT JOIN k USING (page_id))
+      SELECT coalesce(host, '(no_host)') AS host, count(*) AS docs, count(doc_id) AS published FROM d LEFT JOIN e ON page_id = doc_id GROUP BY 1""",
+    "registry_upsert": f"""WITH s AS (SELECT {HOST} AS host, page_id AS pos, page_id % 5 <> 0 AS fetched, sha256((page_id % 3)::VARCHAR) AS hash, page_id % 9 = 0 AS hinted FROM pages),
+      o AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY pos % 2, pos) AS i FROM s), b AS (SELECT *, lag(hash) OVER (PARTITION BY host ORDER BY i) AS before FROM o WHERE fetched),
+      g AS (SELECT host, arg_max(hash, i) AS content_hash, coalesce(max(pos) FILTER (before IS NULL OR before <> hash), -1) AS any_change, count(*) AS attempts FROM b GROUP BY 1),
+      ch AS (SELECT host, arg_max(pos, i) AS changed_at FROM b WHERE before IS NULL OR before <> hash GROUP BY 1),
+      f AS (SELECT host, min(pos % 2) AS half FROM s GROUP BY 1), h AS (SELECT DISTINCT host FROM s JOIN f USING (host) WHERE hinted AND pos % 2 = half)
+      SELECT 'https://' || s.host || '/start' AS url, s.host, CASE WHEN h.host IS NOT NULL THEN 'Hinted' ELSE max({_payer("s.host")}) END AS payer, max({_state("s.host")}) AS state, arg_min(s.pos, s.pos % 2 * 1000000 + s.pos) AS first_seen, max(s.pos) AS last_seen,
+        CASE WHEN max(g.attempts) > 0 THEN 200 ELSE -1 END::BIGINT AS status, coalesce(max(g.attempts), 0) AS attempts, max(g.content_hash) AS content_hash, coalesce(max(ch.changed_at), -1) AS changed_at, 'auto' AS curation_status
+      FROM s LEFT JOIN g USING (host) LEFT JOIN ch USING (host) LEFT JOIN h ON h.host = s.host GROUP BY s.host, h.host""",
+    "registry_stats": f"""WITH {_REGISTRY} SELECT 'curation_status' AS dimension, curation_status AS value, count(*) AS n FROM reg GROUP BY 2
+      UNION ALL SELECT 'content_kind', content_kind, count(*) FROM reg GROUP BY 2 UNION ALL SELECT 'ingested', ingested::VARCHAR, count(*) FROM reg GROUP BY 2
+      UNION ALL SELECT * FROM (SELECT 'host', host, count(*) FROM reg GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 20)""",
+    "curated_sources": f"""WITH {_REGISTRY}, e AS (SELECT *, id % 10 = 3 AS edit FROM reg)
+      SELECT url, CASE WHEN edit AND id % 20 = 3 THEN 'stale' ELSE curation_status END AS curation_status, coalesce(CASE WHEN edit AND id % 40 = 3 THEN NULL ELSE curated_authority END, '-') AS curated_authority,
+        CASE WHEN edit AND id % 30 = 3 THEN 'appeals' ELSE coalesce(topics, '') END AS topics, ingested OR id % 13 = 0 AS ingested, CASE WHEN id % 13 = 0 THEN id + 1000 ELSE coalesce(CASE WHEN ingested THEN id END, -1) END AS ingested_doc_id FROM e""",
+    "source_search": f"""WITH {_REGISTRY}, r AS (SELECT url, row_number() OVER (ORDER BY curation_status = 'canonical' DESC, ingested DESC, id DESC, url) AS position FROM reg
+        WHERE last_status BETWEEN 200 AND 399 AND (coalesce(curated_authority, authority) = 'payer_policy' OR coalesce(topics, '') = 'claims')) SELECT * FROM r WHERE position <= 40""",
+    "source_text_search": f"""WITH {_REGISTRY}, w AS (SELECT *, {TOK.format("url")} AS t FROM reg), m AS (SELECT *, len(list_filter(t, lambda x: x IN ('example', 'com', 'en'))) AS f FROM w WHERE list_has_all(t, ['example', 'com', 'en'])),
+      r AS (SELECT url, row_number() OVER (ORDER BY f DESC, ingested DESC, id DESC, url) AS position FROM m) SELECT * FROM r WHERE position <= 40""",
+    "line_chunks": f"WITH {LINES}, {HEAD} SELECT doc_id, paragraph_index, page_number, sha256(text) AS text_sha, n_words, is_heading FROM headed",
+    "simple_paragraphs": f"WITH {LINES} SELECT doc_id, count(*) AS n, sum(length(text))::BIGINT AS chars, max(paragraph_index) AS last_index FROM lines WHERE length(trim(text, ' ')) >= 20 GROUP BY 1",
+    "tag_lines": f"WITH {TAGS} SELECT * FROM line_tags",
+    "tag_paragraphs": f"WITH {TAGS} SELECT doc_id, page_number, kind, code, count(DISTINCT paragraph_index)::DOUBLE AS score FROM line_tags GROUP BY ALL",
+    "tag_documents": f"WITH {DOC_TAGS} SELECT * FROM doc_tags",
+    "effective_tags": f"""WITH {TAGS}, places AS (SELECT DISTINCT doc_id, paragraph_index, page_number FROM line_tags),
       every AS (SELECT doc_id, paragraph_index, page_number, kind, code, 1.0::DOUBLE AS w FROM (SELECT DISTINCT * EXCLUDE (score) FROM line_tags)
         UNION ALL SELECT doc_id, paragraph_index, page_number, kind, code, 0.3::DOUBLE FROM places JOIN (SELECT DISTINCT doc_id, page_number, kind, code FROM line_tags) USING (doc_id, page_number)
         UNION ALL SELECT doc_id, paragraph_index, page_number, kind, code, 0.1::DOUBLE FROM places JOIN (SELECT DISTINCT doc_id, kind, code FROM line_tags) USING (doc_id))
       SELECT doc_id, paragraph_index, page_number, kind, code, round(sum(w), 4) AS weight FROM every GROUP BY ALL""",
-    "inherited_overlay": f"""WITH {SQL_DOC_TAGS}, alpha AS (SELECT doc_id, 'j' AS kind, 'payor.alpha' AS code FROM documents WHERE source = 'src0')
+    "inherited_overlay": f"""WITH {DOC_TAGS}, alpha AS (SELECT doc_id, 'j' AS kind, 'payor.alpha' AS code FROM documents WHERE source = 'src0')
       SELECT doc_id, kind, code, 1.0::DOUBLE AS score FROM alpha UNION ALL SELECT * FROM doc_tags t WHERE NOT EXISTS (SELECT 1 FROM alpha a WHERE a.doc_id = t.doc_id AND a.kind = t.kind AND a.code = t.code)""",
-    "tag_statistics": f"""WITH {SQL_DOC_TAGS}, n AS (SELECT count(*) AS total FROM documents),
-      s AS (SELECT kind, code, count(DISTINCT doc_id) AS n_docs FROM doc_tags GROUP BY ALL),
-      r AS (SELECT kind, code, n_docs, round(ln(total / greatest(n_docs, 1)), 6) AS idf, round(1 - n_docs / total, 6) AS selectivity FROM s, n)
-      SELECT *, CASE WHEN selectivity >= 0.65 THEN 'REQUIRED' WHEN selectivity >= 0.4 THEN 'BOOSTED' ELSE 'DROP' END AS part FROM r""",
-    "gate_probe": f"""WITH {SQL_DOC_TAGS}, f AS (SELECT doc_id, max((kind = 'd' AND code = 'claims.general')::INT) AS d, max((kind = 'j' AND code = 'state.fl')::INT) AS j,
-        max((kind = 'p' AND code = 'authorization.prior')::INT) AS p FROM doc_tags GROUP BY 1),
-      c AS (SELECT count(*) FILTER (d = 1) AS d_docs, count(*) FILTER (j = 1) AS j_docs, count(*) FILTER (p = 1) AS p_docs,
-        count(*) FILTER (d + j + p > 0) AS union_docs, count(*) FILTER (d + j + p = 3) AS intersection_docs FROM f)
-      SELECT *, CASE WHEN union_docs = 0 THEN 'corpus_gap' WHEN (CASE WHEN intersection_docs > 0 THEN intersection_docs ELSE union_docs END) > 25 THEN 'underspecified' ELSE 'exact' END AS contour FROM c""",
-    "cascade_pool": f"""WITH {SQL_DOC_TAGS}, f AS (SELECT doc_id, max((kind = 'd' AND code = 'pharmacy.formulary')::INT) AS d, max((kind = 'j' AND code = 'payor.beta')::INT) AS j,
+    "cascade_pool": f"""WITH {DOC_TAGS}, f AS (SELECT doc_id, max((kind = 'd' AND code = 'pharmacy.formulary')::INT) AS d, max((kind = 'j' AND code = 'payor.beta')::INT) AS j,
         max((kind = 'p' AND code = 'appeals.filing')::INT) AS p, max((kind = 'j' AND code = 'state.fl')::INT) AS s FROM doc_tags GROUP BY 1),
       l AS (SELECT doc_id, CASE WHEN j + d + p = 3 THEN 1 WHEN j + d = 2 THEN 2 WHEN s + d = 2 THEN 3 WHEN s = 1 THEN 4 END AS level FROM f)
       SELECT doc_id, level::BIGINT AS level FROM l WHERE level = (SELECT min(level) FROM l)""",
-    "theme_buckets": f"""WITH {SQL_TAGS}, d AS (SELECT * FROM line_tags WHERE kind = 'd'), n AS (SELECT count(DISTINCT doc_id) AS total FROM d)
-      SELECT code, count(DISTINCT doc_id) AS docs, count(*) AS chunks, round(count(DISTINCT doc_id) / max(total), 6) AS share, count(DISTINCT doc_id) / max(total) >= 0.65 AS dominant
-      FROM d, n GROUP BY code ORDER BY docs DESC, code LIMIT 5""",
-    "most_specific_tag": f"""WITH {SQL_DOC_TAGS} SELECT doc_id, code FROM (SELECT doc_id, code, row_number() OVER (PARTITION BY doc_id ORDER BY length(code) - length(replace(code, '.', '')) DESC, length(code) DESC, code DESC) AS n
-      FROM doc_tags WHERE kind = 'd') WHERE n = 1""",
-    "phrase_precision": f"""WITH norm AS MATERIALIZED (SELECT doc_id, {_NORM.format("coalesce(text, '')")} AS n FROM documents),
-      h AS (SELECT DISTINCT doc_id, phrase, kind, code FROM ({_hits("doc_id", False)})),
-      g AS (SELECT DISTINCT doc_id, 1 AS good FROM labels WHERE quality = 1),
-      c AS (SELECT phrase, kind, code, count(*) AS df, count(good) AS tp FROM h LEFT JOIN g USING (doc_id) GROUP BY ALL)
-      SELECT phrase, kind, code, df, tp, round(tp / df, 6) AS precision,
-        CASE WHEN df >= 100 AND tp / df >= 0.85 THEN 'KEEP_CANONICAL' WHEN df <= 5 THEN 'RARE' WHEN df >= 100 AND tp / df < 0.6 THEN 'NOISY' ELSE 'KEEP' END AS verdict FROM c""",
-    "ngram_candidates": f"""WITH {SQL_LINES}, {_HEAD}, {SQL_LEXICON}, words AS (SELECT is_heading, {_TOK.format("text")} AS w FROM headed), grams AS ({_grams()}),
-      c AS (SELECT gram, n::BIGINT AS n, sum(CASE WHEN is_heading THEN 2 ELSE 1 END)::BIGINT AS weight, bool_or(is_heading) AS h FROM grams WHERE a NOT IN {SQL_STOP} AND b NOT IN {SQL_STOP} GROUP BY 1, 2)
-      SELECT gram, n, weight, round(least(0.9::DOUBLE, 0.5::DOUBLE + 0.1::DOUBLE * weight) + CASE WHEN h THEN 0.1::DOUBLE ELSE 0 END, 4) AS confidence FROM c
-      WHERE weight >= 3 AND NOT EXISTS (SELECT 1 FROM lexicon WHERE contains(phrase, gram))""",
-    "abbreviations": r"""SELECT abbreviation, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '(?:^|[^\p{L}\p{N}])([A-Z]{2,6})(?:$|[^\p{L}\p{N}])', 1)) AS abbreviation FROM documents) GROUP BY 1 HAVING count(*) >= 2""",
-    "generic_words": f"""WITH {SQL_LINES}, r AS (SELECT unnest(list_distinct({_TOK.format("text")})) AS word FROM lines), l AS (SELECT unnest(list_distinct({_TOK.format("text")})) AS word FROM benchmark),
+    "generic_words": f"""WITH {LINES}, r AS (SELECT unnest(list_distinct({TOK.format("text")})) AS word FROM lines), l AS (SELECT unnest(list_distinct({TOK.format("text")})) AS word FROM benchmark),
       b AS (SELECT word, 1 AS r, 0 AS l FROM r UNION ALL SELECT word, 0, 1 FROM l)
       SELECT word, sum(r)::BIGINT AS n_rejected, sum(l)::BIGINT AS n_lexicon FROM b WHERE length(word) >= 3 GROUP BY 1 HAVING sum(r) >= 30 AND sum(l) <= 1""",
-    "content_dedup": f"""WITH k AS (SELECT doc_id, substring({_NORM.format("text")}, 1, 400) AS key FROM documents)
+    "content_dedup": f"""WITH k AS (SELECT doc_id, substring({NORM.format("text")}, 1, 400) AS key FROM documents)
       SELECT doc_id, sha256(key) AS key_sha FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS n FROM k) WHERE n = 1 OR key = ''""",
-    "neighbour_band_join": f"""WITH {SQL_TAGS}, seeds AS (SELECT DISTINCT doc_id, paragraph_index, page_number FROM line_tags WHERE code = 'payor.beta')
+    "neighbour_band_join": f"""WITH {TAGS}, seeds AS (SELECT DISTINCT doc_id, paragraph_index, page_number FROM line_tags WHERE code = 'payor.beta')
       SELECT s.doc_id, s.paragraph_index AS seed_paragraph, l.paragraph_index FROM seeds s JOIN lines l ON s.doc_id = l.doc_id AND l.paragraph_index BETWEEN s.paragraph_index - 3 AND s.paragraph_index + 3
       AND l.page_number BETWEEN s.page_number - 1 AND s.page_number + 1 AND l.paragraph_index <> s.paragraph_index""",
-    "neighbour_context": f"""WITH {SQL_TAGS}, seeds AS (SELECT DISTINCT doc_id, paragraph_index FROM line_tags WHERE code = 'payor.beta')
+    "neighbour_context": f"""WITH {TAGS}, seeds AS (SELECT DISTINCT doc_id, paragraph_index FROM line_tags WHERE code = 'payor.beta')
       SELECT s.doc_id, s.paragraph_index AS seed_paragraph, sha256(substring(string_agg(l.text, chr(10) ORDER BY l.paragraph_index), 1, 1500)) AS context_sha FROM seeds s JOIN lines l
       ON s.doc_id = l.doc_id AND abs(l.paragraph_index - s.paragraph_index) = 1 GROUP BY 1, 2""",
-    "published_rows": f"""WITH {SQL_TAGS}, t AS (SELECT doc_id, paragraph_index, string_agg(DISTINCT kind || ':' || code, ',' ORDER BY kind || ':' || code) AS tags FROM line_tags GROUP BY ALL)
+    "published_rows": f"""WITH {TAGS}, t AS (SELECT doc_id, paragraph_index, string_agg(DISTINCT kind || ':' || code, ',' ORDER BY kind || ':' || code) AS tags FROM line_tags GROUP BY ALL)
       SELECT doc_id, paragraph_index, coalesce(tags, '') AS tags, sha256(doc_id::VARCHAR || '|' || paragraph_index::VARCHAR || '|' || text) AS content_sha FROM lines LEFT JOIN t USING (doc_id, paragraph_index)""",
-    "verify_published": f"""WITH {SQL_TAGS}, t AS (SELECT DISTINCT doc_id, paragraph_index, 1 AS t FROM line_tags)
+    "verify_published": f"""WITH {TAGS}, t AS (SELECT DISTINCT doc_id, paragraph_index, 1 AS t FROM line_tags)
       SELECT count(*) AS expected, count(*) FILTER (page_number <> 2) AS stored, count(*) FILTER (page_number = 2) AS missing, 0::BIGINT AS unexpected, count(*) FILTER (page_number <> 2 AND t IS NULL) AS untagged
       FROM lines LEFT JOIN t USING (doc_id, paragraph_index)""",
-    "url_classes": f"""WITH u AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages)
-      SELECT page_id, host, CASE WHEN len(string_split(host, '.')) >= 3 THEN array_to_string(list_slice(string_split(host, '.'), 2, 99), '.') ELSE host END AS parent_host, path,
-        lower(regexp_extract(path, '\\.([A-Za-z0-9]{{1,8}})$', 1)) AS extension,
-        CASE WHEN regexp_matches(lower(path), 'fee[-_ ]?schedule') THEN 'fee_schedule' WHEN regexp_matches(lower(path), 'manual') THEN 'payer_manual'
-          WHEN regexp_matches(lower(path), 'criteria|policy|policies|guideline') THEN 'payer_policy' WHEN regexp_matches(lower(path), 'contract') THEN 'contract_source_of_truth' ELSE 'unknown' END AS authority,
-        regexp_extract(path, '^/([a-z]{{2}})(/|$)', 1) AS region FROM u""",
-    "host_counts": f"WITH e AS (SELECT DISTINCT doc_id FROM documents WHERE lang = 'en') SELECT {_HOST} AS host, count(*) AS pages, count(doc_id) AS published FROM pages LEFT JOIN e ON page_id = doc_id GROUP BY 1",
-    "registry_upsert": f"""WITH s AS (SELECT {_HOST} AS url, page_id AS t, sha256(html) AS h FROM pages), m AS (SELECT *, lag(h) OVER (PARTITION BY url ORDER BY t, h) AS p FROM s)
-      SELECT url, min(t) AS first_seen, max(t) AS last_seen, coalesce(max(t) FILTER (p IS NOT NULL AND p <> h), -1) AS content_changed_at, 200::BIGINT AS last_status, count(*) AS sightings FROM m GROUP BY 1""",
-    "registry_latest": f"SELECT page_id, host, size FROM (SELECT page_id, {_HOST} AS host, length(html) AS size, row_number() OVER (PARTITION BY {_HOST} ORDER BY length(html) DESC, page_id) AS n FROM pages) WHERE n = 1",
-    "page_titles": f"WITH {_TITLE} SELECT * FROM named",
+    "registry_latest": f"SELECT page_id, host, size FROM (SELECT page_id, {HOST} AS host, length(html) AS size, row_number() OVER (PARTITION BY {HOST} ORDER BY length(html) DESC, page_id) AS n FROM pages) WHERE n = 1",
     "payer_scope": "SELECT doc_id, source AS payer, lang AS state FROM documents WHERE source = 'src1' OR (source IN ('src0', 'src2') AND lang = 'fr')",
     "orphan_embeddings": """SELECT vec_id AS doc_id, 'orphan' AS state FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)
       UNION ALL SELECT doc_id, 'missing' FROM labels WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)""",
-    "query_gate": f"""WITH q AS (SELECT conv_id, turn, text, list_filter(regexp_split_to_array(trim(text, ' '), '\\s+'), lambda w: w <> '') AS w, {_NORM.format("text")} AS n FROM conversations WHERE role = 'user'),
-      g AS (SELECT *, len(list_filter(w, lambda x: regexp_matches(regexp_replace(x, '[^\\p{{L}}\\p{{N}}]', '', 'g'), '^[\\p{{L}}]+$'))) AS good,
-        trim(array_to_string(list_filter(string_split(regexp_replace(n, '{_q(LEADS)}', ''), ' '), lambda x: x NOT IN {SQL_NOISE}), ' '), ' ') AS bare FROM q)
-      SELECT conv_id, turn, good < 2 OR good < len(w) / 2 AS malformed,
-        CASE WHEN regexp_matches(lower(text), '{routing.PHI}') THEN 'phi' WHEN regexp_matches(lower(text), '{routing.JAILBREAK}') THEN 'jailbreak'
-          WHEN regexp_matches(lower(text), '{routing.SELF_REFERENCE}') THEN 'self_referential' WHEN NOT regexp_matches(text, '[a-z]{{4}}') THEN 'no_domain' ELSE 'none' END AS reason,
-        sha256(CASE WHEN bare = '' THEN n ELSE bare END) AS normal_sha FROM g""",
     "authority_rerank": """WITH l AS (SELECT d.doc_id, text, lang, quality FROM documents d LEFT JOIN labels USING (doc_id)),
       s AS (SELECT doc_id, CASE WHEN quality = 1 THEN 0 WHEN quality = 0 THEN 1 ELSE 3 END::BIGINT AS tier, round((0.25::DOUBLE * greatest(0.0::DOUBLE, (doc_id % 100 / 100.0::DOUBLE - 0.5::DOUBLE) * 2)
         + 0.1::DOUBLE * CASE WHEN quality = 1 THEN 1.0::DOUBLE WHEN quality = 0 THEN 0.5::DOUBLE ELSE 0.1::DOUBLE END
@@ -351,10 +388,7 @@ SQL = {
       p AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY score DESC, doc_id) AS n FROM k),
       t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, doc_id) AS position FROM p WHERE n <= 20)
       SELECT doc_id, lang, source, position FROM t WHERE position <= 50""",
-    "title_overlap": f"""WITH {_TITLE}, p AS (SELECT page_id, unnest({_first_tokens("title", 30)}) AS token FROM named), i AS (SELECT item_id, unnest({_first_tokens("text", 30)}) AS token FROM benchmark),
-      s AS (SELECT page_id, count(*) AS n FROM p GROUP BY 1), h AS (SELECT page_id, item_id, count(*) AS common FROM p JOIN i USING (token) GROUP BY ALL)
-      SELECT page_id, item_id, common, round(common / n, 6) AS overlap FROM h JOIN s USING (page_id) WHERE common >= 2 AND round(common / n, 6) >= 0.2""",
-    "quote_hits": f"""WITH t AS (SELECT item_id, {_TOK.format("text")} AS w FROM benchmark), u AS (SELECT doc_id, {_TOK.format("text")} AS w FROM documents),
+    "quote_hits": f"""WITH t AS (SELECT item_id, {TOK.format("text")} AS w FROM benchmark), u AS (SELECT doc_id, {TOK.format("text")} AS w FROM documents),
       q AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, i, i + 7), ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS i FROM t WHERE len(w) >= 8)),
       g AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 7), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM u WHERE len(w) >= 8)),
       n AS (SELECT item_id, count(*) AS n FROM q GROUP BY 1)

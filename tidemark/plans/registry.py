@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import corpus_queries, evaluation_queries, retrieval_queries, understanding_queries
+from tidemark.plans import corpus_queries, evaluation_queries, publishing_queries, retrieval_queries, understanding_queries
 
-MODULES = (retrieval_queries, corpus_queries, evaluation_queries, understanding_queries)
+MODULES = (retrieval_queries, corpus_queries, evaluation_queries, understanding_queries, publishing_queries)
 
 
 def queries() -> dict:
