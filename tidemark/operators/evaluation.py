@@ -10,21 +10,42 @@ from tidemark.functions.constants import COMPOSITE, CORRECT
 STRATEGIES = ["a", "b", "c", "d"]
 
 
-def nearest_rank(values: Column, p: float) -> Column:
-    """The p95 of the reference kind: sorted[min(n - 1, int(p n))]."""
-    n = F.size(values)
-    return F.when(n > 0, F.get(F.array_sort(values), F.least(n - 1, F.floor(n * p).cast("int"))))
+#: Parts of a group's range of values in which ranks are counted.
+PARTS = 256
+
+
+def _ranked(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, value, upto (rows up to the value) and all: ranks of a group's distinct values, counted within equal parts of its range, so that a large group spreads."""
+    own = rows.where(F.col(value).isNotNull())
+    span = own.groupBy(*by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    part = F.least(F.lit(PARTS - 1), F.coalesce(F.floor((F.col(value) - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0)) * PARTS), F.lit(0)))
+    counts = own.join(span, by).withColumn("_part", part.cast("int")).groupBy(*by, "_part", value).agg(F.count(F.lit(1)).alias("_n"))
+    sums = counts.groupBy(*by, "_part").agg(F.sum("_n").alias("_sum"))
+    upto = Window.partitionBy(*by).orderBy("_part")
+    before = sums.select(*by, "_part", (F.sum("_sum").over(upto) - F.col("_sum")).alias("_before"), F.sum("_sum").over(Window.partitionBy(*by)).alias("all"))
+    inside = F.sum("_n").over(Window.partitionBy(*by, "_part").orderBy(value))
+    return counts.withColumn("_inside", inside).join(before, [*by, "_part"]).select(*by, value, (F.col("_before") + F.col("_inside")).alias("upto"), "all")
 
 
 def exact_rank(rows: DataFrame, by: list[str], value: str, p: float, name: str) -> DataFrame:
-    """The nearest-rank quantile of each group, without gathering groups: ranks are counted over distinct values."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy(*by).orderBy(value)
-    ranked = counts.withColumns({"upto": F.sum("n").over(upto), "all": F.sum("n").over(Window.partitionBy(*by))})
+    """The nearest-rank quantile of each group: sorted[min(n - 1, int(p n))]."""
+    ranked = _ranked(rows, by, value)
     wanted = F.least(F.col("all") - 1, F.floor(F.col("all") * p))
     return ranked.where(F.col("upto") > wanted).groupBy(*by).agg(F.min(value).alias(name))
 
 
+def exact_quantiles(rows: DataFrame, by: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """Interpolated quantiles of each group, by name."""
+    ranked = _ranked(rows, by, value)
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col(value)))
+    out = []
+    for name, p in wanted.items():
+        place = (F.col("all") - 1) * p
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        out.append((low + (high - low) * (F.max(place) - F.floor(F.max(place)))).alias(name))
+    return ranked.groupBy(*by).agg(*out)
+
+
 def calibration_summary(cells: DataFrame) -> DataFrame:
     """Per strategy: n, answer rate, mean recall and precision, contradictions, median and p95 latency, speed, composite."""
     by = cells.groupBy("strategy").agg(
@@ -33,9 +54,9 @@ def calibration_summary(cells: DataFrame) -> DataFrame:
         F.avg("recall").alias("recall"),
         F.avg("precision").alias("precision"),
         (F.sum("contradicted") / F.count(F.lit(1))).alias("contra_per_cell"),
-        F.floor(F.median("latency_ms")).alias("median_latency_ms"),
     )
-    by = by.join(exact_rank(cells, ["strategy"], "latency_ms", 0.95, "p95_latency_ms"), "strategy")
+    middle = exact_quantiles(cells, ["strategy"], "latency_ms", {"m": 0.5}).select("strategy", F.floor("m").alias("median_latency_ms"))
+    by = by.join(middle, "strategy").join(exact_rank(cells, ["strategy"], "latency_ms", 0.95, "p95_latency_ms"), "strategy")
     speed = 1.0 / (1.0 + F.col("median_latency_ms") / 1000.0)
     composite = COMPOSITE["recall"] * F.col("recall") + COMPOSITE["precision"] * F.col("precision") + COMPOSITE["speed"] * speed
     return by.withColumns({"speed": speed, "composite": composite})
@@ -54,8 +75,8 @@ def verdict_rollup(cells: DataFrame, key: str) -> DataFrame:
     """Counts by effective verdict (the human's before the judge's) and the rate of correct among judged."""
     v = F.coalesce("human_verdict", "verdict")
     rows = cells.withColumn("v", v).groupBy(key)
-    counts = [F.count_if(F.col("v") == x).alias(x) for x in ("correct", "partial", "wrong", "abstain")]
-    out = rows.agg(F.count(F.lit(1)).alias("n"), *counts)
+    counts = [F.count_if(F.col("v") == x).alias(x) for x in ("correct", "partial", "wrong")]
+    out = rows.agg(F.count(F.lit(1)).alias("n"), *counts, F.count_if(F.col("v") == "unable_to_verify").alias("abstain"))
     judged = F.col("correct") + F.col("partial") + F.col("wrong")
     return out.withColumn("rate", F.col("correct") / F.nullif(judged, F.lit(0)))
 
@@ -66,14 +87,61 @@ def score_statistics(cells: DataFrame) -> DataFrame:
 
 def routing_stats(log: DataFrame) -> DataFrame:
     """Per strategy: n, average, interpolated p50 and p95 of total_ms, fast and slow calls."""
-    p = lambda q: F.expr(f"percentile(total_ms, {q})")
-    return log.groupBy("strategy").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("total_ms").alias("avg_ms"),
-        p(0.5).alias("p50_ms"),
-        p(0.95).alias("p95_ms"),
-        F.count_if(F.col("total_ms") < 1000).alias("fast"),
-        F.count_if(F.col("total_ms") > 10000).alias("slow"),
+    by = log.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), F.avg("total_ms").alias("avg_ms"), F.count_if(F.col("total_ms") < 1000).alias("fast"), F.count_if(F.col("total_ms") > 10000).alias("slow"))
+    return by.join(exact_quantiles(log, ["strategy"], "total_ms", {"p50_ms": 0.5, "p95_ms": 0.95}), "strategy", "left")
+
+
+def prod_rollup(decisions: DataFrame, hours: int) -> DataFrame:
+    """Per strategy over the last hours of production: n, mean and sample deviation of the grade, and rows whose ledger has a contradicted claim.
+
+    decisions: strategy, ts, is_prod, grade, ledger (array of structs with status).
+    """
+    newest = decisions.agg(F.max("ts")).scalar()
+    rows = decisions.where(F.col("is_prod") & F.col("grade").isNotNull() & (F.col("ts") >= newest - F.make_dt_interval(F.lit(0), F.lit(hours))))
+    contradicted = F.exists("ledger", lambda c: c["status"] == "contradicted")
+    return rows.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("grade"), 3).alias("grade_mean"), F.round(F.stddev_samp("grade"), 3).alias("grade_std"), F.count_if(contradicted).alias("n_contradicted"))
+
+
+def build_stability(cells: DataFrame) -> DataFrame:
+    """Per run (run_id, version): the distinct versions that its cells ran on, sorted, and whether that is one at most."""
+    by = cells.groupBy("run_id").agg(F.array_sort(F.collect_set("version")).alias("versions"))
+    return by.select("run_id", F.size("versions").cast("long").alias("n_versions"), "versions", (F.size("versions") <= 1).alias("stable"))
+
+
+def pooled_priors(scores: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of repeats (query_id, query_class, strategy, score): n, mean and sample deviation (0 for one) by query and strategy, and pooled by class and strategy."""
+    of = lambda *keys: scores.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"), F.coalesce(F.stddev_samp("score"), F.lit(0.0)).alias("std"))
+    return of("query_id", "strategy"), of("query_class", "strategy")
+
+
+def finalise(results: DataFrame) -> DataFrame:
+    """Per run (run_id, verdict, routing_correct, citation_hit, total_ms): counts by verdict, rates over what was judged, median and nearest-rank p95 of the latency."""
+    ms = results.withColumn("ms", F.coalesce("total_ms", F.lit(0.0)))
+    rate = lambda c: F.avg(F.col(c).cast("int")).alias(f"{c}_rate")
+    counts = [F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in ("correct", "partial", "wrong", "unable")]
+    by = ms.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_queries"), *counts, rate("routing_correct"), rate("citation_hit"))
+    middle = exact_quantiles(ms, ["run_id"], "ms", {"m": 0.5}).select("run_id", F.floor("m").cast("long").alias("median_ms"))
+    tail = exact_rank(ms, ["run_id"], "ms", 0.95, "p").select("run_id", F.floor("p").cast("long").alias("p95_ms"))
+    return by.join(middle, "run_id").join(tail, "run_id")
+
+
+def deterministic_checks(results: DataFrame) -> DataFrame:
+    """result_id, routing_correct, citation_hit and fail_fast_correct; null where nothing was expected.
+
+    results: expected and used strategy, expected and given refusal, must_cite (names), must_cite_url, names, urls
+    (arrays). A name is hit if one of a pair holds the other, in any case.
+    """
+    low = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), F.lower)
+    names = F.exists(low(F.col("must_cite")), lambda d: F.exists(low(F.col("names")), lambda n: (n != "") & (F.contains(n, d) | F.contains(d, n))))
+    urls = F.exists(low(F.col("must_cite_url")), lambda s: F.exists(low(F.col("urls")), lambda u: F.contains(u, s)))
+    asked = (F.coalesce(F.size("must_cite"), F.lit(0)) > 0) | (F.coalesce(F.size("must_cite_url"), F.lit(0)) > 0)
+    wanted = F.lower(F.coalesce("expected_strategy", F.lit("")))
+    refusal = F.when(F.col("expected_refusal").isNotNull(), F.col("refusal").eqNullSafe(F.col("expected_refusal"))).otherwise(F.col("refusal").isNotNull())
+    return results.select(
+        "result_id",
+        F.when(wanted != "", wanted == F.lower(F.coalesce("strategy_used", F.lit("")))).alias("routing_correct"),
+        F.when(asked, names | urls).alias("citation_hit"),
+        F.when(wanted == "e", refusal).alias("fail_fast_correct"),
     )
 
 
@@ -95,32 +163,85 @@ def prior_cells(cells: DataFrame) -> DataFrame:
     )
 
 
-def confusion(cells: DataFrame, tau: float = 0.7) -> DataFrame:
-    """Per strategy TP, WP, FP, TN, FN, precision, recall, F1 and utility tp - 2 fp - .5 fn + tn, answerable meaning that some arm was correct."""
-    answerable = F.max((F.col("verdict") == "correct").cast("int")).over(Window.partitionBy("query_id")) == 1
-    said = F.col("verdict") != "abstain"
-    kind = (
-        F.when(said & (F.col("verdict") == "correct"), "tp")
-        .when(said & F.col("answerable"), "wp")
-        .when(said, "fp")
-        .when(F.col("answerable"), "fn")
-        .otherwise("tn")
+ORACLE_TAU = 0.7
+
+
+def cell_states(cells: DataFrame, tau: float = ORACLE_TAU) -> DataFrame:
+    """cells (query_id, strategy, verdict, score) with their state: TP, WP, FP, MISS, and for honest abstentions FN where some arm reached tau, else TN."""
+    v, s = F.lower("verdict"), F.coalesce("score", F.lit(0.0))
+    state = (
+        F.when(v == "agent_error", "MISS")
+        .when(v == "correct", "TP")
+        .when(v == "partial", F.when(s >= 0.7, "TP").otherwise("WP"))
+        .when(v == "wrong", "FP")
+        .when(v == "unable_to_verify", F.when(s == 0, "MISS").otherwise("HA"))
+        .when(s >= 0.7, "TP")
+        .when(s == 0, "MISS")
+        .when(s >= 0.3, "WP")
+        .otherwise("FP")
     )
-    rows = cells.withColumn("answerable", answerable).withColumn("kind", kind)
-    by = rows.groupBy("strategy").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("tp", "wp", "fp", "tn", "fn")))
-    tp, wp, fp, fn = (F.col(k) for k in ("tp", "wp", "fp", "fn"))
-    by = by.withColumns({"precision": tp / F.nullif(tp + wp + fp, F.lit(0)), "recall": tp / F.nullif(tp + wp + fn, F.lit(0))})
+    best = cells.groupBy("query_id").agg((F.max(s) >= tau).alias("answerable"))
+    rows = cells.withColumn("state", state).join(best, "query_id")
+    return rows.withColumn("state", F.when(F.col("state") != "HA", F.col("state")).when(F.col("answerable"), "FN").otherwise("TN"))
+
+
+def confusion(cells: DataFrame, by: tuple[str, ...] = ("strategy",), tau: float = ORACLE_TAU) -> DataFrame:
+    """Per strategy (or slice): counts by state, precision, recall and F1 with partial credit, utility tp - 2 fp + .5 tn - fn, and abstention rates."""
+    s = F.coalesce("score", F.lit(0.0))
+    of = lambda x: F.count_if(F.col("state") == x)
+    counted = cell_states(cells, tau).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("state").isin("TP", "WP"), s).otherwise(0.0)).alias("credit"),
+        *(of(x.upper()).alias(x) for x in ("tp", "wp", "fp", "tn", "fn", "miss")), F.count_if("answerable").alias("n_answerable"),
+    )
+    credit, zero = F.col("credit"), F.lit(0)
+    out = counted.withColumns({"precision": credit / F.nullif(credit + F.col("fp"), F.lit(0.0)), "recall": credit / F.nullif(credit + F.col("fn") + F.col("miss"), F.lit(0.0))})
     p, r = F.col("precision"), F.col("recall")
-    return by.withColumns({"f1": 2 * p * r / F.nullif(p + r, F.lit(0)), "utility": tp - 2 * fp - 0.5 * fn + F.col("tn")})
+    return out.withColumns({
+        "f1": 2 * p * r / F.nullif(p + r, F.lit(0.0)),
+        "utility": credit - 2 * F.col("fp") + 0.5 * F.col("tn") - F.col("fn"),
+        "honest_abstain": F.col("tn") / F.nullif(F.col("n") - F.col("n_answerable"), zero),
+        "over_abstain": F.col("fn") / F.nullif(F.col("n_answerable"), zero),
+    })
+
+
+def disagreements(cells: DataFrame) -> DataFrame:
+    """query_id, the strategies that were right and those that were wrong, sorted, of queries that have both."""
+    rows = cell_states(cells).groupBy("query_id").agg(*(F.array_join(F.array_sort(F.collect_set(F.when(F.col("state") == x, F.col("strategy")))), ",").alias(n) for x, n in (("TP", "right"), ("FP", "wrong"))))
+    return rows.where("`right` <> '' and wrong <> ''")
+
+
+VERDICT_RANK = {"correct": 3, "partial": 2, "unable_to_verify": 1, "wrong": 0}
+
+
+def system_rows(cells: DataFrame) -> DataFrame:
+    """cells (query_id, strategy, expected, v: effective verdict, confidence) and two systems over them: system_oracle takes the expected strategy's cell of a query (for e its first), system_best the one with the best verdict, then confidence."""
+    rank = F.coalesce(F.create_map(*(F.lit(x) for kv in VERDICT_RANK.items() for x in kv))[F.col("v")], F.lit(0))
+    row = F.struct("v", "confidence", "n_chunks")
+    oracle = cells.where((F.col("expected") == F.col("strategy")) | (F.col("expected") == "e")).groupBy("query_id").agg(F.min_by(row, F.struct("strategy", "v", F.coalesce("confidence", F.lit(-1.0)), "n_chunks")).alias("r"))
+    best = cells.groupBy("query_id").agg(F.max_by(row, F.struct(rank, F.coalesce("confidence", F.lit(0.0)), "v", "n_chunks")).alias("r"))
+    named = lambda df, n: df.select(F.lit(n).alias("strategy"), "r.*")
+    return cells.select("strategy", "v", "confidence", "n_chunks").unionByName(named(oracle, "system_oracle")).unionByName(named(best, "system_best"))
 
 
 def pr_curve(cells: DataFrame, steps: int = 20) -> DataFrame:
-    """strategy, tau, n_answered, precision and recall over a grid of thresholds on the confidence."""
-    tau = F.explode(F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: i / float(steps))).alias("tau")
-    rows = cells.select("strategy", "confidence", (F.col("verdict") == "correct").alias("good"), tau)
-    hit = F.col("confidence") >= F.col("tau")
-    by = rows.groupBy("strategy", "tau").agg(F.count_if(hit).alias("n_answered"), F.count_if(hit & F.col("good")).alias("tp"), F.count_if("good").alias("good"))
-    return by.select("strategy", "tau", "n_answered", (F.col("tp") / F.nullif("n_answered", F.lit(0))).alias("precision"), (F.col("tp") / F.nullif("good", F.lit(0))).alias("recall"))
+    """strategy, tau, n_answered, n_total, precision and recall over a grid of thresholds on the confidence, for strategies and systems.
+
+    Partial answers count half. Abstentions whose verdict is open are in no count but the total; a missing confidence is 0. A row is
+    counted at the grid's steps by its own step: the sums over thresholds run over steps, not rows.
+    """
+    rows = system_rows(cells)
+    skipped = (F.coalesce("n_chunks", F.lit(0)) == 0) & (F.col("v") == "unable_to_verify")
+    step = F.when(~skipped, F.floor(F.coalesce("confidence", F.lit(0.0)) * steps + 1e-9)).cast("int")
+    of = lambda v: F.count_if(F.col("v") == v).alias(v)
+    counted = rows.withColumn("step", step).groupBy("strategy", "step").agg(F.count(F.lit(1)).alias("n"), *(of(v) for v in ("correct", "partial", "wrong")))
+    total = counted.groupBy("strategy").agg(F.sum("n").alias("n_total"))
+    grid = total.select("strategy", "n_total", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("step"))
+    full = grid.join(counted.where("step is not null"), ["strategy", "step"], "left").fillna(0)
+    down = Window.partitionBy("strategy").orderBy(F.desc("step"))
+    sums = full.select("strategy", "n_total", "step", *(F.sum(c).over(down).alias(c) for c in ("n", "correct", "partial", "wrong")))
+    good = F.col("correct") + 0.5 * F.col("partial")
+    decided = F.col("correct") + F.col("partial") + F.col("wrong")
+    return sums.select("strategy", (F.col("step") / float(steps)).alias("tau"), F.col("n").alias("n_answered"), "n_total", F.round(good / F.nullif(decided, F.lit(0)), 4).alias("precision"), F.round(good / F.nullif("n_total", F.lit(0)), 4).alias("recall"))
 
 
 def drift_band(runs: DataFrame) -> DataFrame:
@@ -131,10 +252,23 @@ def drift_band(runs: DataFrame) -> DataFrame:
     return top.select("fingerprint", "n", "mean", "sigma", low.alias("low"), high.alias("high"), "latest", (~F.col("latest").between(low, high)).alias("drifted"))
 
 
-def movers(before: DataFrame, after: DataFrame, key: str, metric: str) -> DataFrame:
-    """key, a, b and delta of all keys of either run, largest change first by `place`."""
+FINGERPRINT = ("priors_version", "lexicon_revision", "agent_revision", "retrieval_config_hash", "judge_model", "bank_hash")
+
+
+def compare_runs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row for two runs (one row each: FINGERPRINT, stable, metrics): the parts of the fingerprint that changed, and whether a difference can't be attributed: more than one changed, or a run wasn't stable."""
+    left, right = (df.select(*(F.col(c).alias(f"{n}_{c}") for c in (*FINGERPRINT, "stable")), F.lit(1).alias("_one")) for df, n in ((a, "a"), (b, "b")))
+    both = left.join(right, "_one")
+    changed = F.array_compact(F.array(*(F.when(~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")), F.lit(c)) for c in FINGERPRINT)))
+    steady = F.coalesce("a_stable", F.lit(True)) & F.coalesce("b_stable", F.lit(True))
+    return both.select(F.array_join(changed, ",").alias("changed"), F.size(changed).cast("long").alias("n_changed"), steady.alias("stable"), ((F.size(changed) > 1) | ~steady).alias("confounded"))
+
+
+def movers(before: DataFrame, after: DataFrame, key: str, metric: str, changed_only: bool = False) -> DataFrame:
+    """key, a, b and delta of all keys of either run; of those in both whose metric moved, if changed_only."""
     a, b = before.select(key, F.col(metric).alias("a")), after.select(key, F.col(metric).alias("b"))
-    return a.join(b, key, "full").withColumn("delta", F.col("b") - F.col("a"))
+    rows = a.join(b, key, "full").withColumn("delta", F.col("b") - F.col("a"))
+    return rows.where(F.abs("delta") > 1e-9) if changed_only else rows
 
 
 def rubric(must: Column, missed: Column, bonus: Column, forbidden: Column) -> tuple[Column, Column]:
@@ -143,8 +277,9 @@ def rubric(must: Column, missed: Column, bonus: Column, forbidden: Column) -> tu
     return score, F.when(score >= 0.85, "correct").when(score >= 0.5, "partial").otherwise("wrong")
 
 
-def lift(before: DataFrame, after: DataFrame, key: str, metric: str) -> DataFrame:
-    return movers(before, after, key, metric).select(key, F.col("delta").alias("lift"))
+def lift(before: DataFrame, after: DataFrame) -> DataFrame:
+    """metric and lift, final less baseline, of metrics (metric, value) that both have."""
+    return before.select("metric", F.col("value").alias("a")).join(after.select("metric", F.col("value").alias("b")), "metric").select("metric", (F.col("b") - F.col("a")).alias("lift"))
 
 
 def host_majority(rows: DataFrame, key: str, host: str, least: int = 3) -> DataFrame:
