@@ -139,13 +139,13 @@ JUNK = re.compile(
     r"^(?:©.*|[0-9]+\s*(?:a\.m\.|p\.m\.)|[0-9]+\s+days?|(?:and|or|the|of|to|for|with|from|by|in|on|at|as|if|but|an?)\s|.*[0-9]{4,}|[0-9]+\s*$)", re.IGNORECASE
 )
 BLANKS = re.compile(r"[ \t\n\r\f\v]+")
+CAPITALS = re.compile("[A-Z][A-Z0-9]{1,14}")
 
 
-def _weighted(found: list[tuple[str, bool]]) -> list[tuple[str, int, int, bool]]:
-    """(item, occurrences, weight, in a heading), the heaviest first, then by item."""
-    count, heads = Counter(x for x, _ in found), Counter(x for x, h in found if h)
-    weight = {x: n + (HEADING_WEIGHT - 1) * heads[x] for x, n in count.items()}
-    return [(x, count[x], weight[x], x in heads) for x in sorted(weight, key=lambda x: (-weight[x], x))]
+def _weighted(count: Counter, heads: Counter, least: int) -> list[tuple]:
+    """(item, occurrences, weight, in a heading) of items of some weight, the heaviest first, then by item."""
+    found = [(x, n, n + (HEADING_WEIGHT - 1) * heads[x], x in heads) for x, n in count.items() if HEADING_WEIGHT * n >= least]
+    return sorted((x for x in found if x[2] >= least), key=lambda x: (-x[2], x[0]))
 
 
 def candidates(
@@ -163,27 +163,33 @@ def candidates(
     codes = {e.code.replace("_", " ").lower() for e in entries}
     stops, plain = set(CANDIDATE_STOPS), set(COMMON_ABBREVIATIONS) | set(common_words)
 
-    def grams(lines: list) -> list[tuple[str, bool]]:
-        out = []
-        for line in lines:
-            words = BLANKS.sub(" ", line["text"] or "").strip().lower().split(" ")
-            for n in (2, 3, 4):
-                for i in range(len(words) - n + 1):
-                    own = words[i : i + n]
-                    gram = " ".join(own)
-                    if len(gram) < 4 or gram in never or all(w in stops for w in own) or any(len(w) == 1 for w in own) or JUNK.match(gram):
-                        continue
-                    out.append((gram, line["is_heading"]))
-        return out
+    def is_candidate(words: tuple[str, ...]) -> bool:
+        gram = " ".join(words)
+        if len(gram) < 4 or len(gram) > 500 or gram in never or all(w in stops for w in words) or any(len(w) == 1 for w in words) or JUNK.match(gram):
+            return False
+        return not any(gram in p or p in gram for p in known) and gram.replace(" ", "_") not in codes
 
     def of_document(lines: list) -> list[tuple]:
-        kept = [x for x in _weighted(grams(lines)) if x[2] >= least and len(x[0]) <= 500]
-        kept = [x for x in kept if not any(x[0] in p or p in x[0] for p in known) and x[0].replace(" ", "_") not in codes][:most_grams]
-        capitals = [(w.lower(), line["is_heading"]) for line in lines for w in re.split(r"\W+", line["text"] or "") if re.fullmatch("[A-Z][A-Z0-9]{1,14}", w)]
-        names = [x for x in _weighted([c for c in capitals if c[0] not in never and c[0] not in plain]) if x[2] >= least]
-        names = names[: most_grams + most_abbreviations - len(kept)]
+        count, heads, names, named = Counter(), Counter(), Counter(), Counter()
+        for line in lines:
+            text = line["text"] or ""
+            words = BLANKS.sub(" ", text).strip().lower().split(" ")
+            capitals = [w.lower() for w in re.split(r"\W+", text) if CAPITALS.fullmatch(w)]
+            for n in (2, 3, 4):
+                grams = list(zip(*(words[i:] for i in range(n))))
+                count.update(grams)
+                if line["is_heading"]:
+                    heads.update(grams)
+            names.update(capitals)
+            if line["is_heading"]:
+                named.update(capitals)
+        # What a gram is only matters for the few that are said often enough.
+        kept = [(" ".join(x), *rest) for x, *rest in _weighted(count, heads, least) if is_candidate(x)]
+        kept = sorted(kept, key=lambda x: (-x[2], x[0]))[:most_grams]
+        aliases = [x for x in _weighted(names, named, least) if x[0] not in never and x[0] not in plain]
+        aliases = aliases[: most_grams + most_abbreviations - len(kept)]
         confidence = lambda w, h: min(0.9, min(0.9, 0.5 + 0.1 * w) + (0.1 if h else 0))
-        return [(t, x, n, w, confidence(w, h)) for t, rows in (("d", kept), ("alias", names)) for x, n, w, h in rows]
+        return [(t, x, n, w, confidence(w, h)) for t, rows in (("d", kept), ("alias", aliases)) for x, n, w, h in rows]
 
     def run(batches):
         names = ["candidate_type", "phrase", "occurrences", "weight", "confidence"]

@@ -13,6 +13,7 @@ from tidemark.operators.lexical import query_tokens
 from tidemark.operators.lexicon import SAMPLE, Entry, expand
 from tidemark.operators.routing import partition_term, query_type, untagged_selectivity
 from tidemark.operators.tagging import leaf
+from tidemark.sources.store import cut
 
 # Weights of the formulas below, and the steps of a pool's factor (documents up to, factor).
 POOL_STEPS, POOL_WIDE = ((0, 0.0), (5, 0.4), (50, 0.7), (500, 1.0)), 0.85
@@ -134,15 +135,21 @@ def presence(items: DataFrame, index: DataFrame) -> DataFrame:
     """
     distinct = items.select("item").distinct().select("item", F.explode(F.array_distinct(tokens(F.col("item")))).alias("token"))
     size = distinct.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    hits = distinct.join(index.select("doc_id", "paragraph_index", "token"), "token").groupBy("item", "doc_id", "paragraph_index").agg(F.count(F.lit(1)).alias("c"))
-    found = hits.join(size, "item").where("c = n").select("item", "doc_id", "paragraph_index")
-    places = items.join(found, "item").groupBy("query_id", "n_items", "doc_id", "paragraph_index").agg(F.collect_set("item").alias("own"))
-    documents = places.groupBy("query_id", "n_items", "doc_id").agg(F.max(F.size("own")).alias("in_paragraph"), F.size(F.array_distinct(F.flatten(F.collect_set("own")))).alias("in_document"))
-    best = documents.groupBy("query_id").agg(F.max("in_paragraph").alias("in_paragraph"), F.max("in_document").alias("in_document"))
-    lost = items.join(found.select("item").distinct(), "item", "left_anti").groupBy("query_id").agg(F.min("item").alias("missing"))
+    hits = distinct.join(size, "item").join(index.select("doc_id", "paragraph_index", "token"), "token")
+    # A word is a posting; only items of several words have to be put together.
+    several = hits.where("n > 1").groupBy("item", "n", "doc_id", "paragraph_index").agg(F.count(F.lit(1)).alias("c")).where("c = n")
+    found = cut(hits.where("n = 1").select("item", "doc_id", "paragraph_index").unionByName(several.select("item", "doc_id", "paragraph_index")))
+    in_doc = cut(found.select("item", "doc_id").distinct())
+    # A document with all items has the rarest one, so only that item's documents are looked at; then their paragraphs.
+    rare = items.join(in_doc.groupBy("item").agg(F.count(F.lit(1)).alias("docs")), "item").groupBy("query_id", "n_items").agg(F.min_by("item", F.struct("docs", "item")).alias("item"))
+    near = rare.join(in_doc, "item").select("query_id", "n_items", "doc_id").join(items.select("query_id", "item"), "query_id")
+    whole = cut(near.join(in_doc, ["item", "doc_id"]).groupBy("query_id", "n_items", "doc_id").agg(F.count(F.lit(1)).alias("c")).where("c = n_items").select("query_id", "doc_id"))
+    places = whole.join(items.select("query_id", "item"), "query_id").join(found, ["item", "doc_id"]).groupBy("query_id", "doc_id", "paragraph_index").agg(F.count(F.lit(1)).alias("c"))
+    best = places.groupBy("query_id").agg(F.max("c").alias("in_paragraph"), F.lit(True).alias("in_document"))
+    lost = items.join(in_doc.select("item").distinct(), "item", "left_anti").groupBy("query_id").agg(F.min("item").alias("missing"))
     rows = items.select("query_id", "n_items").distinct().join(best, "query_id", "left").join(lost, "query_id", "left")
     n = F.col("n_items")
-    place = F.when(F.col("missing").isNotNull(), "missing").when(F.col("in_paragraph") >= n, "paragraph").when(F.col("in_document") >= n, "document").otherwise("scattered")
+    place = F.when(F.col("missing").isNotNull(), "missing").when(F.col("in_paragraph") >= n, "paragraph").when(F.col("in_document"), "document").otherwise("scattered")
     return rows.select("query_id", "n_items", place.alias("place"), "missing")
 
 
