@@ -368,7 +368,7 @@ SQL = {
     "query_gate": f"""WITH {_PROFILES}, g AS (SELECT *, {WORDS.format("text")} AS w, {_BARE} AS bare FROM prof), r AS (SELECT *, CASE
         WHEN {_says(r"\bSSN[:#]?\s*[0-9]{3}-?[0-9]{2}-?[0-9]{4}\b|\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b|\b(?:DOB|date of birth)\b[:\s]*[0-9]|\bMRN[:#]?\s*\w+\b|\bmember\s*(?:id|number|#)[:\s]*\w+\b|\bpatient\s+(?:name|named)\b")} THEN 'phi_detected'
         WHEN {_says(r"\bignore\s+(?:previous|prior|all)\s+(?:instruction|prompt|rule)|\byou\s+are\s+now\b|^\s*system\s*:|\bact\s+as\s+(?:a\s+)?(?:different|new)\b|\bdisregard\s+(?:your|the)\s+(?:instruction|rule|prompt)")} THEN 'jailbreak'
-        WHEN {_says(r"\bhow\s+(?:do|does)\s+(?:you|this\s+system|mobius)\s+work\b|\bwhat\s+(?:tools|capabilities|model|system\s+prompt)\s+(?:do|does|are)\b|\bwhat(?:''s|\s+is)\s+your\s+(?:prompt|instructions|model|system)\b")} THEN 'self_referential'
+        WHEN {_says(r"\bhow\s+(?:do|does)\s+(?:you|this\s+system)\s+work\b|\bwhat\s+(?:tools|capabilities|model|system\s+prompt)\s+(?:do|does|are)\b|\bwhat(?:''s|\s+is)\s+your\s+(?:prompt|instructions|model|system)\b")} THEN 'self_referential'
         WHEN len(list_filter(codes, lambda c: c LIKE 'd:%' OR c LIKE 'j:%')) = 0 AND len(literals) = 0 THEN 'no_domain_match' END AS reason FROM g)
       SELECT query_id, {_MALFORMED} AS malformed, coalesce(reason, 'none') AS reason, CASE reason WHEN 'phi_detected' THEN 'strict' WHEN 'jailbreak' THEN 'silent' WHEN 'self_referential' THEN 'redirect' WHEN 'no_domain_match' THEN 'reframe' ELSE 'none' END AS mode,
         {_says(r"\btell me\b|\bshow me\b|\boverview\b|\bsummari[sz]e\b|\bacross\s+\w+|\bcompare\b|\bdifferenc(?:e|es)\b|\bwhat\s+does\s+\w+\s+say\b|\bwhat''?s\s+covered\b|\boverview\s+of\b")} AS exploratory,
