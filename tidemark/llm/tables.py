@@ -63,3 +63,9 @@ def written(df: DataFrame) -> DataFrame:
     """A checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def sql_crc32(text: str) -> str:
+    """DuckDB SQL for the CRC-32 of an ASCII text, bit by bit."""
+    bits = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, (c % 2) * 3988292384))"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({text}, ''), lambda x: ascii(x)::bigint)), lambda a, b: {bits}), 4294967295)"
