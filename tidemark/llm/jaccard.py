@@ -54,41 +54,59 @@ GROUP_TOKENS = 4
 #: The part of the hash space whose tokens are counted.
 COUNTED_SHARE = 0.5
 _BOUND = int(COUNTED_SHARE * 2**64)
-#: Words whose hashes a task keeps.
-MEMO_WORDS = 400_000
 #: Sizes of linked sets differ by a quarter at most; a band is a little wider.
 BAND = 1.2501
-#: Odd factors of the shingle hash by a word's place, without small relations between their sums, and of its last mixing.
-FACTORS = np.array([xxhash.xxh64_intdigest(bytes([i])) | 1 for i in range(WORDS)], np.uint64)
+#: Words whose shingles are hashed at once.
+PORTION = 1 << 16
+SPACES = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+#: What a byte stands for in a hash; capitals A-Z stand for small letters, each white space for a space.
+LETTERS = np.array([xxhash.xxh64_intdigest(b" " if SPACES[b] else bytes([b]).lower()) for b in range(256)], np.uint64)
+#: The base of the rolling hash, odd, with its inverse modulo 2^64, and the factor of the last mixing.
+BASE = np.uint64(xxhash.xxh64_intdigest(b"base") | 1)
+INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 MIX = np.uint64(0xFF51AFD7ED558CCD)
 STAR_ROUNDS = 2
 BITS = ["b0", "b1", "b2", "b3"]
 
 
-class _Hashes(dict):
-    """Words' hashes, worked out once per task for as many words as fit."""
-
-    def __missing__(self, word: bytes) -> int:
-        found = xxhash.xxh64_intdigest(word, 11)
-        if len(self) < MEMO_WORDS:
-            self[word] = found
-        return found
-
-
-def tokens(text: str, hashes: dict) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles."""
-    words = text.encode().lower().split()  # on bytes these are the ASCII rules
-    if not words:
-        return np.zeros(0, np.uint64)
-    codes = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    n = min(WORDS, len(words))
-    made = np.full(len(codes) - n + 1, n, np.uint64)
-    for i in range(n):
-        made += codes[i : len(codes) - n + 1 + i] * FACTORS[i]
-    made ^= made >> np.uint64(32)
-    made *= MIX
-    made ^= made >> np.uint64(29)
-    return np.unique(made)
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    return np.cumprod(np.append(np.uint64(1), np.full(n, base)), dtype=np.uint64)
+
+
+def token_sets(texts: list[str]) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its shingles.
+
+    A shingle is a stretch of the text with single spaces; its hash follows from a rolling hash's values at both ends.
+    """
+    every = [t.encode() for t in texts]
+    raw = np.frombuffer(b" ".join([*every, b""]), np.uint8)
+    inside = ~SPACES[raw]
+    after = np.append(False, inside[:-1])
+    kept = np.flatnonzero(inside | after)  # words, and one space behind each
+    begins, ends = np.flatnonzero(inside[kept] & ~after[kept]), np.flatnonzero(~inside[kept])
+    letters = raw[kept]
+    own = np.searchsorted(kept[begins], np.cumsum([0, *(len(x) + 1 for x in every)]))  # each text's first word
+    sizes = np.diff(own)
+    # Shingles begin at each word but a text's last four; a shorter text's begins at its first.
+    spans = np.minimum(sizes, WORDS)
+    counts = np.where(sizes > 0, sizes - spans + 1, 0)
+    first = np.repeat(own[:-1] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    last = first + np.repeat(spans, counts) - 1
+    made = np.zeros(len(first), np.uint64)
+    for i in range(0, len(first), PORTION):
+        f, t = begins[first[i : i + PORTION]], ends[last[i : i + PORTION]]
+        low, high = f[0], t[-1]
+        n = int(high - low)
+        rolled = np.append(np.uint64(0), np.cumsum(LETTERS[letters[low:high]] * _powers(BASE, n)[:n], dtype=np.uint64))
+        found = (rolled[t - low] - rolled[f - low]) * _powers(INVERSE, n)[f - low]
+        found ^= found >> np.uint64(32)
+        found *= MIX
+        made[i : i + PORTION] = found ^ found >> np.uint64(29)
+    out = []
+    for x in np.split(made, np.cumsum(counts)[:-1]):
+        x.sort()
+        out.append(x[np.append(True, x[1:] != x[:-1])] if len(x) else x)
+    return out
 
 
 def _long(values: np.ndarray) -> pa.Array:
@@ -105,9 +123,8 @@ def sets(docs: DataFrame) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        hashes = _Hashes()
         for part, texts in by_size(batches):
-            every = [tokens(t, hashes) for t in texts]
+            every = token_sets(texts)
             parities = np.array([np.packbits(np.bincount((x & np.uint64(255)).astype(np.int64), minlength=256) & 1) for x in every], np.uint8).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -140,22 +157,22 @@ def occurrences(docs: DataFrame, with_node: bool) -> DataFrame:
     rows = whole_texts(docs).select("text")
 
     def run(batches):
-        hashes = _Hashes()
         for _, texts in by_size(batches):
-            h, node, at = [], [], []
-            for found in (tokens(t, hashes) for t in texts):
+            h, nodes, at = [], [], []
+            for found in token_sets(texts):
                 if len(found) < 4:
                     continue
                 counted = int(np.searchsorted(found, np.uint64(_BOUND)))
                 more = min(len(found) - counted, _uncounted(len(found), counted))
                 h.append(found[: counted + more])
                 if with_node:
-                    node += [_node(found)] * (counted + more)
+                    nodes.append(_node(found))
                     at.append(np.append(np.zeros(counted, np.int32), np.arange(1, more + 1, dtype=np.int32)))
             if h:
                 columns = [_long(np.concatenate(h))]
                 if with_node:
-                    columns += [pa.array(node, pa.binary()), pa.array(np.concatenate(at))]
+                    rows = np.repeat(np.arange(len(h)), [len(x) for x in h])
+                    columns += [pa.array(nodes, pa.binary()).take(pa.array(rows)), pa.array(np.concatenate(at))]
                 yield pa.RecordBatch.from_arrays(columns, ["h", "node", "at"][: len(columns)])
 
     return rows.mapInArrow(run, "h bigint, node binary, at int" if with_node else "h bigint")
@@ -226,48 +243,45 @@ def arrays(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     wanted = whole_texts(docs).join(nodes.select(F.col("first").alias("wanted")), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
 
     def run(batches):
-        hashes = _Hashes()
         for _, texts in by_size(batches):
-            every = [tokens(t, hashes) for t in texts]
+            every = token_sets(texts)
             yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in every], pa.binary()), pa.array([x.view(np.int64) for x in every], pa.list_(pa.int64()))], ["node", "tokens"])
 
     return wanted.mapInArrow(run, "node binary, tokens array<bigint>").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that link."""
+    """The pairs (a, b, label) of nodes that link."""
     left = pairs.join(texts.select(F.col("node").alias("b"), F.col("tokens").alias("of_b")), "b")
     both = left.join(texts.select(F.col("node").alias("a"), F.col("tokens").alias("of_a")), "a")
-    common = both.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).cast("long").alias("common"), (F.size("of_a") + F.size("of_b")).alias("sizes"))
-    return common.where(f"100 * common >= {LEAST} * (sizes - common)").select("a", "b")
+    common = both.select("a", "b", "label", F.size(F.array_intersect("of_a", "of_b")).cast("long").alias("common"), (F.size("of_a") + F.size("of_b")).alias("sizes"))
+    return common.where(f"100 * common >= {LEAST} * (sizes - common)").select("a", "b", "label")
 
 
 def links(keys: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) enough to give all components. keys: as of `combinations_of`; texts: node and tokens."""
-    found = None
+    """Links (a, b) enough to give all components. keys: as of `combinations_of`; texts: node and tokens.
+
+    After a comparison with middles, a node's label is the least of those that it links with and of its own:
+    nodes with the same label are connected, and no pair of them needs to be compared.
+    """
+    now, found = keys.withColumn("label", F.col("node")), None
     for turn in range(STAR_ROUNDS + 1):
-        if found is None:
-            now = keys.withColumn("root", F.col("node"))
-        else:
-            roots = written(components(found))
-            named = keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            named = written(named)
-            open_ = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-            now = written(named.join(written(open_.select("key")), "key"))
-        if now.isEmpty():
-            break
         if turn < STAR_ROUNDS:
             # Another node of each combination each time, and mostly the same one in all combinations of a group of copies.
-            own = F.struct(F.xxhash64(F.lit(turn), "node").alias("rank"), "node", "root", "n", *BITS)
+            own = F.struct(F.xxhash64(F.lit(turn), "node").alias("rank"), "node", "label", "n", *BITS)
             middle = written(now.groupBy("key").agg(F.min(own).alias("m")).select("key", "m.*"))
-            met = now.alias("x").join(middle.alias("y"), "key")
-            met = met.where(f"x.root <> y.root and {_may_link('x', 'y')}")
+            met = now.alias("x").join(middle.alias("y"), "key").where(f"x.label <> y.label and {_may_link('x', 'y')}")
         else:
-            met = now.alias("x").join(now.alias("y"), F.expr(f"x.key = y.key and x.node < y.node and x.root <> y.root and {_may_link('x', 'y')}"))
-        pairs = written(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+            met = now.alias("x").join(now.alias("y"), F.expr(f"x.key = y.key and x.node < y.node and x.label <> y.label and {_may_link('x', 'y')}"))
+        pairs = written(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("y.label").alias("label")).distinct())
         more = written(verified(pairs, texts))
         found = more if found is None else found.union(more)
-    return found
+        if turn < STAR_ROUNDS:
+            linked = written(more.groupBy(F.col("a").alias("node")).agg(F.min("label").alias("met")))
+            named = written(now.join(linked, "node", "left").withColumn("label", F.least("label", "met")).drop("met"))
+            open_ = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+            now = written(named.join(written(open_.select("key")), "key"))
+    return found.select("a", "b")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
