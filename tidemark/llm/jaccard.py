@@ -52,7 +52,7 @@ RARE, FREQUENT = 16, 1024
 #: Tokens of a class that a group is meant to have in a prefix.
 GROUP_TOKENS = 4
 #: The part of the hash space whose tokens are counted.
-COUNTED_SHARE = 0.5
+COUNTED_SHARE = 0.3
 _BOUND = int(COUNTED_SHARE * 2**64)
 #: Sizes of linked sets differ by a quarter at most; a band is a little wider.
 BAND = 1.2501
@@ -178,14 +178,16 @@ def occurrences(docs: DataFrame, with_node: bool) -> DataFrame:
     return rows.mapInArrow(run, "h bigint, node binary, at int" if with_node else "h bigint")
 
 
-def prefix_keys(n: int, counted: int, found: list[tuple[int, int, int]]) -> set[int]:
-    """The keys of a set of n tokens, `counted` of them in the counted part; found: (at, class, hash) of those that are in other sets too."""
+def prefix_keys(n: int, alone: int, kinds: list[int], hashes: list[int], more: list[tuple[int, int]]) -> set[int]:
+    """The keys of a set of n tokens.
+
+    alone: how many of its counted tokens no other set has, which come first. kinds, hashes: the classes of the other
+    counted ones, and they themselves, in their order. more: (number, token) of those outside of the counted part that others have.
+    """
     keys, errors = set(), n // 5
-    known = sorted(x for x in found if not x[0])
-    alone = counted - len(known)  # tokens that no other set has come first
     for band in (band_of(n), band_of(n) + 1):
         many, reached, members = groups(band), alone, {}
-        for _, kind, h in known:
+        for kind, h in zip(kinds, hashes):
             if reached > errors:
                 break
             if kind == 1:
@@ -197,24 +199,29 @@ def prefix_keys(n: int, counted: int, found: list[tuple[int, int, int]]) -> set[
                     keys.add(xxhash.xxh64_intdigest(np.array([band, *others, h], np.int64).tobytes()) - 2**63)
                 reached += len(own) >= kind - 1
                 own.append(h)
-        keys.update(h for at, _, h in found if 0 < at <= errors + 1 - reached)
+        if reached <= errors:
+            keys.update(h for at, h in more if at <= errors + 1 - reached)
     return keys
 
 
 def _keys(shared: DataFrame) -> DataFrame:
     """key, node, n and parities: the combinations of all sets. shared: node, n, counted, parities and found."""
+    counted = F.filter("found", lambda x: x["at"] == 0)
+    rows = shared.select("node", "n", *BITS, (F.col("counted") - F.size(counted)).alias("alone"), F.array_sort(counted).alias("own"), F.filter("found", lambda x: x["at"] > 0).alias("more"))
+    # Where enough tokens are in no other set, there is nothing to index.
+    rows = rows.where("alone <= n div 5").select("node", "n", *BITS, "alone", F.col("own.kind").alias("kinds"), F.col("own.h").alias("hashes"), F.col("more.at").alias("places"), F.col("more.h").alias("more"))
 
     def run(batches):
         for batch in batches:
             rows, keys = [], []
-            for i, (n, counted, found) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("n", "counted", "found")))):
-                own = prefix_keys(n, counted, [(x["at"], x["kind"], x["h"]) for x in found])
+            for i, (n, alone, kinds, hashes, places, more) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("n", "alone", "kinds", "hashes", "places", "more")))):
+                own = prefix_keys(n, alone, kinds, hashes, list(zip(places, more)))
                 rows += [i] * len(own)
                 keys += own
             same = batch.select(["node", "n", *BITS]).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *same.columns], ["key", "node", "n", *BITS])
 
-    return shared.mapInArrow(run, "key bigint, node binary, n bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint")
+    return rows.mapInArrow(run, "key bigint, node binary, n bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint")
 
 
 def combinations_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
