@@ -117,8 +117,12 @@ def _node(found: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(found.tobytes())
 
 
+def _code(node: bytes) -> int:
+    return int.from_bytes(node[:8], "little", signed=True)
+
+
 def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, node (of equal sets the same 16 bytes; null for an empty set), n, counted (tokens in the counted part) and b0 to b3, the parities."""
+    """doc_id, node (of equal sets the same 16 bytes; null for an empty set), code (its first 8 bytes), n, counted (tokens in the counted part) and b0 to b3, the parities."""
     rows = whole_texts(docs)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -126,15 +130,16 @@ def sets(docs: DataFrame) -> DataFrame:
         for part, texts in by_size(batches):
             every = token_sets(texts)
             parities = np.array([np.packbits(np.bincount((x & np.uint64(255)).astype(np.int64), minlength=256) & 1) for x in every], np.uint8).view(np.int64)
+            nodes = [_node(x) if len(x) else None for x in every]
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column("doc_id"), pa.array([_node(x) if len(x) else None for x in every], pa.binary()), pa.array([len(x) for x in every], pa.int64()),
+                    part.column("doc_id"), pa.array(nodes, pa.binary()), pa.array([_code(x or bytes(8)) for x in nodes], pa.int64()), pa.array([len(x) for x in every], pa.int64()),
                     pa.array([int(np.searchsorted(x, np.uint64(_BOUND))) for x in every], pa.int64()), *(pa.array(c) for c in parities.T),
                 ],
-                ["doc_id", "node", "n", "counted", *BITS],
+                ["doc_id", "node", "code", "n", "counted", *BITS],
             )
 
-    return rows.mapInArrow(run, f"doc_id {kind}, node binary, n bigint, counted bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint")
+    return rows.mapInArrow(run, f"doc_id {kind}, node binary, code bigint, n bigint, counted bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint")
 
 
 def groups(band: int) -> int:
@@ -152,37 +157,31 @@ def _uncounted(n: int, counted: int) -> int:
     return max(0, n // 5 + 1 + lost - counted)
 
 
-def occurrences(docs: DataFrame, with_node: bool) -> DataFrame:
-    """The tokens of all texts that can be in a prefix: h, and with_node the node and at, 0 or the token's number among those outside of the counted part."""
+def occurrences(docs: DataFrame, with_code: bool) -> DataFrame:
+    """The tokens h of all texts that can be in a prefix, and with_code their nodes' codes; rows are as narrow as can be, since they are many."""
     rows = whole_texts(docs).select("text")
 
     def run(batches):
         for _, texts in by_size(batches):
-            h, nodes, at = [], [], []
+            h, codes = [], []
             for found in token_sets(texts):
                 if len(found) < 4:
                     continue
                 counted = int(np.searchsorted(found, np.uint64(_BOUND)))
-                more = min(len(found) - counted, _uncounted(len(found), counted))
-                h.append(found[: counted + more])
-                if with_node:
-                    nodes.append(_node(found))
-                    at.append(np.append(np.zeros(counted, np.int32), np.arange(1, more + 1, dtype=np.int32)))
+                h.append(found[: counted + _uncounted(len(found), counted)])
+                codes.append(_code(_node(found)) if with_code else 0)
             if h:
-                columns = [_long(np.concatenate(h))]
-                if with_node:
-                    rows = np.repeat(np.arange(len(h)), [len(x) for x in h])
-                    columns += [pa.array(nodes, pa.binary()).take(pa.array(rows)), pa.array(np.concatenate(at))]
-                yield pa.RecordBatch.from_arrays(columns, ["h", "node", "at"][: len(columns)])
+                columns = [_long(np.concatenate(h)), pa.array(np.repeat(np.array(codes, np.int64), [len(x) for x in h]))]
+                yield pa.RecordBatch.from_arrays(columns[: 1 + with_code], ["h", "code"][: 1 + with_code])
 
-    return rows.mapInArrow(run, "h bigint, node binary, at int" if with_node else "h bigint")
+    return rows.mapInArrow(run, "h bigint, code bigint" if with_code else "h bigint")
 
 
-def prefix_keys(n: int, alone: int, kinds: list[int], hashes: list[int], more: list[tuple[int, int]]) -> set[int]:
+def prefix_keys(n: int, alone: int, kinds: list[int], hashes: list[int], more: list[int]) -> set[int]:
     """The keys of a set of n tokens.
 
     alone: how many of its counted tokens no other set has, which come first. kinds, hashes: the classes of the other
-    counted ones, and they themselves, in their order. more: (number, token) of those outside of the counted part that others have.
+    counted ones, and they themselves, in their order. more: those outside of the counted part that others have too, as many as can be needed.
     """
     keys, errors = set(), n // 5
     for band in (band_of(n), band_of(n) + 1):
@@ -200,22 +199,23 @@ def prefix_keys(n: int, alone: int, kinds: list[int], hashes: list[int], more: l
                 reached += len(own) >= kind - 1
                 own.append(h)
         if reached <= errors:
-            keys.update(h for at, h in more if at <= errors + 1 - reached)
+            keys.update(more)
     return keys
 
 
 def _keys(shared: DataFrame) -> DataFrame:
     """key, node, n and parities: the combinations of all sets. shared: node, n, counted, parities and found."""
-    counted = F.filter("found", lambda x: x["at"] == 0)
-    rows = shared.select("node", "n", *BITS, (F.col("counted") - F.size(counted)).alias("alone"), F.array_sort(counted).alias("own"), F.filter("found", lambda x: x["at"] > 0).alias("more"))
+    counted = lambda x: (x["h"] >= 0) & (x["h"] < _BOUND)
+    own = F.array_sort(F.filter("found", counted))
+    rows = shared.select("node", "n", *BITS, (F.col("counted") - F.size(own)).alias("alone"), own.alias("own"), F.filter("found", lambda x: ~counted(x)).alias("more"))
     # Where enough tokens are in no other set, there is nothing to index.
-    rows = rows.where("alone <= n div 5").select("node", "n", *BITS, "alone", F.col("own.kind").alias("kinds"), F.col("own.h").alias("hashes"), F.col("more.at").alias("places"), F.col("more.h").alias("more"))
+    rows = rows.where("alone <= n div 5").select("node", "n", *BITS, "alone", F.col("own.kind").alias("kinds"), F.col("own.h").alias("hashes"), F.col("more.h").alias("more"))
 
     def run(batches):
         for batch in batches:
             rows, keys = [], []
-            for i, (n, alone, kinds, hashes, places, more) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("n", "alone", "kinds", "hashes", "places", "more")))):
-                own = prefix_keys(n, alone, kinds, hashes, list(zip(places, more)))
+            for i, values in enumerate(zip(*(batch.column(c).to_pylist() for c in ("n", "alone", "kinds", "hashes", "more")))):
+                own = prefix_keys(*values)
                 rows += [i] * len(own)
                 keys += own
             same = batch.select(["node", "n", *BITS]).take(pa.array(rows, pa.int64()))
@@ -227,15 +227,22 @@ def _keys(shared: DataFrame) -> DataFrame:
 def combinations_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The combinations (key, node, n, parities) that more than one node has; nodes: as of `sets`, a row per node."""
     counts = written(occurrences(docs, False).groupBy("h").count().where("count > 1"))
-    kind = F.when(F.col("count") <= RARE, 1).when(F.col("count") <= FREQUENT, 2).otherwise(3)
+    counted = F.col("h").between(0, _BOUND - 1)
     # A token outside of the counted part is class 1: its count holds only the sets that need it.
-    kind = F.when(F.col("at") > 0, 1).otherwise(kind)
-    met = occurrences(docs, True).join(counts, "h")
+    kind = F.when((F.col("count") <= RARE) | ~counted, 1).when(F.col("count") <= FREQUENT, 2).otherwise(3)
     # Copies of a text give the same rows, which meet in one set as early as in the joining tasks.
-    found = met.groupBy("node").agg(F.collect_set(F.struct("at", kind.alias("kind"), "h")).alias("found"))
-    keys = written(_keys(nodes.join(found, "node").select("node", "n", "counted", *BITS, "found")))
+    found = occurrences(docs, True).join(counts, "h").groupBy("code").agg(F.collect_set(F.struct(kind.alias("kind"), "h")).alias("found"))
+    keys = written(_keys(nodes.join(found, "code").select("node", "n", "counted", *BITS, "found")))
     several = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1"))
-    return written(keys.join(several.select("key"), "key"))
+    keys = keys.join(several.select("key"), "key")
+    # Sets that happen to have the same code (by the birthday bound a few of 10^10) have each other's tokens here. They are
+    # compared with all sets of like size instead, by keys of their own.
+    twins = nodes.groupBy("code").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1").join(nodes, "code")
+    band = lambda side: F.floor(F.log(F.lit(BAND), F.col("n"))) + side
+    own = twins.select(F.explode(F.array(*(F.xxhash64(band(i), F.lit("band")) for i in (-1, 0, 1)))).alias("key"), "node", "n", *BITS)
+    every = nodes.select(F.xxhash64(band(0), F.lit("band")).alias("key"), "node", "n", *BITS)
+    every = every.join(own.select("key").distinct(), "key", "left_semi")
+    return written(keys.union(own).union(every).distinct() if not twins.isEmpty() else keys)
 
 
 def _may_link(a: str, b: str) -> str:
@@ -294,7 +301,7 @@ def links(keys: DataFrame, texts: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of all rows."""
     every = written(sets(docs))
-    nodes = every.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("n", "counted", *BITS)))
+    nodes = every.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("code", "n", "counted", *BITS)))
     nodes = written(nodes)
     keys = combinations_of(docs, nodes)
     texts = written(arrays(docs, nodes.join(keys.select("node").distinct(), "node", "left_semi")))
