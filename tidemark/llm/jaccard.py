@@ -238,7 +238,7 @@ def combinations_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     # Sets that happen to have the same code (by the birthday bound a few of 10^10) have each other's tokens here. They are
     # compared with all sets of like size instead, by keys of their own.
     twins = nodes.groupBy("code").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1").join(nodes, "code")
-    band = lambda side: F.floor(F.log(F.lit(BAND), F.col("n"))) + side
+    band = lambda side: F.floor(F.log(BAND, F.col("n"))) + side
     own = twins.select(F.explode(F.array(*(F.xxhash64(band(i), F.lit("band")) for i in (-1, 0, 1)))).alias("key"), "node", "n", *BITS)
     every = nodes.select(F.xxhash64(band(0), F.lit("band")).alias("key"), "node", "n", *BITS)
     every = every.join(own.select("key").distinct(), "key", "left_semi")
