@@ -9,8 +9,8 @@ that it voted for itself. So does a page of another template: one with far less
 than those that voted for it, and most of its text in containers that these don't have.
 
 What isn't the article is certain by tags and roles. Classes and ids are weaker: a name counts only if all its
-parts say boilerplate or nothing (`post-comments`, but neither `related-work` nor `has-sidebar`), and such an
-element stays if hardly any text would be left without it. All else is for the votes to decide.
+parts say boilerplate or nothing (`post-comments`, `commentlist`, but neither `related-work` nor `has-sidebar`), and such an
+element stays only where it alone has text that counts. All else is for the votes to decide.
 
 Votes are pre-aggregated, so a host with most of the pages is no hot key. The winners are a row per
 host; they are broadcast only if there are at most BROADCAST_HOSTS of them, otherwise joined by host
@@ -38,8 +38,6 @@ from tidemark.llm.tables import by_size, read, written
 BROADCAST_HOSTS = 20_000
 #: Longer paths are hashed.
 PATH_CHARS = 300
-#: An element that is boilerplate by a name only stays if it has this share of the text that would be left with it.
-MOST = 0.95
 #: A container's path is known on a host if this part of the pages that voted for the winner have text in it.
 KNOWN = 0.25
 
@@ -48,6 +46,8 @@ TOKEN = re.compile(
     r"""<!--.*?(?:--!?>|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+)>""",
     re.DOTALL,
 )
+#: Two letters or digits.
+WORD = re.compile(r"[^\W_].*?[^\W_]", re.DOTALL)
 LINK_EDGE = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|([^\s=/>"']+)""")
 # Elements by what they are in HTML.
@@ -67,15 +67,19 @@ DROPPED_ROLES = set("navigation banner contentinfo complementary search alert al
 DROPPED_WORDS = set(
     """nav navbar navigation menu sidebar aside footer masthead ad ads advert adverts advertisement advertisements advertising banner promo promotion
     sponsor sponsored cookie cookies consent notice gdpr popup modal overlay newsletter subscribe subscription share sharing social breadcrumb breadcrumbs
-    comment comments respond disqus related recommended pager pagination login signup topbar""".split()
+    comment comments respond disqus related recommended pager pagination login signup topbar legal disclaimer copyright""".split()
 )
 #: Words that say nothing by themselves, beside one of those.
 FILLERS = set(
     """the js c l u o m site page main global primary secondary post posts entry article articles story stories news blog top bottom left right upper lower
     inner outer list lists item items box boxes slot slots unit zone button buttons btn bar bars area block blocks wrap wrapper container content contents
     section sections form forms link links widget widgets panel group icons icon count title heading body text label row col holder thread policy message
-    media network networks follow us toggle mobile desktop sticky fixed""".split()
+    media network networks follow us toggle mobile desktop sticky fixed user users reader readers guest guests reply replies""".split()
 )
+#: Those that also count where they are joined with others of both kinds (`commentlist`, `usercomments`).
+JOINED_WORDS = set("comment comments respond sidebar footer navigation cookie cookies consent newsletter breadcrumb breadcrumbs advert adverts advertisement popup".split())
+#: Longer parts of names aren't cut.
+JOINED_CHARS = 40
 DROPPED_NAMES = set("header site-header page-header top-header main-header header-wrapper skip-link".split())
 
 
@@ -92,12 +96,26 @@ def _dropped(tag: str, a: dict[str, str]) -> bool:
     return "display:none" in a.get("style", "").replace(" ", "").lower()
 
 
+def _cut(part: str) -> set[str]:
+    """The words of a part of a name: itself, or the known ones (of three letters at least) that it is joined of, one of JOINED_WORDS among them."""
+    if part in DROPPED_WORDS or part in FILLERS or len(part) > JOINED_CHARS:
+        return {part}
+    words: list[set[str] | None] = [set()] + [None] * len(part)  # of each beginning
+    for end in range(3, len(part) + 1):
+        for start in range(end - 2):
+            word = part[start:end]
+            if words[start] is not None and (word in JOINED_WORDS or word in FILLERS) and (words[end] is None or word in JOINED_WORDS):
+                words[end] = words[start] | {word}
+    found = words[-1]
+    return found if found and found & JOINED_WORDS else {part}
+
+
 def _suspect(tag: str, a: dict[str, str]) -> bool:
     """Whether a class or id marks the element as boilerplate."""
     if tag in ("html", "body", "main", "article"):
         return False
     for name in f"{a.get('class', '')} {a.get('id', '')}".lower().split():
-        parts = {x for x in re.split(r"[-_\d]+", name) if x}
+        parts = {w for x in re.split(r"[-_\d]+", name) if x for w in _cut(x)}
         if name in DROPPED_NAMES or parts & DROPPED_WORDS and parts <= DROPPED_WORDS | FILLERS:
             return True
     return False
@@ -116,30 +134,36 @@ def _path(parent: str, step: str) -> str:
 
 def prose(text: str, links: int) -> int:
     """The characters that count: none of a block that is mostly links or has no word."""
-    return len(text) - links if 2 * links <= len(text) and sum(c.isalnum() for c in text[:100]) > 1 else 0
+    return len(text) - links if 2 * links <= len(text) and WORD.search(text) else 0
 
 
 def _without_suspects(found: list[tuple[str, int, int]], boxes: list[tuple[str, int]], suspects: set[int]) -> list[tuple[str, int, int]]:
-    """found without the blocks in suspects, of which those stay without which hardly anything would be left."""
+    """found without the blocks in suspects. Where no text that counts is left and one suspect alone has such text, that one stays, without the suspects in it."""
     if not suspects:
         return found
-    own = [0] * len(boxes)
+    over = [-1] * len(boxes)  # the innermost suspect that a container is or lies in
+    own, held = [0] * (len(boxes) + 1), [0] * (len(boxes) + 1)  # what counts by innermost suspect, and with those inside; the last place is outside of all
+    inner: list[list[int]] = [[] for _ in range(len(boxes) + 1)]
+    for i, (_, parent) in enumerate(boxes):
+        around = over[parent] if parent >= 0 else -1
+        over[i] = i if i in suspects else around
+        if i in suspects:
+            inner[around].append(i)
     for text, links, box in found:
-        own[box] += prose(text, links)
-    while True:
-        top = [-1] * len(boxes)  # the outermost suspect around a container
-        held = {i: 0 for i in suspects}
-        kept = 0
-        for i, (_, parent) in enumerate(boxes):
-            top[i] = top[parent] if parent >= 0 and top[parent] >= 0 else i if i in suspects else -1
-            if top[i] < 0:
-                kept += own[i]
-            else:
-                held[top[i]] += own[i]
-        most = max(held, key=held.get, default=-1)
-        if most < 0 or not held[most] or held[most] < MOST * (kept + held[most]):
-            return [x for x in found if top[x[2]] < 0]
-        suspects = suspects - {most}
+        own[over[box]] += prose(text, links)
+    for i in sorted(suspects, reverse=True):  # a container comes behind its parent
+        held[i] += own[i]
+        around = over[boxes[i][1]] if boxes[i][1] >= 0 else -1
+        held[around] += held[i]
+    stays = {-1}
+    at = -1
+    while not own[at]:
+        heirs = [i for i in inner[at] if held[i]]
+        if len(heirs) != 1:
+            break
+        at = heirs[0]
+        stays.add(at)
+    return [x for x in found if over[x[2]] in stays]
 
 
 def blocks(page: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int]]]:

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.tables import by_size, read, whole_texts, written
+from tidemark.llm.tables import by_size, read, release, whole_texts, written
 
 WORDS = 5
 #: A link's likeness, in hundredths.
@@ -227,12 +227,14 @@ def _keys(shared: DataFrame) -> DataFrame:
 def combinations_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The combinations (key, node, n, parities) that more than one node has; nodes: as of `sets`, a row per node."""
     counts = written(occurrences(docs, False).groupBy("h").count().where("count > 1"))
+    release(docs.sparkSession)
     counted = F.col("h").between(0, _BOUND - 1)
     # A token outside of the counted part is class 1: its count holds only the sets that need it.
     kind = F.when((F.col("count") <= RARE) | ~counted, 1).when(F.col("count") <= FREQUENT, 2).otherwise(3)
     # Copies of a text give the same rows, which meet in one set as early as in the joining tasks.
     found = occurrences(docs, True).join(counts, "h").groupBy("code").agg(F.collect_set(F.struct(kind.alias("kind"), "h")).alias("found"))
     keys = written(_keys(nodes.join(found, "code").select("node", "n", "counted", *BITS, "found")))
+    release(docs.sparkSession)
     several = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1"))
     keys = keys.join(several.select("key"), "key")
     # Sets that happen to have the same code (by the birthday bound a few of 10^10) have each other's tokens here. They are
@@ -275,8 +277,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def links(keys: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) enough to give all components. keys: as of `combinations_of`; texts: node and tokens.
 
-    After a comparison with middles, a node's label is the least of those that it links with and of its own:
-    nodes with the same label are connected, and no pair of them needs to be compared.
+    After a comparison with middles, a node's label is the least of the middles' that it links with, else its own: a node is
+    connected with the one that its label names, so no pair of the same label needs to be compared.
     """
     now, found = keys.withColumn("label", F.col("node")), None
     for turn in range(STAR_ROUNDS + 1):
@@ -292,7 +294,7 @@ def links(keys: DataFrame, texts: DataFrame) -> DataFrame:
         found = more if found is None else found.union(more)
         if turn < STAR_ROUNDS:
             linked = written(more.groupBy(F.col("a").alias("node")).agg(F.min("label").alias("met")))
-            named = written(now.join(linked, "node", "left").withColumn("label", F.least("label", "met")).drop("met"))
+            named = written(now.join(linked, "node", "left").withColumn("label", F.coalesce("met", "label")).drop("met"))
             open_ = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
             now = written(named.join(written(open_.select("key")), "key"))
     return found.select("a", "b")
@@ -305,6 +307,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     nodes = written(nodes)
     keys = combinations_of(docs, nodes)
     texts = written(arrays(docs, nodes.join(keys.select("node").distinct(), "node", "left_semi")))
+    release(docs.sparkSession)
     roots = written(components(links(keys, texts)))
     rooted = written(nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
     lowest = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")))

@@ -1,6 +1,7 @@
 """Operator 4: Order MinHash fingerprints.
 
-A text's tokens (runs of non-space characters, longer ones cut after each TOKEN_CHARS) give k-mers of
+A text's tokens (runs of non-space characters; a run of more than TOKEN_CHARS, as in texts without blanks, gives
+single characters and its last TOKEN_CHARS as one token, so that an edit shifts no other tokens) give k-mers of
 K tokens. Each k-mer gets its occurrence number, so that repetitions count, and is hashed with it.
 Each of SKETCHES orderings goes round the circle of hashes from a fixed point of its own, the points
 lying evenly; an ordering's first two k-mers are selected and give a tuple: they are hashed in the order
@@ -38,7 +39,8 @@ SKETCHES = 32
 #: Bits that number the SKETCHES points.
 ARC_BITS = 5
 TOKEN_CHARS = 24
-TOKEN = rf"\S{{1,{TOKEN_CHARS}}}"
+#: A run of up to TOKEN_CHARS, or what is left of a longer one, is a token; before that, each character is one.
+TOKEN = rf"\S{{1,{TOKEN_CHARS}}}+(?!\S)|\S"
 #: Quantiles of the ids; ranges are steps between two of them.
 QUANTILES = 64
 #: Low bits of a packed long that hold a k-mer's place in its text; the rest is its hash.

@@ -22,7 +22,7 @@ a spanning forest are made, by a search that leaves out what it has reached, so
 doesn't give all its pairs. A key with more than BUCKET_ROWS fingerprints is dealt out: its
 fingerprints are split into blocks, and each pair of blocks is compared in a task of its own.
 
-Copies are one fingerprint from the start (pre-aggregated; a WIDE one stands under its first 64 bits). Links, components and fingerprints stay in
+Copies are one fingerprint from the start (pre-aggregated; a WIDE one by all of its columns). Links, components and fingerprints stay in
 Spark's tables; steps that later ones use twice are checkpointed in the cluster's shared folder.
 
 Cases: null and blank texts have fingerprint zero and link like any other. Repeated rows stay. A null
@@ -67,6 +67,11 @@ class Scheme:
     def columns(self) -> list[str]:
         return ["fp"] if self.bits == 64 else ["fp", "fq"]
 
+    @property
+    def others(self) -> list[str]:
+        """The columns of the fingerprint that another one links with."""
+        return [f"{c}_b" for c in self.columns]
+
 
 STRICT = Scheme(4, 64, 4)
 WIDE = Scheme(5, 92, 13)
@@ -142,35 +147,36 @@ def differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def forest(fps: np.ndarray, most_bits: int) -> list[tuple[int, int]]:
-    """Links that join the fingerprints' components, found by a search among those not yet reached."""
-    links, rest = [], fps
+    """Links, as pairs of rows, that join the fingerprints' components, found by a search among those not yet reached."""
+    links, rest, numbers = [], fps, np.arange(len(fps))
     while len(rest) > 1:
-        front, rest = [rest[0]], rest[1:]
+        front, rest, numbers = [(int(numbers[0]), rest[0])], rest[1:], numbers[1:]
         while front and len(rest):
-            x = front.pop()
+            i, x = front.pop()
             near = differ(rest, x) <= most_bits
             if near.any():
-                links += [(int(x[0]), int(y)) for y in rest[near, 0]]
-                front += list(rest[near])
-                rest = rest[~near]
+                links += [(i, int(j)) for j in numbers[near]]
+                front += list(zip(map(int, numbers[near]), rest[near]))
+                rest, numbers = rest[~near], numbers[~near]
     return links
 
 
 def bucket_links(key: np.ndarray, fps: np.ndarray, most_bits: int) -> np.ndarray:
-    """Links among rows sorted by key, as two columns."""
+    """Links among rows sorted by key, as two columns of rows."""
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     sizes = np.diff(np.append(first, len(key)))
     found = []
-    small = np.repeat(sizes <= SMALL, sizes)
+    small = np.flatnonzero(np.repeat(sizes <= SMALL, sizes))
     k, f = key[small], fps[small]
     for lag in range(1, min(SMALL, len(k))):
         same = np.flatnonzero(k[lag:] == k[:-lag])
         if not len(same):
             break
         near = same[differ(f[same + lag], f[same]) <= most_bits]
-        found.append(np.stack([f[near, 0], f[near + lag, 0]], 1))
+        found.append(np.stack([small[near], small[near + lag]], 1))
     for i in np.flatnonzero(sizes > SMALL):
-        found.append(np.array(forest(fps[first[i] : first[i] + sizes[i]], most_bits), np.int64).reshape(-1, 2))
+        own = forest(fps[first[i] : first[i] + sizes[i]], most_bits)
+        found.append(first[i] + np.array(own, np.int64).reshape(-1, 2))
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
 
@@ -204,7 +210,7 @@ def _runs(batches: Iterator[pa.RecordBatch], names: list[str], most: int) -> Ite
 
 
 def _compare(rows: DataFrame, scheme: Scheme, most: int) -> DataFrame:
-    """key, the scheme's columns and b: the links fp and b of keys with up to `most` rows (key null), and the rows of other keys (b null)."""
+    """key, the scheme's columns and its others: the links of keys with up to `most` rows (key null), and the rows of other keys (others null)."""
     names = scheme.columns
 
     def run(batches):
@@ -213,18 +219,22 @@ def _compare(rows: DataFrame, scheme: Scheme, most: int) -> DataFrame:
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             sizes = np.diff(np.append(first, len(key)))
             large = np.repeat(sizes > most, sizes) | over
-            links = bucket_links(key[~large], fps[~large], scheme.most_bits) if not large.all() else np.zeros((0, 2), np.int64)
-            n, m = len(links), int(large.sum())
-            rest = fps[large]
+            own, rest = fps[~large], fps[large]
+            links = bucket_links(key[~large], own, scheme.most_bits) if len(own) else np.zeros((0, 2), np.int64)
+            n, m = len(links), len(rest)
             columns = [
                 pa.array(np.append(np.zeros(n, np.int64), key[large]), mask=np.arange(n + m) < n),
-                pa.array(np.append(links[:, 0], rest[:, 0])),
-                *(pa.array(np.append(np.zeros(n, np.int64), c)) for c in rest.T[1:]),
-                pa.array(np.append(links[:, 1], np.zeros(m, np.int64)), mask=np.arange(n + m) >= n),
+                *(pa.array(np.append(x, y)) for x, y in zip(own[links[:, 0]].T, rest.T)),
+                *(pa.array(np.append(x, np.zeros(m, np.int64)), mask=np.arange(n + m) >= n) for x in own[links[:, 1]].T),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["key", *names, "b"])
+            yield pa.RecordBatch.from_arrays(columns, ["key", *names, *scheme.others])
+
+    return rows.mapInArrow(run, ", ".join(f"{c} bigint" for c in ("key", *names, *scheme.others)))
 
-    return rows.mapInArrow(run, ", ".join(f"{c} bigint" for c in ("key", *names, "b")))
+
+def _node(columns: list[str]) -> Column:
+    """A fingerprint as one value."""
+    return F.struct(*(F.col(c).alias(n) for c, n in zip(columns, ("fp", "fq")))) if len(columns) > 1 else F.col(columns[0])
 
 
 def links(fps: DataFrame, bucket_rows: int = BUCKET_ROWS, scheme: Scheme = STRICT) -> DataFrame:
@@ -243,8 +253,9 @@ def links(fps: DataFrame, bucket_rows: int = BUCKET_ROWS, scheme: Scheme = STRIC
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = fps.select(*names).repartition(tasks, "fp").mapInArrow(deal, ", ".join(f"{c} bigint" for c in ("key", *names)))
     found = written(_compare(keyed.repartition("key").sortWithinPartitions("key", "fp"), scheme, bucket_rows))
-    pairs = found.where("b is not null").select(F.col("fp").alias("a"), "b")
-    rest = found.where("b is null").select("key", *names)
+    ends = [_node(names).alias("a"), _node(scheme.others).alias("b")]
+    pairs = found.where("fp_b is not null").select(*ends)
+    rest = found.where("fp_b is null").select("key", *names)
     if rest.isEmpty():
         return pairs
     blocks = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) * 3 / bucket_rows).alias("blocks"))
@@ -253,17 +264,18 @@ def links(fps: DataFrame, bucket_rows: int = BUCKET_ROWS, scheme: Scheme = STRIC
     dealt = own.select("key", *names, "block", other)
     dealt = dealt.select(*names, F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"))
     more = _compare(dealt.repartition("key").sortWithinPartitions("key", "fp"), scheme, 1 << 40)
-    return pairs.union(more.select("fp", "b"))
+    return pairs.union(more.select(*ends))
 
 
 def classes(prints: DataFrame, scheme: Scheme = STRICT) -> DataFrame:
-    """fp and component_id (the smallest doc_id of the class) of all fingerprints in doc_id and the scheme's columns."""
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), *(F.min(c).alias(c) for c in scheme.columns[1:])))
+    """The scheme's columns and component_id (the smallest doc_id of the class) of all fingerprints in doc_id and these columns."""
+    names = scheme.columns
+    nodes = written(prints.groupBy(*names).agg(F.min("doc_id").alias("first")))
     found = written(components(links(nodes, scheme=scheme)))
-    rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = written(rooted)
+    own = nodes.withColumn("own", _node(names))
+    rooted = written(own.join(found, own["own"] == found["node"], "left").select(*names, "first", F.coalesce("root", "own").alias("root")))
     lowest = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
-    return written(rooted.join(lowest, "root").select("fp", "component_id"))
+    return written(rooted.join(lowest, "root").select(*names, "component_id"))
 
 
 def representatives(docs: DataFrame, scheme: Scheme = STRICT) -> DataFrame:
@@ -275,7 +287,7 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = STRICT) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id of the class) of all rows."""
     prints = written(fingerprints(docs, scheme))
     named = classes(prints, scheme)
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(named, scheme.columns).select("doc_id", "fp", "component_id")
 
 
 def hex_digits(fp: Column) -> Column:

@@ -65,6 +65,11 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver's JVM look for shuffles that no table refers to any more, so that their files go before the next large shuffle."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def sql_crc32(text: str) -> str:
     """DuckDB SQL for the CRC-32 of an ASCII text, bit by bit."""
     bits = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, (c % 2) * 3988292384))"
