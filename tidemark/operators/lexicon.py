@@ -179,3 +179,14 @@ def expand(queries: DataFrame, entries: tuple[Entry, ...] = SAMPLE, most: int =
 
     kind = dict(queries.dtypes)["query_id"]
     return queries.select("query_id", padded(F.col("text")).alias("n")).mapInArrow(run, f"query_id {kind}, place bigint, kind string, code string, phrase string")
+
+
+def bags(spark: SparkSession, entries: tuple[Entry, ...] = SAMPLE) -> DataFrame:
+    """kind, code and phrase: all that an entry may be asked by."""
+    return spark.createDataFrame([(e.kind, e.code, p) for e in entries for p in e.asked], "kind string, code string, phrase string")
+
+
+def phrase_bags(queries: DataFrame, entries: tuple[Entry, ...] = SAMPLE) -> DataFrame:
+    """query_id and phrase: all that the entries which a query (query_id, text) matches may be asked by."""
+    matched = expand(queries, entries).select("query_id", "kind", "code")
+    return matched.join(bags(queries.sparkSession, entries), ["kind", "code"]).select("query_id", "phrase")

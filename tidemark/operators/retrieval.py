@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.constants import NEIGHBOUR_FLOOR, NEIGHBOUR_SHARE
 from tidemark.functions.text import content_key, normalise
-from tidemark.operators import fusion, gate, lexical, ranking, understanding, vector
+from tidemark.operators import covers, fusion, gate, lexical, ranking, understanding, vector
 from tidemark.operators.tagging import leaf
 from tidemark.sources.store import cut
 
@@ -34,7 +34,9 @@ class Corpus:
     chunks: doc_id, paragraph_index, page_number, text; documents: doc_id, name, payer, state, program,
     authority_level; postings: doc_id, paragraph_index, token, tf, weight; line_tags: doc_id,
     paragraph_index, kind, code; document_tags: doc_id, kind, code; vectors: chunk, doc_id,
-    paragraph_index, embedding.
+    paragraph_index, embedding; places: the index of `covers.positions`; bags: kind, code, phrase, what a
+    request's tags may be asked by; scope: query_id and doc_id of the only documents that a request may get
+    (null: all of them, for each request).
     """
 
     chunks: DataFrame
@@ -43,6 +45,9 @@ class Corpus:
     line_tags: DataFrame
     document_tags: DataFrame
     vectors: DataFrame
+    places: DataFrame
+    bags: DataFrame
+    scope: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -85,7 +90,9 @@ def tag_filters(requests: DataFrame, documents: DataFrame, document_tags: DataFr
     names = lambda c: F.contains(F.lower(c), F.lower(said))
     meets = F.when(F.col("category") == "state", F.col("state") == F.upper(F.substring("value", 1, 2))).when(F.col("category") == "program", names("program")).when(F.col("category").isin("payor", "regulatory_authority"), names("payer"))
     held = parts.join(values, meets).select("codes", "state", "program", "payer").distinct()
-    by_value = documents.select("doc_id", "state", "program", "payer").join(F.broadcast(held), ["state", "program", "payer"]).select("codes", "doc_id", F.lit(True).alias("strict"), F.lit(False).alias("relaxed"))
+    own, held = documents.select("doc_id", "state", "program", "payer"), held.toDF("codes", "_state", "_program", "_payer")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("state", "program", "payer")]  # a document may lack some
+    by_value = own.join(F.broadcast(held), same).select("codes", "doc_id", F.lit(True).alias("strict"), F.lit(False).alias("relaxed"))
     tags = document_tags.select("doc_id", "kind", F.concat_ws(":", "kind", "code").alias("tag"))
     has = each.join(tags, "tag")
     by_payer = has.where(F.col("tag").rlike(r"^j:(payor|regulatory_authority)\.")).select("codes", "doc_id", F.lit(True).alias("strict"), F.lit(False).alias("relaxed"))
@@ -131,9 +138,11 @@ def code_lookup(requests: DataFrame, documents: DataFrame, k: int) -> DataFrame:
 
 
 def lexical_arm(requests: DataFrame, corpus: Corpus, options: Options, admitted: DataFrame) -> DataFrame:
-    """query_id, doc_id, paragraph_index, similarity and rank: the k-of-n cascade within what filters and tags leave."""
-    found = lexical.scored(requests.select("query_id", "text"), corpus.postings, CHUNK)
-    kept = lexical.cascade(tag_moded(found, requests, admitted, options.tag_mode, relaxes=False))
+    """query_id, doc_id, paragraph_index, similarity and rank by cover density, its levels chosen within what scope and tags leave."""
+    tags = requests.select("query_id", F.explode("codes").alias("tag"))
+    phrases = tags.join(corpus.bags.select(F.concat_ws(":", "kind", "code").alias("tag"), "phrase"), "tag").select("query_id", "phrase")
+    narrow = lambda rows: tag_moded(rows, requests, admitted, options.tag_mode, relaxes=False)
+    kept = covers.ranked(requests.select("query_id", "text"), phrases, corpus.places, corpus.chunks, corpus.scope, narrow)
     return lexical.top_k(kept, 2 * options.k, "score", CHUNK).select("query_id", *CHUNK, F.col("score").alias("similarity"), "rank")
 
 
@@ -142,7 +151,12 @@ def vector_arm(requests: DataFrame, corpus: Corpus, options: Options, admitted:
     wanted = 2 * options.k
     fetched = wanted * (8 if options.mode == "recall" or options.tag_mode != "none" else 1)
     asked = requests.select(F.col("query_id").alias("chunk"), "embedding")
-    near = vector.nearest(asked, corpus.vectors, fetched, "chunk", options.min_similarity if options.mode == "recall" else None)
+    least = options.min_similarity if options.mode == "recall" else None
+    if corpus.scope is None:
+        near = vector.nearest(asked, corpus.vectors, fetched, "chunk", least)
+    else:
+        pools = corpus.scope.join(corpus.vectors.select("doc_id", "chunk"), "doc_id")
+        near = vector.nearest_within(pools, asked, corpus.vectors, fetched, "chunk", least)
     rows = near.drop("rank").join(corpus.vectors.select("chunk", *CHUNK), "chunk")
     return lexical.top_k(tag_moded(rows, requests, admitted, options.tag_mode), wanted, "similarity", CHUNK).select("query_id", *CHUNK, "similarity", "rank")
 
@@ -156,8 +170,12 @@ def tag_arm(requests: DataFrame, corpus: Corpus, k: int) -> DataFrame:
     each = requests.select("query_id", F.explode("dtags").alias("code"))
     tagged = corpus.line_tags.where("kind = 'd'").select(*CHUNK, "code").join(F.broadcast(each.select("code").distinct()), "code")
     tagged = tagged.join(corpus.documents.select("doc_id", "authority_level"), "doc_id").select(*CHUNK, "code", place.alias("place"))
-    first = tagged.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("place", *CHUNK))).where(F.col("n") <= k)
-    rows = each.join(first, "code").select("query_id", *CHUNK, "place").distinct()
+    if corpus.scope is None:
+        first = tagged.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("place", *CHUNK))).where(F.col("n") <= k)
+    else:  # a tag's first chunks differ from request to request
+        each = each.join(corpus.scope.select("query_id", "doc_id").distinct(), "query_id")
+        first = tagged
+    rows = each.join(first, "code" if corpus.scope is None else ["code", "doc_id"]).select("query_id", *CHUNK, "place").distinct()
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("place", *CHUNK)).cast("long"))
     return ranked.where(F.col("rank") <= k).select("query_id", *CHUNK, F.lit(0.5).alias("similarity"), "rank")
 
@@ -275,7 +293,7 @@ def expand_hits(picked: DataFrame, chunks: DataFrame, options: Options) -> DataF
     fresh = around.withColumn("_n", first).where("_n = 1")
     best = seeds.groupBy("query_id", "doc_id").agg(F.max("score").alias("_best"))
     score = F.when(F.col("_best") > 0, NEIGHBOUR_SHARE * F.col("_best")).otherwise(NEIGHBOUR_FLOOR)
-    new = fresh.join(best, ["query_id", "doc_id"]).select("query_id", *CHUNK, "page_number", "text", F.round(score, 6).alias("score"), F.lit("neighbour").alias("origin"))
+    new = fresh.join(best, ["query_id", "doc_id"]).select("query_id", *CHUNK, "page_number", "text", F.round(score, 7).alias("score"), F.lit("neighbour").alias("origin"))
     both = seeds.withColumn("origin", F.lit("hit")).unionByName(new)
     order = [(F.col("origin") != "hit").cast("int"), F.desc("score"), *map(F.col, CHUNK)]
     return ranking.per_document_cap(both, ["query_id"], "doc_id", order, options.per_document, options.total)
@@ -309,7 +327,7 @@ def search(requests: DataFrame, corpus: Corpus, options: Options = Options()) ->
     ranked = cut(coverage_floor(rerank(cut(rows), single_arm=options.mode == "recall")))
     ranked = ranking.decay_filter(ranked, ["query_id", "arm"], "score")
     ranked = ranked.withColumns({
-        "id": F.col("doc_id") * 1_000_000 + F.col("paragraph_index"),
+        "id": F.struct(*CHUNK),
         "content_key": content_key(F.col("text"), 200),
         "page_key": F.concat_ws("/", F.col("doc_id").cast("string"), F.col("page_number").cast("string")),
     })

@@ -63,3 +63,15 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_i
     if least is not None:
         out = out.where(F.col("similarity") >= least)
     return top_k(out, k, "similarity", [id_col])
+
+
+def nearest_within(pools: DataFrame, queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", least: float | None = None) -> DataFrame:
+    """query_id, id, similarity and rank of the k nearest rows of each query's pool (query_id, id), as `nearest` gives them; only pairs of pools are looked at."""
+    unit = lambda c: F.transform(c, lambda x: F.try_divide(x, F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, y: a + y * y))))
+    own = lambda df, name: df.where("embedding is not null").select(F.col(id_col).alias(name), unit(F.col("embedding").cast("array<double>")).alias(f"of_{name}"))
+    pairs = pools.select("query_id", F.col(id_col).alias("v")).distinct().join(own(vectors, "v"), "v").join(own(queries, "query_id"), "query_id")
+    dot = F.aggregate(F.zip_with("of_query_id", "of_v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    found = pairs.select("query_id", F.col("v").alias(id_col), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(dot, F.lit(0.0)))).alias("similarity"))
+    if least is not None:
+        found = found.where(F.col("similarity") >= least)
+    return top_k(found, k, "similarity", [id_col])

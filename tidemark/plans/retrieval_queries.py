@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import content_key
-from tidemark.operators import fusion, lexical, ranking, retrieval, tagging, understanding, vector
+from tidemark.operators import covers, fusion, lexical, lexicon, ranking, retrieval, tagging, understanding, vector
 from tidemark.operators.retrieval import CHUNK, Corpus, Options
 from tidemark.plans.corpus_queries import _doc_tags, _line_tags, _lines, _meta
-from tidemark.plans.oracle import AUTHORITY, CASCADE, DOC_TAGS, LINES, META, NORM, SCORED, TOK, expand
+from tidemark.plans.oracle import AUTHORITY, CASCADE, DOC_TAGS, LINES, META, NORM, NORMAL_QUERY, SCORED, STOP, TOK, WHOLE_BAGS, distinct, expand, first_tokens
 from tidemark.sources.store import stored
 from tidemark.sources.tables import read
 
@@ -30,6 +32,12 @@ def _found(spark: SparkSession, d: str) -> DataFrame:
     return lexical.scored(_questions(spark, d), _postings(spark, d), CHUNK)
 
 
+def _places(spark: SparkSession, d: str) -> DataFrame:
+    """The positional index of all chunks, sorted by token within files."""
+    make = lambda s, d: covers.positions(_lines(s, d), _meta(s, d).select("doc_id", "name")).repartition("token").sortWithinPartitions("token")
+    return stored(spark, d, "places", make)
+
+
 def _shown(df: DataFrame, *scores: str) -> DataFrame:
     """Scores to six places, once ranks are given."""
     return df.withColumns({c: F.round(c, 6) for c in scores})
@@ -43,12 +51,22 @@ def kofn_cascade(spark, d):
     return _shown(lexical.top_k(lexical.cascade(_found(spark, d)), K, "score", CHUNK).select("query_id", *CHUNK, "level", "matched", "score", "rank"), "score")
 
 
+def cover_density(spark, d):
+    """Chunks by cover density: all tokens of the normalised question and its expansion's phrases in the score, names before texts."""
+    asked = _questions(spark, d)
+    found = covers.ranked(asked, lexicon.phrase_bags(asked), _places(spark, d), _lines(spark, d))
+    return _shown(lexical.top_k(found, K, "score", CHUNK).select("query_id", *CHUNK, "level", "matched", "score", "rank"), "score")
+
+
+def _pools(spark: SparkSession, d: str) -> DataFrame:
+    """query_id and doc_id: each document is pinned for one question."""
+    n = read(spark, d, "benchmark").agg(F.max("item_id") + 1).scalar()
+    return read(spark, d, "documents").select((F.col("doc_id") % n).alias("query_id"), "doc_id")
+
+
 def pinned_pool(spark, d):
     """Each document is the pool of one question; all of its chunks are ranked, also without a match."""
-    items = read(spark, d, "benchmark")
-    n = items.agg(F.max("item_id") + 1).scalar()
-    pools = read(spark, d, "documents").select((F.col("doc_id") % n).alias("query_id"), "doc_id")
-    pins = _questions(spark, d).join(pools, "query_id")
+    pins = _questions(spark, d).join(_pools(spark, d), "query_id")
     found = lexical.pinned(pins, _lines(spark, d), _postings(spark, d), CHUNK)
     return _shown(found.select("query_id", *CHUNK, "score"), "score")
 
@@ -146,7 +164,7 @@ def _requests(spark: SparkSession, d: str) -> DataFrame:
 
 def _corpus(spark: SparkSession, d: str) -> Corpus:
     vectors = read(spark, d, "embeddings").select(F.col("vec_id").alias("chunk"), F.col("vec_id").alias("doc_id"), F.lit(0).cast("long").alias("paragraph_index"), "embedding")
-    return Corpus(_lines(spark, d), _meta(spark, d), _postings(spark, d), _line_tags(spark, d), _doc_tags(spark, d), vectors)
+    return Corpus(_lines(spark, d), _meta(spark, d), _postings(spark, d), _line_tags(spark, d), _doc_tags(spark, d), vectors, _places(spark, d), lexicon.bags(spark))
 
 
 #: The options that the registered searches run with, by mode.
@@ -168,9 +186,14 @@ def _searched(name: str):
 
 search = _searched("search")
 
+
+def search_scoped(spark, d):
+    """Search in which each question may get only the documents pinned for it."""
+    return retrieval.search(_requests(spark, d), replace(_corpus(spark, d), scope=_pools(spark, d)), SEARCHES["search"])
+
 QUERIES = {f.__name__: f for f in (
-    lexical_topk, kofn_cascade, pinned_pool, vector_topk, vector_min_similarity, rrf_fusion, union_of_arms, assembled_answer, code_lookup, metadata_scope,
-    *map(_searched, SEARCHES),
+    lexical_topk, kofn_cascade, cover_density, pinned_pool, vector_topk, vector_min_similarity, rrf_fusion, union_of_arms, assembled_answer, code_lookup, metadata_scope,
+    *map(_searched, SEARCHES), search_scoped,
 )}
 
 _COSINE = "list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[])"
@@ -233,7 +256,7 @@ def _signal(text: str, name: str) -> str:
     return f"least(1, ({hits}) / CASE WHEN {short} THEN sqrt({len(patterns)}) ELSE {len(patterns)} END)"
 
 
-def _search_sql(o: Options) -> str:
+def _search_sql(o: Options, scoped: bool = False) -> str:
     wanted, asked_all = 2 * o.k, o.tag_mode == "none"
     kept = {"none": "true", "strict": "st", "relaxed": "rl", "auto": "CASE WHEN anyst THEN st ELSE hasdp AND rl END"}[o.tag_mode]
     moded = lambda rows, off: f"""SELECT * EXCLUDE (st, rl, hasdp, anyst) FROM (SELECT *, bool_or(st) OVER (PARTITION BY query_id) AS anyst FROM (SELECT x.*, NOT coalesce(hasj, false) OR coalesce(strict, false) AS st,
@@ -246,7 +269,7 @@ def _search_sql(o: Options) -> str:
     if o.mode != "recall":
         arms.append(f"SELECT query_id, doc_id, paragraph_index, 'dtag' AS arm, {len(arms)} AS o, 0.5::DOUBLE AS similarity, rank FROM ta WHERE rank <= {o.k}")
     vec = "vector" if o.mode == "recall" else "CASE WHEN vector IS NOT NULL THEN greatest(0, (vector - 0.5::DOUBLE) * 2) END"
-    scored = SCORED.replace(LINES + ", ", "").replace("found AS MATERIALIZED", "found0 AS MATERIALIZED")
+    semi = "SEMI JOIN pool USING (query_id, doc_id)" if scoped else ""
     floor = 0.0 if o.mode == "recall" else 0.18
     if o.min_similarity is not None:
         floor = max([v for v in (0.55, 0.35, 0.18) if o.min_similarity >= v], default=0.0)
@@ -260,19 +283,19 @@ def _search_sql(o: Options) -> str:
     else:
         order = "ordered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS position FROM first3)"
     label = "CASE WHEN score >= 0.55 THEN 'high' WHEN score >= 0.35 THEN 'medium' WHEN score >= 0.18 THEN 'low' ELSE 'abstain' END"
-    sql = f"""WITH {DOC_TAGS}, {META}, {requests()}, {scored},
+    sql = f"""WITH {DOC_TAGS}, {META}, {requests()}, {_COVERS},
 held AS (SELECT DISTINCT query_id, m.doc_id, true AS strict, false AS relaxed FROM have h JOIN meta m ON h.kind = 'j' AND CASE WHEN h.code LIKE 'state.%' THEN m.state = upper(substring(substring(h.code, 7), 1, 2))
     WHEN h.code LIKE 'payor.%' THEN contains(lower(m.payer), replace(substring(h.code, 7), '_', ' ')) ELSE false END
   UNION ALL SELECT DISTINCT query_id, doc_id, true, false FROM have JOIN doc_tags USING (kind, code) WHERE kind = 'j' AND code LIKE 'payor.%'
   UNION ALL SELECT DISTINCT query_id, doc_id, false, true FROM have JOIN doc_tags USING (kind, code) WHERE kind <> 'j'),
 adm AS MATERIALIZED (SELECT query_id, doc_id, bool_or(strict) AS strict, bool_or(relaxed) AS relaxed FROM held GROUP BY 1, 2),
-found AS MATERIALIZED ({moded("found0", o.tag_mode in ("none", "relaxed"))}), {CASCADE}, bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_PLACE}) AS rank FROM c),
-vn AS (SELECT b.query_id, v.vec_id AS doc_id, 0::BIGINT AS paragraph_index, greatest(0, least(1, {_COSINE})) AS sim FROM bq b JOIN embeddings q ON q.vec_id = b.query_id, embeddings v),
+pool AS (SELECT doc_id % (SELECT max(item_id) + 1 FROM benchmark) AS query_id, doc_id FROM documents), k1 AS (SELECT * FROM k0 {semi}), k AS MATERIALIZED ({moded("k1", o.tag_mode in ("none", "relaxed"))}), {_LEVELS}, bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_PLACE}) AS rank FROM c),
+vn AS (SELECT b.query_id, v.vec_id AS doc_id, 0::BIGINT AS paragraph_index, greatest(0, least(1, {_COSINE})) AS sim FROM bq b JOIN embeddings q ON q.vec_id = b.query_id, embeddings v{' WHERE v.vec_id % (SELECT max(item_id) + 1 FROM benchmark) = b.query_id AND v.vec_id IN (SELECT doc_id FROM documents)' if scoped else ''}),
 vf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) AS i FROM vn WHERE true {least}) WHERE i <= {fetch}),
 vm AS ({moded("vf", asked_all)}), va AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) AS rank FROM vm),
 tp AS (SELECT doc_id, paragraph_index, code, CASE authority_level WHEN 'contract_source_of_truth' THEN 0 WHEN 'operational' THEN 1 WHEN 'payer_policy' THEN 2 WHEN 'fyi_not_citable' THEN 3 ELSE 4 END AS p FROM line_tags JOIN meta USING (doc_id) WHERE kind = 'd'),
 tf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY p, doc_id, paragraph_index) AS i FROM tp) WHERE i <= {o.k}),
-td AS (SELECT DISTINCT query_id, doc_id, paragraph_index, p FROM dtag JOIN tf USING (code)), ta AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p, doc_id, paragraph_index) AS rank FROM td),
+td AS (SELECT DISTINCT query_id, doc_id, paragraph_index, p FROM dtag JOIN {'tp' if scoped else 'tf'} USING (code) {semi}), ta AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p, doc_id, paragraph_index) AS rank FROM td),
 arms AS ({' UNION ALL '.join(arms)}),
 fused AS (SELECT query_id, doc_id, paragraph_index, sum(1.0::DOUBLE / (60 + rank)) AS rrf, min(rank) AS best_rank, arg_min(arm, o) AS arm, max(similarity) FILTER (arm = 'bm25') AS bm25, max(similarity) FILTER (arm = 'vector') AS vector,
   max(similarity) FILTER (arm = 'dtag') AS dtag FROM arms GROUP BY 1, 2, 3),
@@ -312,13 +335,43 @@ nb AS (SELECT DISTINCT h.query_id, l.doc_id, l.paragraph_index, {_KEY.format("l.
 nf AS (SELECT *, row_number() OVER (PARTITION BY query_id, key ORDER BY doc_id, paragraph_index) AS i FROM nb WHERE key <> '' AND NOT EXISTS (SELECT 1 FROM hits2 h WHERE h.query_id = nb.query_id AND h.doc_id = nb.doc_id AND h.paragraph_index = nb.paragraph_index)
   AND NOT EXISTS (SELECT 1 FROM hits2 h WHERE h.query_id = nb.query_id AND {_KEY.format("h.text", 200)} = nb.key)),
 bestd AS (SELECT query_id, doc_id, max(score) AS b FROM hits2 GROUP BY 1, 2),
-everyone AS (SELECT query_id, doc_id, paragraph_index, 'hit' AS origin, score FROM hits2 UNION ALL SELECT query_id, doc_id, paragraph_index, 'neighbour', round(CASE WHEN b > 0 THEN 0.5::DOUBLE * b ELSE 0.15::DOUBLE END, 6) FROM nf JOIN bestd USING (query_id, doc_id) WHERE i = 1),
+everyone AS (SELECT query_id, doc_id, paragraph_index, 'hit' AS origin, score FROM hits2 UNION ALL SELECT query_id, doc_id, paragraph_index, 'neighbour', round(CASE WHEN b > 0 THEN 0.5::DOUBLE * b ELSE 0.15::DOUBLE END, 7) FROM nf JOIN bestd USING (query_id, doc_id) WHERE i = 1),
 capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY origin <> 'hit', score DESC, doc_id, paragraph_index) AS i FROM everyone) WHERE i <= {o.per_document}),
 final AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY origin <> 'hit', score DESC, doc_id, paragraph_index) AS position FROM capped)
 SELECT query_id, doc_id, paragraph_index, origin, score, CASE WHEN origin = 'hit' THEN {label} ELSE 'low' END AS label, position FROM final WHERE position <= {o.total}"""
 
 
+_ALL_ASKED = "asked_phrases(kind, code, phrase) AS (VALUES " + ", ".join(f"('{k}', '{c}', '{p}')" for k, c, phrases in WHOLE_BAGS for p in phrases) + ")"
+_CONTENT = distinct(f"list_filter({TOK.format('{}')}, lambda t: t NOT IN {STOP})".replace("{}", "x"))
+#: The cover density of each question's chunks as CTEs behind LINES, META and expand(): k (query_id, doc_id, paragraph_index, matched, ...), then c with level and score.
+_COVERS = f"""{_ALL_ASKED},
+nq AS (SELECT item_id AS query_id, {NORMAL_QUERY} AS x FROM benchmark), said AS (SELECT query_id, {_CONTENT} AS ts, {first_tokens("x", 7)} AS f FROM nq),
+bag AS (SELECT DISTINCT query_id, list_sort({_CONTENT}) AS g FROM (SELECT query_id, phrase AS x FROM expanded JOIN asked_phrases USING (kind, code))),
+demand AS (SELECT DISTINCT query_id, g FROM (SELECT query_id, [unnest(ts)] AS g FROM said UNION ALL SELECT query_id, g FROM bag) WHERE len(g) > 0),
+groups AS MATERIALIZED (SELECT query_id, row_number() OVER () AS gid, g FROM demand), terms AS MATERIALIZED (SELECT DISTINCT query_id, unnest(g) AS token FROM groups),
+toks AS (SELECT doc_id, {TOK.format("name")} AS ts FROM meta), places AS MATERIALIZED (
+  SELECT doc_id, paragraph_index, unnest(ts) AS token, generate_subscripts(ts, 1) AS place, 1.0::DOUBLE AS w FROM toks JOIN (SELECT doc_id, paragraph_index FROM lines) USING (doc_id)
+  UNION ALL SELECT doc_id, paragraph_index, unnest(b), generate_subscripts(b, 1) + len(ts), 0.1::DOUBLE FROM (SELECT doc_id, paragraph_index, {TOK.format("text")} AS b FROM lines) JOIN toks USING (doc_id)),
+ent AS MATERIALIZED (SELECT query_id, doc_id, paragraph_index, token, place, w, row_number() OVER (PARTITION BY query_id, doc_id, paragraph_index ORDER BY place) AS i FROM terms JOIN places USING (token)),
+fl AS (SELECT query_id, token, regexp_matches(token, '^([a-z][0-9]{{3,5}}|[a-z]{{2}}[0-9]{{3,4}})$') AS anchor FROM (SELECT query_id, unnest(f) AS token FROM said)),
+fn AS (SELECT query_id, count(*) AS n_first, count(*) FILTER (anchor) AS n_anchors FROM fl GROUP BY 1),
+kc AS (SELECT query_id, doc_id, paragraph_index, count(DISTINCT token) FILTER (anchor IS NOT NULL) AS matched, count(DISTINCT token) FILTER (anchor) AS na, count(DISTINCT token) FILTER (NOT anchor) AS nr FROM ent LEFT JOIN fl USING (query_id, token) GROUP BY 1, 2, 3),
+lasts AS (SELECT e.query_id, doc_id, paragraph_index, e.i, e.place, gid, max(CASE WHEN e.token = t THEN e.i END) OVER (PARTITION BY e.query_id, doc_id, paragraph_index, gid, t ORDER BY e.i) AS l
+  FROM ent e JOIN (SELECT query_id, gid, unnest(g) AS t FROM groups) x USING (query_id)),
+gl AS (SELECT query_id, doc_id, paragraph_index, i, gid, CASE WHEN count(l) = count(*) THEN min(l) END AS b FROM lasts GROUP BY ALL),
+bl AS (SELECT query_id, doc_id, paragraph_index, i, max(b) AS b FROM gl GROUP BY ALL),
+cv AS (SELECT *, lag(b) OVER (PARTITION BY query_id, doc_id, paragraph_index ORDER BY i) AS pb FROM bl WHERE b IS NOT NULL),
+sm AS (SELECT query_id, doc_id, paragraph_index, i, place, sum(1 / w) OVER (PARTITION BY query_id, doc_id, paragraph_index ORDER BY i) AS inv, w FROM ent),
+dens AS MATERIALIZED (SELECT cv.query_id, cv.doc_id, cv.paragraph_index, round(sum((cv.i - cv.b + 1) / (e.inv - s.inv + 1 / s.w) / (1 + (e.place - s.place) - (cv.i - cv.b))), 9) AS s
+  FROM cv JOIN sm e ON e.query_id = cv.query_id AND e.doc_id = cv.doc_id AND e.paragraph_index = cv.paragraph_index AND e.i = cv.i
+  JOIN sm s ON s.query_id = cv.query_id AND s.doc_id = cv.doc_id AND s.paragraph_index = cv.paragraph_index AND s.i = cv.b WHERE pb IS NULL OR cv.b > pb GROUP BY 1, 2, 3),
+k0 AS MATERIALIZED (SELECT query_id, doc_id, paragraph_index, matched, coalesce(n_first, 0) AS n_first, coalesce(n_anchors > 0 AND na = n_anchors AND (n_first = n_anchors OR nr > 0), false) AS anchored, s
+  FROM kc LEFT JOIN fn USING (query_id) LEFT JOIN dens USING (query_id, doc_id, paragraph_index))"""
+_LEVELS = """kl AS (SELECT *, CASE WHEN bool_or(anchored) OVER (PARTITION BY query_id) THEN -1 WHEN max(matched) OVER (PARTITION BY query_id) >= greatest(3, (n_first + 1) // 2) THEN max(matched) OVER (PARTITION BY query_id) ELSE 0 END AS level FROM k),
+c AS (SELECT query_id, doc_id, paragraph_index, level, matched, s / (s + 1) AS score FROM kl WHERE CASE WHEN level = -1 THEN anchored WHEN level > 0 THEN matched = level ELSE s IS NOT NULL END)"""
+
 SQL = {
+    "cover_density": f"WITH {LINES}, {META}, {expand('(SELECT item_id AS query_id, text FROM benchmark)')}, {_COVERS}, k AS (SELECT * FROM k0), {_LEVELS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_PLACE}) AS rank FROM c) SELECT query_id, doc_id, paragraph_index, level, matched, round(score, 6) AS score, rank FROM r WHERE rank <= 10",
     "lexical_topk": f"WITH {SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_PLACE}) AS rank FROM found) SELECT query_id, doc_id, paragraph_index, matched, round(score, 6) AS score, rank FROM r WHERE rank <= 10",
     "kofn_cascade": f"WITH {SCORED}, {CASCADE}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_PLACE}) AS rank FROM c) SELECT query_id, doc_id, paragraph_index, level, matched, round(score, 6) AS score, rank FROM r WHERE rank <= 10",
     "pinned_pool": f"""WITH {SCORED}, pins AS (SELECT doc_id % (SELECT max(item_id) + 1 FROM benchmark) AS query_id, doc_id FROM documents)
@@ -347,4 +400,5 @@ SQL = {
         CASE WHEN item_id % 11 = 0 THEN 'payer_policy' END AS a FROM benchmark)
       SELECT query_id, count(doc_id) AS docs FROM q LEFT JOIN meta ON (p IS NULL OR payer = p OR (p = 'src1' AND payer IN ('src0', 'src2') AND state = 'FR')) AND (s IS NULL OR state = s) AND (g IS NULL OR program = g) AND (a IS NULL OR authority_level = a) GROUP BY 1""",
     **{name: _search_sql(o) for name, o in SEARCHES.items()},
+    "search_scoped": _search_sql(SEARCHES["search"], scoped=True),
 }

@@ -8,7 +8,7 @@ from tidemark.functions.text import normalise_query
 from tidemark.operators import documents, gate, lexicon, ranking, routing, tagging, understanding
 from tidemark.plans.corpus_queries import _doc_tags, _lines
 from tidemark.plans.evaluation_queries import _round
-from tidemark.plans.oracle import ASKED, DOC_TAGS, HOST, LINES, PATH, T, TOK, WORDS, expand, first_tokens
+from tidemark.plans.oracle import BARE, ASKED, DOC_TAGS, HOST, LINES, PATH, T, TOK, WORDS, expand, first_tokens
 from tidemark.plans.retrieval_queries import _KEY, _LITERALS, _postings, _signal, _SIGNALS, cut  # noqa: F401
 from tidemark.sources.store import stored
 from tidemark.sources.tables import read, telemetry
@@ -318,8 +318,6 @@ gated AS MATERIALIZED (SELECT *, CASE WHEN len(codes) = 0 AND bad THEN 'unclear'
   WHEN len(d) > 0 AND j > 0 AND general AND p = 0 THEN 'exact' WHEN len(d) > 0 AND j > 0 AND x > 0 THEN 'exact' WHEN len(d) > 0 AND j > 0 THEN 'vicinity' WHEN anchor BETWEEN 1 AND 25 THEN 'exact'
   WHEN len(d) = 0 THEN 'underspecified/missing_domain' ELSE 'underspecified/missing_jurisdiction' END AS contour FROM g1)"""
 _GATED = f"WITH {DOC_TAGS}, {_PROFILES}, {_GATE}"
-_LEAD = r"""\b(how\s+many|how\s+much|how\s+long|how\s+often|how\s+do\s+i|how\s+can\s+i|how\s+do\s+you|how\s+is|how\s+are|how\s+does|what\s+is\s+the|what\s+are\s+the|what\s+does|what\s+do\s+i|when\s+do\s+i|when\s+can\s+i|when\s+is|where\s+do\s+i|where\s+can\s+i|who\s+can\s+i|who\s+do\s+i|can\s+i|do\s+i|have\s+to|need\s+to|is\s+there\s+a|are\s+there\s+any)"""
-_BARE = f"array_to_string(list_filter({WORDS.format(f'''regexp_replace(text, '(?i){_LEAD}', ' ', 'g')''')}, lambda x: lower(x) NOT IN ('many', 'much', 'often', 'several', 'various', 'certain', 'few', 'some', 'any', 'every', 'all', 'most', 'more')), ' ')"
 _says = lambda p: f"regexp_matches(text, '(?i){p}')"
 _PRESETS = (("chat.copilot", "structured", 0.70, 0.70, "real_time"), ("chat.default", "essay", 0.85, 0.95, "real_time"), ("chat.thinking", "essay", 0.95, 0.95, "interactive"), ("auth_agent", "binary", 1.0, 0.95, "interactive"),
   ("research", "essay", 0.95, 1.0, "none"), ("batch", "structured", 0.90, 0.80, "background"))
@@ -365,7 +363,7 @@ SQL = {
     "required_phrases": f"""WITH {DOC_TAGS}, {_PROFILES}, {_PARTS}, r AS (SELECT query_id, CASE WHEN term_kind = 'tag' THEN {_LEAF.format("substring(term, 3)")} ELSE lower(term) END AS phrase, greatest(0.1::DOUBLE, selectivity) AS weight, CASE WHEN term_kind = 'tag' THEN term END AS code FROM parts WHERE part = 'REQUIRED'),
       f AS (SELECT *, row_number() OVER (PARTITION BY query_id, phrase ORDER BY code IS NOT NULL, code, weight) AS i FROM r WHERE phrase <> '' AND NOT (code IS NOT NULL AND phrase = 'general'))
       SELECT query_id, string_agg(phrase || '/' || printf('%.4f', weight) || '/' || coalesce(code, '-'), ';' ORDER BY phrase) AS phrases FROM f WHERE i = 1 GROUP BY 1""",
-    "query_gate": f"""WITH {_PROFILES}, g AS (SELECT *, {WORDS.format("text")} AS w, {_BARE} AS bare FROM prof), r AS (SELECT *, CASE
+    "query_gate": f"""WITH {_PROFILES}, g AS (SELECT *, {WORDS.format("text")} AS w, {BARE} AS bare FROM prof), r AS (SELECT *, CASE
         WHEN {_says(r"\bSSN[:#]?\s*[0-9]{3}-?[0-9]{2}-?[0-9]{4}\b|\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b|\b(?:DOB|date of birth)\b[:\s]*[0-9]|\bMRN[:#]?\s*\w+\b|\bmember\s*(?:id|number|#)[:\s]*\w+\b|\bpatient\s+(?:name|named)\b")} THEN 'phi_detected'
         WHEN {_says(r"\bignore\s+(?:previous|prior|all)\s+(?:instruction|prompt|rule)|\byou\s+are\s+now\b|^\s*system\s*:|\bact\s+as\s+(?:a\s+)?(?:different|new)\b|\bdisregard\s+(?:your|the)\s+(?:instruction|rule|prompt)")} THEN 'jailbreak'
         WHEN {_says(r"\bhow\s+(?:do|does)\s+(?:you|this\s+system)\s+work\b|\bwhat\s+(?:tools|capabilities|model|system\s+prompt)\s+(?:do|does|are)\b|\bwhat(?:''s|\s+is)\s+your\s+(?:prompt|instructions|model|system)\b")} THEN 'self_referential'
