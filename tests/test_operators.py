@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.operators import corpus, documents, evaluation, fusion, gate, lexical, lexicon, publishing, ranking, registry, retrieval, routing, sections, tagging, understanding, vector
+from tidemark.operators import corpus, covers, documents, evaluation, fusion, gate, lexical, lexicon, publishing, ranking, registry, retrieval, routing, sections, snapshots, tagging, understanding, vector
 
 
 def test_phrases_of_four_letters_need_word_bounds():
@@ -147,11 +147,92 @@ def test_coverage_of_phrases(spark):
     assert {r.id for r in retrieval.coverage_floor(retrieval.rerank(full, False)).collect()} == {1, 3}
 
 
-def test_publish_checks_and_counts_versions(spark, tmp_path):
-    rows = spark.createDataFrame([("a", "x", ""), ("b", "y", "t")], "k string, content_sha string, tags string")
-    assert publishing.publish(spark, rows, f"{tmp_path}/p", "k") == 1
-    assert publishing.publish(spark, rows.where("k = 'b'").withColumn("content_sha", F.lit("z")), f"{tmp_path}/p", "k") == 2
-    assert sorted((r.k, r.content_sha) for r in spark.read.parquet(f"{tmp_path}/p/rows").collect()) == [("a", "x"), ("b", "z")]
+def test_publishing_replaces_documents_and_survives_a_failed_check(spark, tmp_path, monkeypatch):
+    path, kind = f"{tmp_path}/p", "k string, payer string, content_sha string, tags string"
+    rows = spark.createDataFrame([("a", "p", "x", ""), ("b", "p", "y", "t"), ("b", "p", "y2", "t"), (None, "p", "n", "")], kind)
+    own = lambda version=None, keys=None: sorted((r.k or "", r.content_sha) for r in snapshots.read(spark, path, rows.schema, version, keys).collect())
+    assert own() == [] and snapshots.publish(rows, path, "k", buckets=3) == 1
+    first = [("", "n"), ("a", "x"), ("b", "y"), ("b", "y2")]
+    assert own() == first
+    new = spark.createDataFrame([("b", "p", "z", "")], kind)
+    assert snapshots.publish(new, path, "k") == 2
+    second = [("", "n"), ("a", "x"), ("b", "z")]
+    assert own() == second and own(1) == first and own(keys=["b", "c"]) == [("b", "z")]
+    checked = snapshots.verify_published
+    monkeypatch.setattr(snapshots, "verify_published", lambda a, b: checked(a, b.where("content_sha <> 'w'")))
+    with pytest.raises(ValueError, match="1 rows are missing"):
+        snapshots.publish(new.withColumn("content_sha", F.lit("w")), path, "k")
+    assert own() == second
+    monkeypatch.undo()
+    assert snapshots.publish(new.limit(0), path, "k", gone=spark.createDataFrame([("a",), (None,)], "k string")) == 3
+    assert own() == [("b", "z")]
+    snapshots.go_back(spark, path, 1)
+    assert own() == first and snapshots.publish(new, path, "k") == 4 and own() == second
+    with pytest.raises(ValueError, match="no version"):
+        snapshots.go_back(spark, path, 9)
+
+
+# -- cover density --
+def density_by_definition(entries, groups):
+    """S of (place, term, weight) by looking at all stretches."""
+    good = lambda i, j: any(set(g) <= {e[1] for e in entries[i : j + 1]} for g in groups)
+    n = len(entries)
+    covers = [(i, j) for i in range(n) for j in range(i, n) if good(i, j) and not (i < j and (good(i + 1, j) or good(i, j - 1)))]
+    one = lambda i, j: (j - i + 1) / sum(1 / e[2] for e in entries[i : j + 1]) / (1 + entries[j][0] - entries[i][0] - (j - i))
+    return sum(one(i, j) for i, j in covers)
+
+
+def test_cover_density_is_that_of_all_shortest_stretches(spark):
+    import random
+
+    rng, rows = random.Random(6), []
+    for i in range(200):
+        n_terms = rng.randint(1, 5)
+        groups = [rng.sample(range(n_terms), rng.randint(1, n_terms)) for _ in range(rng.randint(1, 3))]
+        places = sorted(rng.sample(range(1, 40), rng.randint(0, 14)))
+        rows.append((i, [(p, rng.randrange(n_terms), 1 / rng.choice([1.0, 0.1])) for p in places], groups, n_terms))
+    df = spark.createDataFrame(rows, f"i int, entries {covers.ENTRY}, groups array<array<int>>, n_terms int")
+    found = {r.i: r.s for r in df.select("i", covers.density(F.col("entries"), F.col("groups"), F.col("n_terms")).alias("s")).collect()}
+    for i, entries, groups, _ in rows:
+        assert found[i] == pytest.approx(density_by_definition([(p, t, 1 / w) for p, t, w in entries], groups)), i
+
+
+def test_levels_of_cover_density(spark):
+    texts = ["h0015 with timely claims", "timely filing of claims for members", "timely claims", "nothing here", "", None, "filing apart and timely", "the"]
+    chunks = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)] + [(2, 0, "named only")], "doc_id long, paragraph_index long, text string")
+    documents = spark.createDataFrame([(1, None), (2, "Zebra-manual")], "doc_id long, name string")
+    index = covers.positions(chunks, documents).checkpoint()
+    queries = [(1, "h0015 claims"), (2, "timely filing claims"), (3, "zebra"), (4, "the of"), (5, None), (6, "claims unseen other"), (7, "h0015 absent")]
+    asked = spark.createDataFrame(queries, "query_id long, text string")
+    phrases = spark.createDataFrame([(6, "timely filing"), (6, "the of")], "query_id long, phrase string")
+    found = {}
+    for r in covers.ranked(asked, phrases, index, chunks).collect():
+        found.setdefault(r.query_id, {})[r.doc_id, r.paragraph_index] = (r.level, r.matched, round(r.score, 6))
+    score = lambda s: round(s / (s + 1), 6)
+    assert found[1] == {(1, 0): (-1, 2, score(0.2))}
+    assert found[2] == {(1, 1): (3, 3, score(0.3))}
+    assert found[3] == {(2, 0): (0, 1, score(1.0))}
+    assert 4 not in found and 5 not in found
+    # One token each, and the phrase by its stretches: beside each other, and with two words between.
+    assert found[6] == {(1, 0): (0, 1, score(0.1)), (1, 1): (0, 1, score(0.1 + 0.1)), (1, 2): (0, 1, score(0.1)), (1, 6): (0, 0, score(0.1 / 3))}
+    assert set(found[7]) == {(1, 0)} and found[7][1, 0][0] == 0
+    only = covers.ranked(asked, phrases, index, chunks, within=spark.createDataFrame([(6, 2), (3, 2)], "query_id long, doc_id long"))
+    assert [(r.query_id, r.doc_id) for r in only.collect()] == [(3, 2)]
+
+
+def test_documents_without_a_state_are_admitted_by_payer(spark):
+    requests = spark.createDataFrame([(1, ["j:payor.ahca"])], "query_id long, codes array<string>")
+    documents = spark.createDataFrame([(1, "FL", "Medicaid", "AHCA"), (2, None, "Medicaid", "AHCA"), (3, None, None, "AHCA"), (4, None, None, None)], "doc_id long, state string, program string, payer string")
+    tags = spark.createDataFrame([], "doc_id long, kind string, code string")
+    assert sorted(r.doc_id for r in retrieval.tag_filters(requests, documents, tags).collect()) == [1, 2, 3]
+
+
+def test_nearest_within_pools(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.8, 0.6]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0])], "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    pools = spark.createDataFrame([(1, 2), (1, 2), (1, 3), (1, 4), (1, 5), (9, 1)], "query_id long, vec_id long")
+    found = [(r.vec_id, round(r.similarity, 6)) for r in vector.nearest_within(pools, queries, vectors, 2).orderBy("rank").collect()]
+    assert found == [(2, 0.8), (3, 0.0)]
 
 
 def test_late_rows_and_repeated_batches_of_a_stream(spark, tmp_path):

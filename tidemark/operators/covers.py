@@ -124,7 +124,8 @@ def density(entries: Column, groups: Column, n_terms: Column) -> Column:
     covers = F.aggregate(numbered, start, step, lambda s: s["sum"])
     # Where each group is one term, each place of one is a cover of its own.
     single = F.forall(groups, lambda g: F.size(g) == 1)
-    return F.when(single, F.aggregate(entries, F.lit(0.0), lambda x, e: x + 1 / e["inverse"])).otherwise(covers)
+    alone = lambda e: F.array_contains(F.flatten(groups), e["term"])
+    return F.when(single, F.aggregate(F.filter(entries, alone), F.lit(0.0), lambda x, e: x + 1 / e["inverse"])).otherwise(covers)
 
 
 def ranked(queries: DataFrame, phrases: DataFrame, index: DataFrame, chunks: DataFrame, within: DataFrame | None = None, narrow: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

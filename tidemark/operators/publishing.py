@@ -1,8 +1,8 @@
-"""Publishing: which vectors, their rows, replacing a document's rows, what was joined; write-side tables by key."""
+"""Publishing: which vectors, their rows, what was joined; write-side tables by key."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KINDS = "dpj"
@@ -53,34 +53,6 @@ def replace_rows(stored: DataFrame, new: DataFrame, key: str = "doc_id") -> Data
     return stored.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
-def next_version(versions: DataFrame) -> DataFrame:
-    """One row, the corpus version that a publication makes: one more than the last (version)."""
-    return versions.agg((F.coalesce(F.max("version"), F.lit(0)) + 1).alias("version"))
-
-
-def publish(spark: SparkSession, new: DataFrame, path: str, by: str) -> int:
-    """Writes the rows over the partitions of `by` that they have, checks what is read back, and appends the next corpus version beside them.
-
-    A difference in count or in any content_sha stops the job before the version goes up.
-    """
-    from pyspark.errors import AnalysisException
-
-    from tidemark.operators.registry import verify_published
-
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{path}/rows")
-    back = spark.read.parquet(f"{path}/rows").join(new.select(by).distinct(), by, "left_semi")
-    found = verify_published(new, back).first()
-    if found["missing"] or found["unexpected"]:
-        raise ValueError(f"{found['missing']} rows are missing and {found['unexpected']} too many")
-    try:
-        versions = spark.read.schema("version long").parquet(f"{path}/versions")
-    except AnalysisException:
-        versions = spark.createDataFrame([], "version long")
-    version = next_version(versions).first()["version"]
-    spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").parquet(f"{path}/versions")
-    return version
-
-
 def embeddable(chunks: DataFrame, facts: DataFrame) -> DataFrame:
     """doc_id, source_type, source_id and the text to embed: summary and text of chunks; fact, then who, how and limits, of facts."""
     some = lambda c: F.when(F.col(c) != "", F.col(c))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import content_key
-from tidemark.operators import corpus, lexical, ranking, registry, tagging
+from tidemark.operators import corpus, lexical, ranking, registry, snapshots, tagging
 from tidemark.plans.oracle import DOC_TAGS, HEAD, HOST, LEXICON, LINES, NORM, PATH, STRIP, TAGS, TOK, hits
-from tidemark.sources.store import stored
+from tidemark.sources.store import shared_folder, stored
 from tidemark.sources.tables import metadata, read
 
 LINE = ["doc_id", "paragraph_index"]
@@ -123,6 +125,18 @@ def published_rows(spark, d):
     return registry.published_rows(_lines(spark, d), _line_tags(spark, d)).select(*LINE, "tags", "content_sha")
 
 
+def published_snapshot(spark, d):
+    """The version that is current after four moves: all rows; every fifth document replaced and every eleventh taken out; every seventh replaced; and back to the second."""
+    rows = registry.published_rows(_lines(spark, d), _line_tags(spark, d)).select("doc_id", "paragraph_index", "tags", "content_sha")
+    path = f"{shared_folder(spark)}/published-{uuid.uuid4().hex}"
+    again = lambda n, mark: rows.where((F.col("doc_id") % n == 0) & (F.col("doc_id") % 11 != 0)).withColumn("content_sha", F.sha2(F.concat(F.lit(mark), F.col("content_sha")), 256))
+    snapshots.publish(rows, path)
+    second = snapshots.publish(again(5, "second "), path, gone=rows.where("doc_id % 11 = 0").select("doc_id").distinct())
+    snapshots.publish(again(7, "third "), path)
+    snapshots.go_back(spark, path, second)
+    return snapshots.read(spark, path, rows.schema)
+
+
 def verify_published(spark, d):
     rows = registry.published_rows(_lines(spark, d), _line_tags(spark, d))
     stored = rows.where("page_number <> 2")
@@ -233,7 +247,7 @@ def quote_hits(spark, d):
 QUERIES = {f.__name__: f for f in (
     line_chunks, simple_paragraphs, glued_fragments, tag_lines, tag_paragraphs, tag_documents, effective_tags, inherited_overlay, tag_statistics, gate_probe,
     cascade_pool, theme_buckets, most_specific_tag, phrase_precision, candidates, generic_words, content_dedup, neighbour_band_join,
-    neighbour_context, published_rows, verify_published, url_classes, corpus_hosts, registry_upsert, registry_stats, curated_sources, source_search,
+    neighbour_context, published_rows, published_snapshot, verify_published, url_classes, corpus_hosts, registry_upsert, registry_stats, curated_sources, source_search,
     source_text_search, registry_latest, page_titles, payer_scope, orphan_embeddings, authority_rerank, decay_and_cap, quote_hits,
 )}
 
@@ -371,6 +385,8 @@ SQL = {
       ON s.doc_id = l.doc_id AND abs(l.paragraph_index - s.paragraph_index) = 1 GROUP BY 1, 2""",
     "published_rows": f"""WITH {TAGS}, t AS (SELECT doc_id, paragraph_index, string_agg(DISTINCT kind || ':' || code, ',' ORDER BY kind || ':' || code) AS tags FROM line_tags GROUP BY ALL)
       SELECT doc_id, paragraph_index, coalesce(tags, '') AS tags, sha256(doc_id::VARCHAR || '|' || paragraph_index::VARCHAR || '|' || text) AS content_sha FROM lines LEFT JOIN t USING (doc_id, paragraph_index)""",
+    "published_snapshot": f"""WITH {TAGS}, t AS (SELECT doc_id, paragraph_index, string_agg(DISTINCT kind || ':' || code, ',' ORDER BY kind || ':' || code) AS tags FROM line_tags GROUP BY ALL), p AS (SELECT doc_id, paragraph_index, coalesce(tags, '') AS tags, sha256(doc_id::VARCHAR || '|' || paragraph_index::VARCHAR || '|' || text) AS content_sha FROM lines LEFT JOIN t USING (doc_id, paragraph_index))
+      SELECT doc_id, paragraph_index, tags, CASE WHEN doc_id % 5 = 0 THEN sha256('second ' || content_sha) ELSE content_sha END AS content_sha FROM p WHERE doc_id % 11 <> 0""",
     "verify_published": f"""WITH {TAGS}, t AS (SELECT DISTINCT doc_id, paragraph_index, 1 AS t FROM line_tags)
       SELECT count(*) AS expected, count(*) FILTER (page_number <> 2) AS stored, count(*) FILTER (page_number = 2) AS missing, 0::BIGINT AS unexpected, count(*) FILTER (page_number <> 2 AND t IS NULL) AS untagged
       FROM lines LEFT JOIN t USING (doc_id, paragraph_index)""",
