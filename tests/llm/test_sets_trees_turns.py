@@ -102,9 +102,9 @@ def test_linked_sets_have_a_key_in_common():
 def test_sets_with_one_code_are_still_linked(spark, monkeypatch):
     df = spark.createDataFrame([(1, "a b c d e f g h i j k l"), (2, "a b c d e f g h i j k l m"), (3, "z y x w v u t s r q p")], "doc_id long, text string")
     every = jaccard.sets(df)
-    nodes = every.groupBy("node").agg(F.min("doc_id").alias("first"), F.lit(7).cast("long").alias("code"), *(F.first(c).alias(c) for c in ("n", "counted", *jaccard.BITS))).checkpoint()
+    nodes = every.groupBy("node").agg(F.min("doc_id").alias("first"), F.lit(7).cast("long").alias("code"), *(F.first(c).alias(c) for c in ("n", "counted", *jaccard.BITS))).withColumn("id", F.monotonically_increasing_id()).checkpoint()
     keys = jaccard.combinations_of(df, nodes)
-    assert jaccard.links(keys, jaccard.arrays(df, nodes).checkpoint()).count() == 1
+    assert jaccard.links(keys, nodes, jaccard.arrays(df, nodes).checkpoint()).count() == 1
 
 
 # -- 12 --

@@ -204,12 +204,12 @@ def prefix_keys(n: int, alone: int, kinds: list[int], hashes: list[int], more: l
 
 
 def _keys(shared: DataFrame) -> DataFrame:
-    """key, node, n and parities: the combinations of all sets. shared: node, n, counted, parities and found."""
+    """key and id: the combinations of all sets. shared: id, n, counted and found."""
     counted = lambda x: (x["h"] >= 0) & (x["h"] < _BOUND)
     own = F.array_sort(F.filter("found", counted))
-    rows = shared.select("node", "n", *BITS, (F.col("counted") - F.size(own)).alias("alone"), own.alias("own"), F.filter("found", lambda x: ~counted(x)).alias("more"))
+    rows = shared.select("id", "n", (F.col("counted") - F.size(own)).alias("alone"), own.alias("own"), F.filter("found", lambda x: ~counted(x)).alias("more"))
     # Where enough tokens are in no other set, there is nothing to index.
-    rows = rows.where("alone <= n div 5").select("node", "n", *BITS, "alone", F.col("own.kind").alias("kinds"), F.col("own.h").alias("hashes"), F.col("more.h").alias("more"))
+    rows = rows.where("alone <= n div 5").select("id", "n", "alone", F.col("own.kind").alias("kinds"), F.col("own.h").alias("hashes"), F.col("more.h").alias("more"))
 
     def run(batches):
         for batch in batches:
@@ -218,14 +218,13 @@ def _keys(shared: DataFrame) -> DataFrame:
                 own = prefix_keys(*values)
                 rows += [i] * len(own)
                 keys += own
-            same = batch.select(["node", "n", *BITS]).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *same.columns], ["key", "node", "n", *BITS])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column("id").take(pa.array(rows, pa.int64()))], ["key", "id"])
 
-    return rows.mapInArrow(run, "key bigint, node binary, n bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint")
+    return rows.mapInArrow(run, "key bigint, id bigint")
 
 
 def combinations_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The combinations (key, node, n, parities) that more than one node has; nodes: as of `sets`, a row per node."""
+    """The combinations (key, id) that more than one node has; nodes: as of `sets`, a row per node, with an id."""
     counts = written(occurrences(docs, False).groupBy("h").count().where("count > 1"))
     release(docs.sparkSession)
     counted = F.col("h").between(0, _BOUND - 1)
@@ -233,7 +232,7 @@ def combinations_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     kind = F.when((F.col("count") <= RARE) | ~counted, 1).when(F.col("count") <= FREQUENT, 2).otherwise(3)
     # Copies of a text give the same rows, which meet in one set as early as in the joining tasks.
     found = occurrences(docs, True).join(counts, "h").groupBy("code").agg(F.collect_set(F.struct(kind.alias("kind"), "h")).alias("found"))
-    keys = written(_keys(nodes.join(found, "code").select("node", "n", "counted", *BITS, "found")))
+    keys = written(_keys(nodes.join(found, "code").select("id", "n", "counted", "found")))
     release(docs.sparkSession)
     several = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1"))
     keys = keys.join(several.select("key"), "key")
@@ -241,8 +240,8 @@ def combinations_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     # compared with all sets of like size instead, by keys of their own.
     twins = nodes.groupBy("code").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1").join(nodes, "code")
     band = lambda side: F.floor(F.log(BAND, F.col("n"))) + side
-    own = twins.select(F.explode(F.array(*(F.xxhash64(band(i), F.lit("band")) for i in (-1, 0, 1)))).alias("key"), "node", "n", *BITS)
-    every = nodes.select(F.xxhash64(band(0), F.lit("band")).alias("key"), "node", "n", *BITS)
+    own = twins.select(F.explode(F.array(*(F.xxhash64(band(i), F.lit("band")) for i in (-1, 0, 1)))).alias("key"), "id")
+    every = nodes.select(F.xxhash64(band(0), F.lit("band")).alias("key"), "id")
     every = every.join(own.select("key").distinct(), "key", "left_semi")
     return written(keys.union(own).union(every).distinct() if not twins.isEmpty() else keys)
 
@@ -255,7 +254,7 @@ def _may_link(a: str, b: str) -> str:
 
 
 def arrays(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and tokens of the nodes, from the texts of their `first` documents."""
+    """id and tokens of the nodes, from the texts of their `first` documents."""
     wanted = whole_texts(docs).join(nodes.select(F.col("first").alias("wanted")), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
 
     def run(batches):
@@ -263,40 +262,44 @@ def arrays(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             every = token_sets(texts)
             yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in every], pa.binary()), pa.array([x.view(np.int64) for x in every], pa.list_(pa.int64()))], ["node", "tokens"])
 
-    return wanted.mapInArrow(run, "node binary, tokens array<bigint>").dropDuplicates(["node"])
+    return wanted.mapInArrow(run, "node binary, tokens array<bigint>").join(nodes.select("node", "id"), "node").dropDuplicates(["id"]).select("id", "tokens")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b, label) of nodes that link."""
-    left = pairs.join(texts.select(F.col("node").alias("b"), F.col("tokens").alias("of_b")), "b")
-    both = left.join(texts.select(F.col("node").alias("a"), F.col("tokens").alias("of_a")), "a")
+    """The pairs (a, b, label) of nodes' ids that link."""
+    left = pairs.join(texts.select(F.col("id").alias("b"), F.col("tokens").alias("of_b")), "b")
+    both = left.join(texts.select(F.col("id").alias("a"), F.col("tokens").alias("of_a")), "a")
     common = both.select("a", "b", "label", F.size(F.array_intersect("of_a", "of_b")).cast("long").alias("common"), (F.size("of_a") + F.size("of_b")).alias("sizes"))
     return common.where(f"100 * common >= {LEAST} * (sizes - common)").select("a", "b", "label")
 
 
-def links(keys: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) enough to give all components. keys: as of `combinations_of`; texts: node and tokens.
+def links(keys: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) of ids enough to give all components. keys: as of `combinations_of`; nodes: id, n and parities; texts: id and tokens.
 
     After a comparison with middles, a node's label is the least of the middles' that it links with, else its own: a node is
     connected with the one that its label names, so no pair of the same label needs to be compared.
     """
-    now, found = keys.withColumn("label", F.col("node")), None
+    known = nodes.select("id", "n", *BITS)
+    now, found = keys.withColumn("label", F.col("id")), None
     for turn in range(STAR_ROUNDS + 1):
         if turn < STAR_ROUNDS:
             # Another node of each combination each time, and mostly the same one in all combinations of a group of copies.
-            own = F.struct(F.xxhash64(F.lit(turn), "node").alias("rank"), "node", "label", "n", *BITS)
-            middle = written(now.groupBy("key").agg(F.min(own).alias("m")).select("key", "m.*"))
-            met = now.alias("x").join(middle.alias("y"), "key").where(f"x.label <> y.label and {_may_link('x', 'y')}")
+            own = F.struct(F.xxhash64(F.lit(turn), "id").alias("rank"), F.col("id").alias("b"), F.col("label").alias("theirs"))
+            middle = written(now.groupBy("key").agg(F.min(own).alias("m")).select("key", "m.b", "m.theirs"))
+            met = now.join(middle, "key").where("label <> theirs").select(F.col("id").alias("a"), "b", F.col("theirs").alias("label")).distinct()
+            met = met.join(known.withColumnRenamed("id", "a").alias("x"), "a").join(known.withColumnRenamed("id", "b").alias("y"), "b").where(_may_link("x", "y"))
         else:
-            met = now.alias("x").join(now.alias("y"), F.expr(f"x.key = y.key and x.node < y.node and x.label <> y.label and {_may_link('x', 'y')}"))
-        pairs = written(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("y.label").alias("label")).distinct())
-        more = written(verified(pairs, texts))
+            rows = written(now.join(known, "id"))
+            met = rows.alias("x").join(rows.alias("y"), F.expr(f"x.key = y.key and x.id < y.id and x.label <> y.label and {_may_link('x', 'y')}"))
+            met = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("y.label").alias("label")).distinct()
+        more = written(verified(written(met.select("a", "b", "label")), texts))
         found = more if found is None else found.union(more)
         if turn < STAR_ROUNDS:
-            linked = written(more.groupBy(F.col("a").alias("node")).agg(F.min("label").alias("met")))
-            named = written(now.join(linked, "node", "left").withColumn("label", F.coalesce("met", "label")).drop("met"))
+            linked = written(more.groupBy(F.col("a").alias("id")).agg(F.min("label").alias("met")))
+            named = written(now.join(linked, "id", "left").withColumn("label", F.coalesce("met", "label")).drop("met"))
             open_ = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
             now = written(named.join(written(open_.select("key")), "key"))
+            release(keys.sparkSession)
     return found.select("a", "b")
 
 
@@ -304,12 +307,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of all rows."""
     every = written(sets(docs))
     nodes = every.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("code", "n", "counted", *BITS)))
-    nodes = written(nodes)
+    nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()))
     keys = combinations_of(docs, nodes)
-    texts = written(arrays(docs, nodes.join(keys.select("node").distinct(), "node", "left_semi")))
+    texts = written(arrays(docs, nodes.join(keys.select("id").distinct(), "id", "left_semi")))
     release(docs.sparkSession)
-    roots = written(components(links(keys, texts)))
-    rooted = written(nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
+    roots = written(components(links(keys, nodes, texts)))
+    rooted = written(nodes.join(roots, nodes["id"] == roots["node"], "left").select(nodes["node"], "first", F.coalesce("root", "id").alias("root")))
     lowest = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
     named = written(rooted.join(lowest, "root").select("node", "component_id"))
     out = every.join(named, "node", "left")
