@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import tempfile
 from collections.abc import Iterable, Iterator
@@ -66,7 +67,11 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Have the driver's JVM look for shuffles that no table refers to any more, so that their files go before the next large shuffle."""
+    """Have the driver look for shuffles that no table refers to any more, so that their files go before the next large shuffle.
+
+    Python's frames go first, since they hold the JVM's.
+    """
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
