@@ -277,7 +277,8 @@ def links(keys: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) of ids enough to give all components. keys: as of `combinations_of`; nodes: id, n and parities; texts: id and tokens.
 
     After a comparison with middles, a node's label is the least of the middles' that it links with, else its own: a node is
-    connected with the one that its label names, so no pair of the same label needs to be compared.
+    connected with the one that its label names, so no pair of the same label needs to be compared. Before the last
+    comparison, of all pairs, labels become the components' roots.
     """
     known = nodes.select("id", "n", *BITS)
     now, found = keys.withColumn("label", F.col("id")), None
@@ -296,6 +297,8 @@ def links(keys: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
         found = more if found is None else found.union(more)
         if turn < STAR_ROUNDS:
             linked = written(more.groupBy(F.col("a").alias("id")).agg(F.min("label").alias("met")))
+            if turn == STAR_ROUNDS - 1:  # labels of one component that differ would give all pairs between them
+                linked = written(components(found.select("a", "b"))).select(F.col("node").alias("id"), F.col("root").alias("met"))
             named = written(now.join(linked, "id", "left").withColumn("label", F.coalesce("met", "label")).drop("met"))
             open_ = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
             now = written(named.join(written(open_.select("key")), "key"))
