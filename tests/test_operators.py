@@ -349,6 +349,32 @@ def test_router_withdraws_and_breaks_ties(spark):
     assert tuple(routing.decide(scores, every).select("strategy", "method").first()) == ("e", "fail_fast")
 
 
+def test_substrings_are_those_of_like(spark):
+    from tidemark.operators import substrings
+
+    texts = [(1, "abcabcabd"), (2, "ein stra\u00dfe \U0001f600\U0001f600 weg"), (3, ""), (4, None), (5, "a"), (6, "xx" * 4000 + "needle in it"), (7, "100% a_b \\E"), (8, "abcabcabd")]
+    asked = ["a", "ab", "abd", "cabcabd", "abcabcabd", "abcabcabdx", "\U0001f600", "\U0001f600 weg", "xxneedle", "needle in it", "% a_", "\\E", "", None, "zzz", "bcabcabcab", "abd"]
+    patterns = spark.createDataFrame([(i, p) for i, p in enumerate(asked)], "id long, pattern string")
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    wanted = sorted((i, d) for i, p in enumerate(asked) for d, t in texts if p and t and p in t)
+    found = substrings.holding(patterns, rows, ["doc_id"])
+    assert sorted((r.id, r.doc_id) for r in found.collect()) == wanted
+    stored = substrings.postings(rows, ["doc_id"])
+    assert sorted((r.id, r.doc_id) for r in substrings.holding(patterns, rows, ["doc_id"], stored).collect()) == wanted
+    assert substrings.holding(patterns, rows.limit(0), ["doc_id"]).count() == substrings.holding(patterns.limit(0), rows, ["doc_id"]).count() == 0
+
+
+def test_codes_and_short_quotes_stand_anywhere(spark):
+    from tidemark.operators import locate, retrieval
+
+    names = spark.createDataFrame([(1, "EN-825 rules"), (2, "a.b.c.d.e.f.g.h.i.j CP.MP.71.2"), (3, "xen-82"), (4, None)], "doc_id long, name string")
+    asked = spark.createDataFrame([(1, " en-82"), (2, "CP.MP.71"), (3, "not a code")], "query_id long, text string")
+    assert sorted(tuple(r) for r in retrieval.code_lookup(asked, names, 5).collect()) == [(1, 1, 1), (1, 3, 2), (2, 2, 1)]
+    chunks = spark.createDataFrame([(1, 0, "Within ninety  days"), (1, 1, "within ninety days"), (2, 0, None)], "doc_id long, paragraph_index long, text string")
+    quotes = spark.createDataFrame([(1, "thin NINETY day"), (2, "days"), (3, None), (4, " " * 12)], "citation_id long, quote string")
+    assert [tuple(r) for r in locate.by_quote(quotes, chunks).collect()] == [(1, 1, 0)]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert tagging.tag_lines(corpus.lines(none)).count() == 0

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.constants import TITLE_STOPS
 from tidemark.functions.text import normalise, tokens
-from tidemark.operators.lexical import gram_hashes
+from tidemark.operators import substrings
 
 # payers' names in titles, least overlap and common tokens, overlap of a strict match, statuses that mean blocked, lengths.
 PAYER_TOKENS = "aetna humana cigna sunshine wellcare molina unitedhealthcare uhc centene anthem amerigroup blue bcbs kaiser magellan optum".split()
@@ -72,22 +72,15 @@ def by_url(citations: DataFrame, documents: DataFrame, registry: DataFrame) -> D
     return rows.select("citation_id", F.coalesce("own", "ingested_doc_id").alias("doc_id"), kind.alias("kind"), F.when(F.col("own").isNotNull(), "url_exact_doc").otherwise("url_exact_sitemap").alias("method"))
 
 
-def by_quote(citations: DataFrame, chunks: DataFrame, n: int = 4) -> DataFrame:
+def by_quote(citations: DataFrame, chunks: DataFrame) -> DataFrame:
     """citation_id, doc_id and paragraph_index of the first chunk (doc_id, paragraph_index, text) in which a citation's quote stands.
 
-    What is looked for is the quote, or the start of a long one, as a part of the normalised text. Chunks that
-    share the first n-gram of its whole words are candidates; each is then checked.
+    What is looked for is the quote, or the start of a long one, as a part of the normalised text, whatever its words are.
     """
     quote = normalise(F.col("quote"))
     probe = F.when(F.length(quote) <= LONG_QUOTE, quote).otherwise(F.substring(quote, 1, PROBE))
-    asked = citations.where(F.length("quote") >= LEAST_QUOTE).select("citation_id", probe.alias("probe"))
-    # The first and the last word of the probe may be parts of the text's words.
-    inner = F.slice(tokens(F.col("probe")), 2, n)
-    asked = asked.withColumn("gram", F.when(F.size(tokens(F.col("probe"))) >= n + 2, F.xxhash64(F.array_join(inner, " "))))
-    said = gram_hashes(chunks.select(F.struct("doc_id", "paragraph_index").alias("place"), "text"), "place", n)
-    near = asked.join(said, "gram").select("citation_id", "probe", "place.doc_id", "place.paragraph_index")
-    texts = near.join(chunks.select("doc_id", "paragraph_index", normalise(F.col("text")).alias("normal")), ["doc_id", "paragraph_index"])
-    found = texts.where(F.contains("normal", "probe"))
+    asked = citations.where(F.length("quote") >= LEAST_QUOTE).select("citation_id", probe.alias("pattern"))
+    found = substrings.holding(asked, chunks.select("doc_id", "paragraph_index", normalise(F.col("text")).alias("text")), ["doc_id", "paragraph_index"])
     return found.groupBy("citation_id").agg(F.min(F.struct("doc_id", "paragraph_index")).alias("p")).select("citation_id", "p.doc_id", "p.paragraph_index")
 
 

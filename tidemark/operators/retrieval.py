@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.constants import NEIGHBOUR_FLOOR, NEIGHBOUR_SHARE
 from tidemark.functions.text import content_key, normalise
-from tidemark.operators import covers, fusion, gate, lexical, ranking, understanding, vector
+from tidemark.operators import covers, fusion, gate, lexical, ranking, substrings, understanding, vector
 from tidemark.operators.tagging import leaf
 from tidemark.sources.store import cut
 
@@ -124,16 +124,9 @@ def tag_moded(found: DataFrame, requests: DataFrame, admitted: DataFrame, mode:
 
 
 def code_lookup(requests: DataFrame, documents: DataFrame, k: int) -> DataFrame:
-    """query_id, doc_id and rank of documents whose name holds a query that is a code; a request without one falls through.
-
-    Names are cut into overlapping runs of codes' parts, so that both sides meet by equality.
-    """
-    code = F.upper(F.trim("text"))
-    asked = requests.select("query_id", code.alias("code")).where(F.col("code").rlike(CODE))
-    parts = F.regexp_extract_all(F.upper("name"), F.lit(r"([A-Z0-9]+|[^A-Z0-9]+)"), F.lit(1))
-    runs = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(9), F.size("parts") - i + 1)), lambda n: F.array_join(F.slice("parts", i, n), "")))
-    named = documents.select("doc_id", parts.alias("parts")).where("size(parts) > 0").select("doc_id", F.explode(F.array_distinct(F.flatten(runs))).alias("code"))
-    found = asked.join(named, "code").select("query_id", "doc_id").distinct()
+    """query_id, doc_id and rank of documents whose name holds a query that is a code, anywhere; a request without one falls through."""
+    asked = requests.select("query_id", F.upper(F.trim("text")).alias("pattern")).where(F.col("pattern").rlike(CODE))
+    found = substrings.holding(asked, documents.select("doc_id", F.upper("name").alias("text")), ["doc_id"]).select("query_id", "doc_id").distinct()
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")).cast("long")).where(F.col("rank") <= k)
 
 

@@ -295,7 +295,7 @@ SQL = {
       SELECT citation_id, coalesce(own, CASE WHEN ingested THEN id END, -1) AS doc_id, CASE WHEN own IS NOT NULL OR ingested THEN 'doc_ingested' WHEN (CASE WHEN id % 5 = 1 THEN 403 ELSE last_status END) IN (401, 403, 451) THEN 'sitemap_robots_blocked' ELSE 'sitemap_needs_scrape' END AS kind,
         CASE WHEN own IS NOT NULL THEN 'url_exact_doc' ELSE 'url_exact_sitemap' END AS method FROM c LEFT JOIN o USING (url) LEFT JOIN reg USING (url) WHERE own IS NOT NULL OR id IS NOT NULL""",
     "quote_locations": f"""WITH {LINES}, q AS (SELECT item_id AS citation_id, {NORM.format("CASE WHEN item_id % 2 = 0 THEN text ELSE substring(text, 4, 75) END")} AS q FROM benchmark), p AS (SELECT citation_id, CASE WHEN length(q) <= 80 THEN q ELSE substring(q, 1, 60) END AS p FROM q),
-      h AS (SELECT citation_id, doc_id, paragraph_index, row_number() OVER (PARTITION BY citation_id ORDER BY doc_id, paragraph_index) AS i FROM p JOIN (SELECT *, {NORM.format("text")} AS n FROM lines) ON contains(n, p) WHERE len({TOK.format("p")}) >= 6) SELECT citation_id, doc_id, paragraph_index FROM h WHERE i = 1""",
+      h AS (SELECT citation_id, doc_id, paragraph_index, row_number() OVER (PARTITION BY citation_id ORDER BY doc_id, paragraph_index) AS i FROM p JOIN (SELECT *, {NORM.format("text")} AS n FROM lines) ON contains(n, p) WHERE p <> '') SELECT citation_id, doc_id, paragraph_index FROM h WHERE i = 1""",
     "cited_passages": f"""WITH {LINES}, c AS (SELECT doc_id AS citation_id, doc_id, doc_id % 4 = 0 AS sec, CASE WHEN doc_id % 3 = 0 THEN substring(text, 30, 40) END AS quote, CASE WHEN doc_id % 2 = 0 THEN doc_id % 3 + 1 END AS page FROM documents),
       s AS (SELECT citation_id, page_number, paragraph_index, substring(l.text, 1, 600) AS excerpt, CASE WHEN sec AND contains('section ' || page_number::VARCHAR, 'ection 2') THEN 1 WHEN length(quote) >= 12 AND list_has_all({TOK.format("l.text")}, {TOK.format("quote")}) THEN 2 WHEN page_number = page THEN 3 WHEN page_number > 1 THEN 4 END AS step
         FROM c JOIN lines l USING (doc_id) WHERE length(l.text) >= 200), r AS (SELECT *, row_number() OVER (PARTITION BY citation_id ORDER BY step, page_number, paragraph_index) AS i FROM s WHERE step IS NOT NULL)

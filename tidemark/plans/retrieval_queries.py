@@ -7,8 +7,8 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import content_key
-from tidemark.operators import covers, fusion, lexical, lexicon, ranking, retrieval, tagging, understanding, vector
+from tidemark.functions.text import content_key, normalise
+from tidemark.operators import covers, fusion, lexical, lexicon, ranking, retrieval, substrings, tagging, understanding, vector
 from tidemark.operators.retrieval import CHUNK, Corpus, Options
 from tidemark.plans.corpus_queries import _doc_tags, _line_tags, _lines, _meta
 from tidemark.plans.oracle import AUTHORITY, CASCADE, DOC_TAGS, LINES, META, NORM, NORMAL_QUERY, SCORED, STOP, TOK, WHOLE_BAGS, distinct, expand, first_tokens
@@ -130,6 +130,14 @@ def code_lookup(spark, d):
     return retrieval.code_lookup(asked, named, 20)
 
 
+def substring_hits(spark, d):
+    """How many lines and documents hold a part of a question's text, of 6 to 36 characters, as LIKE would find it."""
+    i = F.col("item_id")
+    asked = read(spark, d, "benchmark").select("item_id", F.substr(normalise(F.col("text")), F.lit(4), (6 + i % 4 * 10).cast("int")).alias("pattern"))
+    found = substrings.holding(asked, _lines(spark, d).select(*CHUNK, normalise(F.col("text")).alias("text")), CHUNK)
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("lines"), F.countDistinct("doc_id").alias("docs"))
+
+
 def metadata_scope(spark, d):
     """Each question's scope over the documents: some name a payer, a state or a program; src1 is a plan that shares what src0 and src2 publish in FR."""
     docs = _meta(spark, d)
@@ -192,7 +200,7 @@ def search_scoped(spark, d):
     return retrieval.search(_requests(spark, d), replace(_corpus(spark, d), scope=_pools(spark, d)), SEARCHES["search"])
 
 QUERIES = {f.__name__: f for f in (
-    lexical_topk, kofn_cascade, cover_density, pinned_pool, vector_topk, vector_min_similarity, rrf_fusion, union_of_arms, assembled_answer, code_lookup, metadata_scope,
+    lexical_topk, kofn_cascade, cover_density, pinned_pool, vector_topk, vector_min_similarity, rrf_fusion, union_of_arms, assembled_answer, code_lookup, substring_hits, metadata_scope,
     *map(_searched, SEARCHES), search_scoped,
 )}
 
@@ -395,7 +403,9 @@ SQL = {
       first3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS i3 FROM sd) WHERE i3 <= 15), {_BALANCED.format(tier=_TIER, a=9, b=6)},
       cand AS (SELECT * FROM ordered WHERE score >= 0.18 AND position <= 15) {_picked("cand", 5)}""",
     "code_lookup": """WITH p AS (SELECT page_id, replace(regexp_extract(url, '/([a-z]{2}/[0-9]+)', 1), '/', '-') AS c FROM pages), q AS (SELECT page_id AS query_id, upper(c) AS c FROM p WHERE page_id % 5 = 0 AND regexp_matches(upper(c), '^([A-Z]{1,4}[.\\-_]?[A-Z0-9]{1,5}([.\\-_][A-Z0-9]{1,5})+|[A-Z][0-9]{4,5})$')),
-      n AS (SELECT page_id AS doc_id, upper('page ' || c || ' copy') AS name FROM p), r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM q JOIN n ON regexp_matches(name, '(^|[^A-Z0-9])' || c || '([^A-Z0-9]|$)')) SELECT * FROM r WHERE rank <= 20""",
+      n AS (SELECT page_id AS doc_id, upper('page ' || c || ' copy') AS name FROM p), r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM q JOIN n ON contains(name, c)) SELECT * FROM r WHERE rank <= 20""",
+    "substring_hits": f"""WITH {LINES}, q AS (SELECT item_id, substring({NORM.format("text")}, 4, (6 + item_id % 4 * 10)::INT) AS p FROM benchmark), t AS (SELECT doc_id, {NORM.format("text")} AS n FROM lines)
+      SELECT item_id, count(*) AS lines, count(DISTINCT doc_id) AS docs FROM q JOIN t ON contains(n, p) WHERE p <> '' GROUP BY 1""",
     "metadata_scope": f"""WITH {META}, q AS (SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 'src' || (item_id % 3)::VARCHAR END AS p, CASE WHEN item_id % 5 = 0 THEN 'FR' END AS s, CASE WHEN item_id % 7 = 0 THEN 'Medicaid' END AS g,
         CASE WHEN item_id % 11 = 0 THEN 'payer_policy' END AS a FROM benchmark)
       SELECT query_id, count(doc_id) AS docs FROM q LEFT JOIN meta ON (p IS NULL OR payer = p OR (p = 'src1' AND payer IN ('src0', 'src2') AND state = 'FR')) AND (s IS NULL OR state = s) AND (g IS NULL OR program = g) AND (a IS NULL OR authority_level = a) GROUP BY 1""",
