@@ -1,48 +1,74 @@
-"""Texts that hold a pattern anywhere, for a table of patterns: an index of character grams.
+"""Texts that hold a pattern anywhere, for a table of patterns: an index of grams.
 
 A pattern is known by its rarest gram. Texts with that gram are its candidates, and each of them is checked, so
-the result is that of LIKE '%pattern%' on all texts, without a pair of them being made. Grams have one of a
-few lengths: a pattern takes the longest that fits into it, so a long one meets few texts and one of a single
-character is still exact.
+the result is that of LIKE '%pattern%' on all texts, without a pair of them being made. A gram is a few bytes of UTF-8,
+packed into a long. A pattern takes the longest grams that fit into it, so a long one meets few texts and
+one of a single letter is still exact.
 
 The texts are read twice: once to count the patterns' grams, once for the postings of the chosen ones. What is
 shuffled are counts, and postings of one gram per pattern. With a stored index both passes read that.
 
 Cases: a null or empty pattern is in no text, a null text holds none. Equal patterns are looked for once. Ids
-may repeat; each gets its own rows. A text whose key has a null is left out.
+may repeat; each gets its own rows. A text whose key has a null is left out. Long texts are cut into portions that overlap.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.sources.store import cut
 
-#: Lengths of grams; the first must be 1.
+#: Bytes in a gram; the first must be 1, the last 8 at most.
 LENGTHS = (1, 3, 8)
 #: Grams that are sent to all tasks; beyond that both sides are shuffled.
 MOST_SENT = 1_000_000
+#: Bytes of a text whose grams are worked out at once.
+PORTION = 1 << 20
 
 
-def grams(text: Column, lengths: tuple[int, ...] = LENGTHS) -> Column:
-    """The distinct hashes of a text's grams of those lengths. Its characters are worked out once, so time is linear in its length."""
-
-    def of(chars: Column) -> Column:
-        def each(n: int) -> Column:
-            starts = F.when(F.size(chars) >= n, F.sequence(F.lit(1), F.size(chars) - (n - 1))).otherwise(F.array().cast("array<int>"))
-            return F.transform(starts, lambda i: F.xxhash64(F.slice(chars, i, n)))
-
-        return F.array_distinct(F.concat(*map(each, lengths)))
-
-    return F.transform(F.array(F.split(text, "")), of)[0]
+def grams(raw: bytes, n: int) -> np.ndarray:
+    """The distinct grams of n bytes."""
+    count = len(raw) - n + 1
+    if count < 1:
+        return np.zeros(0, np.int64)
+    said = np.frombuffer(raw, np.uint8).astype(np.uint64)
+    packed = said[:count].copy()
+    for i in range(1, n):
+        packed |= said[i : i + count] << np.uint64(8 * i)
+    return np.unique(packed).view(np.int64)
 
 
 def postings(texts: DataFrame, key: list[str], lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
-    """key and gram: the index of texts (key, text), to be stored where many tables of patterns will be asked."""
-    return texts.where("text is not null").select(*key, F.explode(grams(F.col("text"), lengths)).alias("gram"))
+    """key and gram: the index of texts (key, text), to be stored where many tables of patterns will be asked. A portion of a text has each gram once."""
+    rows = texts.where("text is not null").select(*key, F.col("text").alias("_text"))
+
+    def run(batches):
+        for batch in batches:
+            made, owners, size = [], [], 0
+
+            def out(made=made, owners=owners):
+                taken = pa.array(np.repeat(np.array(owners, np.int64), [len(x) for x in made]))
+                return pa.RecordBatch.from_arrays([*(batch.column(c).take(taken) for c in key), pa.array(np.concatenate(made))], [*key, "gram"])
+
+            for i, text in enumerate(batch.column("_text").to_pylist()):
+                raw = text.encode()
+                for start in range(0, len(raw), PORTION):
+                    for n in lengths:
+                        made.append(grams(raw[start : start + PORTION + n - 1], n))
+                        owners.append(i)
+                        size += len(made[-1])
+                    if size > PORTION:
+                        yield out()
+                        made.clear(), owners.clear()
+                        size = 0
+            if made:
+                yield out()
+
+    return rows.mapInArrow(run, StructType([*rows.drop("_text").schema.fields, StructField("gram", LongType())]))
 
 
 def _among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -50,20 +76,26 @@ def _among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(wanted) if wanted.count() <= MOST_SENT else wanted, "gram")
 
 
-def rarest(patterns: DataFrame, index: DataFrame) -> DataFrame:
-    """pattern and gram: the rarest one of each pattern, without patterns that have a gram which no text has."""
-    fitting = reduce(lambda acc, n: acc.when(F.length("pattern") >= n, grams(F.col("pattern"), (n,))), sorted(LENGTHS, reverse=True), F)
-    own = cut(patterns.select("pattern", F.explode(fitting).alias("gram")))
-    wanted = cut(own.select("gram").distinct())
-    counts = _among(index.select("gram"), wanted).groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
-    known = own.join(counts, "gram", "left").groupBy("pattern").agg(F.min(F.struct("texts", "gram")).alias("r"), F.min(F.col("texts").isNotNull()).alias("all"))
-    return known.where("all").select("pattern", F.col("r.gram").alias("gram"))
-
-
 def holding(patterns: DataFrame, texts: DataFrame, key: list[str], index: DataFrame | None = None) -> DataFrame:
-    """patterns' columns and key, for each text (key, text) that a pattern (column pattern) stands in; a text's key is its own."""
-    asked = patterns.where("pattern <> ''").select("pattern").distinct()
-    index = postings(texts, key) if index is None else index
-    near = cut(_among(index, cut(rarest(asked, index))).select(*key, "pattern"))
+    """patterns' columns and key, for each text (key, text) that a pattern (column pattern) stands in; a text's key is its own.
+
+    index: the stored `postings` of all lengths; without it only those of the patterns' lengths are made.
+    """
+    fitting = F.greatest(*(F.when(F.octet_length("pattern") >= n, n) for n in LENGTHS), F.lit(0))
+    asked = cut(patterns.where("pattern <> ''").select("pattern").distinct().withColumn("n", fitting))
+    lengths = tuple(sorted(r.n for r in asked.select("n").distinct().collect()))  # three at most
+    own = [postings(asked.where(F.col("n") == n).select("pattern", F.col("pattern").alias("text")), ["pattern"], (n,)) for n in lengths]
+    if not own:
+        own = [postings(asked.select("pattern", F.col("pattern").alias("text")), ["pattern"])]
+    wanted = own[0]
+    for more in own[1:]:
+        wanted = wanted.union(more)
+    wanted = cut(wanted)
+    made = lambda by: postings(texts, by, lengths) if index is None else index.select(*by, "gram")
+    counts = _among(made([]), cut(wanted.select("gram").distinct())).groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
+    known = wanted.join(counts, "gram", "left").groupBy("pattern").agg(F.min(F.struct("texts", "gram")).alias("r"), F.min(F.col("texts").isNotNull()).alias("all"))
+    # A pattern with a gram that no text has is in none.
+    rarest = cut(known.where("all").select("pattern", F.col("r.gram").alias("gram")))
+    near = cut(_among(made(key), rarest).select(*key, "pattern").distinct())
     found = near.join(texts.select(*key, "text"), key).where(F.contains("text", "pattern")).select(*key, "pattern")
     return patterns.join(found, "pattern")
