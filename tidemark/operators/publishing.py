@@ -23,7 +23,7 @@ def rows(embeddings: DataFrame, chosen: DataFrame, chunks: DataFrame, facts: Dat
 
     embeddings: doc_id, generator, source_type, source_id; a source that isn't in chunks or facts (source_id, doc_id,
     text; chunks also page_number and paragraph_index) is dropped. paragraph_tags: doc_id, page_number, order_index,
-    d_tags, p_tags, j_tags, created_at; the latest of a place counts.
+    d_tags, p_tags, j_tags, created_at; the latest of a place counts, of equally late ones that with the greatest tags.
     """
     generator = F.coalesce("generator", F.lit("A"))
     own = embeddings.withColumn("generator", generator).join(chosen, ["doc_id", "generator"])
@@ -31,7 +31,8 @@ def rows(embeddings: DataFrame, chosen: DataFrame, chunks: DataFrame, facts: Dat
     fact = own.where("source_type = 'fact'").join(facts.select("doc_id", "source_id", "text"), ["doc_id", "source_id"])
     both = hier.unionByName(fact, allowMissingColumns=True)
     tags = [f"{k}_tags" for k in KINDS]
-    latest = paragraph_tags.groupBy("doc_id", "page_number", F.col("order_index").alias("paragraph_index")).agg(F.max_by(F.struct(*tags), "created_at").alias("t")).select("doc_id", "page_number", "paragraph_index", "t.*")
+    at = F.when(F.col("created_at").isNotNull(), F.struct("created_at", *tags))
+    latest = paragraph_tags.groupBy("doc_id", "page_number", F.col("order_index").alias("paragraph_index")).agg(F.max_by(F.struct(*tags), at).alias("t")).select("doc_id", "page_number", "paragraph_index", "t.*")
     joined = both.join(latest, ["doc_id", "page_number", "paragraph_index"], "left").join(documents, "doc_id")
     sha = F.sha2(F.concat_ws("‖", F.col("doc_id").cast("string"), "source_type", F.col("source_id").cast("string"), "text"), 256)
     blank = {c: F.coalesce(c, F.lit("")) for c in ("text", "payer", "state", "program", "authority_level") if c in joined.columns}
