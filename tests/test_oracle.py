@@ -21,8 +21,8 @@ def test_matches_sql(spark, duck, name):
 
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
-    # Parsing, tested on fixtures.
-    assert set(QUERIES) - set(SQL) <= {"page_sections", "markdown_paragraphs"}
+    # Parsing and an index that isn't exact, tested on fixtures.
+    assert set(QUERIES) - set(SQL) <= {"page_sections", "markdown_paragraphs", "vector_index_recall"}
 
 
 def test_sql_states_its_own_values():

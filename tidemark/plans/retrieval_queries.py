@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import content_key, normalise
-from tidemark.operators import covers, fusion, lexical, lexicon, ranking, retrieval, substrings, tagging, understanding, vector
+from tidemark.operators import covers, fusion, lexical, lexicon, ranking, retrieval, substrings, tagging, understanding, vector, vector_index
 from tidemark.operators.retrieval import CHUNK, Corpus, Options
 from tidemark.plans.corpus_queries import _doc_tags, _line_tags, _lines, _meta
 from tidemark.plans.oracle import AUTHORITY, CASCADE, DOC_TAGS, LINES, META, NORM, NORMAL_QUERY, SCORED, STOP, TOK, WHOLE_BAGS, distinct, expand, first_tokens
-from tidemark.sources.store import stored
+from tidemark.sources.store import stored, stored_folder
 from tidemark.sources.tables import read
 
 K = 10
@@ -84,6 +84,36 @@ def vector_min_similarity(spark, d):
     return _shown(vector.nearest(*_vectors(spark, d), 50, least=0.5), "similarity")
 
 
+def _index(spark: SparkSession, d: str) -> str:
+    """An index that was made from two thirds of the vectors, and changed once: a tenth of its documents went, the other vectors came."""
+
+    def make(s, d, path):
+        chunk = F.when(F.col("vec_id") % 7 != 0, "chunk")
+        rows = read(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.expr("vec_id div 4").alias("document_id"), F.concat(F.lit("label-"), "label").alias("payer"), chunk.alias("source_type"), "embedding")
+        vector_index.create(rows.where("id % 3 <> 0"), path)
+        vector_index.change(s, path, rows.where("id % 3 = 0"), rows.where("document_id % 10 = 0").select("document_id"))
+
+    return stored_folder(spark, d, "vector_index", make)
+
+
+def vector_index_topk(spark, d):
+    """Exact search in the changed index; some queries ask for their own label, some for chunks, all with a key that isn't known."""
+    own, say = F.concat(F.lit("label-"), "label"), lambda *c: F.create_map(F.lit("colour"), F.lit("red"), *c)
+    filters = F.when(F.col("vec_id") % 100 == 0, say(F.lit("payer"), own, F.lit("state"), F.lit(""))).when(F.col("vec_id") % 200 == 50, say(F.lit("source_type"), F.lit("chunk"))).otherwise(say())
+    asked = read(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding", filters.alias("filters"))
+    found = vector_index.search(asked, _index(spark, d), K, exact=True).select("query_id", F.col("id").alias("vec_id"), "document_id", "source_type", "similarity", "rank")
+    return _shown(found, "similarity")
+
+
+def vector_index_recall(spark, d):
+    """query_id, wanted and found: how many of the k nearest of all live vectors the search in the nearest cells gives."""
+    asked = _vectors(spark, d)[0].select(F.col("vec_id").alias("query_id"), "embedding")
+    path = _index(spark, d)
+    found = vector_index.search(asked, path, K).select("query_id", "id", F.lit(1).alias("hit"))
+    exact = vector.nearest(asked.withColumnRenamed("query_id", "id"), vector_index.live(spark, path).select("id", "embedding"), K, "id")
+    return exact.join(found, ["query_id", "id"], "left").groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted"), F.count("hit").alias("found"))
+
+
 def rrf_fusion(spark, d):
     """The vector arm and an arm of rows with the query's label, in the order of ids, weighted by the label's IDF."""
     rows = read(spark, d, "embeddings")
@@ -200,7 +230,7 @@ def search_scoped(spark, d):
     return retrieval.search(_requests(spark, d), replace(_corpus(spark, d), scope=_pools(spark, d)), SEARCHES["search"])
 
 QUERIES = {f.__name__: f for f in (
-    lexical_topk, kofn_cascade, cover_density, pinned_pool, vector_topk, vector_min_similarity, rrf_fusion, union_of_arms, assembled_answer, code_lookup, substring_hits, metadata_scope,
+    lexical_topk, kofn_cascade, cover_density, pinned_pool, vector_topk, vector_min_similarity, vector_index_topk, vector_index_recall, rrf_fusion, union_of_arms, assembled_answer, code_lookup, substring_hits, metadata_scope,
     *map(_searched, SEARCHES), search_scoped,
 )}
 
@@ -386,6 +416,11 @@ SQL = {
       SELECT query_id, doc_id, paragraph_index, round(coalesce(score, 0), 6) AS score FROM pins JOIN (SELECT item_id AS query_id FROM benchmark) USING (query_id) JOIN lines USING (doc_id) LEFT JOIN found USING (query_id, doc_id, paragraph_index)""",
     "vector_topk": f"WITH {_NEAR} SELECT query_id, vec_id, round(sim, 6) AS similarity, rank FROM ranked WHERE rank <= 10",
     "vector_min_similarity": f"WITH {_NEAR} SELECT query_id, vec_id, round(sim, 6) AS similarity, rank FROM ranked WHERE sim >= 0.5 AND rank <= 50",
+    "vector_index_topk": f"""WITH near AS (SELECT q.vec_id AS query_id, v.vec_id, v.vec_id // 4 AS doc, CASE WHEN v.vec_id % 7 <> 0 THEN 'chunk' END AS source_type, {_COSINE} AS sim FROM embeddings q, embeddings v
+        WHERE q.vec_id % 50 = 0 AND (v.vec_id % 3 = 0 OR v.vec_id // 4 % 10 <> 0)
+        AND CASE WHEN q.vec_id % 100 = 0 THEN v.label = q.label WHEN q.vec_id % 200 = 50 THEN v.vec_id % 7 <> 0 ELSE true END),
+      ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM near)
+      SELECT query_id, vec_id, doc::VARCHAR AS document_id, source_type, round(sim, 6) AS similarity, rank FROM ranked WHERE rank <= 10""",
     "rrf_fusion": f"""WITH {_NEAR}, idf AS (SELECT label, ln((SELECT count(*) FROM embeddings) / count(*)) AS w FROM embeddings GROUP BY 1),
       first AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rank FROM embeddings),
       arms AS (SELECT query_id, vec_id, 'vector' AS arm, 0 AS o, rank, 1.0::DOUBLE AS w FROM ranked WHERE rank <= 20

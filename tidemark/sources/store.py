@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_WRITTEN: dict[tuple[str, str, str], str] = {}
+_WRITTEN: dict[tuple, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,14 +23,30 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
-    """make's table as Parquet in the shared folder, written at the first call of the session for that input."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+def _stamp(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes, files and times of what lies in a folder: another stamp, another input."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    said = []
+    for entry in files.listStatus(path):
+        size = files.getContentSummary(entry.getPath())
+        said.append((entry.getPath().getName(), size.getLength(), size.getFileCount(), entry.getModificationTime()))
+    return tuple(sorted(said))
+
+
+def stored_folder(spark: SparkSession, sf_dir: str, name: str, make: Callable[[SparkSession, str, str], object]) -> str:
+    """The folder that make(spark, sf_dir, folder) filled, at the first call of the session for that input as it is now."""
+    key = (spark.sparkContext.applicationId, sf_dir, _stamp(spark, sf_dir), name)
     if key not in _WRITTEN:
         path = f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}/{name}"
-        make(spark, sf_dir).write.parquet(path)
+        make(spark, sf_dir, path)
         _WRITTEN[key] = path
-    return spark.read.parquet(_WRITTEN[key])
+    return _WRITTEN[key]
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """make's table as Parquet in the shared folder, written at the first call of the session for that input as it is now."""
+    return spark.read.parquet(stored_folder(spark, sf_dir, name, lambda s, d, path: make(s, d).write.parquet(path)))
 
 
 def cut(df: DataFrame) -> DataFrame:
