@@ -2,13 +2,14 @@
 
     centroids/      cell and unit centroid, fitted once on a bounded sample
     rows/FOLDER/    an addition's rows, sorted by cell: id, columns to filter on, code with its error, and the vector itself
-    cells/FOLDER/   rows and least cosine to the centroid per cell of that addition
+    cells/FOLDER/   rows, least and mean cosine to the centroid per cell of that addition
     gone/FOLDER/    documents that a change takes out
     log/            a row per change, written last; what it doesn't name isn't there for a reader
 
 A row's cosine to a query lies within `error` of what its code gives, and within a cell's angle of its centroid's, so that a search can
-leave out whole cells and rows with certainty. `search` looks at the nearest cells; with `exact` also at each further cell
-that could hold a row of the k best, which then gives what a comparison with all vectors gives. Similarities come from the vectors.
+leave out whole cells and rows with certainty. `search` looks at the nearest cells, and then at the others that are likely to hold a row of the
+k best, if the residuals of a cell point anywhere; with `exact` at all that could hold one, which gives what a comparison with all
+vectors gives. So data without clusters make it look at more cells, not miss more rows. Similarities come from the vectors.
 
 Vectors without a direction (null, zero, or with an element that is null or not finite) aren't indexed and find nothing.
 """
@@ -16,6 +17,7 @@ Vectors without a direction (null, zero, or with an element that is null or not
 from __future__ import annotations
 
 import uuid
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,8 @@ from tidemark.sources.store import cut
 SAMPLE, CELLS = 65_536, 4_096
 #: Queries and coded rows that meet in one task, and rows that are compared at once.
 QUERY_BLOCK, ROW_BLOCK, SLICE = 1_024, 65_536, 4_096
-#: Share of the cells that a search looks at, and candidates per wanted row whose vectors are compared.
-SHARE, OVER = 0.5, 4
+#: Share of the cells that a search looks at first, share of the wanted rows that it may be expected to miss, and candidates per wanted row whose vectors are compared.
+SHARE, MISSED, OVER = 0.1, 0.05, 4
 #: What a search can be narrowed by; other keys of a filter say nothing.
 FILTERS = ("payer", "state", "authority_level", "document_id", "source_type")
 SLACK = 1e-9
@@ -122,7 +124,7 @@ def change(spark: SparkSession, path: str, rows: DataFrame | None = None, gone:
         coded = _coded(rows, _centroids(spark, path)).withColumn("seq", F.lit(seq).cast("long"))
         # By cell and id, so that a cell of a third of all rows is more than one file, and a search's cells few row groups.
         coded.repartitionByRange("cell", "id").sortWithinPartitions("cell", "id").write.parquet(f"{path}/rows/{folder}")
-        stats = spark.read.schema(ROWS).parquet(f"{path}/rows/{folder}").groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("cosine").alias("least"))
+        stats = spark.read.schema(ROWS).parquet(f"{path}/rows/{folder}").groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("cosine").alias("least"), F.avg("cosine").alias("mean"))
         stats.coalesce(1).write.parquet(f"{path}/cells/{folder}")
     if gone is not None:
         gone.select(F.col("document_id").cast("string").alias("document_id"), F.lit(seq).cast("long").alias("until")).where("document_id is not null").distinct().write.parquet(f"{path}/gone/{folder}")
@@ -146,7 +148,7 @@ def _folders(spark: SparkSession, path: str, kind: str) -> list[str]:
 
 def live(spark: SparkSession, path: str) -> DataFrame:
     """All rows that no later change took out."""
-    folders, gone = _folders(spark, path, "rows"), _folders(spark, path, "gone")
+    folders, gone = (_folders(spark, path, kind) for kind in ("rows", "gone"))
     rows = spark.read.schema(ROWS).parquet(*folders) if folders else spark.createDataFrame([], ROWS)
     if not gone:
         return rows
@@ -225,57 +227,70 @@ def _scan(visits: DataFrame, queries: DataFrame, coded: DataFrame, centroids: np
     return left.groupBy("cell", "turn", "block").cogroup(right.groupBy("cell", "turn", "block")).applyInArrow(run, "query_id bigint, id bigint, cell int, low double, high double, same bigint")
 
 
-def _visits(queries: DataFrame, centroids: np.ndarray | None, least: dict[int, float], first: int) -> DataFrame:
-    """query_id, cell, bound (no row of the cell has a larger cosine) and turn (from 0, nearest cells first) of the first cells."""
-    shared = queries.sparkSession.sparkContext.broadcast((centroids, least))
+def _reach(stats: list, expected: float | None, dimensions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per cell its number, the angle that holds all of its rows, and how far above its centroid's cosine a row is likely to come.
+
+    The last is where, of the cell's n rows, `expected` have a larger cosine, if their residuals point anywhere; without end for None.
+    """
+    cells = np.array([r["cell"] for r in stats], dtype=np.int32)
+    angle = np.arccos(np.clip([r["least"] for r in stats], -1, 1))
+    spread = np.sqrt(np.maximum(2 - 2 * np.array([r["mean"] for r in stats]), 0) / max(dimensions, 1))
+    z = [np.inf if expected is None else NormalDist().inv_cdf(1 - min(0.5, expected / r["n"])) for r in stats]
+    return cells, angle, np.where(np.isinf(z), np.inf, np.array(z) * spread)
+
+
+def _visits(queries: DataFrame, centroids: np.ndarray | None, reach: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
+    """query_id, cell, bound (of the cosines of the cell's rows, by `_reach`) and turn (from 0, nearest cells first)."""
+    shared = queries.sparkSession.sparkContext.broadcast((centroids, *reach))
 
     def run(batches):
-        center, least = shared.value
-        cells = np.array(sorted(least), dtype=np.int32)
-        reach = np.arccos(np.clip(np.array([least[c] for c in cells.tolist()]), -1, 1))
+        center, cells, angle, above = shared.value
         for batch in batches:
-            if not batch.num_rows or not len(cells):
+            if not batch.num_rows:
                 continue
             unit = _matrix(batch["embedding"])
             near = np.zeros((len(unit), 1)) if center is None else np.clip(unit @ center[cells].T, -1, 1)
-            bound = np.ones_like(near) if center is None else np.cos(np.maximum(np.arccos(near) - reach, 0)) + SLACK
-            order = np.argsort(-near, axis=1, kind="stable")[:, :first]
+            bound = np.ones_like(near) if center is None else np.minimum(np.cos(np.maximum(np.arccos(near) - angle, 0)), near + above) + SLACK
+            order = np.argsort(-near, axis=1, kind="stable")
             n = order.shape[1]
             yield pa.RecordBatch.from_pydict({
                 "query_id": pa.array(np.repeat(batch["query_id"].to_numpy(zero_copy_only=False), n), pa.int64()),
                 "cell": cells[order].ravel(),
                 "bound": np.take_along_axis(bound, order, 1).ravel(),
                 "turn": pa.array(np.tile(np.arange(n), len(unit)), pa.int32()),
-            })
+            })
 
     return queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding").mapInArrow(run, "query_id bigint, cell int, bound double, turn int")
 
 
-def search(queries: DataFrame, path: str, k: int = 10, share: float = SHARE, exact: bool = False) -> DataFrame:
+def search(queries: DataFrame, path: str, k: int = 10, share: float = SHARE, missed: float = MISSED, exact: bool = False) -> DataFrame:
     """query_id, id, document_id, source_type, similarity (cosine) and rank of the k nearest rows for each query, ties by id.
 
     queries: query_id (each once), embedding and, where wanted, filters (map<string,string>): a value of one of FILTERS must be equal, a null or
-    empty value asks nothing, other keys are left out. A row without the value meets no filter on it. share: part of the
-    cells that are looked at, nearest first. exact: further cells follow where they could hold a row of the k best.
+    empty value asks nothing, other keys are left out. A row without the value meets no filter on it. share: part of the cells that are looked
+    at first, nearest ones. Further cells follow where they may hold a row of the k best: all that can if `exact`, or else all but those
+    in which together `missed` of k rows are expected.
     """
     spark = queries.sparkSession
     filters = F.col("filters") if "filters" in queries.columns else F.lit(None).cast("map<string,string>")
     asked = cut(queries.where(_directed()).select("query_id", F.col("embedding").cast("array<double>").alias("embedding"), filters.alias("filters")))
     centroids, rows = _centroids(spark, path), live(spark, path)
     folders = _folders(spark, path, "cells")
-    stats = spark.read.schema("cell int, n bigint, least double").parquet(*folders).groupBy("cell").agg(F.min("least").alias("least")).collect() if folders else []
+    schema = "cell int, n bigint, least double, mean double"
+    sums = (F.sum("n").alias("n"), F.min("least").alias("least"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"))
+    stats = spark.read.schema(schema).parquet(*folders).groupBy("cell").agg(*sums).orderBy("cell").collect() if folders else []
     if not stats:
         return spark.createDataFrame([], "query_id bigint, id bigint, document_id string, source_type string, similarity double, rank bigint")
-    nearest = max(1, round(share * len(stats)))
-    visits = cut(_visits(asked, centroids, {r["cell"]: r["least"] for r in stats}, len(stats) if exact else nearest))
-    first = F.col("turn") < nearest
+    expected = None if exact else missed * k / len(stats)
+    visits = cut(_visits(asked, centroids, _reach(stats, expected, 0 if centroids is None else centroids.shape[1])))
+    first = F.col("turn") < max(1, round(share * len(stats)))
     most = None if exact else k * OVER
     found = cut(_scan(visits.where(first).select("query_id", "cell"), asked, rows, centroids, k, most))
+    # A query with fewer than k rows so far has no floor: each of its other cells is looked at.
+    floor = top_k(found, k, "low", ["id"]).groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("low")).alias("floor"))
+    more = cut(visits.where(~first).join(floor, "query_id", "left").where("floor is null or bound >= floor").select("query_id", "cell"))
+    found = cut(found.unionByName(_scan(more, asked, rows, centroids, k, most)))
     if exact:
-        # A query with fewer than k rows so far has no floor: each of its other cells is looked at.
-        floor = top_k(found, k, "low", ["id"]).groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("low")).alias("floor"))
-        open_ = visits.where(~first).join(floor, "query_id", "left").where("floor is null or bound >= floor").select("query_id", "cell")
-        found = cut(found.unionByName(_scan(cut(open_), asked, rows, centroids, k, None)))
         floor = top_k(found, k, "low", ["id"]).groupBy("query_id").agg(F.min("low").alias("floor"))
         found = found.join(floor, "query_id").where("high >= floor")
         # Of the copies of a vector, the k smallest ids over all tasks.
