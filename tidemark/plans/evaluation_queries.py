@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
 from tidemark.operators import evaluation, ranking, registry, routing
 from tidemark.plans.oracle import C, T
+from tidemark.sources.store import shared_folder
 from tidemark.sources.tables import cells, read, telemetry
-from tidemark.streaming import jobs
+from tidemark.streaming import heartbeats, jobs
 
 
 def _round(df, *but):
@@ -232,6 +234,27 @@ def registry_stream(spark, d):
     return jobs.latest_by_user(spark, d)
 
 
+def _job_events(events: DataFrame) -> DataFrame:
+    t = F.col("event_type")
+    kind = F.when(t == "signup", "claim").when(t == "purchase", "done").when(t == "error", "error").otherwise("beat")
+    return events.select(F.col("user_id").alias("job_id"), "ts", "event_id", kind.alias("kind"))
+
+
+#: Minutes after which a claimed job is taken from a worker that has been silent.
+JOB_TIMEOUT, JOB_SILENT = 1440, 720
+
+
+def job_transitions(spark, d):
+    """Changes of all jobs' statuses as known at the last event."""
+    events = read(spark, d, "events")
+    return heartbeats.transitions(_job_events(events), events.agg(F.max("ts")).scalar(), JOB_TIMEOUT, JOB_SILENT)
+
+
+def job_transitions_stream(spark, d):
+    """The same by a stream with timers, as known at its watermark, a day before the last event."""
+    return heartbeats.follow(_job_events(jobs.events(spark, d)), f"{shared_folder(spark)}/jobs-{uuid.uuid4().hex}", JOB_TIMEOUT, JOB_SILENT, "1 day")
+
+
 def windowed_stream(spark, d):
     """Events and values by six-hour window and type, by a stream with a watermark."""
     return _round(jobs.windowed_counts(spark, d))
@@ -240,7 +263,7 @@ def windowed_stream(spark, d):
 QUERIES = {f.__name__: f for f in (
     calibration_summary, oracle_summary, verdict_rollup, score_statistics, routing_stats, class_pivot, prior_cells, confusion, confusion_slices, disagreements, pr_curve,
     drift_band, ab_movers, compared_runs, metric_lift, prod_rollup, build_stability, pooled_priors, cell_priors, finalised_runs, deterministic_checks, assembly_ratios,
-    latency_quantiles, rubric_scores, stale_jobs, finalised_zombies, failed_jobs, linear_router, second_router, forced_strategies, registry_stream, windowed_stream,
+    latency_quantiles, rubric_scores, stale_jobs, finalised_zombies, failed_jobs, linear_router, second_router, forced_strategies, registry_stream, windowed_stream, job_transitions, job_transitions_stream,
 )}
 
 def _p(p: float, by: str, name: str) -> str:
@@ -283,6 +306,15 @@ def _confusion(by: str) -> str:
         round(credit - 2 * fp + 0.5::DOUBLE * tn - fn, 6) AS utility, round(tn / nullif(n - n_answerable, 0), 6) AS honest_abstain, round(fn / nullif(n_answerable, 0), 6) AS over_abstain FROM r"""
 
 
+_TRANSITIONS = """WITH lim AS (SELECT {} AS until FROM events),
+e AS (SELECT user_id AS job_id, ts, event_id, CASE event_type WHEN 'signup' THEN 'claim' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' ELSE 'beat' END AS kind, until FROM events, lim WHERE ts <= until AND user_id IS NOT NULL),
+r AS (SELECT *, count(*) FILTER (kind = 'claim') OVER w AS run, coalesce(lead(ts) OVER w, until) AS nxt, row_number() OVER w AS i FROM e WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id)),
+d AS (SELECT *, greatest(min(ts) FILTER (kind = 'claim') OVER (PARTITION BY job_id, run) + INTERVAL 24 HOUR, ts + INTERVAL 12 HOUR) AS deadline FROM r WHERE run > 0),
+s AS (SELECT job_id, run, arg_min(CASE WHEN kind IN ('done', 'error') THEN ts ELSE deadline END, i) AS "at", arg_min(kind, i) = 'done' AS done FROM d WHERE kind IN ('done', 'error') OR nxt > deadline GROUP BY 1, 2),
+m AS (SELECT job_id, run, ts AS "at", 0 AS closing, 0 AS fails, 'processing' AS status FROM d WHERE kind = 'claim' UNION ALL SELECT job_id, run, "at", 1, CASE WHEN done THEN 0 ELSE 1 END, CASE WHEN done THEN 'completed' END FROM s),
+f AS (SELECT *, sum(fails) OVER (PARTITION BY job_id ORDER BY run, closing) AS failures FROM m)
+SELECT job_id, "at", coalesce(status, CASE WHEN failures >= 3 THEN 'blocked' ELSE 'pending' END) AS status, failures::INTEGER AS failures FROM f WHERE failures - fails < 3"""
+
 SQL = {
     "verdict_rollup": f"""WITH {C}, v AS (SELECT *, coalesce(human_verdict, verdict) AS v FROM cells),
       c AS (SELECT strategy, count(*) AS n, count(*) FILTER (v = 'correct') AS correct, count(*) FILTER (v = 'partial') AS partial, count(*) FILTER (v = 'wrong') AS wrong, count(*) FILTER (v = 'unable_to_verify') AS abstain FROM v GROUP BY 1)
@@ -335,6 +367,8 @@ SQL = {
     "forced_strategies": f"""WITH {T}, {_FEATURES}, s AS ({_linear(_LINEAR)}), m AS (SELECT query_id, string_agg(strategy || '=' || printf('%.4f', round(score, 4)), ',' ORDER BY strategy) AS scores FROM s GROUP BY 1)
       SELECT query_id, CASE WHEN k % 2 = 0 THEN 'b' ELSE 'd' END AS strategy, scores, 'override' AS method FROM m JOIN (SELECT event_id AS query_id, k FROM t) USING (query_id)""",
     "registry_stream": "SELECT user_id, max(ts) AS last_ts, count(*) AS n_events, count(*) FILTER (event_type = 'error') AS failures FROM events GROUP BY 1",
+    "job_transitions": _TRANSITIONS.format("max(ts)"),
+    "job_transitions_stream": _TRANSITIONS.format("date_trunc('milliseconds', max(ts)) - INTERVAL 1 DAY"),
     "windowed_stream": "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL",
     "calibration_summary": f"""WITH {C}, b AS (SELECT strategy, count(*) AS n, count(*) FILTER (answered) / count(*) AS answer_rate, avg(recall) AS recall, avg(precision) AS precision,
       sum(contradicted) / count(*) AS contra_per_cell, floor(median(latency_ms))::BIGINT AS median_latency_ms FROM cells GROUP BY 1),
