@@ -57,8 +57,8 @@ def test_exact_search_is_a_comparison_with_all(spark, rows, bad, monkeypatch):
     queries = [(i, rows[i * 7][3], f) for i, f in enumerate((None, {}, {"payer": "q"}, {"document_id": "d5"}, {"payer": "none"}, None, {"payer": "p"}, {"document_id": "copies"}))]
     queries += [(50, None, None), (51, [0.0] * 12, None), (52, [-x for x in rows[0][3]], None)]
     asked = spark.createDataFrame([(q, e, None if f is None else {**f, "state": "", "source_type": None, "colour": "red"}) for q, e, f in queries], "query_id long, embedding array<double>, filters map<string,string>")
-    for share in (0.01, 0.3, 1.0):
-        got = found(vector_index.search(asked, path, 7, share=share, exact=True))
+    for first in (1, 8, 99):
+        got = found(vector_index.search(asked, path, 7, first=first, exact=True))
         want = brute([q for q in queries if q[0] not in (50, 51)], kept, 7)
         assert got == {q: ids for q, ids in want.items() if ids}
     assert vector_index.delete_by_document(spark.createDataFrame([("copies",)], "document_id string"), path) == 3

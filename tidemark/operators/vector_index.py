@@ -35,8 +35,8 @@ from tidemark.sources.store import cut
 SAMPLE, CELLS = 65_536, 4_096
 #: Queries and coded rows that meet in one task, and rows that are compared at once.
 QUERY_BLOCK, ROW_BLOCK, SLICE = 1_024, 65_536, 4_096
-#: Share of the cells that a search looks at first, share of the wanted rows that it may be expected to miss, and candidates per wanted row whose vectors are compared.
-SHARE, MISSED, OVER = 0.1, 0.05, 4
+#: Cells that a search looks at first, share of the wanted rows that it may be expected to miss, and candidates per wanted row whose vectors are compared.
+FIRST, MISSED, OVER = 8, 0.05, 4
 #: What a search can be narrowed by; other keys of a filter say nothing.
 FILTERS = ("payer", "state", "authority_level", "document_id", "source_type")
 SLACK = 1e-9
@@ -186,7 +186,7 @@ def _survivors(low: np.ndarray, high: np.ndarray, ids: np.ndarray, same: np.ndar
 def _scan(visits: DataFrame, queries: DataFrame, coded: DataFrame, centroids: np.ndarray | None, k: int, most: int | None) -> DataFrame:
     """query_id, id, cell, low, high and same of the rows that can be a query's k best among the cells that it visits.
 
-    visits: query_id and cell; queries: query_id, embedding, filters. most: rows per query and task, the likeliest; None gives all that the bounds allow.
+    visits: query_id, cell and floor (rows that are certainly below it are left out); queries: query_id, embedding, filters. most: rows per query and task, the likeliest; None gives all that the bounds allow.
     """
     spark = coded.sparkSession
     shared = spark.sparkContext.broadcast(centroids)
@@ -198,13 +198,14 @@ def _scan(visits: DataFrame, queries: DataFrame, coded: DataFrame, centroids: np
     parts = F.broadcast(cut(sizes.join(asked, "cell")))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     place = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    left = visits.join(parts, "cell").join(queries, "query_id").withColumn("turn", place("query_id", "turns")).withColumn("block", every("blocks")).select("query_id", "embedding", "filters", "cell", "turn", "block")
+    left = visits.join(parts, "cell").join(queries, "query_id").withColumn("turn", place("query_id", "turns")).withColumn("block", every("blocks")).select("query_id", "embedding", "filters", "floor", "cell", "turn", "block")
     right = coded.drop("embedding", "seq", "cosine").join(parts, "cell").withColumn("block", place("id", "blocks")).withColumn("turn", every("turns")).drop("blocks", "turns")
 
     def run(q: pa.Table, v: pa.Table) -> pa.Table:
         out = []
         if q.num_rows and v.num_rows:
             cell, names, unit = q["cell"][0].as_py(), q["query_id"].to_numpy(), _matrix(q["embedding"])
+            floors = pc.fill_null(q["floor"], -np.inf).to_numpy()
             base = 0.0 if shared.value is None else unit @ shared.value[cell]
             wanted = [tuple((n, m[n]) for n in FILTERS if m.get(n)) for m in (dict(f or ()) for f in q["filters"].to_pylist())]
             for filters in set(wanted):
@@ -217,7 +218,8 @@ def _scan(visits: DataFrame, queries: DataFrame, coded: DataFrame, centroids: np
                     sims = (unit[mine] @ code.T.astype(np.float64)) * part["scale"].to_numpy() + (base[mine, None] if shared.value is not None else 0.0)
                     for j, s in zip(mine, sims):
                         low, high = s - error, s + error
-                        at = _survivors(low, high, ids, same, k)
+                        able = np.nonzero(high >= floors[j])[0]
+                        at = able[_survivors(low[able], high[able], ids[able], same[able], k)]
                         if most is not None:
                             at = at[np.lexsort((ids[at], -s[at]))][:most]
                         out.append(pa.table({"query_id": np.full(len(at), names[j]), "id": ids[at], "cell": np.full(len(at), cell, np.int32), "low": low[at], "high": high[at], "same": same[at]}))
@@ -263,12 +265,12 @@ def _visits(queries: DataFrame, centroids: np.ndarray | None, reach: tuple[np.nd
     return queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding").mapInArrow(run, "query_id bigint, cell int, bound double, turn int")
 
 
-def search(queries: DataFrame, path: str, k: int = 10, share: float = SHARE, missed: float = MISSED, exact: bool = False) -> DataFrame:
+def search(queries: DataFrame, path: str, k: int = 10, first: int = FIRST, missed: float = MISSED, exact: bool = False) -> DataFrame:
     """query_id, id, document_id, source_type, similarity (cosine) and rank of the k nearest rows for each query, ties by id.
 
     queries: query_id (each once), embedding and, where wanted, filters (map<string,string>): a value of one of FILTERS must be equal, a null or
-    empty value asks nothing, other keys are left out. A row without the value meets no filter on it. share: part of the cells that are looked
-    at first, nearest ones. Further cells follow where they may hold a row of the k best: all that can if `exact`, or else all but those
+    empty value asks nothing, other keys are left out. A row without the value meets no filter on it. first: how many cells are looked at
+    first, nearest ones. Further cells follow where they may hold a row of the k best: all that can if `exact`, or else all but those
     in which together `missed` of k rows are expected.
     """
     spark = queries.sparkSession
@@ -283,12 +285,12 @@ def search(queries: DataFrame, path: str, k: int = 10, share: float = SHARE, mis
         return spark.createDataFrame([], "query_id bigint, id bigint, document_id string, source_type string, similarity double, rank bigint")
     expected = None if exact else missed * k / len(stats)
     visits = cut(_visits(asked, centroids, _reach(stats, expected, 0 if centroids is None else centroids.shape[1])))
-    first = F.col("turn") < max(1, round(share * len(stats)))
+    near = F.col("turn") < first
     most = None if exact else k * OVER
-    found = cut(_scan(visits.where(first).select("query_id", "cell"), asked, rows, centroids, k, most))
+    found = cut(_scan(visits.where(near).select("query_id", "cell", F.lit(None).cast("double").alias("floor")), asked, rows, centroids, k, most))
     # A query with fewer than k rows so far has no floor: each of its other cells is looked at.
     floor = top_k(found, k, "low", ["id"]).groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("low")).alias("floor"))
-    more = cut(visits.where(~first).join(floor, "query_id", "left").where("floor is null or bound >= floor").select("query_id", "cell"))
+    more = cut(visits.where(~near).join(floor, "query_id", "left").where("floor is null or bound >= floor").select("query_id", "cell", "floor"))
     found = cut(found.unionByName(_scan(more, asked, rows, centroids, k, most)))
     if exact:
         floor = top_k(found, k, "low", ["id"]).groupBy("query_id").agg(F.min("low").alias("floor"))
