@@ -287,3 +287,37 @@ def test_op8_nested_suspects_take_linear_time():
     began = time.time()
     assert html_text.extract(page(20_000), None) == "all the text there is"
     assert time.time() - began < 10
+
+
+def test_jaccard_pairs_of_large_groups_meet_once_or_so(spark, monkeypatch):
+    """Texts that share a passage, but don't link, give few pairs; links among them and all components are found."""
+    import random
+
+    from tidemark.llm import jaccard
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    passage = [word() for _ in range(400)]
+    texts = [passage[: 330 + i] + [word() for _ in range(160)] for i in range(40)]  # about half in common
+    texts += [x[:-10] + [word() for _ in range(10)] for x in texts[:10]]  # each links with one of them
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    made, pairs = [], jaccard._pairs
+
+    def counted(*args):
+        out = pairs(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "_pairs", counted)
+    monkeypatch.setattr(jaccard, "RARE", 2)
+    monkeypatch.setattr(jaccard, "FREQUENT", 4)
+    found = {x.doc_id: x.component_id for x in jaccard.jaccard_components(docs).collect()}
+    assert found == dict(enumerate(root))
+    assert sum(made) < 400

@@ -21,7 +21,10 @@ Candidates have a combination in common, sizes within the bound, and bitmaps of
 more bits than a linked pair's sets differ in tokens. They are verified exactly on the token arrays. First each
 combination's smallest node is compared with all others, twice, leaving out what is connected already; then
 all pairs of a combination that are still in different components. So dense groups don't give all their
-pairs, no cap is set, and the components are those of all links.
+pairs, no cap is set, and the components are those of all links. A combination that more than MOST_COMPARED nodes have comes from
+a passage of many texts; its nodes, which are few, are indexed again by all of their tokens, the rarest among them first, so
+that only texts that consist of such passages meet by them, and more parities tell long ones apart. Combinations that the very same nodes have give the same
+pairs, so one of them is kept.
 
 Hot keys: counts are pre-aggregated; the tokens' rows, combinations and pairs are joined between written tables or
 plain shuffles, which Spark splits where a key is frequent. Nothing but rows of a pair meets in a task.
@@ -67,6 +70,11 @@ INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 MIX = np.uint64(0xFF51AFD7ED558CCD)
 STAR_ROUNDS = 2
 BITS = ["b0", "b1", "b2", "b3"]
+#: Nodes of a combination that are all compared with each other; those of larger ones are indexed again by all of their tokens.
+MOST_COMPARED = 4
+#: The parities that are held against each other there.
+WIDE_PARITIES = 2048
+WIDE = [f"w{i}" for i in range(WIDE_PARITIES // 64)]
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -129,12 +137,12 @@ def sets(docs: DataFrame) -> DataFrame:
     def run(batches):
         for part, texts in by_size(batches):
             every = token_sets(texts)
-            parities = np.array([np.packbits(np.bincount((x & np.uint64(255)).astype(np.int64), minlength=256) & 1) for x in every], np.uint8).view(np.int64)
+            parities = _parities(every, 64 * len(BITS))
             nodes = [_node(x) if len(x) else None for x in every]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"), pa.array(nodes, pa.binary()), pa.array([_code(x or bytes(8)) for x in nodes], pa.int64()), pa.array([len(x) for x in every], pa.int64()),
-                    pa.array([int(np.searchsorted(x, np.uint64(_BOUND))) for x in every], pa.int64()), *(pa.array(c) for c in parities.T),
+                    pa.array([int(np.searchsorted(x, np.uint64(_BOUND))) for x in every], pa.int64()), *(pa.array(c) for c in parities),
                 ],
                 ["doc_id", "node", "code", "n", "counted", *BITS],
             )
@@ -223,8 +231,19 @@ def _keys(shared: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key bigint, id bigint")
 
 
+def _once_per_group(keys: DataFrame) -> DataFrame:
+    """key: of the combinations that the very same nodes have, one; those of a single node are left out.
+
+    A passage's tokens stand in the same texts, and so do all of their combinations, which would give each pair once more.
+    Groups are known by two hashes of 64 bits over their nodes, and their size.
+    """
+    code = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "id"))
+    groups = keys.groupBy("key").agg(F.count(F.lit(1)).alias("nodes"), code(1).alias("x"), code(2).alias("y")).where("nodes > 1")
+    return groups.groupBy("nodes", "x", "y").agg(F.min("key").alias("key")).select("key")
+
+
 def combinations_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The combinations (key, id) that more than one node has; nodes: as of `sets`, a row per node, with an id."""
+    """The combinations (key, id) that more than one node has, one for each group of nodes; nodes: as of `sets`, a row per node, with an id."""
     counts = written(occurrences(docs, False).groupBy("h").count().where("count > 1"))
     release(docs.sparkSession)
     counted = F.col("h").between(0, _BOUND - 1)
@@ -234,8 +253,7 @@ def combinations_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     found = occurrences(docs, True).join(counts, "h").groupBy("code").agg(F.collect_set(F.struct(kind.alias("kind"), "h")).alias("found"))
     keys = written(_keys(nodes.join(found, "code").select("id", "n", "counted", "found")))
     release(docs.sparkSession)
-    several = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1"))
-    keys = keys.join(several.select("key"), "key")
+    keys = keys.join(written(_once_per_group(keys)), "key")
     # Sets that happen to have the same code (by the birthday bound a few of 10^10) have each other's tokens here. They are
     # compared with all sets of like size instead, by keys of their own.
     twins = nodes.groupBy("code").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1").join(nodes, "code")
@@ -246,11 +264,17 @@ def combinations_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return written(keys.union(own).union(every).distinct() if not twins.isEmpty() else keys)
 
 
-def _may_link(a: str, b: str) -> str:
+def _parities(every: list[np.ndarray], n: int) -> list[np.ndarray]:
+    """For each 64 of n classes of tokens a column that says for each set which classes it has an odd number of."""
+    last = np.uint64(n - 1)
+    return list(np.array([np.packbits(np.bincount((x & last).astype(np.int64), minlength=n) & 1) for x in every], np.uint8).view(np.int64).T)
+
+
+def _may_link(a: str, b: str, parities: tuple[list[str], ...] = (BITS,)) -> str:
     """SQL: sizes and parities of a and b allow for a link; of their n tokens together at most a ninth is in one set only."""
     sizes = f"100 * least({a}.n, {b}.n) >= {LEAST} * greatest({a}.n, {b}.n)"
-    differ = " + ".join(f"bit_count({a}.{c} ^ {b}.{c})" for c in BITS)
-    return f"{sizes} and {100 + LEAST} * ({differ}) <= {100 - LEAST} * ({a}.n + {b}.n)"
+    differ = (" + ".join(f"bit_count({a}.{c} ^ {b}.{c})" for c in columns) for columns in parities)
+    return " and ".join([sizes, *(f"{100 + LEAST} * ({x}) <= {100 - LEAST} * ({a}.n + {b}.n)" for x in differ)])
 
 
 def arrays(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -273,6 +297,40 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return common.where(f"100 * common >= {LEAST} * (sizes - common)").select("a", "b", "label")
 
 
+def _by_rare_tokens(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """key and id: the tokens of the nodes' prefixes (id), all tokens taken in the order of how many of the nodes have them.
+
+    Of linked sets the first common token is among the first n // 5 + 1 of both.
+    """
+    own = written(nodes.select("id").join(texts, "id"))
+    each = own.select("id", F.explode("tokens").alias("token"))
+    shared = written(each.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"))
+    found = each.join(shared, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("sets", "token"))).alias("found"))
+    alone = F.col("n") - F.size("found")
+    wanted = F.expr("n div 5 + 1") - alone
+    rows = own.select("id", F.size("tokens").cast("long").alias("n")).join(found, "id").select("id", "found", wanted.cast("int").alias("wanted")).where("wanted > 0")
+    keys = written(rows.select(F.explode(F.slice("found", F.lit(1), F.col("wanted"))).alias("t"), "id").select(F.col("t.token").alias("key"), "id"))
+    return keys.join(written(_once_per_group(keys)), "key")
+
+
+def _wide(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """id and the wide parities of the nodes (id)."""
+
+    def run(batches):
+        for batch in batches:
+            every = [x.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for x in batch.column("tokens")]
+            if every:
+                yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c) for c in _parities(every, WIDE_PARITIES))], ["id", *WIDE])
+
+    return nodes.select("id").join(texts, "id").select("id", "tokens").mapInArrow(run, ", ".join(f"{c} bigint" for c in ["id", *WIDE]))
+
+
+def _pairs(rows: DataFrame, parities: tuple[list[str], ...]) -> DataFrame:
+    """a, b and b's label of all nodes of one key that may link and have other labels. rows: key, id, label, n and the parities."""
+    met = rows.alias("x").join(rows.alias("y"), F.expr(f"x.key = y.key and x.id < y.id and x.label <> y.label and {_may_link('x', 'y', parities)}"))
+    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("y.label").alias("label"))
+
+
 def links(keys: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) of ids enough to give all components. keys: as of `combinations_of`; nodes: id, n and parities; texts: id and tokens.
 
@@ -290,9 +348,13 @@ def links(keys: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
             met = now.join(middle, "key").where("label <> theirs").select(F.col("id").alias("a"), "b", F.col("theirs").alias("label")).distinct()
             met = met.join(known.withColumnRenamed("id", "a").alias("x"), "a").join(known.withColumnRenamed("id", "b").alias("y"), "b").where(_may_link("x", "y"))
         else:
-            rows = written(now.join(known, "id"))
-            met = rows.alias("x").join(rows.alias("y"), F.expr(f"x.key = y.key and x.id < y.id and x.label <> y.label and {_may_link('x', 'y')}"))
-            met = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("y.label").alias("label")).distinct()
+            large = written(now.groupBy("key").agg(F.count(F.lit(1)).alias("nodes")).where(f"nodes > {MOST_COMPARED}").select("key"))
+            met = _pairs(written(now.join(large, "key", "left_anti").join(known, "id")), (BITS,))
+            inside = written(now.join(large, "key").select("id", "label").distinct())
+            if not inside.isEmpty():
+                rows = _by_rare_tokens(inside, texts).join(inside, "id").join(known, "id").join(written(_wide(inside, texts)), "id")
+                met = met.union(_pairs(written(rows), (BITS, WIDE)))
+            met = met.distinct()
         more = written(verified(written(met.select("a", "b", "label")), texts))
         found = more if found is None else found.union(more)
         if turn < STAR_ROUNDS:
