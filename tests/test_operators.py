@@ -427,3 +427,48 @@ def test_sources(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/log").count() == 2
     tables.write_report(spark.createDataFrame([("a", 1)], "k string, v long"), f"{tmp_path}/report")
     assert spark.read.csv(f"{tmp_path}/report", header=True).collect() == [("a", "1")]
+
+
+def test_titles_meet_names_by_rare_tokens(spark, monkeypatch):
+    """Names that share only a frequent word with a title give no pair; what is found is what all pairs give."""
+    from tidemark.operators import locate
+
+    r = random.Random(3)
+    vocabulary = [f"word{i}" for i in range(60)]
+    name = lambda: "common " + " ".join(r.choice(vocabulary) for _ in range(r.randint(0, 9)))
+    names = [(i, name()) for i in range(120)] + [(200, None), (201, "of the"), (202, "Humana word1"), (203, "word1 aetna word2")]
+    names += [(300 + i, names[i][1]) for i in range(20)]  # copies
+    titles = [(i, name()) for i in range(40)] + [(50 + i, names[i][1]) for i in range(20)] + [(90, None), (91, ""), (92, "common"), (93, "Aetna word1"), (94, "aetna word1 word2")]
+    of = lambda t: {w for w in (t or "").lower().split() if len(w) >= 3 and w not in locate.TITLE_STOPS}
+    payers, wanted = {"aetna", "humana"}, set()
+    for i, title in titles:
+        a = of(title)
+        pairs = [(not a <= of(n), -round(len(a & of(n)) / min(len(a), len(of(n))), 6), len(n), d, len(a & of(n)), bool(a & payers and of(n) & payers and not a & of(n) & payers)) for d, n in names if a & of(n)]
+        if pairs and -min(pairs)[1] >= 0.65 and min(pairs)[4] >= 2 and not min(pairs)[5]:
+            wanted.add((i, min(pairs)[3], -min(pairs)[1]))
+    made, overlap = [], locate.overlap
+    monkeypatch.setattr(locate, "cut", lambda df: made.append(df.count()) or df.localCheckpoint())
+    found = locate.by_title(spark.createDataFrame(titles, "citation_id long, title string"), spark.createDataFrame(names, "doc_id long, name string"))
+    assert {(x.citation_id, x.doc_id, x.overlap) for x in found.collect()} == wanted and wanted
+    assert overlap is locate.overlap and made
+
+
+def test_probe_counts_documents_by_their_tags(spark, monkeypatch):
+    """Documents with the same tags are counted before sets of tags are held against them."""
+    tags = spark.createDataFrame([(i, k, c) for i in range(60) for k, c in (("d", "a"), ("j", "b") if i % 2 else ("p", "c"))], "doc_id long, kind string, code string")
+    sets = spark.createDataFrame([(["d:a", "j:b"],), (["j:b", "p:c"],), (["d:x"],), ([],)], "codes array<string>")
+    sizes = []
+    monkeypatch.setattr(gate, "cut", lambda df: sizes.append(df.count()) or df.localCheckpoint())
+    found = {tuple(r.codes): (r.union_docs, r.intersection_docs) for r in gate.probe(sets, tags).collect()}
+    assert found == {("d:a", "j:b"): (60, 30), ("j:b", "p:c"): (60, 0), ("d:x",): (0, 0), (): (0, 0)}
+    assert sizes == [4, 2]
+
+
+def test_leads_begin_at_words_of_any_letters(spark, duck):
+    """A lead inside of a word with other letters than a-z is none, in the query and in its SQL."""
+    from tidemark.plans.oracle import NORMAL_QUERY
+
+    texts = ["astara do\u00f1do iedo\u00f3 ezado", "Do I do I file", "e\u0301do i file", "x_do i file", "file,do i pay", "\u00e9how many days", "9do i file"]
+    own = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(text.normalise_query(F.col("t"))).collect()]
+    assert own[0] == texts[0] and own[1] == "file"
+    assert own == [duck.execute(f"select {NORMAL_QUERY} from (select ?::varchar as text)", [t]).fetchall()[0][0] for t in texts]
