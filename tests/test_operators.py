@@ -472,3 +472,20 @@ def test_leads_begin_at_words_of_any_letters(spark, duck):
     own = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(text.normalise_query(F.col("t"))).collect()]
     assert own[0] == texts[0] and own[1] == "file"
     assert own == [duck.execute(f"select {NORMAL_QUERY} from (select ?::varchar as text)", [t]).fetchall()[0][0] for t in texts]
+
+
+def test_tags_narrow_documents_before_entries_are_gathered(spark):
+    """Of what queries find only a row per document meets scope and tags; entries are gathered for chosen documents."""
+    rows = [(d, p, f"alpha beta gamma filler{p}") for d in range(3) for p in range(20)]
+    chunks = spark.createDataFrame(rows, "doc_id long, paragraph_index long, text string")
+    index = covers.positions(chunks, spark.createDataFrame([(d, "name") for d in range(3)], "doc_id long, name string"))
+    asked = spark.createDataFrame([(1, "alpha beta gamma")], "query_id long, text string")
+    seen = []
+
+    def narrow(met):
+        seen.extend(met.select("query_id", "doc_id").collect())
+        return met.where("doc_id <> 1")
+
+    found = covers.found(asked, spark.createDataFrame([], "query_id long, phrase string"), index, chunks, narrow=narrow).collect()
+    assert sorted(r.doc_id for r in seen) == [0, 1, 2]
+    assert sorted((r.doc_id, r.paragraph_index) for r in found) == [(d, p) for d in (0, 2) for p in range(20)] and {(r.level, r.matched) for r in found} == {(3, 3)}

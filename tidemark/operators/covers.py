@@ -21,10 +21,13 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.constants import FIELD_WEIGHT, STOP_WORDS
 from tidemark.functions.text import filter_tokens, normalise_query, tokens
+from tidemark.sources.store import cut
 
 CHUNK = ["doc_id", "paragraph_index"]
 # Tokens that look like codes of procedures.
 ANCHOR = "^([a-z][0-9]{3,5}|[a-z]{2}[0-9]{3,4})$"
+#: Rows of a query set that are sent to all tasks; beyond that both sides are shuffled.
+MOST_SENT = 200_000
 ENTRY = "array<struct<place:int,term:int,inverse:double>>"
 
 
@@ -45,8 +48,8 @@ def positions(chunks: DataFrame, documents: DataFrame) -> DataFrame:
 def demands(queries: DataFrame, phrases: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What queries (query_id, text) and their expansion (query_id, phrase) ask for.
 
-    First query_id, token, term (its number in the query), first (whether it is of the tokens that the cascade looks at) and anchor; second query_id,
-    groups (arrays of terms, one of which must be there as a whole), n_first, n_anchors and n_rest.
+    First query_id, token, term (its number in the query) and bit (of the tokens that the cascade looks at each has one, others 0); second query_id,
+    groups (arrays of terms, one of which must be there as a whole), n_first, n_anchors, n_rest and anchor_bits.
     """
     content = lambda c: F.array_distinct(F.filter(tokens(c), lambda t: ~t.isin(STOP_WORDS)))
     bags = phrases.select("query_id", F.array_sort(content(F.col("phrase"))).alias("bag")).where("size(bag) > 0").groupBy("query_id").agg(F.array_sort(F.collect_set("bag")).alias("bags"))
@@ -59,41 +62,55 @@ def demands(queries: DataFrame, phrases: DataFrame) -> tuple[DataFrame, DataFram
     anchors = F.filter("first", lambda t: t.rlike(ANCHOR))
     rows = rows.select("query_id", "terms", "first", groups.alias("groups"), F.size("first").cast("long").alias("n_first"), F.size(anchors).cast("long").alias("n_anchors"))
     each = rows.select("query_id", "first", F.posexplode("terms").alias("term", "token"))
-    first = F.array_contains("first", F.col("token"))
-    each = each.select("query_id", "token", "term", first.alias("first"), (first & F.col("token").rlike(ANCHOR)).alias("anchor"))
-    return each, rows.select("query_id", "groups", F.size("terms").alias("n_terms"), "n_first", "n_anchors", (F.col("n_first") - F.col("n_anchors")).alias("n_rest"))
+    bit = F.coalesce(F.get(F.transform("first", lambda _, i: F.call_function("shiftleft", F.lit(1), i)), F.array_position("first", F.col("token")).cast("int") - 1), F.lit(0))
+    each = each.select("query_id", "token", "term", bit.alias("bit"))
+    anchor_bits = F.aggregate(F.transform("first", lambda t, i: F.when(t.rlike(ANCHOR), F.call_function("shiftleft", F.lit(1), i)).otherwise(0)), F.lit(0), lambda x, y: x.bitwiseOR(y))
+    return each, rows.select("query_id", "groups", F.size("terms").alias("n_terms"), "n_first", "n_anchors", (F.col("n_first") - F.col("n_anchors")).alias("n_rest"), anchor_bits.alias("anchor_bits"))
+
+
+def _sent(rows: DataFrame) -> DataFrame:
+    """rows of the queries, sent to all tasks up to a proven bound only."""
+    return F.broadcast(rows) if rows.count() <= MOST_SENT else rows
 
 
 def found(queries: DataFrame, phrases: DataFrame, index: DataFrame, chunks: DataFrame, within: DataFrame | None = None, narrow: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """query_id, doc_id, paragraph_index, level, matched, entries, groups and n_terms of the chunks of each query's first level that has any.
 
     level: -1 for the code-like tokens, k for the cascade, 0 for any demand. within: query_id and doc_id, the only documents of each query.
-    narrow: leaves out matching chunks before levels are chosen.
+    narrow: leaves out matching documents (query_id, doc_id) before levels are chosen.
     """
-    each, asked = demands(queries, phrases)
-    hits = each.join(index, "token")
+    each, asked = (cut(x) for x in demands(queries, phrases))
+    sent_each, sent = _sent(each), _sent(asked)
+    asked_for = index.join(_sent(each.select("token").distinct()), "token", "left_semi")
+    # Names stand for all chunks of their documents; only names that are asked for are spread over them.
+    names = asked_for.where("paragraph_index is null").drop("paragraph_index").join(chunks.select(*CHUNK), "doc_id").select(*asked_for.columns)
+    # A document's rows lie in one task, so that what the queries find in its chunks is put together there: shuffled is the index, not the hits.
+    own = asked_for.where("paragraph_index is not null").unionByName(names).repartition("doc_id")
+    bits = F.bit_or("bit").alias("bits")
+    by_bits = {
+        "matched": F.bit_count("bits").cast("long"),
+        "_anchored": (F.col("n_anchors") > 0) & (F.bit_count(F.col("bits").bitwiseAND(F.col("anchor_bits"))) == F.col("n_anchors")) & ((F.col("n_rest") == 0) | (F.col("bits").bitwiseAND(F.bitwise_not("anchor_bits")) != 0)),
+    }
+    found_bits = own.join(sent_each, "token").groupBy("query_id", *CHUNK).agg(bits).join(sent, "query_id").withColumns(by_bits)
+    docs = found_bits.groupBy("query_id", "doc_id").agg(F.max("matched").alias("matched"), F.max("_anchored").alias("_anchored"))
     if within is not None:
-        hits = hits.join(within, ["query_id", "doc_id"], "left_semi")
+        docs = docs.join(within, ["query_id", "doc_id"], "left_semi")
+    # Scope and tags go by documents.
+    docs = cut(docs if narrow is None else narrow(docs))
+    most = docs.groupBy("query_id").agg(F.max("_anchored").alias("_some"), F.max("matched").alias("_most")).join(sent.select("query_id", "n_first"), "query_id")
+    strict = F.col("_most") >= F.greatest(F.lit(3), F.floor((F.col("n_first") + 1) / 2))
+    levels = cut(most.select("query_id", F.when(F.col("_some"), -1).when(strict, F.col("_most")).otherwise(0).cast("long").alias("level")))
+    of_level = F.when(F.col("level") == -1, F.col("_anchored")).when(F.col("level") > 0, F.col("matched") == F.col("level")).otherwise(True)
+    chosen = docs.join(_sent(levels), "query_id").where(of_level).groupBy("doc_id").agg(F.collect_set("query_id").alias("_queries"))
+
     weight = F.create_map(*(F.lit(x) for k, v in FIELD_WEIGHT.items() for x in (k, 1 / v)))[F.col("field")]
     entry = F.transform("places", lambda p: F.struct(p.alias("place"), F.col("term"), weight.alias("inverse"))).cast(ENTRY)
-    hits = hits.select("query_id", *CHUNK, "token", "first", "anchor", entry.alias("entries"))
-    # Names stand for all chunks of their documents; only names that are asked for are spread over them.
-    names = hits.where("paragraph_index is null").drop("paragraph_index").join(chunks.select(*CHUNK), "doc_id")
-    every = hits.where("paragraph_index is not null").unionByName(names)
-    counted = lambda c: F.size(F.collect_set(F.when(c, F.col("token")))).cast("long")
-    met = every.groupBy("query_id", *CHUNK).agg(
-        counted(F.col("first")).alias("matched"), counted(F.col("anchor")).alias("anchors"), counted(F.col("first") & ~F.col("anchor")).alias("rest"), F.array_sort(F.flatten(F.collect_list("entries"))).alias("entries")
-    ).join(asked, "query_id")
-    anchored = (F.col("n_anchors") > 0) & (F.col("anchors") == F.col("n_anchors")) & ((F.col("n_rest") == 0) | (F.col("rest") > 0))
+    hits = own.join(chosen, "doc_id").join(sent_each, "token").where(F.array_contains("_queries", F.col("query_id")))
+    met = hits.select("query_id", *CHUNK, "bit", entry.alias("entries")).groupBy("query_id", *CHUNK).agg(bits, F.array_sort(F.flatten(F.collect_list("entries"))).alias("entries"))
+    met = met.join(sent, "query_id").join(_sent(levels), "query_id").withColumns(by_bits)
     seen = F.array_distinct(F.transform("entries", lambda e: e["term"]))
     satisfied = F.exists("groups", lambda g: F.size(F.array_except(g, seen)) == 0)
-    met = met if narrow is None else narrow(met)
-    met = met.withColumns({"_anchored": anchored, "_any": satisfied})
-    most = met.groupBy("query_id").agg(F.max("_anchored").alias("_some"), F.max("matched").alias("_most"))
-    strict = F.col("_most") >= F.greatest(F.lit(3), F.floor((F.col("n_first") + 1) / 2))
-    level = F.when(F.col("_some"), -1).when(strict, F.col("_most")).otherwise(0).cast("long")
-    rows = met.join(most, "query_id").withColumn("level", level)
-    rows = rows.where(F.when(F.col("level") == -1, F.col("_anchored")).when(F.col("level") > 0, F.col("matched") == F.col("level")).otherwise(F.col("_any")))
+    rows = met.where(of_level & ((F.col("level") != 0) | satisfied))
     return rows.select("query_id", *CHUNK, "level", "matched", "entries", "groups", "n_terms")
 
 
