@@ -77,3 +77,17 @@ def test_pinned_looks_at_its_own_documents_only(spark, common):
     shuffled, found = records(spark, lambda: lexical.pinned(pins, chunks, index, CHUNK).collect())
     assert len(found) == 300 and all(r.score > 0.2 for r in found)
     assert shuffled < 10_000
+
+
+def test_tag_filters_of_the_nearest_rows_only(spark):
+    from tidemark.operators import retrieval
+
+    codes = [["d:a", "j:state.fr"], ["j:payor.acme"], ["p:x"], [], ["j:program.med"]]
+    requests = spark.createDataFrame([(q, codes[q % 5]) for q in range(40)], "query_id long, codes array<string>")
+    documents = spark.createDataFrame([(i, ("FR", "EN", None)[i % 3], ("Medicaid", "Commercial")[i % 2], ("Acme", None)[i % 5 == 0]) for i in range(600)], "doc_id long, state string, program string, payer string")
+    tags = spark.createDataFrame([(i, k, c) for i in range(600) for n, (k, c) in enumerate((("d", "a"), ("p", "x"), ("j", "payor.acme"))) if i % (n + 2) == 0], "doc_id long, kind string, code string")
+    pairs = spark.createDataFrame([(q, (q * 7 + i) % 600) for q in range(40) for i in range(6)], "query_id long, doc_id long")
+    shuffled, found = records(spark, lambda: retrieval.tag_filters_of(pairs, requests, documents, tags).collect())
+    every = retrieval.tag_filters(requests, documents, tags).join(pairs, ["query_id", "doc_id"]).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, every)) and found
+    assert shuffled < 8_000, "as few as tables and pairs have rows, not requests by documents"
