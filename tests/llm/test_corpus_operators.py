@@ -228,6 +228,13 @@ def test_components_of_chains_and_stars(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_many_rounds_keep_small_plans(spark):
+    """What Spark takes a table's size to be doubled its digits in every round, until they filled the driver."""
+    found = components.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"))
+    assert {(r.node, r.root) for r in found.collect()} == {(i, 0) for i in range(41)}
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 200
+
+
 def test_op7(spark, documents, odd):
     ids = sorted(documents)
     fps = [simhash_of(documents[i]) for i in ids]

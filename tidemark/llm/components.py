@@ -12,12 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.tables import written
+from tidemark.llm.tables import sizeless
 
 
 def _point_to(links: DataFrame) -> DataFrame:
     """Links (a, b) with, as m, the smallest of a and all its b."""
-    least = written(links.groupBy("a").agg(F.min("b").alias("low")))
+    least = sizeless(links.groupBy("a").agg(F.min("b").alias("low")))
     return links.join(least, "a").withColumn("m", F.least("a", "low"))
 
 
@@ -26,17 +26,17 @@ def components(links: DataFrame) -> DataFrame:
 
     links: columns a and b of one orderable type, in any direction; loops and repeated rows don't matter.
     """
-    now = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = sizeless(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
         state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("s"), F.sum(F.xxhash64("b", "a") % 999_983).alias("t")).first()
         if state == before or not state["n"]:
             break
         before = state
-        both = written(now.union(now.select("b", "a")))
+        both = sizeless(now.union(now.select("b", "a")))
         large = _point_to(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = written(large.where("a <> b").distinct())
+        large = sizeless(large.where("a <> b").distinct())
         small = _point_to(large)
         small = small.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
-        now = written(small.where("a <> b").distinct())
+        now = sizeless(small.where("a <> b").distinct())
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
