@@ -489,3 +489,17 @@ def test_tags_narrow_documents_before_entries_are_gathered(spark):
     found = covers.found(asked, spark.createDataFrame([], "query_id long, phrase string"), index, chunks, narrow=narrow).collect()
     assert sorted(r.doc_id for r in seen) == [0, 1, 2]
     assert sorted((r.doc_id, r.paragraph_index) for r in found) == [(d, p) for d in (0, 2) for p in range(20)] and {(r.level, r.matched) for r in found} == {(3, 3)}
+
+
+def test_pages_are_parsed_in_portions(spark, monkeypatch):
+    """A task held all pages of a batch and their sections at once."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(7)), "html": ["x" * 10, None, "", "y" * 25, "é" * 10, "z", None]})
+    monkeypatch.setattr(sections, "PORTION", 20)
+    parts = [p.column(0).to_pylist() for p in sections._portions([batch, batch.slice(0, 0), batch.slice(4)])]
+    assert parts == [[0, 1, 2], [3], [4], [5, 6], [4], [5, 6]]
+    pages = spark.createDataFrame([(i, f"<h1>t{i}</h1><p>one</p><h2>u</h2><p>two</p>" if i % 5 else None) for i in range(30)], "page_id long, html string").coalesce(1)
+    monkeypatch.setattr(sections, "PORTION", 100)
+    found = sections.page_sections(pages).collect()
+    assert {(r.page_id, r.page_number) for r in found} == {(i, n) for i in range(30) for n in ((1, 2) if i % 5 else (1,))} and len(found) == 54
