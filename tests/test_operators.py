@@ -503,3 +503,13 @@ def test_pages_are_parsed_in_portions(spark, monkeypatch):
     monkeypatch.setattr(sections, "PORTION", 100)
     found = sections.page_sections(pages).collect()
     assert {(r.page_id, r.page_number) for r in found} == {(i, n) for i in range(30) for n in ((1, 2) if i % 5 else (1,))} and len(found) == 54
+
+
+def test_quotes_shuffle_only_asked_grams(spark):
+    """All grams of all documents were shuffled before they met the few that are asked for."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(300)) + (" one two three four five" if i % 2 else "")) for i in range(20)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "one two three four five"), (2, "none of these words"), (3, None)], "quote_id long, text string")
+    found = lexical.quotes(asked, docs, 3)
+    assert {(r.quote_id, r.doc_id, r.shared, r.part) for r in found.collect()} == {(1, i, 3, 1.0) for i in range(1, 20, 2)}
+    plan = found._jdf.queryExecution().toString().split("Optimized Logical Plan")[1]
+    assert "Join LeftSemi" in plan and "strategy=broadcast" in plan
