@@ -513,3 +513,20 @@ def test_quotes_shuffle_only_asked_grams(spark):
     assert {(r.quote_id, r.doc_id, r.shared, r.part) for r in found.collect()} == {(1, i, 3, 1.0) for i in range(1, 20, 2)}
     plan = found._jdf.queryExecution().toString().split("Optimized Logical Plan")[1]
     assert "Join LeftSemi" in plan and "strategy=broadcast" in plan
+
+
+def test_substrings_shuffle_no_texts(spark, monkeypatch):
+    """All texts were shuffled to meet their candidates again; both ways give LIKE's pairs, across portions and batches."""
+    from tidemark.operators import substrings
+
+    rng = random.Random(5)
+    texts = [(i, None if i == 7 else "".join(rng.choice("abé \u6f22") for _ in range(rng.choice([0, 1, 3, 9, 60, 300])))) for i in range(80)] + [(None, "aaaabbbbaaaab"), (200, "abababab")]
+    asked = [(i, "".join(rng.choice("abé \u6f22") for _ in range(rng.choice([1, 2, 3, 5])))) for i in range(40)] + [(90, "abababab"), (91, ""), (92, None), (93, texts[79][1]), (94, "nowhere at all")]
+    rows, patterns = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(asked, "id long, pattern string")
+    wanted = sorted((i, d) for i, p in asked if p for d, t in texts if d is not None and t is not None and p in t)
+    monkeypatch.setattr(substrings, "PORTION", 17)
+    found = substrings.holding(patterns, rows, ["doc_id"])
+    assert sorted((r.id, r.doc_id) for r in found.collect()) == wanted
+    assert "MapInArrow" in found._jdf.queryExecution().toString() and found._jdf.queryExecution().toString().count("Contains(") == 0
+    monkeypatch.setattr(substrings, "MOST_PATTERNS", 1)
+    assert sorted((r.id, r.doc_id) for r in substrings.holding(patterns, rows, ["doc_id"]).collect()) == wanted
