@@ -81,3 +81,41 @@ def test_a_stream_in_parts_is_a_walk(spark, tmp_path):
             got = said(heartbeats.follow(read(), f"{tmp_path}/jobs", TIMEOUT, SILENT, "5 minutes"))
             until = max(e[1] for e in events[: (n + 1) * size] if e[1]) - timedelta(minutes=5)
             assert got == walk(events[: (n + 1) * size], until)
+
+
+def test_a_job_takes_few_round_trips():
+    """Each call to the state is one: a job's events took seven of them, its timer ten."""
+    import pandas as pd
+
+    calls, at = [], 1_700_000_000_000_000
+
+    class Value:
+        def __init__(self):
+            self.kept = None
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                if name in ("update", "put"):
+                    self.kept = args[0]
+                if name == "appendList":
+                    self.kept = [*(self.kept or []), *args[0]]
+                return self.kept is not None if name == "exists" else iter([self.now]) if name == "listTimers" else self.kept
+
+            return call
+
+    class Handle(Value):
+        now = at // 1000
+        getValueState = getListState = lambda self, *_: Value()
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return at // 1000 + 60_000
+
+    jobs = heartbeats.Jobs(TIMEOUT, SILENT)
+    jobs.init(Handle())
+    list(jobs.handleInputRows((1,), iter([pd.DataFrame({"at": [at, at + 1_000_000], "event_id": [1, 2], "kind": ["claim", "beat"]})]), None))
+    assert calls == ["get", "registerTimer", "update"]
+    out = pd.concat(jobs.handleExpiredTimer((1,), Times(), None))
+    assert out.values.tolist() == [[1, at, "processing", 0]]
+    assert calls[3:] == ["get", "deleteTimer", "registerTimer", "update"]

@@ -60,43 +60,50 @@ def transitions(events: DataFrame, until: Column, timeout: int = 10, silent: int
 
 
 class Jobs(StatefulProcessor):
-    """One job: its status, its claim's and last event's time, its failures, and the events that the watermark hasn't passed."""
+    """One job: its status, its claim's and last event's time, its failures, its timer and the events that the watermark hasn't passed.
+
+    All of it is one value, since each call to the state is a round trip: one to read, one to write, and those for a timer that changes.
+    """
 
     def __init__(self, timeout: int, silent: int):
         self.timeout, self.silent = timeout * MINUTE, silent * MINUTE
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.job = handle.getValueState("job", "status string, started bigint, last bigint, failures int")
-        self.waiting = handle.getListState("waiting", "at bigint, event_id bigint, kind string")
+        self.job = handle.getValueState("job", "status string, started bigint, last bigint, failures int, wake bigint, waiting array<struct<at: bigint, event_id: bigint, kind: string>>")
 
     def _deadline(self, started: int, last: int) -> int:
         return max(started + self.timeout, last + self.silent)
 
-    def _wake(self, status: str, started: int, last: int, waiting: list) -> None:
-        """One timer: at the next event that waits or, without one, at the deadline. It may wake a millisecond late, never early."""
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
+    def _load(self) -> tuple[str, int, int, int, int | None, list]:
+        *state, waiting = self.job.get() or ("pending", 0, 0, 0, None, [])
+        return *state, [tuple(w) for w in waiting]
+
+    def _keep(self, status: str, started: int, last: int, failures: int, wake: int | None, waiting: list) -> None:
+        """One timer: at the next event that waits or, without one, at the deadline. It may wake a millisecond late, never early. wake: the one that is set."""
+        new = None
         if waiting:
-            self.handle.registerTimer(-(-min(w[0] for w in waiting) // 1000))
+            new = -(-min(w[0] for w in waiting) // 1000)
         elif status == "processing":
-            self.handle.registerTimer(self._deadline(started, last) // 1000 + 1)
-
-    def _state(self) -> tuple[str, int, int, int]:
-        return tuple(self.job.get()) if self.job.exists() else ("pending", 0, 0, 0)
+            new = self._deadline(started, last) // 1000 + 1
+        if new != wake:
+            if wake is not None:
+                self.handle.deleteTimer(wake)
+            if new is not None:
+                self.handle.registerTimer(new)
+        self.job.update((status, started, last, failures, new, waiting))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = [(int(a), int(e), k) for df in rows for a, e, k in zip(df["at"], df["event_id"], df["kind"])]
-        state = self._state()
+        *state, waiting = self._load()
         if state[0] != "blocked" and new:
-            self.waiting.appendList(new)
-            self._wake(*state[:3], list(self.waiting.get()))
+            self._keep(*state, waiting + new)
         yield pd.DataFrame({"job_id": [], "at": [], "status": [], "failures": []}).astype({"job_id": "int64", "at": "int64", "status": "object", "failures": "int32"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        status, started, last, failures = self._state()
-        waiting = sorted(tuple(w) for w in self.waiting.get()) if self.waiting.exists() else []
+        status, started, last, failures, wake, waiting = self._load()
+        waiting.sort()
         passed, later = [w for w in waiting if w[0] <= now], [w for w in waiting if w[0] > now]
         out = []
 
@@ -121,12 +128,7 @@ class Jobs(StatefulProcessor):
                 last = at
                 if kind in ("done", "error"):
                     move(at, "completed" if kind == "done" else "failed")
-        self.job.update((status, started, last, failures))
-        if later:
-            self.waiting.put(later)
-        else:
-            self.waiting.clear()
-        self._wake(status, started, last, later)
+        self._keep(status, started, last, failures, wake, later)
         yield pd.DataFrame({"job_id": [key[0]] * len(out), "at": [o[0] for o in out], "status": [o[1] for o in out], "failures": [o[2] for o in out]}).astype({"job_id": "int64", "at": "int64", "status": "object", "failures": "int32"})
 
     def close(self) -> None:
