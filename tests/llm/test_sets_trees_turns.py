@@ -4,13 +4,14 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from tidemark.llm import html_text, jaccard, manifest, registry, repair, simhash
+from tidemark.llm import html_text, jaccard, manifest, registry, repair, simhash, tables
 
 
 def rows_of(df):
@@ -24,6 +25,19 @@ def test_matches_sql(spark, duck, name):
     assert rows_of(registry.queries()[name](spark, DATA).toPandas()) == rows_of(duck.sql(registry.oracle_sql()[name]).df())
 
 
+def test_shuffles_of_a_written_table_go_while_it_is_in_use(spark):
+    files = lambda: {x for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    before, setting = files(), spark.conf.get(tables.SHUFFLES_GO, "false")
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    done = tables.written(df)
+    for _ in range(20):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert sorted(done.collect()) == sorted(df.collect()) and spark.conf.get(tables.SHUFFLES_GO) == setting
+
+
 # -- 11 --
 def shingles(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
