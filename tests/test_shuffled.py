@@ -1,10 +1,13 @@
 """What is shuffled grows with the rows that are read, not with the matches of a query set."""
 
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import lexical, understanding
+from tidemark.sources import store
 
 CHUNK = ["doc_id", "paragraph_index"]
 
@@ -91,3 +94,15 @@ def test_tag_filters_of_the_nearest_rows_only(spark):
     every = retrieval.tag_filters(requests, documents, tags).join(pairs, ["query_id", "doc_id"]).collect()
     assert sorted(map(tuple, found)) == sorted(map(tuple, every)) and found
     assert shuffled < 8_000, "as few as tables and pairs have rows, not requests by documents"
+
+
+def test_tables_in_between_leave_no_shuffles(spark, tmp_path):
+    files = lambda: {x for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    before, rows = files(), spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    done = store.cut(rows), store.stored(spark, str(tmp_path), "rows", lambda s, d: rows)
+    for _ in range(20):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert sorted(done[0].collect()) == sorted(done[1].collect()) == sorted(rows.collect())
