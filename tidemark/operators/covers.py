@@ -1,7 +1,7 @@
 """Cover density over a positional index, with the levels by which a query's chunks are found.
 
 The index has a row for each token of a chunk and field, with the places where it stands; a chunk's fields follow
-each other, the name (A) before the text (D), so that their places do too.
+each other, the name (A) of its document before the text (D), so that their places do too.
 
 A query asks for its tokens, each by itself, and for the phrases of its expansion, of which all tokens
 have to be there. Of a chunk's places at which any of them stands, a cover is a shortest stretch that satisfies one
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.constants import FIELD_WEIGHT, STOP_WORDS
-from tidemark.functions.text import filter_tokens, normalise_query, tokens
+from tidemark.functions.text import filter_tokens, normalise_query, placed, tokens
 from tidemark.sources.store import cut
 
 CHUNK = ["doc_id", "paragraph_index"]
@@ -31,18 +31,21 @@ MOST_SENT = 200_000
 ENTRY = "array<struct<place:int,term:int,inverse:double>>"
 
 
+def entries(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """doc_id, paragraph_index and entries, an array of (field, token, places), of each chunk. A name (documents: doc_id, name) stands in all chunks of its document; a text's places begin behind it.
+
+    A chunk's entries are put together in its row. Only names meet chunks, and don't move them if both are dealt by document.
+    """
+    said = lambda c: tokens(F.coalesce(c, F.lit("")))
+    rows = chunks.select(*CHUNK, said("text").alias("own")).join(documents.select("doc_id", said("name").alias("named")), "doc_id", "left")
+    rows = rows.withColumn("named", F.coalesce("named", F.array().cast("array<string>")))
+    of = lambda field, c, shift: F.transform(placed(F.col(c)), lambda e: F.struct(F.lit(field).alias("field"), e["token"].alias("token"), F.transform(e["places"], lambda p: p + shift).alias("places")))
+    return rows.select(*CHUNK, F.concat(of("A", "named", F.lit(0)), of("D", "own", F.size("named"))).alias("entries"))
+
+
 def positions(chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """doc_id, paragraph_index, field, token and places. A name (documents: doc_id, name) is kept once, with a null paragraph_index; a text's places begin behind it."""
-    named = documents.select("doc_id", tokens(F.coalesce("name", F.lit(""))).alias("own"))
-    lengths = named.select("doc_id", F.size("own").alias("shift"))
-    placed = lambda df, *more: df.select("doc_id", *more, F.posexplode("own").alias("at", "token"))
-    name = placed(named).groupBy("doc_id", "token").agg(F.array_sort(F.collect_list(F.col("at") + 1)).alias("places"))
-    name = name.select("doc_id", F.lit(None).cast(chunks.schema["paragraph_index"].dataType).alias("paragraph_index"), F.lit("A").alias("field"), "token", "places")
-    # A line's tokens are gathered by line before the shift is joined: one row per token and line takes part, not one per occurrence.
-    text = placed(chunks.select(*CHUNK, tokens(F.coalesce("text", F.lit(""))).alias("own")), "paragraph_index")
-    text = text.groupBy(*CHUNK, "token").agg(F.array_sort(F.collect_list(F.col("at") + 1)).alias("places")).join(lengths, "doc_id", "left")
-    shifted = F.transform("places", lambda p: p + F.coalesce("shift", F.lit(0)))
-    return name.unionByName(text.select(*CHUNK, F.lit("D").alias("field"), "token", shifted.alias("places")))
+    """doc_id, paragraph_index, field, token and places: the entries of chunks, a row each."""
+    return entries(chunks, documents).select(*CHUNK, F.inline("entries"))
 
 
 def demands(queries: DataFrame, phrases: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -73,19 +76,24 @@ def _sent(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= MOST_SENT else rows
 
 
-def found(queries: DataFrame, phrases: DataFrame, index: DataFrame, chunks: DataFrame, within: DataFrame | None = None, narrow: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def _of_document(rows: DataFrame, by_document: DataFrame, how: str = "inner") -> DataFrame:
+    """rows with the columns of their document's one row; neither moves nor sorts rows that lie by document."""
+    return rows.join(by_document.hint("shuffle_hash"), "doc_id", how)
+
+
+def found(queries: DataFrame, phrases: DataFrame, index: DataFrame, chunks: DataFrame, within: DataFrame | None = None, narrow: Callable[[DataFrame], DataFrame] | None = None, dealt: bool = False) -> DataFrame:
     """query_id, doc_id, paragraph_index, level, matched, entries, groups and n_terms of the chunks of each query's first level that has any.
 
     level: -1 for the code-like tokens, k for the cascade, 0 for any demand. within: query_id and doc_id, the only documents of each query.
-    narrow: leaves out matching documents (query_id, doc_id) before levels are chosen.
+    narrow: leaves out matching documents (query_id, doc_id) before levels are chosen. dealt: whether the index is stored by document.
     """
     each, asked = (cut(x) for x in demands(queries, phrases))
-    sent_each, sent = _sent(each), _sent(asked)
-    asked_for = index.join(_sent(each.select("token").distinct()), "token", "left_semi")
-    # Names stand for all chunks of their documents; only names that are asked for are spread over them.
-    names = asked_for.where("paragraph_index is null").drop("paragraph_index").join(chunks.select(*CHUNK), "doc_id").select(*asked_for.columns)
-    # A document's rows lie in one task, so that what the queries find in its chunks is put together there: shuffled is the index, not the hits.
-    own = asked_for.where("paragraph_index is not null").unionByName(names).repartition("doc_id")
+    few = each.count() <= MOST_SENT
+    sent_each, sent = (F.broadcast(each) if few else each), _sent(asked)
+    own = index.join(_sent(each.select("token").distinct()), "token", "left_semi")
+    # A document's rows lie in one task, so that what the queries find in its chunks is put together there: the hits are never shuffled, nor an index that lies so.
+    if not (dealt and few):
+        own = own.repartition("doc_id")
     bits = F.bit_or("bit").alias("bits")
     by_bits = {
         "matched": F.bit_count("bits").cast("long"),
@@ -94,9 +102,10 @@ def found(queries: DataFrame, phrases: DataFrame, index: DataFrame, chunks: Data
     found_bits = own.join(sent_each, "token").groupBy("query_id", *CHUNK).agg(bits).join(sent, "query_id").withColumns(by_bits)
     docs = found_bits.groupBy("query_id", "doc_id").agg(F.max("matched").alias("matched"), F.max("_anchored").alias("_anchored"))
     if within is not None:
-        docs = docs.join(within, ["query_id", "doc_id"], "left_semi")
+        docs = _of_document(docs, within.groupBy("doc_id").agg(F.collect_set("query_id").alias("_own"))).where(F.array_contains("_own", F.col("query_id"))).drop("_own")
     # Scope and tags go by documents.
-    docs = cut(docs if narrow is None else narrow(docs))
+    docs = cut(docs)
+    docs = docs if narrow is None else narrow(docs)
     most = docs.groupBy("query_id").agg(F.max("_anchored").alias("_some"), F.max("matched").alias("_most")).join(sent.select("query_id", "n_first"), "query_id")
     strict = F.col("_most") >= F.greatest(F.lit(3), F.floor((F.col("n_first") + 1) / 2))
     levels = cut(most.select("query_id", F.when(F.col("_some"), -1).when(strict, F.col("_most")).otherwise(0).cast("long").alias("level")))
@@ -105,7 +114,7 @@ def found(queries: DataFrame, phrases: DataFrame, index: DataFrame, chunks: Data
 
     weight = F.create_map(*(F.lit(x) for k, v in FIELD_WEIGHT.items() for x in (k, 1 / v)))[F.col("field")]
     entry = F.transform("places", lambda p: F.struct(p.alias("place"), F.col("term"), weight.alias("inverse"))).cast(ENTRY)
-    hits = own.join(chosen, "doc_id").join(sent_each, "token").where(F.array_contains("_queries", F.col("query_id")))
+    hits = _of_document(own, chosen).join(sent_each, "token").where(F.array_contains("_queries", F.col("query_id")))
     met = hits.select("query_id", *CHUNK, "bit", entry.alias("entries")).groupBy("query_id", *CHUNK).agg(bits, F.array_sort(F.flatten(F.collect_list("entries"))).alias("entries"))
     met = met.join(sent, "query_id").join(_sent(levels), "query_id").withColumns(by_bits)
     seen = F.array_distinct(F.transform("entries", lambda e: e["term"]))
@@ -145,8 +154,8 @@ def density(entries: Column, groups: Column, n_terms: Column) -> Column:
     return F.when(single, F.aggregate(F.filter(entries, alone), F.lit(0.0), lambda x, e: x + 1 / e["inverse"])).otherwise(covers)
 
 
-def ranked(queries: DataFrame, phrases: DataFrame, index: DataFrame, chunks: DataFrame, within: DataFrame | None = None, narrow: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def ranked(queries: DataFrame, phrases: DataFrame, index: DataFrame, chunks: DataFrame, within: DataFrame | None = None, narrow: Callable[[DataFrame], DataFrame] | None = None, dealt: bool = False) -> DataFrame:
     """query_id, doc_id, paragraph_index, level, matched and score of each query's chunks."""
     s = F.round(density(F.col("entries"), F.col("groups"), F.col("n_terms")), 9)
-    rows = found(queries, phrases, index, chunks, within, narrow).withColumn("s", s)
+    rows = found(queries, phrases, index, chunks, within, narrow, dealt).withColumn("s", s)
     return rows.select("query_id", *CHUNK, "level", "matched", (F.col("s") / (F.col("s") + 1)).alias("score"))
