@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from test_shuffled import CHUNK, records
 from tidemark.functions.text import placed
-from tidemark.operators import covers, lexical
+from tidemark.operators import covers, lexical, ranking, retrieval
 from tidemark.sources import store
 
 
@@ -54,3 +54,34 @@ def test_a_stored_index_is_not_shuffled(spark, dealt):
     key = lambda r: (r.query_id, r["rank"])
     assert sorted(found, key=key) == sorted(other, key=key) and len(found) == 60
     assert moved < index.count() / 3
+
+
+@pytest.fixture(scope="module")
+def asked(spark):
+    """40 questions that each meet all documents, tags of two kinds for some, and the documents that these admit."""
+    codes = lambda q: [f"j:state.{'ab'[q % 2]}"] * (q % 3 == 0) + ["d:claims.general"] * (q % 4 == 0)
+    requests = spark.createDataFrame([(q, f"w{q % 20} w{q % 20 + 1} w{q % 20 + 2}", codes(q)) for q in range(40)], "query_id long, text string, codes array<string>").localCheckpoint()
+    admitted = [(q, d, q % 3 == 0 and q % 6 != 3 and d % 5 == q % 2, q % 4 == 0 and d % 2 == 0) for q in range(40) for d in range(60)]
+    admitted = [r for r in admitted if r[2] or r[3]]
+    return requests, spark.createDataFrame(admitted, "query_id long, doc_id long, strict boolean, relaxed boolean").localCheckpoint(), admitted
+
+
+def found_under(spark, dealt, asked, mode):
+    """Rows moved, and the documents of each question, found in the stored index under a mode of tags."""
+    requests, admitted, _ = asked
+    narrow = lambda rows: retrieval.tag_moded(rows, requests, admitted, mode, relaxes=False)
+    none = spark.createDataFrame([], "query_id long, phrase string")
+    act = lambda: covers.found(requests.select("query_id", "text"), none, dealt[0], dealt[1], narrow=narrow, dealt=True).groupBy("query_id").agg(F.collect_set("doc_id").alias("docs")).collect()
+    moved, rows = records(spark, act)
+    return moved, {r.query_id: set(r.docs) for r in rows}
+
+
+def test_tags_meet_what_is_found_where_it_lies(spark, dealt, asked):
+    """Pairs of questions and documents were shuffled to meet their tags: 40 by 60."""
+    moved, found = found_under(spark, dealt, asked, "auto")
+    strict, relaxed = ({q: {d for x, d, *v in asked[2] if x == q and v[i]} for q in range(40)} for i in (0, 1))
+    for q, docs in found.items():
+        admits = set(range(60)) if q % 3 else strict[q] or (relaxed[q] if q % 4 == 0 else set())
+        assert docs <= admits
+    assert set(range(40)) - set(found) == {q for q in range(40) if q % 3 == 0 and not strict[q] and q % 4} and found[12] and any(len(v) == 60 for v in found.values())
+    assert moved < 1_500

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.constants import FIELD_WEIGHT, STOP_WORDS
 from tidemark.functions.text import filter_tokens, normalise_query, placed, tokens
-from tidemark.sources.store import cut
+from tidemark.sources.store import cut, laid_down
 
 CHUNK = ["doc_id", "paragraph_index"]
 # Tokens that look like codes of procedures.
@@ -76,7 +76,7 @@ def _sent(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= MOST_SENT else rows
 
 
-def _of_document(rows: DataFrame, by_document: DataFrame, how: str = "inner") -> DataFrame:
+def of_document(rows: DataFrame, by_document: DataFrame, how: str = "inner") -> DataFrame:
     """rows with the columns of their document's one row; neither moves nor sorts rows that lie by document."""
     return rows.join(by_document.hint("shuffle_hash"), "doc_id", how)
 
@@ -102,10 +102,9 @@ def found(queries: DataFrame, phrases: DataFrame, index: DataFrame, chunks: Data
     found_bits = own.join(sent_each, "token").groupBy("query_id", *CHUNK).agg(bits).join(sent, "query_id").withColumns(by_bits)
     docs = found_bits.groupBy("query_id", "doc_id").agg(F.max("matched").alias("matched"), F.max("_anchored").alias("_anchored"))
     if within is not None:
-        docs = _of_document(docs, within.groupBy("doc_id").agg(F.collect_set("query_id").alias("_own"))).where(F.array_contains("_own", F.col("query_id"))).drop("_own")
+        docs = of_document(docs, within.groupBy("doc_id").agg(F.collect_set("query_id").alias("_own"))).where(F.array_contains("_own", F.col("query_id"))).drop("_own")
     # Scope and tags go by documents.
-    docs = cut(docs)
-    docs = docs if narrow is None else narrow(docs)
+    docs = laid_down(docs if narrow is None else narrow(docs))
     most = docs.groupBy("query_id").agg(F.max("_anchored").alias("_some"), F.max("matched").alias("_most")).join(sent.select("query_id", "n_first"), "query_id")
     strict = F.col("_most") >= F.greatest(F.lit(3), F.floor((F.col("n_first") + 1) / 2))
     levels = cut(most.select("query_id", F.when(F.col("_some"), -1).when(strict, F.col("_most")).otherwise(0).cast("long").alias("level")))
@@ -114,7 +113,7 @@ def found(queries: DataFrame, phrases: DataFrame, index: DataFrame, chunks: Data
 
     weight = F.create_map(*(F.lit(x) for k, v in FIELD_WEIGHT.items() for x in (k, 1 / v)))[F.col("field")]
     entry = F.transform("places", lambda p: F.struct(p.alias("place"), F.col("term"), weight.alias("inverse"))).cast(ENTRY)
-    hits = _of_document(own, chosen).join(sent_each, "token").where(F.array_contains("_queries", F.col("query_id")))
+    hits = of_document(own, chosen).join(sent_each, "token").where(F.array_contains("_queries", F.col("query_id")))
     met = hits.select("query_id", *CHUNK, "bit", entry.alias("entries")).groupBy("query_id", *CHUNK).agg(bits, F.array_sort(F.flatten(F.collect_list("entries"))).alias("entries"))
     met = met.join(sent, "query_id").join(_sent(levels), "query_id").withColumns(by_bits)
     seen = F.array_distinct(F.transform("entries", lambda e: e["term"]))
