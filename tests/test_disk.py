@@ -85,3 +85,16 @@ def test_tags_meet_what_is_found_where_it_lies(spark, dealt, asked):
         assert docs <= admits
     assert set(range(40)) - set(found) == {q for q in range(40) if q % 3 == 0 and not strict[q] and q % 4} and found[12] and any(len(v) == 60 for v in found.values())
     assert moved < 1_500
+
+
+def test_texts_are_not_shuffled_for_their_neighbours(spark):
+    chunks = spark.createDataFrame([(d, p, p // 8, f"text {d} {p}") for d in range(50) for p in range(40)], "doc_id long, paragraph_index long, page_number long, text string").localCheckpoint()
+    seeds = spark.createDataFrame([(d, 7, 0) for d in range(0, 50, 10)], "doc_id long, paragraph_index long, page_number long").localCheckpoint()
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # tables as small as these would be sent anyway
+    try:
+        moved, found = records(spark, lambda: ranking.neighbours(seeds, chunks, 2, 1).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert sorted((r.doc_id, r.seed_paragraph, r.paragraph_index) for r in found) == [(d, 7, p) for d in range(0, 50, 10) for p in (5, 6, 8, 9)]
+    assert moved < 200
