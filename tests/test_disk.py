@@ -98,3 +98,12 @@ def test_texts_are_not_shuffled_for_their_neighbours(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
     assert sorted((r.doc_id, r.seed_paragraph, r.paragraph_index) for r in found) == [(d, 7, p) for d in range(0, 50, 10) for p in (5, 6, 8, 9)]
     assert moved < 200
+
+
+def test_scope_meets_what_is_found_where_it_lies(spark, dealt, asked):
+    """All pairs of questions and documents were shuffled to meet the scope's."""
+    scope = spark.createDataFrame([(q, d) for q in range(40) for d in range(60) if (q + d) % 11 == 0], "query_id long, doc_id long").localCheckpoint()
+    none = spark.createDataFrame([], "query_id long, phrase string")
+    moved, rows = records(spark, lambda: covers.found(asked[0].select("query_id", "text"), none, dealt[0], dealt[1], within=scope, dealt=True).select("query_id", "doc_id").distinct().collect())
+    assert rows and all((r.query_id + r.doc_id) % 11 == 0 for r in rows) and len({r.query_id for r in rows}) == 40
+    assert moved < 1_500
