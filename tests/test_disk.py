@@ -107,3 +107,10 @@ def test_scope_meets_what_is_found_where_it_lies(spark, dealt, asked):
     moved, rows = records(spark, lambda: covers.found(asked[0].select("query_id", "text"), none, dealt[0], dealt[1], within=scope, dealt=True).select("query_id", "doc_id").distinct().collect())
     assert rows and all((r.query_id + r.doc_id) % 11 == 0 for r in rows) and len({r.query_id for r in rows}) == 40
     assert moved < 1_500
+
+
+def test_strict_tags_meet_what_is_found_where_it_lies(spark, dealt, asked):
+    moved, found = found_under(spark, dealt, asked, "strict")
+    strict = {q: {d for x, d, s, _ in asked[2] if x == q and s} for q in range(40)}
+    assert all(docs <= strict[q] for q, docs in found.items() if q % 3 == 0) and any(len(v) == 60 for v in found.values())
+    assert moved < 1_500
