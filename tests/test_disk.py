@@ -114,3 +114,11 @@ def test_strict_tags_meet_what_is_found_where_it_lies(spark, dealt, asked):
     strict = {q: {d for x, d, s, _ in asked[2] if x == q and s} for q in range(40)}
     assert all(docs <= strict[q] for q, docs in found.items() if q % 3 == 0) and any(len(v) == 60 for v in found.values())
     assert moved < 1_500
+
+
+def test_postings_are_counted_in_their_row(spark):
+    """Making postings shuffled all lines, and then the postings by token."""
+    chunks, _ = corpus_of(spark)
+    shuffled, rows = records(spark, lambda: lexical.postings(chunks.union(spark.createDataFrame([(99, 0, None), (99, 1, "a b a")], chunks.schema)), CHUNK).collect())
+    assert shuffled == 0 and len(rows) > 6_000 and sum(r.tf for r in rows) == 300 * 30 + 3
+    assert sorted((r.token, r.tf) for r in rows if r.doc_id == 99) == [("a", 2), ("b", 1)]
