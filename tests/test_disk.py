@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from test_shuffled import CHUNK, records
 from tidemark.functions.text import placed
-from tidemark.operators import covers, lexical, ranking, retrieval
+from tidemark.operators import covers, lexical, ranking, retrieval, understanding
 from tidemark.sources import store
 
 
@@ -122,3 +122,20 @@ def test_postings_are_counted_in_their_row(spark):
     shuffled, rows = records(spark, lambda: lexical.postings(chunks.union(spark.createDataFrame([(99, 0, None), (99, 1, "a b a")], chunks.schema)), CHUNK).collect())
     assert shuffled == 0 and len(rows) > 6_000 and sum(r.tf for r in rows) == 300 * 30 + 3
     assert sorted((r.token, r.tf) for r in rows if r.doc_id == 99) == [("a", 2), ("b", 1)]
+
+
+def test_postings_are_packed_before_they_meet_queries(spark):
+    """Each posting was a row of a shuffle."""
+    index = spark.createDataFrame([(d, p, f"w{(d + p * 5 + i) % 60}") for d in range(60) for p in range(4) for i in range(25)], "doc_id long, paragraph_index long, token string").coalesce(2).localCheckpoint()
+    items = [(q, f"w{q}", 2) for q in range(60)] + [(q, f"w{(q + q % 3 * 20) % 60 if q % 3 else (q + 1) % 60}", 2) for q in range(60)]
+    asked = spark.createDataFrame(items, "query_id long, item string, n_items long").localCheckpoint()
+    moved, rows = records(spark, lambda: {r.query_id: r.place for r in understanding.presence(asked, index).collect()})
+    said = {}
+    for d in range(60):
+        for p in range(4):
+            said[d, p] = {f"w{(d + p * 5 + i) % 60}" for i in range(25)}
+    for q in range(60):
+        both = {i for x, i, _ in items if x == q}
+        docs = [set().union(*(said[d, p] for p in range(4))) for d in range(60)]
+        assert rows[q] == ("paragraph" if any(both <= s for s in said.values()) else "document" if any(both <= s for s in docs) else "scattered"), q
+    assert moved < index.count() / 3
